@@ -22,6 +22,7 @@ from evenkeel.functions.columns import (
 )
 from evenkeel.functions.rowhash import row_hash
 from evenkeel.operators.comparable import comparable_columns
+from evenkeel.operators.set_diff import multiset_counts
 from evenkeel.session import staged
 
 # fixed values: difference kinds
@@ -104,38 +105,6 @@ def _count_columns() -> list[Column]:
     ]
 
 
-def multiset_counts(source: DataFrame, target: DataFrame) -> DataFrame:
-    """Counts for tables without a key: every common column is part of the identity.
-
-    Copies are combined before the shuffle, so a row that fills a third of the table costs
-    no more than any other.
-    """
-    columns = common_columns(source, target)
-    left, right = aligned(source, target, columns)
-    grouped = (
-        _tagged(left, columns, [], True)
-        .union(_tagged(right, columns, [], False))
-        .groupBy(*[ref(c) for c in columns])
-        .agg(
-            F.count_if(F.col("_from_source")).alias("_s"),
-            F.count_if(~F.col("_from_source")).alias("_t"),
-        )
-    )
-    zero = F.lit(0).cast("long")
-
-    def total(column: Column) -> Column:
-        return F.coalesce(F.sum(column), zero)
-
-    return grouped.agg(
-        total(F.col("_s")).alias("source_row_count"),
-        total(F.col("_t")).alias("target_row_count"),
-        total(F.least("_s", "_t")).alias("matching_rows"),
-        zero.alias("different_rows"),
-        total(F.greatest(F.col("_s") - F.col("_t"), zero)).alias("source_only_rows"),
-        total(F.greatest(F.col("_t") - F.col("_s"), zero)).alias("target_only_rows"),
-    )
-
-
 def row_diff_counts(
     source: DataFrame,
     target: DataFrame,

@@ -6,7 +6,7 @@ expands copies before the shuffle; here copies are combined on the map side.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from evenkeel.functions.columns import aligned, common_columns, comparable, field_type, ref
@@ -62,3 +62,21 @@ def multiset_diff(source: DataFrame, target: DataFrame, columns: list[str] | Non
         kind.alias("difference_type"),
         F.abs(F.col("_s") - F.col("_t")).alias("copies"),
     )
+
+
+def multiset_counts(source: DataFrame, target: DataFrame, columns: list[str] | None = None) -> DataFrame:
+    """The six row counts for tables without a key: a row is identified by all its values."""
+    counted, _ = _row_counts(source, target, columns)
+    zero = F.lit(0).cast("long")
+
+    def total(column: Column) -> Column:
+        return F.coalesce(F.sum(column), zero)
+
+    return counted.agg(
+        total(F.col("_s")).alias("source_row_count"),
+        total(F.col("_t")).alias("target_row_count"),
+        total(F.least("_s", "_t")).alias("matching_rows"),
+        zero.alias("different_rows"),
+        total(F.greatest(F.col("_s") - F.col("_t"), zero)).alias("source_only_rows"),
+        total(F.greatest(F.col("_t") - F.col("_s"), zero)).alias("target_only_rows"),
+    )
