@@ -134,7 +134,26 @@ def _(spark, folder):
 
 @query("compare_tables_isolated", results_ctes() + "SELECT * FROM results")
 def _(spark, folder):
-    return C.compare_tables(spark, table_pairs(spark, folder), "standard", isolate=True)
+    timed = C.compare_tables(spark, table_pairs(spark, folder), "standard", isolate=True)
+    return timed.drop("duration_seconds", "rows_per_second")
+
+
+def _cells_sql(source: str, target: str, key: str) -> str:
+    return "\nUNION ALL ".join(
+        f"SELECT 'src.{source}' AS table_name, concat('{key}=', s.{key}) AS key_display, '{c}' AS column_name, "
+        f"CAST(s.{c} AS VARCHAR) AS source_value, CAST(t.{c} AS VARCHAR) AS target_value, 'data_different' AS difference_type "
+        f"FROM {source} s JOIN {target} t ON s.{key} = t.{key} WHERE s.{c} IS DISTINCT FROM t.{c}"
+        for c in _common(source, target)
+        if c != key
+    )
+
+
+@query(
+    "deep_differences",
+    ctes("orders_t", "orders_drifted", "events_t") + "\nUNION ALL ".join(_cells_sql(s, t, k) for s, t, k, _ in PAIRS if k),
+)
+def _(spark, folder):
+    return C.deep_differences(table_pairs(spark, folder))
 
 
 @query(

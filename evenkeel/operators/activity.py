@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from evenkeel.functions.scores import per_execution
+from evenkeel.session import staged
 
 PROGRAM_HOST = ["program_name", "host_name"]
 
@@ -171,8 +172,8 @@ def query_patterns(stats: DataFrame, top_n: int | None = 50) -> DataFrame:
     """Query statistics with averages per execution and the number of plans per query.
 
     Server queries about the server itself are left out. With `top_n`, the most expensive
-    are chosen first and plans are counted for those alone, by a join with at most `top_n`
-    broadcast rows; the count still covers all statistics.
+    are chosen and written out first, and plans are counted for their queries alone; the
+    count still covers all statistics.
     """
     shown = stats.where(
         F.col("query_text").isNotNull()
@@ -183,8 +184,9 @@ def query_patterns(stats: DataFrame, top_n: int | None = 50) -> DataFrame:
     wanted = shown
     hashes = shown.select("query_hash")
     if top_n is not None:
-        wanted = shown.orderBy(F.col("total_worker_time").desc(), "query_hash", "program_name").limit(top_n)
-        hashes = hashes.join(F.broadcast(wanted.select("query_hash").distinct()), "query_hash", "left_semi")
+        order = [F.col("total_worker_time").desc(), F.col("query_hash"), F.col("program_name")]
+        wanted = staged(shown.orderBy(*order).limit(top_n), "top-queries")
+        hashes = hashes.join(wanted.select("query_hash").distinct(), "query_hash", "left_semi")
     plans = hashes.groupBy("query_hash").agg(F.count("*").alias("plan_count"))
     return wanted.join(plans, "query_hash").select(
         "query_hash",

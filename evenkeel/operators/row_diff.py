@@ -66,8 +66,9 @@ def key_states(
 ) -> DataFrame:
     """Every key of either side with its `difference_type`.
 
-    A key that occurs twice on a side fails the job when its state is computed; use
-    `multiset_counts` for tables without a key.
+    With one row per side, the hashes are equal exactly when their xor is zero, so the
+    shuffled state is two counts and one hash. A key that occurs twice on a side fails the
+    job when its state is computed; use `multiset_counts` for tables without a key.
     """
     left, right, values = _sides(source, target, keys, columns)
     both = _tagged(left, keys, values, True).union(_tagged(right, keys, values, False))
@@ -75,8 +76,7 @@ def key_states(
     grouped = both.groupBy(*[ref(k) for k in keys]).agg(
         F.count_if(from_source).alias("_n_source"),
         F.count_if(~from_source).alias("_n_target"),
-        F.max(F.when(from_source, F.col("_hash"))).alias("_h_source"),
-        F.max(F.when(~from_source, F.col("_hash"))).alias("_h_target"),
+        F.bit_xor("_hash").alias("_xor"),
     )
     duplicate = F.concat(F.lit("duplicate key: "), key_display(keys))
     state = (
@@ -86,7 +86,7 @@ def key_states(
         )
         .when(F.col("_n_target") == 0, ONLY_SOURCE)
         .when(F.col("_n_source") == 0, ONLY_TARGET)
-        .when(F.col("_h_source") == F.col("_h_target"), MATCH)
+        .when(F.col("_xor") == 0, MATCH)
         .otherwise(DIFFERENT)
     )
     return grouped.select(*[ref(k) for k in keys], state.alias("difference_type"))

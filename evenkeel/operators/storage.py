@@ -106,6 +106,25 @@ def storage_rewrite_plan(advice: DataFrame, min_priority: str = "medium") -> Dat
     )
 
 
+def apply_advice(
+    advice: DataFrame, tables: dict[str, DataFrame], folder: str, min_priority: str = "medium", dry_run: bool = True
+) -> list[str]:
+    """Statements of the plan, or, without `dry_run`, the paths of the rewritten tables.
+
+    The plan has one row per table, so it is read to the driver; the tables are not.
+    """
+    plan = storage_rewrite_plan(advice.where(F.col("table_name").isin(*tables)), min_priority)
+    rows = plan.orderBy("table_name").collect()
+    if dry_run:
+        return [row["statement"] for row in rows]
+    written = []
+    for row in rows:
+        path = f"{folder}/{row['table_name']}"
+        rewrite(tables[row["table_name"]], row["recommended_codec"], path)
+        written.append(path)
+    return written
+
+
 def rewrite(df: DataFrame, codec: str, path: str) -> None:
     """Writes the table to a new path in the given codec."""
     df.write.option("compression", codec).parquet(path)

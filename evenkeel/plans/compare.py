@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 from concurrent.futures import ThreadPoolExecutor
 from typing import NamedTuple
 
@@ -12,7 +13,7 @@ from evenkeel.functions.columns import common_columns
 from evenkeel.functions.ranking import with_rank
 from evenkeel.operators.fingerprint import quick_compare
 from evenkeel.operators.incremental import incremental_pair
-from evenkeel.operators.row_diff import row_diff_counts
+from evenkeel.operators.row_diff import cell_diff, row_diff_counts
 from evenkeel.operators.schema_diff import schema_gap
 from evenkeel.sources.inventory import union_all
 
@@ -83,21 +84,45 @@ def compare_tables(
     """One result row per pair.
 
     By default all pairs form one plan and one job. With `isolate`, each pair runs as its own
-    job, `parallelism` at a time, and a pair that fails becomes a row with status `failed`.
+    job, `parallelism` at a time; a pair that fails becomes a row with status `failed`, and
+    each row also has its duration and rows per second.
     """
     if not isolate:
         return with_metrics(union_all([compare_pair(p, mode) for p in pairs]))
 
     def run(pair: TablePair) -> tuple:
+        start = time.monotonic()
         try:
-            return tuple(compare_pair(pair, mode).first())
+            row = tuple(compare_pair(pair, mode).first())
         except Exception as error:  # a failing pair must not stop the others
             message = str(error).splitlines()[0][:500]
-            return (pair.source_table, pair.target_table, mode, "failed", message, False, 0, 0, 0, 0, 0, 0, 0)
+            row = (pair.source_table, pair.target_table, mode, "failed", message, False, 0, 0, 0, 0, 0, 0, 0)
+        return (*row, time.monotonic() - start)
 
     with ThreadPoolExecutor(max_workers=parallelism) as pool:
         rows = list(pool.map(run, pairs))
-    return with_metrics(spark.createDataFrame(rows, RESULT_COLUMNS))
+    timed = spark.createDataFrame(rows, RESULT_COLUMNS + ", duration_seconds DOUBLE")
+    rate = F.greatest("source_row_count", "target_row_count") / F.nullif("duration_seconds", F.lit(0.0))
+    return with_metrics(timed.withColumn("rows_per_second", rate))
+
+
+def deep_differences(pairs: list[TablePair], limit: int | None = None) -> DataFrame:
+    """Cell differences of all keyed pairs, the second half of a `deep` comparison.
+
+    `limit` caps the report per pair, in key order.
+    """
+    keyed = [p for p in pairs if p.keys and p.on_duplicate == "raise"]
+    columns = ["table_name", "key_display", "column_name", "source_value", "target_value"]
+    cells = []
+    for pair in keyed:
+        source, target = pair.source, pair.target
+        if pair.incremental_column:
+            source, target = incremental_pair(source, target, pair.incremental_column)
+        found = cell_diff(source, target, list(pair.keys), limit=limit, table_name=pair.source_table)
+        cells.append(found.select(*columns, F.lit("data_different").alias("difference_type")))
+    if not cells:
+        raise ValueError("cell differences need at least one pair with a key")
+    return union_all(cells)
 
 
 def is_match() -> Column:

@@ -2,12 +2,13 @@
 
 Parquet has no UPDATE or DELETE, so the run table is a log: a run is opened, completed and
 deleted by appended events, and its state is read from the latest of each. Results are
-partitioned by run.
+partitioned by a hash bucket of the run, so that reading one run lists one folder while the
+number of folders does not grow with the number of runs.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from evenkeel.functions.columns import ref
@@ -18,6 +19,8 @@ RUN_EVENTS = (
     "total_tables BIGINT, matching_tables BIGINT, different_tables BIGINT, failed_tables BIGINT, status STRING"
 )
 
+RESULT_BUCKETS = 64
+
 DIFFERENCES = "array<struct<key:string,column_name:string,source_value:string,target_value:string>>"
 
 
@@ -114,6 +117,10 @@ def from_json_text(results: DataFrame) -> DataFrame:
     return results.withColumn("data_differences", F.from_json(F.coalesce("data_differences", F.lit("[]")), DIFFERENCES))
 
 
+def _bucket(run_id: Column) -> Column:
+    return F.pmod(F.xxhash64(run_id), F.lit(RESULT_BUCKETS)).cast("int")
+
+
 class History:
     """A run history in one folder."""
 
@@ -157,13 +164,14 @@ class History:
         return count
 
     def save_results(self, results: DataFrame) -> None:
-        """Appends results, which carry their `run_id`. A run becomes one file; the rebalance
-        hint lets adaptive execution split a run that is too large for one task."""
+        """Appends results, which carry their `run_id`. The rebalance hint gathers a bucket in
+        few files and lets adaptive execution split one that is too large for a task."""
         (
             to_json_text(results)
-            .hint("rebalance", F.col("run_id"))
+            .withColumn("run_bucket", _bucket(F.col("run_id")))
+            .hint("rebalance", F.col("run_bucket"))
             .write.mode("append")
-            .partitionBy("run_id")
+            .partitionBy("run_bucket")
             .parquet(self.results_path)
         )
 
@@ -176,11 +184,13 @@ class History:
         )
 
     def results(self, run_id: str | None = None) -> DataFrame:
-        """Results of the runs that still exist, or of one run; then only its folder is read."""
-        stored = self.spark.read.option("basePath", self.results_path).parquet(self.results_path)
-        stored = stored.withColumn("run_id", F.col("run_id").cast("string"))
+        """Results of the runs that still exist, or of one run; then only its bucket is read."""
+        stored = self.spark.read.parquet(self.results_path)
         if run_id is not None:
-            stored = stored.where(F.col("run_id") == run_id)
+            stored = stored.where(
+                (F.col("run_bucket") == _bucket(F.lit(run_id))) & (F.col("run_id") == run_id)
+            )
+        stored = stored.drop("run_bucket")
         kept = self.runs() if run_id is None else self.run(run_id)
         return from_json_text(stored.join(kept.select("run_id"), "run_id", "left_semi"))
 
