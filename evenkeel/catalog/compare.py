@@ -5,12 +5,12 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from evenkeel.catalog import query
-from evenkeel.catalog.schema import TABLES, _split
+from evenkeel.catalog.schema import _split
 from evenkeel.operators.fingerprint import quick_compare
 from evenkeel.operators.incremental import incremental_cutoff, incremental_pair
 from evenkeel.operators.row_diff import row_diff_counts
 from evenkeel.plans import compare as C
-from evenkeel.sources.fixtures import ctes, view
+from evenkeel.sources.fixtures import TABLES, ctes, view
 from evenkeel.sources.inventory import union_all
 
 # source, target, key, schema differences between the two

@@ -50,13 +50,23 @@ def aligned(source: DataFrame, target: DataFrame, columns: list[str]) -> tuple[D
     types = {c: shared_type(source, target, c) for c in columns}
 
     def side(df: DataFrame) -> DataFrame:
-        return df.select(
-            *[ref(c) if field_type(df, c) == t else ref(c).cast(t).alias(c) for c, t in types.items()]
+        if df.columns == columns and all(f.dataType == types[f.name] for f in df.schema.fields):
+            return df
+        return df.selectExpr(
+            *[
+                quoted(c) if field_type(df, c) == t else f"CAST({quoted(c)} AS {t.simpleString()}) AS {quoted(c)}"
+                for c, t in types.items()
+            ]
         )
 
     return side(source), side(target)
 
 
+def literal(text: str) -> str:
+    """Text as a SQL string literal."""
+    return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
 def comparable(column: Column, dtype: T.DataType) -> Column:
     """Maps cannot be grouped or compared in Spark, so they become sorted entry arrays."""
     if isinstance(dtype, T.MapType):

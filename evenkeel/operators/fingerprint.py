@@ -11,25 +11,23 @@ from evenkeel.functions.rowhash import row_hash
 _PART = (1 << 21) - 1
 
 
-def _measures(hashed: Column, chosen: Column, prefix: str) -> list[Column]:
+def _measures(chosen: str, prefix: str) -> list[Column]:
     """Row count, xor and sum of the row hashes of one side.
 
     The xor alone would miss rows that occur an even number of times. The sum is kept as
     three 21-bit parts, each of which fits a long for up to 2**42 rows.
     """
-    h = F.when(chosen, hashed)
-    parts = [F.shiftright(h, 42), F.shiftright(h, 21).bitwiseAND(F.lit(_PART)), h.bitwiseAND(F.lit(_PART))]
-    return [
-        F.count_if(chosen).alias(f"{prefix}_rows"),
-        F.bit_xor(h).alias(f"{prefix}_xor"),
-        *[F.sum(p).alias(f"{prefix}_sum{i}") for i, p in enumerate(parts)],
-    ]
+    h = f"CASE WHEN {chosen} THEN _h END"
+    parts = [f"shiftright({h}, 42)", f"shiftright({h}, 21) & {_PART}L", f"({h}) & {_PART}L"]
+    measures = {"rows": f"count_if({chosen})", "xor": f"bit_xor({h})"}
+    measures.update({f"sum{i}": f"sum({p})" for i, p in enumerate(parts)})
+    return [F.expr(f"{m} AS {prefix}_{name}") for name, m in measures.items()]
 
 
 def fingerprint(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     """One row that is the same for the same rows in any order and partitioning."""
     hashed = df.select(row_hash(df, columns or sorted(df.columns)).alias("_h"))
-    return hashed.agg(*_measures(F.col("_h"), F.lit(True), "table"))
+    return hashed.agg(*_measures("true", "table"))
 
 
 def quick_compare(source: DataFrame, target: DataFrame) -> DataFrame:
@@ -45,13 +43,11 @@ def quick_compare(source: DataFrame, target: DataFrame) -> DataFrame:
         return df.select(row_hash(df, columns).alias("_h"), F.lit(from_source).alias("_s"))
 
     both = side(left, True).union(side(right, False))
-    measured = both.agg(*_measures(F.col("_h"), F.col("_s"), "s"), *_measures(F.col("_h"), ~F.col("_s"), "t"))
+    measured = both.agg(*_measures("_s", "s"), *_measures("NOT _s", "t"))
     names = ["rows", "xor", "sum0", "sum1", "sum2"]
-    equal = F.struct(*[F.col(f"s_{n}").alias(n) for n in names]).eqNullSafe(
-        F.struct(*[F.col(f"t_{n}").alias(n) for n in names])
-    )
-    return measured.select(
-        F.col("s_rows").alias("source_row_count"),
-        F.col("t_rows").alias("target_row_count"),
-        (equal if columns else F.lit(None).cast("boolean")).alias("fingerprint_match"),
+    equal = " AND ".join(f"s_{n} <=> t_{n}" for n in names)
+    return measured.selectExpr(
+        "s_rows AS source_row_count",
+        "t_rows AS target_row_count",
+        f"{equal if columns else 'CAST(NULL AS BOOLEAN)'} AS fingerprint_match",
     )

@@ -17,6 +17,8 @@ def session(app_name: str = "evenkeel", master: str | None = None, **conf: str)
         builder = builder.master(master)
     settings = {
         "spark.sql.session.timeZone": "UTC",
+        # call sites of every column expression cost half the time it takes to build a wide plan
+        "spark.python.sql.dataFrameDebugging.enabled": "false",
         "spark.sql.adaptive.enabled": "true",
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.adaptive.coalescePartitions.enabled": "true",

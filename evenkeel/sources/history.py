@@ -133,10 +133,10 @@ class History:
         """Appends run events; columns they lack are NULL."""
         empty = self.spark.createDataFrame([], RUN_EVENTS)
         names = empty.columns
-        events.unionByName(empty, allowMissingColumns=True).select(*names).coalesce(1).write.mode("append").parquet(self.runs_path)
+        events.unionByName(empty, allowMissingColumns=True).select(*names).write.mode("append").parquet(self.runs_path)
 
     def _event(self, run_id: str, event: str, at: str, **values) -> DataFrame:
-        base = self.spark.range(1).select(
+        base = self.spark.range(0, 1, 1, 1).select(
             F.lit(run_id).alias("run_id"), F.lit(event).alias("event"), F.lit(at).cast("timestamp_ntz").alias("at")
         )
         return base.select("*", *[F.lit(v).cast("string" if isinstance(v, str) else "long").alias(k) for k, v in values.items()])

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from evenkeel.functions.columns import ref
+from evenkeel.functions.columns import literal, quoted
 from evenkeel.operators.keys import key_check
 
 COLUMN_INVENTORY = T.StructType(
@@ -60,31 +60,21 @@ def observed_columns(df: DataFrame, table_name: str) -> DataFrame:
     Parquet declares neither, so one aggregate over the table finds the longest text and
     whether a NULL occurs.
     """
-    measures = [F.count("*").alias("_rows")]
+    measures = [F.expr("count(*) AS _rows")]
     for i, field in enumerate(df.schema.fields):
-        measures.append(F.count(ref(field.name)).alias(f"_n{i}"))
+        name = quoted(field.name)
+        measures.append(F.expr(f"count({name}) AS _n{i}"))
         if isinstance(field.dataType, T.StringType):
-            measures.append(F.max(F.length(ref(field.name))).alias(f"_l{i}"))
+            measures.append(F.expr(f"max(length({name})) AS _l{i}"))
     rows = []
     for i, record in enumerate(column_records(df.schema, table_name)):
         _, name, type_name, length, precision, scale, _, position = record
-        measured = F.col(f"_l{i}") if isinstance(df.schema[i].dataType, T.StringType) else F.lit(length)
-        values = [
-            F.lit(table_name),
-            F.lit(name),
-            F.lit(type_name),
-            measured,
-            F.lit(precision),
-            F.lit(scale),
-            F.col(f"_n{i}") < F.col("_rows"),
-            F.lit(position),
-        ]
-        rows.append(
-            F.struct(
-                *[v.cast(f.dataType).alias(f.name) for v, f in zip(values, COLUMN_INVENTORY.fields)]
-            )
-        )
-    return df.agg(*measures).select(F.inline(F.array(*rows)))
+        measured = f"_l{i}" if isinstance(df.schema[i].dataType, T.StringType) else length
+        numbers = [f"CAST({'NULL' if n is None else n} AS INT)" for n in (measured, precision, scale)]
+        values = [literal(table_name), literal(name), literal(type_name), *numbers, f"_n{i} < _rows", str(position)]
+        fields = [f"'{f.name}', {v}" for f, v in zip(COLUMN_INVENTORY.fields, values)]
+        rows.append(f"named_struct({', '.join(fields)})")
+    return df.agg(*measures).selectExpr(f"inline(array({', '.join(rows)}))")
 
 
 def full_type() -> Column:

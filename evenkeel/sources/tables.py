@@ -7,9 +7,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from evenkeel.functions.columns import ref
 
 
-def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    """One parquet table of a folder of `<name>.parquet` tables."""
-    return spark.read.parquet(f"{folder}/{name}.parquet")
+def table(spark: SparkSession, folder: str, name: str, schema: str | None = None) -> DataFrame:
+    """One parquet table of a folder of `<name>.parquet` tables. A declared schema saves the
+    job that would read it from a file footer."""
+    reader = spark.read.schema(schema) if schema else spark.read
+    return reader.parquet(f"{folder}/{name}.parquet")
 
 
 def scan(
