@@ -6,9 +6,11 @@ from pyspark.sql import functions as F
 
 from evenkeel.catalog import query
 from evenkeel.catalog.schema import _split
+from evenkeel.functions.predicates import ColumnFilter
 from evenkeel.operators.fingerprint import quick_compare
 from evenkeel.operators.incremental import incremental_cutoff, incremental_pair
 from evenkeel.operators.row_diff import row_diff_counts
+from evenkeel.operators.table_filter import ComparisonFilter, TableFilter
 from evenkeel.plans import compare as C
 from evenkeel.sources.fixtures import TABLES, ctes, view
 from evenkeel.sources.inventory import union_all
@@ -164,6 +166,40 @@ def _(spark, folder):
     return results(spark, folder).select("source_table", "target_table", "match_percentage", "is_match", "summary")
 
 
+@query("compare_tables_early_exit", results_ctes() + "SELECT * FROM results")
+def _(spark, folder):
+    return C.compare_tables(spark, table_pairs(spark, folder), "standard", fingerprint_first=True)
+
+
+@query(
+    "compare_filtered",
+    ctes(
+        "orders_t",
+        more="""s AS (SELECT o_orderkey, o_orderstatus, o_totalprice FROM orders WHERE o_orderpriority ILIKE '%urgent' AND o_custkey > 100),
+t AS (SELECT o_orderkey, o_orderstatus, o_totalprice FROM orders_t WHERE o_orderpriority ILIKE '%urgent' AND o_custkey > 100)""",
+    )
+    + """SELECT count(s.o_orderkey) AS source_row_count, count(t.o_orderkey) AS target_row_count,
+  count(*) FILTER (s.o_orderkey = t.o_orderkey AND s.o_orderstatus = t.o_orderstatus AND s.o_totalprice IS NOT DISTINCT FROM t.o_totalprice) AS matching_rows,
+  count(*) FILTER (s.o_orderkey = t.o_orderkey AND NOT (s.o_orderstatus = t.o_orderstatus AND s.o_totalprice IS NOT DISTINCT FROM t.o_totalprice)) AS different_rows,
+  count(*) FILTER (t.o_orderkey IS NULL) AS source_only_rows, count(*) FILTER (s.o_orderkey IS NULL) AS target_only_rows
+FROM s FULL OUTER JOIN t ON s.o_orderkey = t.o_orderkey""",
+)
+def _(spark, folder):
+    settings = ComparisonFilter(
+        {
+            "orders": TableFilter(
+                (ColumnFilter("o_orderpriority", "like", "%urgent"), ColumnFilter("o_custkey", "gt", 100)),
+                exclude=("o_orderdate", "o_custkey"),
+            )
+        },
+        exclude_columns=("o_orderpriority",),
+    )
+    pair = C.TablePair("orders", "orders", view(spark, folder, "orders"), view(spark, folder, "orders_t"), ("o_orderkey",))
+    return C.compare_tables(spark, [pair], "standard", settings=settings).select(
+        "source_row_count", "target_row_count", "matching_rows", "different_rows", "source_only_rows", "target_only_rows"
+    )
+
+
 TOTALS = """SELECT count(*) AS total_tables, count(*) FILTER (is_match) AS matching_tables,
   count(*) FILTER (NOT is_match AND status <> 'failed') AS different_tables, count(*) FILTER (status = 'failed') AS failed_tables,
   sum(source_row_count)::BIGINT AS total_source_rows, sum(target_row_count)::BIGINT AS total_target_rows FROM results"""

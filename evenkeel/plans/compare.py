@@ -15,6 +15,7 @@ from evenkeel.operators.fingerprint import quick_compare
 from evenkeel.operators.incremental import incremental_pair
 from evenkeel.operators.row_diff import cell_diff, row_diff_counts
 from evenkeel.operators.schema_diff import schema_gap
+from evenkeel.operators.table_filter import ComparisonFilter
 from evenkeel.sources.inventory import union_all
 
 MODES = ("quick", "standard", "deep")
@@ -35,6 +36,15 @@ class TablePair(NamedTuple):
     on_duplicate: str = "raise"
     incremental_column: str | None = None
 
+    def sides(self, settings: ComparisonFilter | None = None) -> tuple[DataFrame, DataFrame]:
+        """Both tables, cut to the shared last date and filtered."""
+        source, target = self.source, self.target
+        if self.incremental_column:
+            source, target = incremental_pair(source, target, self.incremental_column)
+        if settings:
+            source, target = (settings.apply(self.source_table, df) for df in (source, target))
+        return source, target
+
 
 def _quick_counts(source: DataFrame, target: DataFrame) -> DataFrame:
     """Counts as far as fingerprints tell: equal, or the whole table counts as different."""
@@ -50,16 +60,38 @@ def _quick_counts(source: DataFrame, target: DataFrame) -> DataFrame:
     )
 
 
-def compare_pair(pair: TablePair, mode: str = "quick") -> DataFrame:
-    """One result row. `deep` counts like `standard`; its cells come from `cell_diff`."""
+def _equal_counts(spark: SparkSession, rows: int) -> DataFrame:
+    counts = {
+        "source_row_count": rows,
+        "target_row_count": rows,
+        "matching_rows": rows,
+        "different_rows": 0,
+        "source_only_rows": 0,
+        "target_only_rows": 0,
+    }
+    return spark.range(0, 1, 1, 1).selectExpr(*[f"{n}L AS {name}" for name, n in counts.items()])
+
+
+def compare_pair(
+    pair: TablePair,
+    mode: str = "quick",
+    settings: ComparisonFilter | None = None,
+    fingerprint_first: bool = False,
+) -> DataFrame:
+    """One result row. `deep` counts like `standard`; its cells come from `deep_differences`.
+
+    With `fingerprint_first`, a pair with equal fingerprints is reported as a match without
+    shuffling its rows; the one-row fingerprint is read for that. Keys are then not checked.
+    """
     if mode not in MODES:
         raise ValueError(f"mode must be one of {MODES}, not {mode!r}")
-    source, target = pair.source, pair.target
-    gap = schema_gap(source.schema, target.schema)
-    if pair.incremental_column:
-        source, target = incremental_pair(source, target, pair.incremental_column)
-    if mode == "quick" or not common_columns(source, target):
+    gap = schema_gap(pair.source.schema, pair.target.schema)
+    source, target = pair.sides(settings)
+    shared = common_columns(source, target)
+    if mode == "quick" or not shared:
         counts = _quick_counts(source, target)
+    elif fingerprint_first and (found := quick_compare(source, target).first()).fingerprint_match:
+        counts = _equal_counts(source.sparkSession, found.source_row_count)
     else:
         counts = row_diff_counts(source, target, list(pair.keys), on_duplicate=pair.on_duplicate)
     return counts.select(
@@ -80,6 +112,8 @@ def compare_tables(
     mode: str = "quick",
     isolate: bool = False,
     parallelism: int = 4,
+    settings: ComparisonFilter | None = None,
+    fingerprint_first: bool = False,
 ) -> DataFrame:
     """One result row per pair.
 
@@ -88,12 +122,12 @@ def compare_tables(
     each row also has its duration and rows per second.
     """
     if not isolate:
-        return with_metrics(union_all([compare_pair(p, mode) for p in pairs]))
+        return with_metrics(union_all([compare_pair(p, mode, settings, fingerprint_first) for p in pairs]))
 
     def run(pair: TablePair) -> tuple:
         start = time.monotonic()
         try:
-            row = tuple(compare_pair(pair, mode).first())
+            row = tuple(compare_pair(pair, mode, settings, fingerprint_first).first())
         except Exception as error:  # a failing pair must not stop the others
             message = str(error).splitlines()[0][:500]
             row = (pair.source_table, pair.target_table, mode, "failed", message, False, 0, 0, 0, 0, 0, 0, 0)
@@ -106,7 +140,9 @@ def compare_tables(
     return with_metrics(timed.withColumn("rows_per_second", rate))
 
 
-def deep_differences(pairs: list[TablePair], limit: int | None = None) -> DataFrame:
+def deep_differences(
+    pairs: list[TablePair], limit: int | None = None, settings: ComparisonFilter | None = None
+) -> DataFrame:
     """Cell differences of all keyed pairs, the second half of a `deep` comparison.
 
     `limit` caps the report per pair, in key order.
@@ -115,9 +151,7 @@ def deep_differences(pairs: list[TablePair], limit: int | None = None) -> DataFr
     columns = ["table_name", "key_display", "column_name", "source_value", "target_value"]
     cells = []
     for pair in keyed:
-        source, target = pair.source, pair.target
-        if pair.incremental_column:
-            source, target = incremental_pair(source, target, pair.incremental_column)
+        source, target = pair.sides(settings)
         found = cell_diff(source, target, list(pair.keys), limit=limit, table_name=pair.source_table)
         cells.append(found.select(*columns, F.lit("data_different").alias("difference_type")))
     if not cells:

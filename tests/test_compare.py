@@ -3,7 +3,9 @@ import datetime
 import pytest
 from pyspark.sql import functions as F
 
+from evenkeel.functions.predicates import ColumnFilter
 from evenkeel.operators.incremental import cut, date_columns, incremental_cutoff, incremental_pair
+from evenkeel.operators.table_filter import ComparisonFilter, TableFilter
 from evenkeel.plans import compare as C
 from evenkeel.plans.reports import comparison_report, difference_report
 from tests.conftest import rows
@@ -76,6 +78,20 @@ def test_modes(spark):
         C.compare_pair(p, "thorough")
 
 
+def test_early_exit_and_filters(spark):
+    same = pair(spark, "t", [(1, "a"), (2, "b")], [(2, "b"), (1, "a")])
+    other = pair(spark, "u", [(1, "a"), (2, "b")], [(1, "a"), (2, "c")])
+    found = C.compare_tables(spark, [same, other], "standard", fingerprint_first=True)
+    assert rows(found, "source_table", "matching_rows", "different_rows", "is_match") == [("t", 2, 0, True), ("u", 1, 1, False)]
+    settings = ComparisonFilter({"u": TableFilter((ColumnFilter("k", "lt", 2),))}, name_pattern="u", min_rows=1)
+    assert C.compare_tables(spark, [other], "standard", settings=settings).first().is_match
+    assert C.compare_tables(spark, [other], "quick", settings=ComparisonFilter(exclude_columns=("v",))).first().is_match
+    with pytest.raises(ValueError):
+        C.deep_differences([other], settings=ComparisonFilter(exclude_columns=("v",)))
+    inventory = spark.createDataFrame([("t", 5), ("u", 5), ("u2", 0)], "table_name STRING, row_count BIGINT")
+    assert rows(settings.tables(inventory), "table_name") == [("u",)]
+
+
 def test_quick_without_common_columns(spark):
     p = C.TablePair("a", "b", spark.createDataFrame([(1,)], "x INT"), spark.createDataFrame([(1,)], "y INT"))
     row = C.with_metrics(C.compare_pair(p)).first()
