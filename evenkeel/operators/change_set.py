@@ -21,6 +21,7 @@ def change_set(source: DataFrame, target: DataFrame, keys: list[str]) -> DataFra
     changed = staged(
         key_states(source, target, keys).where(kind != MATCH).select(op.alias("op"), *[ref(k) for k in keys]),
         "changed-keys",
+        few_files=True,
     )
     values = [c for c in source.columns if c not in keys]
     written = changed.where("op <> 'DELETE'").alias("c")

@@ -162,6 +162,7 @@ def cell_diff(
     changed = staged(
         states.where(F.col("difference_type") == DIFFERENT).select(*[ref(k) for k in keys]),
         "changed-keys",
+        few_files=True,
     )
     old = left.join(changed, same_keys(left, changed, keys), "left_semi").alias("s")
     new = right.join(changed, same_keys(right, changed, keys), "left_semi").alias("t")

@@ -20,14 +20,21 @@ PRIORITIES = ("low", "medium", "high")
 
 
 def measure_codecs(
-    df: DataFrame, table_name: str, current_codec: str = "uncompressed", fraction: float = 0.1, seed: int = 7
+    df: DataFrame,
+    table_name: str,
+    current_codec: str = "uncompressed",
+    fraction: float = 0.1,
+    max_sample_rows: int = 10_000_000,
+    seed: int = 7,
 ) -> DataFrame:
-    """Size per codec, scaled up from a sample.
+    """Size per codec, scaled up from a sample of `fraction`, or less for very large tables.
 
-    The sample is drawn once; the codecs are then tried on its written copy, so the table
-    itself is read once for the sample and once for the exact row count.
+    The sample is drawn once; the codecs are then tried on its written copy. The exact row
+    count comes from the file footers and sets the fraction.
     """
     spark = df.sparkSession
+    total = df.count()
+    fraction = min(fraction, max_sample_rows / total) if total else 1.0
     paths = {codec: fresh_path(spark, f"codec-{codec}") for codec in ("uncompressed", *CODECS)}
     df.sample(fraction=fraction, seed=seed).write.option("compression", "uncompressed").parquet(paths["uncompressed"])
     sample = spark.read.schema(df.schema).parquet(paths["uncompressed"])
@@ -39,13 +46,18 @@ def measure_codecs(
     current = sizes.where(F.col("codec") == current_codec).select(
         F.lit(table_name).alias("table_name"), F.col("size_kb").alias("current_size_kb")
     )
-    rows = df.agg(F.count("*").alias("row_count")).select(F.lit(table_name).alias("table_name"), "row_count")
     return (
         sizes.where(F.col("codec") != "uncompressed")
         .select(F.lit(table_name).alias("table_name"), "codec", "size_kb")
         .join(current, "table_name")
-        .join(rows, "table_name")
-        .select("table_name", "codec", "size_kb", F.lit(current_codec).alias("current_codec"), "current_size_kb", "row_count")
+        .select(
+            "table_name",
+            "codec",
+            "size_kb",
+            F.lit(current_codec).alias("current_codec"),
+            "current_size_kb",
+            F.lit(total).cast("long").alias("row_count"),
+        )
     )
 
 

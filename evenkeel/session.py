@@ -52,13 +52,14 @@ def fresh_path(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
 
 
-def staged(df: DataFrame, label: str) -> DataFrame:
+def staged(df: DataFrame, label: str, few_files: bool = False) -> DataFrame:
     """`df` written to the shared folder and read back.
 
     Used where one result feeds several branches or decides a join. It cuts the lineage at a
     place that survives executor loss, and the file sizes let the planner broadcast it only
-    if it is below `spark.sql.autoBroadcastJoinThreshold`.
+    if it is below `spark.sql.autoBroadcastJoinThreshold`. `few_files` is for a small rest of
+    a large input: it is gathered first, so that not every task writes a tiny file.
     """
     path = fresh_path(df.sparkSession, label)
-    df.write.parquet(path)
+    (df.hint("rebalance") if few_files else df).write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
