@@ -14,12 +14,24 @@ ONLY_SOURCE = "schema_only_source"
 ONLY_TARGET = "schema_only_target"
 DIFFERENT = "schema_different"
 
+# fixed values: descriptions and severities
+COLUMN_TEXTS = {
+    ONLY_SOURCE: "Column exists only in source",
+    ONLY_TARGET: "Column exists only in target",
+    DIFFERENT: "Column definition differs",
+}
+TABLE_TEXTS = {
+    ONLY_SOURCE: "Table exists only in source database",
+    ONLY_TARGET: "Table exists only in target database",
+}
+SEVERITIES = {"match": "info", ONLY_SOURCE: "error", ONLY_TARGET: "error", DIFFERENT: "warning"}
+
 # what two column definitions must share to be equal, besides the name
 ATTRIBUTES = ("data_type", "max_length", "numeric_precision", "numeric_scale", "is_nullable")
 
 
-def _severity(kind):
-    return F.when(kind == "match", "info").when(kind == DIFFERENT, "warning").otherwise("error")
+def _looked_up(texts: dict[str, str], key: Column) -> Column:
+    return F.element_at(F.create_map(*[F.lit(x) for item in texts.items() for x in item]), key)
 
 
 def _joined(source_columns: DataFrame, target_columns: DataFrame) -> DataFrame:
@@ -61,11 +73,8 @@ def schema_diff(source_columns: DataFrame, target_columns: DataFrame) -> DataFra
             "column_name",
             "source_value",
             "target_value",
-            F.when(kind == ONLY_SOURCE, "Column exists only in source")
-            .when(kind == ONLY_TARGET, "Column exists only in target")
-            .otherwise("Column definition differs")
-            .alias("description"),
-            _severity(kind).alias("severity"),
+            _looked_up(COLUMN_TEXTS, kind).alias("description"),
+            _looked_up(SEVERITIES, kind).alias("severity"),
         )
     )
 
@@ -90,19 +99,15 @@ def schema_diff_database(
     )
     both = F.col("_in_source") & F.col("_in_target")
     kind = F.col("difference_type")
-    thing = F.when(both, "Column").otherwise("Table")
-    database = F.when(both, "").otherwise(" database")
+    description = F.when(both, _looked_up(COLUMN_TEXTS, kind)).otherwise(_looked_up(TABLE_TEXTS, kind))
     return (
         flagged.withColumn("difference_type", _column_kind())
         .select(
             "table_name",
             "difference_type",
             *[F.when(both, F.col(c)).alias(c) for c in ("column_name", "source_value", "target_value")],
-            F.when(kind == ONLY_SOURCE, F.concat(thing, F.lit(" exists only in source"), database))
-            .when(kind == ONLY_TARGET, F.concat(thing, F.lit(" exists only in target"), database))
-            .otherwise("Column definition differs")
-            .alias("description"),
-            _severity(kind).alias("severity"),
+            description.alias("description"),
+            _looked_up(SEVERITIES, kind).alias("severity"),
         )
         .distinct()
     )

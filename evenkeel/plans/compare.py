@@ -18,6 +18,18 @@ from evenkeel.operators.schema_diff import schema_gap
 from evenkeel.operators.table_filter import ComparisonFilter
 from evenkeel.sources.inventory import union_all
 
+# fixed values: texts of summaries and verdicts
+SUMMARY_TEXTS = {
+    "failed": "Failed: %s",
+    "match": "✓ Complete match (%s rows)",
+    "schema_diff_count": "%s schema diffs",
+    "different_rows": "%s data diffs",
+    "source_only_rows": "%s source-only",
+    "target_only_rows": "%s target-only",
+}
+VERDICTS = ("Failed", "Differences Found", "All Match")
+SUBJECTS = ("Comparison Failed - %s errors", "Differences Found - %s/%s tables", "All %s Tables Match")
+
 MODES = ("quick", "standard", "deep")
 
 RESULT_COLUMNS = (
@@ -175,21 +187,14 @@ def match_percentage() -> Column:
 
 
 def summary_text() -> Column:
-    def part(condition: Column, count: str, text: str) -> Column:
-        return F.when(condition, F.concat(F.col(count).cast("string"), F.lit(text)))
+    def text(name: str, column: str | Column | None = None) -> Column:
+        return F.format_string(SUMMARY_TEXTS[name], name if column is None else column)
 
+    rows = [F.when(F.col(c) > 0, text(c)) for c in ("different_rows", "source_only_rows", "target_only_rows")]
     return (
-        F.when(F.col("status") == "failed", F.concat(F.lit("Failed: "), F.coalesce("error_message", F.lit("None"))))
-        .when(is_match(), F.concat(F.lit("✓ Complete match ("), F.col("source_row_count"), F.lit(" rows)")))
-        .otherwise(
-            F.concat_ws(
-                ", ",
-                part(~F.col("schema_match"), "schema_diff_count", " schema diffs"),
-                part(F.col("different_rows") > 0, "different_rows", " data diffs"),
-                part(F.col("source_only_rows") > 0, "source_only_rows", " source-only"),
-                part(F.col("target_only_rows") > 0, "target_only_rows", " target-only"),
-            )
-        )
+        F.when(F.col("status") == "failed", text("failed", F.coalesce("error_message", F.lit("None"))))
+        .when(is_match(), text("match", "source_row_count"))
+        .otherwise(F.concat_ws(", ", F.when(~F.col("schema_match"), text("schema_diff_count")), *rows))
     )
 
 
@@ -204,9 +209,11 @@ def with_metrics(results: DataFrame) -> DataFrame:
 
 
 def run_summary(results: DataFrame) -> DataFrame:
-    """One row of totals over the results of a run."""
+    """One row of totals over the results of a run, with the duration if it was taken."""
     failed = F.col("status") == "failed"
+    duration = "duration_seconds" in results.columns
     return results.agg(
+        *([F.coalesce(F.sum("duration_seconds"), F.lit(0.0)).alias("total_duration_seconds")] if duration else []),
         F.count("*").alias("total_tables"),
         F.count_if(F.col("is_match")).alias("matching_tables"),
         F.count_if(~F.col("is_match") & ~failed).alias("different_tables"),
@@ -257,11 +264,13 @@ def row_count_chart(results: DataFrame, tables: int = 10) -> DataFrame:
 def run_verdict(totals: DataFrame) -> DataFrame:
     """Adds the verdict of a run and its one-line subject to rows of totals."""
     failed, different, total = F.col("failed_tables"), F.col("different_tables"), F.col("total_tables")
-    return totals.select(
-        "*",
-        F.when(failed > 0, "Failed").when(different > 0, "Differences Found").otherwise("All Match").alias("verdict"),
-        F.when(failed > 0, F.concat(F.lit("Comparison Failed - "), failed, F.lit(" errors")))
-        .when(different > 0, F.concat(F.lit("Differences Found - "), different, F.lit("/"), total, F.lit(" tables")))
-        .otherwise(F.concat(F.lit("All "), total, F.lit(" Tables Match")))
-        .alias("subject"),
+    subjects = (
+        F.format_string(SUBJECTS[0], failed),
+        F.format_string(SUBJECTS[1], different, total),
+        F.format_string(SUBJECTS[2], total),
     )
+
+    def choice(values) -> Column:
+        return F.when(failed > 0, values[0]).when(different > 0, values[1]).otherwise(values[2])
+
+    return totals.select("*", choice(VERDICTS).alias("verdict"), choice(subjects).alias("subject"))

@@ -26,6 +26,7 @@ def comparison_report(results: DataFrame) -> DataFrame:
         "schema_match",
         *[format_number(F.col(c)).alias(n) for n, c in counts.items()],
         F.concat(fixed(F.col("match_percentage"), 2), F.lit("%")).alias("match_percentage"),
+        *[fixed(F.col(c), 2).alias(c) for c in ("duration_seconds",) if c in results.columns],
         "summary",
     )
 

@@ -14,9 +14,27 @@ from evenkeel.operators import activity
 from evenkeel.session import staged
 from evenkeel.sources.inventory import union_all
 
-# fixed values: advice texts
+# fixed values: advice and message texts
 CONSOLIDATE = "Consider consolidating this query to a single service or caching layer"
 BATCH = "Potential N+1 pattern - consider batching or caching"
+ISSUE_TEXTS = {
+    "connection_count": "High connection count (%s) from %s",
+    "idle_transactions": "Idle connections with open transactions from %s: %s open txns",
+    "long_transaction": "Long-running transaction (%ss) from %s",
+    "frequent_blocker": "Frequent blocker: %s blocking %s sessions",
+}
+HOTSPOT_TEXTS = {
+    "frequent_blocker": "%s: blocking %s sessions",
+    "long_wait": "Long wait: %s waiting %ss for %s on %s",
+}
+ADVICE_TEXTS = {
+    "idle": "%s idle connections vs %s active. Consider reducing connection pool sizes.",
+    "issue": "%s",
+    "query": "Query consuming %ss CPU avg (%s executions). Review: %s",
+    "hotspot": "Blocking hotspot - %s",
+    "redundancy": "%s - Query: %s...",
+    "utilisation": "%s has low connection utilization (%s%%). Consider reducing pool size.",
+}
 
 
 class Thresholds(NamedTuple):
@@ -55,25 +73,17 @@ def connection_issues(sources: DataFrame, limits: Thresholds = Thresholds()) ->
     """One row per source and broken rule. All rules are checked in one pass."""
     who = source_name(F.col("program_name"), F.col("host_name"))
 
-    def rule(kind: str, broken: Column, *message) -> Column:
-        text = F.concat(*[F.lit(m) if isinstance(m, str) else m for m in message])
+    def rule(kind: str, broken: Column, *values: Column) -> Column:
+        text = F.format_string(ISSUE_TEXTS[kind], *values)
         return F.when(broken, F.struct(F.lit(kind).alias("issue_type"), text.alias("message")))
 
     sessions, idle = F.col("session_count"), F.col("idle_connections")
     open_txns, age, blocking = F.col("open_transactions"), F.col("longest_transaction_seconds"), F.col("blocking_count")
     rules = F.array(
-        rule("connection_count", sessions > limits.sessions, "High connection count (", sessions, ") from ", who),
-        rule(
-            "idle_transactions",
-            (idle > limits.idle_sessions) & (open_txns > 0),
-            "Idle connections with open transactions from ", who, ": ", open_txns, " open txns",
-        ),
-        rule("long_transaction", age > limits.transaction_seconds, "Long-running transaction (", age, "s) from ", who),
-        rule(
-            "frequent_blocker",
-            blocking > limits.blocked_sessions,
-            "Frequent blocker: ", who, " blocking ", blocking, " sessions",
-        ),
+        rule("connection_count", sessions > limits.sessions, sessions, who),
+        rule("idle_transactions", (idle > limits.idle_sessions) & (open_txns > 0), who, open_txns),
+        rule("long_transaction", age > limits.transaction_seconds, age, who),
+        rule("frequent_blocker", blocking > limits.blocked_sessions, who, blocking),
     )
     return sources.select(
         "program_name", "host_name", "login_name", F.inline(F.filter(rules, lambda r: r.isNotNull()))
@@ -100,15 +110,18 @@ def blocking_hotspots(pairs: DataFrame, min_sessions: int = 2, long_wait_ms: int
         .select(
             F.lit("frequent_blocker").alias("kind"),
             "magnitude",
-            F.concat("blocker", F.lit(": blocking "), "magnitude", F.lit(" sessions")).alias("hotspot"),
+            F.format_string(HOTSPOT_TEXTS["frequent_blocker"], "blocker", "magnitude").alias("hotspot"),
         )
     )
     waiting = pairs.where(F.col("wait_time_ms") > long_wait_ms).select(
         F.lit("long_wait").alias("kind"),
         F.col("wait_time_ms").alias("magnitude"),
-        F.concat(
-            F.lit("Long wait: "), "blocked_program", F.lit(" waiting "), fixed(F.col("wait_time_ms") / 1000, 1),
-            F.lit("s for "), "wait_type", F.lit(" on "), "wait_resource",
+        F.format_string(
+            HOTSPOT_TEXTS["long_wait"],
+            "blocked_program",
+            fixed(F.col("wait_time_ms") / 1000, 1),
+            "wait_type",
+            "wait_resource",
         ).alias("hotspot"),
     )
     return frequent.unionByName(waiting)
@@ -232,8 +245,8 @@ def workload_recommendations(
 ) -> DataFrame:
     """Advice as (priority, category, message). Each rule looks at the head of its input."""
 
-    def advice(df: DataFrame, priority: str, category: str, *message) -> DataFrame:
-        text = F.concat(*[F.lit(m) if isinstance(m, str) else m for m in message])
+    def advice(df: DataFrame, priority: str, category: str, kind: str, *values) -> DataFrame:
+        text = F.format_string(ADVICE_TEXTS[kind], *values)
         return df.select(F.lit(priority).alias("priority"), F.lit(category).alias("category"), text.alias("message"))
 
     idle, active = F.col("idle_connections"), F.col("active_connections")
@@ -247,27 +260,31 @@ def workload_recommendations(
     efficiency = F.col("connection_pool_efficiency")
     return union_all(
         [
+            advice(connection_totals(sources).where(idle > active * 2), "HIGH", "connections", "idle", idle, active),
+            advice(issues, "MEDIUM", "connections", "issue", "message"),
             advice(
-                connection_totals(sources).where(idle > active * 2), "HIGH", "connections",
-                idle, " idle connections vs ", active, " active. Consider reducing connection pool sizes.",
+                top_queries.where("avg_worker_time_ms > 5000"),
+                "HIGH",
+                "queries",
+                "query",
+                fixed(F.col("avg_worker_time_ms") / 1000, 1),
+                "execution_count",
+                shortened(F.col("query_text"), 80),
             ),
-            advice(issues, "MEDIUM", "connections", F.col("message")),
+            advice(top_hotspots, "HIGH", "blocking", "hotspot", "hotspot"),
             advice(
-                top_queries.where("avg_worker_time_ms > 5000"), "HIGH", "queries",
-                "Query consuming ", fixed(F.col("avg_worker_time_ms") / 1000, 1), "s CPU avg (", F.col("execution_count"),
-                " executions). Review: ", shortened(F.col("query_text"), 80),
-            ),
-            advice(top_hotspots, "HIGH", "blocking", "Blocking hotspot - ", F.col("hotspot")),
-            advice(
-                top_findings, "MEDIUM", "redundancy",
-                F.col("recommendation"), " - Query: ", F.substring("query_pattern", 1, 50), "...",
+                top_findings, "MEDIUM", "redundancy", "redundancy", "recommendation", F.substring("query_pattern", 1, 50)
             ),
             advice(
                 scorecards.where(F.col("rank") <= 3).where(
-                    (efficiency < limits.utilisation_percent) & (F.col("total_connections") > limits.utilisation_connections)
+                    (efficiency < limits.utilisation_percent)
+                    & (F.col("total_connections") > limits.utilisation_connections)
                 ),
-                "LOW", "utilisation",
-                F.col("system_name"), " has low connection utilization (", fixed(efficiency, 1), "%). Consider reducing pool size.",
+                "LOW",
+                "utilisation",
+                "utilisation",
+                "system_name",
+                fixed(efficiency, 1),
             ),
         ]
     )

@@ -27,6 +27,7 @@ def csv_summary(results: DataFrame) -> DataFrame:
         F.col("source_only_rows").alias("source_only"),
         F.col("target_only_rows").alias("target_only"),
         "match_percentage",
+        *[c for c in ("duration_seconds",) if c in results.columns],
     )
 
 
