@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from evenkeel.catalog import query
 from evenkeel.catalog.schema import _split
+from evenkeel.functions.columns import union_all
 from evenkeel.functions.predicates import ColumnFilter
 from evenkeel.operators.fingerprint import quick_compare
 from evenkeel.operators.incremental import incremental_cutoff, incremental_pair
@@ -13,7 +14,6 @@ from evenkeel.operators.row_diff import row_diff_counts
 from evenkeel.operators.table_filter import ComparisonFilter, TableFilter
 from evenkeel.plans import compare as C
 from evenkeel.sources.fixtures import TABLES, ctes, view
-from evenkeel.sources.inventory import union_all
 
 # source, target, key, schema differences between the two
 PAIRS = [

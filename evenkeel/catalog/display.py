@@ -8,6 +8,7 @@ from evenkeel.catalog import query
 from evenkeel.catalog.compare import results, results_ctes
 from evenkeel.catalog.schema import SIDES
 from evenkeel.functions import text as X
+from evenkeel.functions.columns import union_all
 from evenkeel.operators.row_diff import cell_diff
 from evenkeel.operators.schema_diff import schema_diff
 from evenkeel.plans.reports import comparison_report, difference_report
@@ -142,7 +143,7 @@ def _(spark, folder):
         cell_diff(view(spark, folder, s), view(spark, folder, t), [key], table_name=s).drop(key)
         for s, t, key in (("orders", "orders_t", "o_orderkey"), ("events", "events_t", "event_id"))
     ]
-    return difference_report(_order_schema_differences(spark, folder), inv.union_all(cells), 100)
+    return difference_report(_order_schema_differences(spark, folder), union_all(cells), 100)
 
 
 @query(

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from evenkeel.catalog import query
 from evenkeel.functions import predicates as P
 from evenkeel.functions.predicates import ColumnFilter, apply_filters
@@ -16,11 +18,9 @@ from evenkeel.sources.tables import scan
 ORDER BY o_totalprice DESC, o_orderkey LIMIT 100""",
 )
 def _(spark, folder):
-    from pyspark.sql import functions as F
-
-    orders = view(spark, folder, "orders").where(F.col("o_totalprice") > 300000)
     columns = ["o_orderkey", "o_custkey", "o_totalprice"]
-    return orders.select(columns).orderBy(F.col("o_totalprice").desc(), "o_orderkey").limit(100)
+    order = [F.col("o_totalprice").desc(), "o_orderkey"]
+    return scan(view(spark, folder, "orders"), columns, "o_totalprice > 300000", order, 100)
 
 
 @query("scan_full", "SELECT l_orderkey, l_shipdate, l_quantity FROM lineitem WHERE l_quantity >= 45")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from evenkeel.catalog import query
+from evenkeel.functions.columns import union_all
 from evenkeel.operators.incremental import date_columns
 from evenkeel.operators.schema_diff import (
     column_presence,
@@ -49,7 +50,7 @@ TARGET_DB = {
 
 
 def _database(spark, folder, side):
-    return inv.union_all([inv.observed_columns(view(spark, folder, relation), name) for name, (relation, _) in side.items()])
+    return union_all([inv.observed_columns(view(spark, folder, relation), name) for name, (relation, _) in side.items()])
 
 
 def _database_sql(side) -> str:
@@ -76,7 +77,7 @@ column_diff AS (
 
 @query("column_inventory", "\nUNION ALL ".join(columns_sql(n) for n in TABLES))
 def _(spark, folder):
-    return inv.union_all([inv.observed_columns(view(spark, folder, n), n) for n in TABLES])
+    return union_all([inv.observed_columns(view(spark, folder, n), n) for n in TABLES])
 
 
 COUNTS = "\nUNION ALL ".join(f"SELECT '{n}' AS table_name, count(*) AS row_count FROM {n}" for n in TABLES)
@@ -156,7 +157,7 @@ def _(spark, folder):
     def named(column, group):
         return documents.groupBy(group).count().select(column.alias("table_name"), F.col("count").alias("row_count"))
 
-    tables = inv.union_all(
+    tables = union_all(
         [
             named(F.concat("source", F.lit("_link")), "source"),
             named(F.col("lang"), "lang"),
@@ -246,4 +247,4 @@ def _(spark, folder):
                     F.lit(name).alias("table_name"), F.lit(column).alias("column_name"), "first_value", "last_value"
                 )
             )
-    return inv.union_all(ranges)
+    return union_all(ranges)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from evenkeel.catalog import query
+from evenkeel.functions.columns import union_all
 from evenkeel.operators.change_set import apply_change_set, change_counts, change_set
 from evenkeel.operators.row_diff import cell_diff
 from evenkeel.operators.storage import CODEC_REASONS, measure_codecs, storage_advice, storage_rewrite_plan
@@ -12,7 +13,6 @@ from evenkeel.plans.compare import run_verdict
 from evenkeel.session import fresh_path
 from evenkeel.sources import history as H
 from evenkeel.sources.fixtures import AS_OF, ctes, view
-from evenkeel.sources.inventory import union_all
 from evenkeel.sources.sinks import recommendation_table
 
 KEY = ["o_orderkey"]
@@ -83,7 +83,7 @@ def _run_events(spark, folder):
         .join(totals, "run_id")
         .select("run_id", F.lit("completed").alias("event"), F.col("completed_at").alias("at"), "status", *[c for c in totals.columns if c != "run_id"])
     )
-    return opened.unionByName(completed, allowMissingColumns=True).withColumn("event", F.col("event"))
+    return opened.unionByName(completed, allowMissingColumns=True)
 
 
 def _runs(spark, folder):

@@ -9,14 +9,13 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evenkeel.functions.columns import common_columns
+from evenkeel.functions.columns import common_columns, union_all
 from evenkeel.functions.ranking import with_rank
 from evenkeel.operators.fingerprint import quick_compare
 from evenkeel.operators.incremental import incremental_pair
 from evenkeel.operators.row_diff import cell_diff, row_diff_counts
 from evenkeel.operators.schema_diff import schema_gap
 from evenkeel.operators.table_filter import ComparisonFilter
-from evenkeel.sources.inventory import union_all
 
 # fixed values: texts of summaries and verdicts
 SUMMARY_TEXTS = {

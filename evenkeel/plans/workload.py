@@ -7,12 +7,12 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from evenkeel.functions.columns import union_all
 from evenkeel.functions.ranking import top_per_group, with_rank
 from evenkeel.functions.scores import is_expensive, query_cost, system_score
 from evenkeel.functions.text import fixed, shortened, source_name
 from evenkeel.operators import activity
-from evenkeel.session import staged
-from evenkeel.sources.inventory import union_all
+from evenkeel.session import staged_together
 
 # fixed values: advice and message texts
 CONSOLIDATE = "Consider consolidating this query to a single service or caching layer"
@@ -300,9 +300,13 @@ def analyze(
 ) -> Analysis:
     """The whole analysis. Sources, patterns and blocking pairs are written out once, since
     several findings read each of them."""
-    sources = staged(activity.connection_sources(sessions, requests, as_of), "sources")
-    patterns = staged(activity.query_patterns(stats, top_n), "patterns")
-    blocking = staged(activity.blocking_pairs(sessions, requests), "blocking")
+    sources, patterns, blocking = staged_together(
+        {
+            "sources": activity.connection_sources(sessions, requests, as_of),
+            "patterns": activity.query_patterns(stats, top_n),
+            "blocking": activity.blocking_pairs(sessions, requests),
+        }
+    )
     issues = connection_issues(sources, limits)
     expensive = expensive_queries(patterns)
     hotspots = blocking_hotspots(blocking)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -63,3 +64,9 @@ def staged(df: DataFrame, label: str, few_files: bool = False) -> DataFrame:
     path = fresh_path(df.sparkSession, label)
     (df.hint("rebalance") if few_files else df).write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def staged_together(frames: dict[str, DataFrame]) -> list[DataFrame]:
+    """Several independent frames, staged by jobs that run at the same time."""
+    with ThreadPoolExecutor(max_workers=len(frames)) as pool:
+        return list(pool.map(lambda item: staged(item[1], item[0]), frames.items()))

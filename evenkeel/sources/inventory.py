@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from evenkeel.functions.columns import literal, quoted
+from evenkeel.functions.columns import literal, quoted, union_all
 from evenkeel.operators.keys import key_check
 
 COLUMN_INVENTORY = T.StructType(
@@ -25,10 +23,6 @@ COLUMN_INVENTORY = T.StructType(
 )
 
 
-def union_all(frames: list[DataFrame]) -> DataFrame:
-    return reduce(DataFrame.unionByName, frames)
-
-
 def _type_parts(dtype: T.DataType) -> tuple[str, int | None, int | None, int | None]:
     """Type name, length, precision, scale."""
     if isinstance(dtype, (T.VarcharType, T.CharType)):

@@ -18,7 +18,7 @@ def scan(
     df: DataFrame,
     columns: list[str] | None = None,
     where: Column | str | None = None,
-    order_by: list[str] | None = None,
+    order_by: list[str | Column] | None = None,
     limit: int | None = None,
 ) -> DataFrame:
     """Projection, predicate, order and limit of one table; all of it reaches the scan.
@@ -33,5 +33,5 @@ def scan(
     if limit is not None and not order_by:
         order_by = df.columns
     if order_by:
-        df = df.orderBy(*[ref(c) for c in order_by])
+        df = df.orderBy(*[ref(c) if isinstance(c, str) else c for c in order_by])
     return df.limit(limit) if limit is not None else df
