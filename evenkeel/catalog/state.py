@@ -117,14 +117,13 @@ def _(spark, folder):
     owners = events.select("event_id", F.concat(F.lit("run-"), "user_id").alias("run_id"), F.col("event_type").alias("source_table"))
     history = H.History(spark, fresh_path(spark, "history"))
     history.log(_run_events(spark, folder))
-    history.save_results(
-        H.attach_differences(view(spark, folder, "result_log"), cells.join(owners, "event_id"), ["run_id", "source_table"])
-    )
+    log = view(spark, folder, "result_log")
+    history.save_results(H.attach_differences(log, cells.join(owners, "event_id"), ["run_id", "source_table"]))
     shown = F.transform(
         "data_differences",
         lambda d: F.concat(d["key"], F.lit(": "), d["column_name"], F.lit(" "), d["source_value"], F.lit(" -> "), d["target_value"]),
     )
-    return history.results().withColumn("differences", F.array_join(shown, "; ")).drop("data_differences")
+    return history.results().select(*log.columns, F.array_join(shown, "; ").alias("differences"))
 
 
 @query(

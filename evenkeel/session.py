@@ -49,8 +49,11 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def fresh_path(spark: SparkSession, label: str) -> str:
-    """A path in the shared folder that nothing has been written to."""
-    return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    """A path in the shared folder that nothing has been written to.
+
+    All paths of an application lie in one folder, which can be removed when it has ended.
+    """
+    return f"{shared_dir(spark)}/evenkeel-{spark.sparkContext.applicationId}/{label}-{uuid.uuid4().hex}"
 
 
 def staged(df: DataFrame, label: str, few_files: bool = False) -> DataFrame:

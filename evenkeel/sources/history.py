@@ -8,6 +8,7 @@ number of folders does not grow with the number of runs.
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -19,9 +20,21 @@ RUN_EVENTS = (
     "total_tables BIGINT, matching_tables BIGINT, different_tables BIGINT, failed_tables BIGINT, status STRING"
 )
 
+RESULTS = (
+    "run_id STRING, source_table STRING, target_table STRING, mode STRING, started_at TIMESTAMP_NTZ, "
+    "completed_at TIMESTAMP_NTZ, duration_seconds DOUBLE, status STRING, error_message STRING, "
+    "schema_match BOOLEAN, schema_diff_count INT, source_row_count BIGINT, target_row_count BIGINT, "
+    "matching_rows BIGINT, different_rows BIGINT, source_only_rows BIGINT, target_only_rows BIGINT, "
+    "schema_differences STRING, data_differences STRING"
+)
+
 RESULT_BUCKETS = 64
 
 DIFFERENCES = "array<struct<key:string,column_name:string,source_value:string,target_value:string>>"
+SCHEMA_DIFFERENCES = (
+    "array<struct<difference_type:string,column_name:string,source_value:string,target_value:string,description:string>>"
+)
+LISTS = {"data_differences": DIFFERENCES, "schema_differences": SCHEMA_DIFFERENCES}
 
 
 def runs_from_events(events: DataFrame) -> DataFrame:
@@ -108,13 +121,35 @@ def attach_differences(results: DataFrame, differences: DataFrame, by: list[str]
     )
 
 
+def attach_schema_differences(results: DataFrame, differences: DataFrame) -> DataFrame:
+    """Results with the schema differences of their source table as a list; a table has at
+    most as many as columns."""
+    entry = F.struct("difference_type", "column_name", "source_value", "target_value", "description")
+    lists = differences.groupBy(F.col("table_name").alias("source_table")).agg(
+        F.array_sort(F.collect_list(entry)).alias("schema_differences")
+    )
+    empty = F.array().cast(SCHEMA_DIFFERENCES)
+    return results.join(lists, "source_table", "left").withColumn(
+        "schema_differences", F.coalesce(F.col("schema_differences").cast(SCHEMA_DIFFERENCES), empty)
+    )
+
+
 def to_json_text(results: DataFrame) -> DataFrame:
     """Difference lists as JSON text."""
-    return results.withColumn("data_differences", F.to_json("data_differences", {"ignoreNullFields": "false"}))
+    lists = [c for c in LISTS if c in results.columns]
+    return results.withColumns({c: F.to_json(c, {"ignoreNullFields": "false"}) for c in lists})
 
 
 def from_json_text(results: DataFrame) -> DataFrame:
-    return results.withColumn("data_differences", F.from_json(F.coalesce("data_differences", F.lit("[]")), DIFFERENCES))
+    return results.withColumns({c: F.from_json(F.coalesce(c, F.lit("[]")), kind) for c, kind in LISTS.items()})
+
+
+def _conforming(frame: DataFrame, schema: str) -> DataFrame:
+    """The columns of a stored table; those that `frame` lacks are NULL, others are left out."""
+    wanted = frame.sparkSession.createDataFrame([], schema).schema.fields
+    return frame.select(
+        *[(F.col(f.name) if f.name in frame.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in wanted]
+    )
 
 
 def _bucket(run_id: Column) -> Column:
@@ -131,9 +166,16 @@ class History:
 
     def log(self, events: DataFrame) -> None:
         """Appends run events; columns they lack are NULL."""
-        empty = self.spark.createDataFrame([], RUN_EVENTS)
-        names = empty.columns
-        events.unionByName(empty, allowMissingColumns=True).select(*names).write.mode("append").parquet(self.runs_path)
+        _conforming(events, RUN_EVENTS).write.mode("append").parquet(self.runs_path)
+
+    def _stored(self, path: str, schema: str) -> DataFrame:
+        """A stored table, which is empty before the first write."""
+        try:
+            return self.spark.read.schema(schema).parquet(path)
+        except AnalysisException as error:
+            if error.getCondition() != "PATH_NOT_FOUND":
+                raise
+            return self.spark.createDataFrame([], schema)
 
     def _event(self, run_id: str, event: str, at: str, **values) -> DataFrame:
         base = self.spark.range(0, 1, 1, 1).select(
@@ -164,10 +206,10 @@ class History:
         return count
 
     def save_results(self, results: DataFrame) -> None:
-        """Appends results, which carry their `run_id`. The rebalance hint gathers a bucket in
+        """Appends results, which carry their `run_id`; columns they lack are NULL. The rebalance hint gathers a bucket in
         few files and lets adaptive execution split one that is too large for a task."""
         (
-            to_json_text(results)
+            _conforming(to_json_text(results), RESULTS)
             .withColumn("run_bucket", _bucket(F.col("run_id")))
             .hint("rebalance", F.col("run_bucket"))
             .write.mode("append")
@@ -176,16 +218,14 @@ class History:
         )
 
     def runs(self) -> DataFrame:
-        return runs_from_events(self.spark.read.schema(RUN_EVENTS).parquet(self.runs_path))
+        return runs_from_events(self._stored(self.runs_path, RUN_EVENTS))
 
     def run(self, run_id: str) -> DataFrame:
-        return runs_from_events(
-            self.spark.read.schema(RUN_EVENTS).parquet(self.runs_path).where(F.col("run_id") == run_id)
-        )
+        return runs_from_events(self._stored(self.runs_path, RUN_EVENTS).where(F.col("run_id") == run_id))
 
     def results(self, run_id: str | None = None) -> DataFrame:
         """Results of the runs that still exist, or of one run; then only its bucket is read."""
-        stored = self.spark.read.parquet(self.results_path)
+        stored = self._stored(self.results_path, RESULTS + ", run_bucket INT")
         if run_id is not None:
             stored = stored.where(
                 (F.col("run_bucket") == _bucket(F.lit(run_id))) & (F.col("run_id") == run_id)
@@ -197,7 +237,7 @@ class History:
     def compact(self, folder: str) -> "History":
         """A copy of the history without deleted runs, in a new folder."""
         fresh = History(self.spark, folder)
-        events = self.spark.read.schema(RUN_EVENTS).parquet(self.runs_path)
+        events = self._stored(self.runs_path, RUN_EVENTS)
         fresh.log(events.join(self.runs().select("run_id"), "run_id", "left_semi"))
         fresh.save_results(self.results())
         return fresh
