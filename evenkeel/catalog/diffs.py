@@ -96,6 +96,20 @@ def _(spark, folder):
     return multiset_diff(view(spark, folder, "lineitem"), view(spark, folder, "lineitem_t"))
 
 
+@query(
+    "multiset_diff_by_hash",
+    ctes(
+        "lineitem_t",
+        more="""gone AS (SELECT * FROM lineitem EXCEPT ALL SELECT * FROM lineitem_t),
+added AS (SELECT * FROM lineitem_t EXCEPT ALL SELECT * FROM lineitem)""",
+    )
+    + """SELECT *, 'data_only_source' AS difference_type, count(*) AS copies FROM gone GROUP BY ALL
+UNION ALL SELECT *, 'data_only_target', count(*) FROM added GROUP BY ALL""",
+)
+def _(spark, folder):
+    return multiset_diff(view(spark, folder, "lineitem"), view(spark, folder, "lineitem_t"), by_hash=True)
+
+
 @query(
     "multiset_counts",
     ctes(

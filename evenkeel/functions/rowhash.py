@@ -38,11 +38,15 @@ def _inputs(value: str, dtype: T.DataType, depth: int = 0) -> list[str]:
     return [is_null, value]
 
 
-def row_hash(df: DataFrame, columns: list[str]) -> Column:
+def row_hash(df: DataFrame, columns: list[str], salt: int | None = None) -> Column:
     """Hash of the given columns of `df`; a constant when there are none.
 
+    Different salts give independent hashes, two of which identify a row by 128 bits.
+
     xxhash64 over fixed-width values is a bijection of each value for a given seed, so rows
     that differ in one number never collide; other pairs do with probability 2**-64.
     """
     parts = [p for c in columns for p in _inputs(quoted(c), field_type(df, c))]
+    if salt is not None:
+        parts.insert(0, str(salt))
     return F.expr(f"xxhash64({', '.join(parts)})" if parts else "0L")

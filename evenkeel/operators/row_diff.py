@@ -111,9 +111,10 @@ def row_diff_counts(
     keys: list[str] | None = None,
     columns: list[str] | None = None,
     on_duplicate: str = "raise",
+    by_hash: bool = False,
 ) -> DataFrame:
     """One row with the six row counts. Without keys, or with `on_duplicate="multiset"`,
-    rows are compared as a whole."""
+    rows are compared as a whole, or with `by_hash` by a 128-bit hash."""
     if on_duplicate not in ("raise", "multiset"):
         raise ValueError(f"on_duplicate must be 'raise' or 'multiset', not {on_duplicate!r}")
     if keys and on_duplicate == "raise":
@@ -122,7 +123,7 @@ def row_diff_counts(
         kept = [*(keys or []), *[c for c in columns if c not in (keys or [])]]
         source = source.select(*[ref(c) for c in kept if c in source.columns])
         target = target.select(*[ref(c) for c in kept if c in target.columns])
-    return multiset_counts(source, target)
+    return multiset_counts(source, target, by_hash=by_hash)
 
 
 def row_diff_rows(source: DataFrame, target: DataFrame, keys: list[str]) -> DataFrame:

@@ -104,7 +104,7 @@ def compare_pair(
     elif fingerprint_first and (found := quick_compare(source, target).first()).fingerprint_match:
         counts = _equal_counts(source.sparkSession, found.source_row_count)
     else:
-        counts = row_diff_counts(source, target, list(pair.keys), on_duplicate=pair.on_duplicate)
+        counts = row_diff_counts(source, target, list(pair.keys), on_duplicate=pair.on_duplicate, by_hash=True)
     return counts.select(
         F.lit(pair.source_table).alias("source_table"),
         F.lit(pair.target_table).alias("target_table"),

@@ -57,6 +57,8 @@ def test_multisets(spark, seed):
     assert found == {"data_only_source": gone, "data_only_target": added}
     expected = (len(left), len(right), len(left) - gone.total(), 0, gone.total(), added.total())
     assert counts(multiset_counts(s, t)) == expected
+    assert counts(multiset_counts(s, t, by_hash=True)) == expected
+    assert rows(multiset_diff(s, t, by_hash=True)) == rows(multiset_diff(s, t))
     assert quick_compare(s, t).first().fingerprint_match == (ls == rs)
 
 
@@ -65,7 +67,9 @@ def test_a_hot_row_and_a_hot_null_key(spark):
     key = F.when(F.col("id") % 3 != 0, F.col("id"))
     s = spark.range(0, 30000, 1, 8).select(key.alias("k"), F.lit("x").alias("v"))
     t = s.where("k IS NULL OR k <> 10").union(s.where("k IS NULL").limit(5))
-    assert counts(row_diff_counts(s, t, ["k"], on_duplicate="multiset")) == (30000, 30004, 29999, 0, 1, 5)
+    for by_hash in (False, True):
+        found = row_diff_counts(s, t, ["k"], on_duplicate="multiset", by_hash=by_hash)
+        assert counts(found) == (30000, 30004, 29999, 0, 1, 5)
     with pytest.raises(Exception, match="duplicate key: k=None"):
         row_diff_counts(s, t, ["k"]).collect()
 

@@ -110,6 +110,8 @@ def test_nested_values(spark):
     reordered = spark.createDataFrame([(1, ["a", None], {"q": 2, "p": 1}, (1, ["z"]))], schema)
     assert quick_compare(s, reordered).first().fingerprint_match is True
     assert multiset_diff(s, reordered).count() == 0
+    assert multiset_diff(s, reordered, by_hash=True).count() == 0
+    assert multiset_diff(s, t, by_hash=True).count() == 2
 
 
 def test_composite_key_and_limit(spark):
