@@ -2,14 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import DataFrame, SparkSession
 
-_local_dirs: dict[str, str] = {}
-
 
 def session(app_name: str = "evenkeel", master: str | None = None, **conf: str) -> SparkSession:
     """A session with the settings the operators assume: UTC and adaptive execution."""
@@ -33,19 +30,11 @@ def session(app_name: str = "evenkeel", master: str | None = None, **conf: str)
 def shared_dir(spark: SparkSession) -> str:
     """The folder for written intermediate tables: `spark.checkpoint.dir`.
 
-    Only a local session may fall back to a temporary folder, because there every task sees
-    the same disk.
+    Where it is unset, a folder below `spark.sql.warehouse.dir`, which every executor of a
+    cluster has to reach as well. No machine-local temporary folder is ever used.
     """
     configured = spark.conf.get("spark.checkpoint.dir", None)
-    if configured:
-        return configured.rstrip("/")
-    context = spark.sparkContext
-    if not context.master.startswith("local"):
-        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors can reach")
-    app = context.applicationId
-    if app not in _local_dirs:
-        _local_dirs[app] = tempfile.mkdtemp(prefix="evenkeel-")
-    return _local_dirs[app]
+    return (configured or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_staging").rstrip("/")
 
 
 def fresh_path(spark: SparkSession, label: str) -> str:
