@@ -164,13 +164,17 @@ def _listed(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
 
 
+def count_of(spans: Column, kind: str) -> Column:
+    return F.size(F.filter(spans, lambda s: s["kind"] == kind)).cast("bigint")
+
+
 def pii_digest(docs: DataFrame) -> DataFrame:
     """One row per document: counts of the base kinds, hash of the base spans, all spans."""
     found = find_pii(docs.select("doc_id", "text")).drop("text")
     base = F.filter("pii", lambda s: s["kind"].isin(*BASE))
     return found.select(
         "doc_id",
-        *[F.size(F.filter("pii", lambda s, k=k: s["kind"] == k)).cast("bigint").alias(f"n_{k}") for k in (*BASE, *ADDED)],
+        *[count_of(F.col("pii"), kind).alias(f"n_{kind}") for kind in (*BASE, *ADDED)],
         F.sha2(_listed(base), 256).alias("base_sha256"),
         _listed(F.col("pii")).alias("spans"),
         F.transform("pii", lambda s: s["score"]).alias("scores"),

@@ -5,14 +5,29 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from evenkeel.llm import exact_dedup, pii
+from evenkeel.llm import exact_dedup, language, pii, quality, secrets
 from evenkeel.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
 
+def op3_secrets(spark: SparkSession, folder: str) -> DataFrame:
+    return secrets.secrets_digest(table(spark, folder, "documents"))
+
+
+def op5_quality(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    model = quality.fit(docs, table(spark, folder, "labels"))
+    scored = quality.with_score(docs, model, ["doc_id"])
+    held_out = F.coalesce(F.expr("crc32(string(doc_id)) % 3 = 1"), F.lit(False))
+    return scored.select(
+        "doc_id", held_out.alias("held_out"), "score", F.when(F.col("score") >= 0.5, 1).otherwise(0).alias("predicted")
+    )
+
+
 def op6_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return exact_dedup.duplicate_groups(table(spark, folder, "documents"), reread=True)
 
@@ -21,7 +36,14 @@ def op7_pii(spark: SparkSession, folder: str) -> DataFrame:
     return pii.pii_digest(table(spark, folder, "documents"))
 
 
-for _query in (op6_exact_dedup, op7_pii):
+def op10_language(spark: SparkSession, folder: str) -> DataFrame:
+    held_out = F.coalesce(F.expr("crc32(string(doc_id)) % 5 = 0"), F.lit(False))
+    docs = table(spark, folder, "documents").select("doc_id", "text", "lang", held_out.alias("held_out"))
+    model = language.fit(docs.where("NOT held_out AND doc_id IS NOT NULL"))
+    return language.identify(docs, model, ["doc_id", "held_out"])
+
+
+for _query in (op3_secrets, op5_quality, op6_exact_dedup, op7_pii, op10_language):
     QUERIES[_query.__name__] = _query
 
 ORACLES["op6_exact_dedup"] = r"""
