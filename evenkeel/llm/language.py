@@ -28,6 +28,7 @@ from evenkeel.llm.common import column, slices, strings
 SAMPLE_PER_LANGUAGE = 1500
 MAX_LANGUAGES = 64
 TOP_GRAMS = 20_000
+OWN_SHARE = 0.2  # of the share that an n-gram has in the language where it is most frequent
 ROWS = 1 << 19
 K = 3
 GRAM = 4  # bytes of lower-cased UTF-8, non-letters as spaces
@@ -114,8 +115,13 @@ def fit(training: DataFrame, text: str = "text") -> Filter:
         rows.join(F.broadcast(ids), "doc_id").select("lang", "text")
         .mapInArrow(_counted, "lang string, gram bigint, n bigint").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     )
+    # an n-gram that is far rarer here than elsewhere comes from a foreign passage
+    share = F.col("n") / F.sum("n").over(Window.partitionBy("lang"))
+    counts = counts.withColumn("share", share)
+    counts = counts.where(F.col("n") > 1).withColumn("most", F.max("share").over(Window.partitionBy("gram")))
+    counts = counts.where(F.col("share") >= OWN_SHARE * F.col("most"))
     frequent = Window.partitionBy("lang").orderBy(F.desc("n"), "gram")
-    top = counts.withColumn("rank", F.row_number().over(frequent)).where((F.col("rank") <= TOP_GRAMS) & (F.col("n") > 1))
+    top = counts.withColumn("rank", F.row_number().over(frequent)).where(F.col("rank") <= TOP_GRAMS)
     learned = top.select("lang", "gram").toPandas()
     bits = np.zeros(ROWS, np.uint64)
     filled = []

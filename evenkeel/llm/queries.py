@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evenkeel.llm import exact_dedup, language, pii, quality, secrets
+from evenkeel.llm import bpe, dac, exact_dedup, language, pii, quality, secrets
 from evenkeel.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -18,6 +19,11 @@ def op3_secrets(spark: SparkSession, folder: str) -> DataFrame:
     return secrets.secrets_digest(table(spark, folder, "documents"))
 
 
+def op4_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
+    ranks = bpe.read_ranks(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
+    return bpe.round_trip(table(spark, folder, "documents"), ranks, public_tokenizers.PATTERN, ["doc_id"])
+
+
 def op5_quality(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents")
     model = quality.fit(docs, table(spark, folder, "labels"))
@@ -36,6 +42,12 @@ def op7_pii(spark: SparkSession, folder: str) -> DataFrame:
     return pii.pii_digest(table(spark, folder, "documents"))
 
 
+def op9_token_ids(spark: SparkSession, folder: str) -> DataFrame:
+    with open(public_tokenizers.path("word_bpe_49k.json")) as file:
+        vocabulary = file.read()
+    return dac.documents(spark, dac.write(table(spark, folder, "documents"), vocabulary, end=2))
+
+
 def op10_language(spark: SparkSession, folder: str) -> DataFrame:
     held_out = F.coalesce(F.expr("crc32(string(doc_id)) % 5 = 0"), F.lit(False))
     docs = table(spark, folder, "documents").select("doc_id", "text", "lang", held_out.alias("held_out"))
@@ -43,7 +55,7 @@ def op10_language(spark: SparkSession, folder: str) -> DataFrame:
     return language.identify(docs, model, ["doc_id", "held_out"])
 
 
-for _query in (op3_secrets, op5_quality, op6_exact_dedup, op7_pii, op10_language):
+for _query in (op3_secrets, op4_byte_bpe, op5_quality, op6_exact_dedup, op7_pii, op9_token_ids, op10_language):
     QUERIES[_query.__name__] = _query
 
 ORACLES["op6_exact_dedup"] = r"""
