@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evenkeel.llm import bpe, dac, exact_dedup, language, pii, quality, secrets
+from evenkeel.llm import bpe, dac, exact_dedup, language, ngram_join, pii, quality, secrets
 from evenkeel.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -42,6 +42,10 @@ def op7_pii(spark: SparkSession, folder: str) -> DataFrame:
     return pii.pii_digest(table(spark, folder, "documents"))
 
 
+def op8_ngram_join(spark: SparkSession, folder: str) -> DataFrame:
+    return ngram_join.similar_groups(table(spark, folder, "documents"))
+
+
 def op9_token_ids(spark: SparkSession, folder: str) -> DataFrame:
     with open(public_tokenizers.path("word_bpe_49k.json")) as file:
         vocabulary = file.read()
@@ -55,7 +59,7 @@ def op10_language(spark: SparkSession, folder: str) -> DataFrame:
     return language.identify(docs, model, ["doc_id", "held_out"])
 
 
-for _query in (op3_secrets, op4_byte_bpe, op5_quality, op6_exact_dedup, op7_pii, op9_token_ids, op10_language):
+for _query in (op3_secrets, op4_byte_bpe, op5_quality, op6_exact_dedup, op7_pii, op8_ngram_join, op9_token_ids, op10_language):
     QUERIES[_query.__name__] = _query
 
 ORACLES["op6_exact_dedup"] = r"""
