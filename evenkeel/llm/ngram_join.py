@@ -171,7 +171,9 @@ def _entries(frequent: np.ndarray, counts: np.ndarray, blocks: int):
 
     def send(parts: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
         entries = np.concatenate(parts)
-        block = ((_widened(entries["h"]) >> np.uint64(16)) * np.uint64(blocks) >> np.uint64(32)).astype(np.int64)
+        # leading n-grams have small hashes, so the block comes from a mix of them
+        mixed = (_widened(entries["h"]) * _MIX[0]) >> np.uint64(32)
+        block = (mixed * np.uint64(blocks) >> np.uint64(32)).astype(np.int64)
         order = np.argsort(block, kind="stable")
         cuts = np.searchsorted(block[order], np.arange(blocks + 1))
         some = np.flatnonzero(np.diff(cuts)).tolist()
@@ -257,7 +259,9 @@ def _multiplied(payloads: pd.DataFrame) -> pd.DataFrame:
             summed((some + first).ravel(), (some + second).ravel())
     member = np.repeat(length > COLUMN, length)
     out.append(pd.DataFrame({"a": key[member], "n_a": n[member], "gram": gram[member].astype(np.int64)}))
-    return pd.concat(out).reindex(columns=["a", "b", "n_a", "n_b", "shared", "last_a", "last_b", "gram"]).astype("Int64")
+    # nullable integers before anything is missing: keys do not survive as floats
+    names = ["a", "b", "n_a", "n_b", "shared", "last_a", "last_b", "gram"]
+    return pd.concat([frame.astype("Int64").reindex(columns=names).astype("Int64") for frame in out])
 
 
 def _links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
