@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evenkeel.llm import bpe, dac, decontaminate, exact_dedup, language, ngram_join, pii, quality, secrets
+from evenkeel.llm import bpe, dac, decontaminate, exact_dedup, html_extract, language, ngram_join, pii, quality, secrets
 from evenkeel.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -20,6 +20,10 @@ def op1_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     return decontaminate.contaminated(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
 
 
+def op2_html_extraction(spark: SparkSession, folder: str) -> DataFrame:
+    return html_extract.extract(table(spark, folder, "pages"))
+
+
 def op3_secrets(spark: SparkSession, folder: str) -> DataFrame:
     return secrets.secrets_digest(table(spark, folder, "documents"))
 
@@ -64,7 +68,7 @@ def op10_language(spark: SparkSession, folder: str) -> DataFrame:
     return language.identify(docs, model, ["doc_id", "held_out"])
 
 
-for _query in (op1_decontamination, op3_secrets, op4_byte_bpe, op5_quality, op6_exact_dedup, op7_pii, op8_ngram_join, op9_token_ids, op10_language):
+for _query in (op1_decontamination, op2_html_extraction, op3_secrets, op4_byte_bpe, op5_quality, op6_exact_dedup, op7_pii, op8_ngram_join, op9_token_ids, op10_language):
     QUERIES[_query.__name__] = _query
 
 ORACLES["op6_exact_dedup"] = r"""
