@@ -27,8 +27,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from evenkeel.llm.common import column, slices, strings
+from evenkeel.session import staged
 
 MIN_TILE = 5
 COVERAGE = 0.6
@@ -211,8 +213,6 @@ def contaminated(
             *T._parse_datatype_string("coverage double, n_tiles bigint, longest_tile bigint").fields,
         ]
     )
-    from pyspark.sql.pandas.types import to_arrow_schema
-
     arrow = to_arrow_schema(schema)
 
     def searched(block: list[tuple]) -> DataFrame:
@@ -233,3 +233,9 @@ def contaminated(
         part = searched(block)
         out = part if out is None else out.unionByName(part)
     return out
+
+
+def clean(docs: DataFrame, benchmark: DataFrame, text: str = "text") -> DataFrame:
+    """The rows of `docs` whose doc_id is not contaminated."""
+    leaking = staged(contaminated(docs, benchmark, text).select("doc_id").distinct(), "leaking")
+    return docs.join(leaking, "doc_id", "left_anti").select(*docs.columns)

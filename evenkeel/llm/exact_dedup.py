@@ -21,10 +21,11 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark import RDD, TaskContext
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from evenkeel.llm import golomb
 from evenkeel.llm.common import column, slices, strings
@@ -110,37 +111,30 @@ def _mark(rows: pd.DataFrame, bitmaps: pd.DataFrame) -> pd.DataFrame:
 
 
 def _suspect_texts(pairs) -> Iterator[tuple]:
-    for text, mark in pairs:
+    for row, mark in pairs:
         if mark.suspect:
-            body = normalised(text or "")
+            body = normalised(row.text or "")
             if hashlib.sha256(body).digest() != bytes(mark.sha):
                 raise RuntimeError("the input gave other rows when it was read again; pass reread=False")
             yield mark.sender, mark.pos, mark.doc_id, body.decode()
 
 
-def duplicate_groups(docs: DataFrame, text: str = "text", reread: bool = False) -> DataFrame:
-    """doc_id, keep_id, group_size, kept, text_sha256 of every row, dropped ones too.
+def _compared(docs: DataFrame) -> DataFrame:
+    """sender, pos, doc_id, sha, first and group_size of every row of (doc_id, text).
 
-    The rows are read twice and must come in the same order. `reread=True` says that `docs` is a
-    plain scan of files, where they do; anything else is written to the shared folder first.
+    `first` is the (doc_id, sender, pos) of the row that stays, null where no other row is equal.
     """
     spark = docs.sparkSession
-    docs = docs.select("doc_id", F.col(text).alias("text"))
-    if not reread:
-        docs = staged(docs, "dedup-input")
-    id_type = docs.schema["doc_id"].dataType
     schema = T.StructType(
         [
             T.StructField("sender", T.IntegerType()),
             T.StructField("pos", T.LongType()),
-            T.StructField("doc_id", id_type),
+            T.StructField("doc_id", docs.schema["doc_id"].dataType),
             T.StructField("fp", T.LongType()),
             T.StructField("sha", T.BinaryType()),
         ]
     )
     marked = T.StructType([*schema.fields, T.StructField("suspect", T.BooleanType())])
-    from pyspark.sql.pandas.types import to_arrow_schema
-
     arrow = to_arrow_schema(schema)
     prints = staged(docs.mapInArrow(lambda it: _prints(it, arrow), schema), "dedup-prints")
     owners = max(1, min(MAX_OWNERS, int(spark.conf.get("spark.sql.shuffle.partitions"))))
@@ -152,18 +146,12 @@ def duplicate_groups(docs: DataFrame, text: str = "text", reread: bool = False)
         prints.groupBy("sender").cogroup(bitmaps.groupBy("sender")).applyInPandas(_mark, marked), "dedup-marks"
     )
 
-    # the sender reads its rows again and pairs them with its marks; only suspects leave the task
-    rows = docs.select("text").rdd.map(lambda r: r.text)
-    senders = rows.getNumPartitions()
-    if senders:
-        at_sender = marks.select("sender", "pos", "doc_id", "sha", "suspect").repartitionById(senders, F.col("sender"))
-        pairs = rows.zip(at_sender.sortWithinPartitions("pos").rdd.map(lambda r: r))
-        texts = spark.createDataFrame(
-            pairs.mapPartitions(_suspect_texts),
-            T.StructType([*[f for f in schema.fields[:3]], T.StructField("text", T.StringType())]),
-        )
-    else:
-        texts = spark.createDataFrame([], T.StructType([*schema.fields[:3], T.StructField("text", T.StringType())]))
+    # the sender reads its rows again; only suspects leave the task
+    pairs = _beside(docs.select("text"), marks.select("sender", "pos", "doc_id", "sha", "suspect"))
+    texts = spark.createDataFrame(
+        pairs.mapPartitions(_suspect_texts),
+        T.StructType([*schema.fields[:3], T.StructField("text", T.StringType())]),
+    )
     order = F.struct(F.col("doc_id").isNull().alias("without"), "doc_id", "sender", "pos")
     groups = (
         texts.groupBy("text")
@@ -171,17 +159,47 @@ def duplicate_groups(docs: DataFrame, text: str = "text", reread: bool = False)
         .where("group_size > 1")
         .select(F.unhex(F.sha2("text", 256)).alias("sha"), "first", "group_size")
     )
+    return marks.join(groups, "sha", "left").select("sender", "pos", "doc_id", "sha", "first", "group_size")
+
+
+def _beside(docs: DataFrame, marks: DataFrame) -> RDD:
+    """Pairs of each row of `docs`, read again, and its mark of (sender, pos, ...)."""
+    rows = docs.rdd.map(lambda r: r)
+    if not rows.getNumPartitions():
+        return rows
+    # marks go to the partition of the sender, in the order of its rows, so nothing else moves
+    ordered = marks.repartitionById(rows.getNumPartitions(), F.col("sender")).sortWithinPartitions("pos")
+    return rows.zip(ordered.rdd.map(lambda r: r))
+
+
+def _stays() -> Column:
     first = F.col("first")
-    return marks.join(groups, "sha", "left").select(
+    return first.isNull() | ((first["sender"] == F.col("sender")) & (first["pos"] == F.col("pos")))
+
+
+def _readable(docs: DataFrame, reread: bool) -> DataFrame:
+    return docs if reread else staged(docs, "dedup-input")
+
+
+def duplicate_groups(docs: DataFrame, text: str = "text", reread: bool = False) -> DataFrame:
+    """doc_id, keep_id, group_size, kept, text_sha256 of every row, dropped ones too.
+
+    The rows are read twice and must come in the same order. `reread=True` says that `docs` is a
+    plain scan of files, where they do; anything else is written to the shared folder first.
+    """
+    rows = _readable(docs.select("doc_id", F.col(text).alias("text")), reread)
+    return _compared(rows).select(
         "doc_id",
-        F.when(first.isNull(), F.col("doc_id")).otherwise(first["doc_id"]).alias("keep_id"),
+        F.when(F.col("first").isNull(), F.col("doc_id")).otherwise(F.col("first.doc_id")).alias("keep_id"),
         F.coalesce("group_size", F.lit(1).cast("bigint")).alias("group_size"),
-        (first.isNull() | ((first["sender"] == F.col("sender")) & (first["pos"] == F.col("pos")))).alias("kept"),
+        _stays().alias("kept"),
         F.lower(F.hex("sha")).alias("text_sha256"),
     )
 
 
 def drop_duplicates(docs: DataFrame, text: str = "text", reread: bool = False) -> DataFrame:
-    """The rows of `docs` that stay, with all their columns. `doc_id` must tell rows apart."""
-    kept = duplicate_groups(docs, text, reread).where("kept").select("doc_id")
-    return docs.join(kept, "doc_id", "left_semi")
+    """The rows of `docs` that stay, with all their columns; `reread` as above."""
+    docs = _readable(docs, reread)
+    marks = _compared(docs.select("doc_id", F.col(text).alias("text"))).select("sender", "pos", _stays().alias("kept"))
+    kept = _beside(docs, marks).filter(lambda pair: pair[1].kept).map(lambda pair: pair[0])
+    return docs.sparkSession.createDataFrame(kept, docs.schema, verifySchema=False)

@@ -33,6 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from evenkeel.llm import golomb
 from evenkeel.llm.common import column, slices, strings
@@ -335,8 +336,6 @@ def similar_groups(docs: DataFrame, text: str = "text", n: int = WORDS) -> DataF
     schema = T.StructType(
         [docs.schema["doc_id"], *T._parse_datatype_string("n_shingles bigint, key bigint, grams binary").fields]
     )
-    from pyspark.sql.pandas.types import to_arrow_schema
-
     rows = staged(docs.mapInArrow(_sets(n, to_arrow_schema(schema)), schema), "join-rows")
 
     # the order of the columns: counts of frequent n-grams
@@ -398,3 +397,10 @@ def similar_groups(docs: DataFrame, text: str = "text", n: int = WORDS) -> DataF
     return whole.join(first.where("size > 1"), "root", "left").select(
         "doc_id", "n_shingles", F.coalesce("first", "doc_id").alias("component_id")
     )
+
+
+def one_of_each(docs: DataFrame, text: str = "text") -> DataFrame:
+    """The rows of `docs` without those that are linked, at whatever distance, to a smaller doc_id."""
+    groups = similar_groups(docs, text)
+    dropped = staged(groups.where("doc_id <> component_id").select("doc_id").distinct(), "join-dropped")
+    return docs.join(dropped, "doc_id", "left_anti").select(*docs.columns)
