@@ -100,14 +100,15 @@ def _answers(owners: int):
     return answer
 
 
-def _mark(rows: pd.DataFrame, bitmaps: pd.DataFrame) -> pd.DataFrame:
+def _mark(rows: pa.Table, bitmaps: pa.Table) -> pa.Table:
     hashes, index, count = np.unique(rows["fp"].to_numpy(), return_inverse=True, return_counts=True)
-    answers = bitmaps.sort_values("owner")
+    answers = bitmaps.sort_by("owner")
     elsewhere = [
-        np.unpackbits(np.frombuffer(b, np.uint8))[:n] for b, n in zip(answers["bitmap"], answers["n"], strict=True)
+        np.unpackbits(np.frombuffer(b, np.uint8))[:n]
+        for b, n in zip(answers["bitmap"].to_pylist(), answers["n"].to_pylist(), strict=True)
     ]
     repeated = np.concatenate(elsewhere).astype(bool) | (count > 1)
-    return rows.assign(suspect=repeated[index])
+    return rows.append_column("suspect", pa.array(repeated[index]))
 
 
 def _suspect_texts(pairs) -> Iterator[tuple]:
@@ -143,7 +144,7 @@ def _compared(docs: DataFrame) -> DataFrame:
     )
     bitmaps = letters.groupBy("owner").applyInPandas(_answers(owners), "sender int, owner int, n int, bitmap binary")
     marks = staged(
-        prints.groupBy("sender").cogroup(bitmaps.groupBy("sender")).applyInPandas(_mark, marked), "dedup-marks"
+        prints.groupBy("sender").cogroup(bitmaps.groupBy("sender")).applyInArrow(_mark, marked), "dedup-marks"
     )
 
     # the sender reads its rows again; only suspects leave the task
@@ -165,11 +166,12 @@ def _compared(docs: DataFrame) -> DataFrame:
 def _beside(docs: DataFrame, marks: DataFrame) -> RDD:
     """Pairs of each row of `docs`, read again, and its mark of (sender, pos, ...)."""
     rows = docs.rdd.map(lambda r: r)
-    if not rows.getNumPartitions():
-        return rows
+    senders = rows.getNumPartitions()
     # marks go to the partition of the sender, in the order of its rows, so nothing else moves
-    ordered = marks.repartitionById(rows.getNumPartitions(), F.col("sender")).sortWithinPartitions("pos")
-    return rows.zip(ordered.rdd.map(lambda r: r))
+    ordered = marks.repartitionById(max(1, senders), F.col("sender")).sortWithinPartitions("pos").rdd.map(lambda r: r)
+    if ordered.getNumPartitions() < senders:  # Spark plans no partition for a table known to be empty
+        return docs.sparkSession.sparkContext.emptyRDD()
+    return rows.zip(ordered) if senders else rows
 
 
 def _stays() -> Column:
