@@ -24,6 +24,7 @@ from collections.abc import Iterator
 import duckdb
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -33,23 +34,24 @@ from evenkeel.llm.common import column, slices, strings
 
 SLICE = 2 << 20
 CHUNK = 20_000
-CACHE = 250_000
+CACHE = 700_000  # about 200 bytes each
 LONG = 64
 
+# A row is (word, value) with position << 32 | token, so that the order of values is that of
+# positions. The least (rank, position, next position) of a word is its leftmost pair of minimum rank.
 _CONTRACT = """
-WITH RECURSIVE t(word, pos, tok) USING KEY (word, pos) AS (
-  SELECT word, pos, tok FROM start
-  UNION
-  (WITH live AS (SELECT word, pos, tok FROM recurring.t WHERE tok >= 0 AND word IN (SELECT word FROM t)),
-  paired AS (
-    SELECT word, pos, tok, lead(tok) OVER w AS next_tok, lead(pos) OVER w AS next_pos
-    FROM live WINDOW w AS (PARTITION BY word ORDER BY pos)),
+WITH RECURSIVE steps AS (
+  SELECT 0 AS step, word, (pos::BIGINT << 32) | tok AS v FROM start
+  UNION ALL
+  (WITH paired AS (SELECT word, v, lead(v) OVER (PARTITION BY word ORDER BY v) AS after FROM steps),
   best AS (
-    SELECT word, min(m.rank * 4294967296 + pos) AS least, arg_min(next_pos, m.rank * 4294967296 + pos) AS gone
-    FROM paired p JOIN merges m ON p.tok = m.a AND p.next_tok = m.b GROUP BY word)
-  SELECT word, (least & 4294967295)::INTEGER, (least >> 32)::INTEGER FROM best
-  UNION ALL SELECT word, gone, -1 FROM best))
-SELECT word, pos, tok FROM t WHERE tok >= 0 ORDER BY word, pos
+    SELECT word, min((m.rank << 16) | ((v >> 32) << 8) | (after >> 32)) AS least
+    FROM paired p JOIN pairs m ON m.pair = (((v & 1048575) << 20) | (after & 1048575)) GROUP BY word)
+  SELECT step + 1, s.word, CASE WHEN (v >> 32) = ((least >> 8) & 255) THEN ((v >> 32) << 32) | (least >> 16) ELSE v END
+  FROM steps s JOIN best b ON s.word = b.word WHERE (v >> 32) <> (least & 255))),
+last AS (SELECT word, max(step) AS step FROM steps GROUP BY word)
+SELECT s.word, (v & 1048575)::INTEGER AS tok FROM steps s JOIN last l ON s.word = l.word AND s.step = l.step
+ORDER BY s.word, v
 """
 
 # As above, but all places of the minimum pair that do not overlap, counted from the left. A word
@@ -101,7 +103,7 @@ class Coder:
         self.ranks = {base64.b64decode(token): int(rank) for token, rank in rows}
         self.pattern = regex.compile(pattern)
         self.byte = np.array([self.ranks[bytes([i])] for i in range(256)], np.int32)
-        self.known: dict[str, tuple[list[int], bytes]] = {}
+        self.known: dict[str, tuple[str, int, bytes]] = {}  # ids as text, their number, decoded bytes
         self.con = duckdb.connect()
         for setting in ("threads = 1", "memory_limit = '400MB'", "temp_directory = ''", "preserve_insertion_order = false"):
             self.con.execute(f"SET {setting}")
@@ -119,6 +121,7 @@ class Coder:
             self.con.register("given", rows)
             self.con.execute(f"CREATE TABLE {name} AS SELECT * FROM given")
             self.con.unregister("given")
+        self.con.execute("CREATE TABLE pairs AS SELECT (a << 20) | b AS pair, rank FROM merges")
 
     def _ask(self, sql: str, name: str, rows: pa.Table) -> pa.Table:
         self.con.register(name, rows)
@@ -141,10 +144,10 @@ class Coder:
                 place = np.arange(len(data)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
                 start = {"word": np.repeat(np.arange(len(part), dtype=np.int32), sizes), "pos": place.astype(np.int32)}
                 found = self._ask(sql, "start", pa.table({**start, "tok": self.byte[data]}))
-                owner, ids = found["word"].to_numpy(), found["tok"].to_numpy()
-                cuts = np.searchsorted(owner, np.arange(1, len(part)))
-                for i, mine in zip(part, np.split(ids, cuts), strict=True):
-                    out[i] = mine.tolist()
+                ids = found["tok"].to_numpy().tolist()
+                ends = np.cumsum(np.bincount(found["word"].to_numpy(), minlength=len(part))).tolist()
+                for i, low, high in zip(part, [0, *ends], ends, strict=False):
+                    out[i] = ids[low:high]
         return out
 
     def decode_words(self, ids: list[list[int]]) -> list[bytes]:
@@ -168,7 +171,8 @@ class Coder:
         for at in range(0, len(new), CHUNK):
             part = new[at : at + CHUNK]
             ids = self.encode_words([w.encode() for w in part])
-            self.known.update(zip(part, zip(ids, self.decode_words(ids)), strict=True))
+            for word, mine, decoded in zip(part, ids, self.decode_words(ids), strict=True):
+                self.known[word] = (",".join(map(str, mine)), len(mine), decoded)
 
     def forget(self, words: set[str]) -> None:
         if len(self.known) > CACHE:
@@ -211,6 +215,13 @@ def _worded(batches: Iterator[pa.RecordBatch], c: Coder, name: str) -> Iterator[
         c.forget(distinct)
 
 
+def _id_lists(shown: list[str]) -> pa.Array:
+    """Lists of ids from ids joined by commas."""
+    flat = pc.split_pattern(pa.array([x for x in shown if x], pa.string()), ",").flatten().cast(pa.int32())
+    sizes = [x.count(",") + 1 if x else 0 for x in shown]
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32()), flat)
+
+
 def encode(docs: DataFrame, rank_file: bytes, pattern: str, keep: list[str], text: str = "text", into: str = "ids") -> DataFrame:
     """The columns `keep` of `docs` with the ids of the whole text."""
     rows = docs.select(*keep, F.col(text).alias("__text"))
@@ -218,9 +229,9 @@ def encode(docs: DataFrame, rank_file: bytes, pattern: str, keep: list[str], tex
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = coder(rank_file, pattern)
         for batch, worded in _worded(batches, c, "__text"):
-            ids = [[i for w in words for i in c.known[w][0]] for words in worded]
+            shown = [",".join([c.known[w][0] for w in words]) for words in worded]
             kept = [batch.column(i) for i in range(len(keep))]
-            yield pa.RecordBatch.from_arrays([*kept, pa.array(ids, pa.list_(pa.int32()))], names=[*keep, into])
+            yield pa.RecordBatch.from_arrays([*kept, _id_lists(shown)], names=[*keep, into])
 
     fields = [*rows.schema.fields[:-1], T.StructField(into, T.ArrayType(T.IntegerType()))]
     return rows.mapInArrow(run, T.StructType(fields))
@@ -240,8 +251,10 @@ def decode(tokens: DataFrame, rank_file: bytes, keep: list[str], ids: str = "ids
     return rows.mapInArrow(run, T.StructType([*rows.schema.fields[:-1], T.StructField(into, T.BinaryType())]))
 
 
-def round_trip(docs: DataFrame, rank_file: bytes, pattern: str, keep: list[str], text: str = "text") -> DataFrame:
-    """The columns `keep` of `docs` with n_tokens, ids_sha256 and decoded_sha256 of each whole text.
+def round_trip(
+    docs: DataFrame, rank_file: bytes, pattern: str, keep: list[str], text: str = "text", with_ids: bool = False
+) -> DataFrame:
+    """The columns `keep` of `docs` with n_tokens, ids_sha256 and decoded_sha256 of each whole text, and its ids.
 
     The ids of each word are decoded once by the ordered aggregation; a text's bytes are those of
     its words in order.
@@ -251,18 +264,23 @@ def round_trip(docs: DataFrame, rank_file: bytes, pattern: str, keep: list[str],
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = coder(rank_file, pattern)
         for batch, worded in _worded(batches, c, "__text"):
-            shown = {w: (",".join(map(str, c.known[w][0])), len(c.known[w][0]), c.known[w][1]) for w in set().union(*worded)}
-            sizes, ids, decoded = [], [], []
+            sizes, shown, decoded = [], [], []
             for words in worded:
-                found = [shown[w] for w in words]
+                found = [c.known[w] for w in words]
                 sizes.append(sum(f[1] for f in found))
-                ids.append(hashlib.sha256(",".join([f[0] for f in found]).encode()).hexdigest())
+                shown.append(",".join([f[0] for f in found]))
                 decoded.append(hashlib.sha256(b"".join([f[2] for f in found])).hexdigest())
             kept = [batch.column(i) for i in range(len(keep))]
+            ids = [hashlib.sha256(x.encode()).hexdigest() for x in shown]
             yield pa.RecordBatch.from_arrays(
-                [*kept, pa.array(sizes, pa.int64()), pa.array(ids, pa.string()), pa.array(decoded, pa.string())],
-                names=[*keep, "n_tokens", "ids_sha256", "decoded_sha256"],
-            )
-
-    added = T._parse_datatype_string("n_tokens bigint, ids_sha256 string, decoded_sha256 string")
+                [
+                    *kept, pa.array(sizes, pa.int64()), pa.array(ids, pa.string()), pa.array(decoded, pa.string()),
+                    *([_id_lists(shown)] if with_ids else []),
+                ],
+                names=[*keep, *added.names],
+            )
+
+    added = T._parse_datatype_string(
+        "n_tokens bigint, ids_sha256 string, decoded_sha256 string" + (", ids array<int>" if with_ids else "")
+    )
     return rows.mapInArrow(run, T.StructType([*rows.schema.fields[:-1], *added.fields]))
