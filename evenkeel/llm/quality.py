@@ -59,18 +59,19 @@ def passages(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     kind = _CLASS[data]
     single = np.bincount(owner * CLASSES + kind, minlength=len(start) * CLASSES).reshape(-1, CLASSES)
     pair_of = owner[:-1].astype(np.int64) * (CLASSES * CLASSES) + kind[:-1].astype(np.int64) * CLASSES + kind[1:]
-    pair = np.bincount(pair_of, minlength=len(start) * CLASSES * CLASSES).reshape(-1, CLASSES * CLASSES)
+    pair = np.bincount(pair_of[owner[:-1] == owner[1:]], minlength=len(start) * CLASSES * CLASSES).reshape(-1, CLASSES * CLASSES)
 
     # words as hashes: how often a word repeats one of the words just before it
     blank = (kind == 1) | (kind == 14)
     begins = np.flatnonzero(~blank & np.concatenate([[True], blank[:-1]]))
-    in_word = np.arange(n, dtype=np.int64) - np.maximum.accumulate(np.where(blank, np.arange(n), 0)) & 255
+    in_word = np.arange(n, dtype=np.int64) - np.maximum.accumulate(np.where(blank, np.arange(n), -1)) & 255
     value = np.where(blank, np.uint64(0), (data.astype(np.uint64) + np.uint64(1)) * _POWERS[in_word])
     word = np.add.reduceat(value, begins) if len(begins) else np.empty(0, np.uint64)
     again = np.zeros(len(word), bool)
-    for back in (1, 2, 3, 4):
-        again[back:] |= word[back:] == word[:-back]
     holder = owner[begins]
+    text_of = np.repeat(np.arange(len(texts)), counts)[holder]
+    for back in (1, 2, 3, 4):
+        again[back:] |= (word[back:] == word[:-back]) & (text_of[back:] == text_of[:-back])
     words = np.bincount(holder, minlength=len(start))
     repeats = np.bincount(holder, weights=again, minlength=len(start)) / np.maximum(words, 1)
     # a passage that occurs again in the same text
