@@ -137,7 +137,7 @@ def _(spark, folder):
 @query("compare_tables_isolated", results_ctes() + "SELECT * FROM results")
 def _(spark, folder):
     timed = C.compare_tables(spark, table_pairs(spark, folder), "standard", isolate=True)
-    return timed.drop("duration_seconds", "rows_per_second")
+    return timed.drop("started_at", "completed_at", "duration_seconds", "rows_per_second")
 
 
 def _cells_sql(source: str, target: str, key: str) -> str:
@@ -155,7 +155,47 @@ def _cells_sql(source: str, target: str, key: str) -> str:
     ctes("orders_t", "orders_drifted", "events_t") + "\nUNION ALL ".join(_cells_sql(s, t, k) for s, t, k, _ in PAIRS if k),
 )
 def _(spark, folder):
-    return C.deep_differences(table_pairs(spark, folder))
+    return C.deep_differences(table_pairs(spark, folder)).where("difference_type = 'data_different'").drop("copies")
+
+
+def _one_sided_sql(source: str, target: str, key: str) -> str:
+    return (
+        f"SELECT 'src.{source}' AS table_name, 'data_only_source' AS difference_type, count(*) AS found, count(*)::BIGINT AS copies "
+        f"FROM {source} WHERE {key} NOT IN (SELECT {key} FROM {target}) HAVING count(*) > 0 "
+        f"UNION ALL SELECT 'src.{source}', 'data_only_target', count(*), count(*)::BIGINT "
+        f"FROM {target} WHERE {key} NOT IN (SELECT {key} FROM {source}) HAVING count(*) > 0"
+    )
+
+
+def _multiset_sql(source: str, target: str) -> str:
+    columns = ", ".join(_common(source, target))
+    more = []
+    for kind, a, b in (("data_only_source", source, target), ("data_only_target", target, source)):
+        surplus = f"SELECT {columns} FROM {a} EXCEPT ALL SELECT {columns} FROM {b}"
+        more.append(
+            f"SELECT 'src.{source}' AS table_name, '{kind}' AS difference_type, count(DISTINCT shown) AS found, "
+            f"count(*)::BIGINT AS copies FROM (SELECT CAST(x AS VARCHAR) AS shown FROM ({surplus}) x) HAVING count(*) > 0"
+        )
+    return " UNION ALL ".join(more)
+
+
+@query(
+    "compare_tables_deep",
+    ctes(
+        "orders_t",
+        "orders_drifted",
+        "events_t",
+        "lineitem_t",
+        more="cells AS (" + "\nUNION ALL ".join(_cells_sql(s, t, k) for s, t, k, _ in PAIRS if k) + ")\n",
+    )
+    + "SELECT table_name, difference_type, sum(found)::BIGINT AS found, sum(copies)::BIGINT AS copies FROM (\n"
+    + "SELECT table_name, difference_type, count(*) AS found, count(*)::BIGINT AS copies FROM cells GROUP BY ALL\nUNION ALL "
+    + "\nUNION ALL ".join(_one_sided_sql(s, t, k) if k else _multiset_sql(s, t) for s, t, k, _ in PAIRS)
+    + ") GROUP BY ALL",
+)
+def _(spark, folder):
+    found = C.deep_differences(table_pairs(spark, folder))
+    return found.groupBy("table_name", "difference_type").agg(F.count("*").alias("found"), F.sum("copies").alias("copies"))
 
 
 @query(
@@ -168,7 +208,7 @@ def _(spark, folder):
 
 @query("compare_tables_early_exit", results_ctes() + "SELECT * FROM results")
 def _(spark, folder):
-    return C.compare_tables(spark, table_pairs(spark, folder), "standard", fingerprint_first=True)
+    return C.compare_tables(spark, table_pairs(spark, folder), "standard", trust_fingerprints=True)
 
 
 @query(
@@ -258,3 +298,59 @@ t AS (SELECT * FROM events_t WHERE ts <= (SELECT last_ts FROM cutoff))""",
 def _(spark, folder):
     source, target = incremental_pair(view(spark, folder, "events"), view(spark, folder, "events_t"), "ts")
     return row_diff_counts(source, target, ["event_id"])
+
+
+@query(
+    "incremental_null_dates",
+    ctes(
+        more="""s0 AS (SELECT event_id, CASE WHEN event_id % 7 = 0 THEN NULL ELSE ts END AS ts FROM events),
+last_day AS (SELECT max(ts) - INTERVAL 1 DAY AS last_ts FROM s0),
+t0 AS (SELECT * FROM s0 WHERE (ts IS NULL AND event_id % 2 = 0) OR ts <= (SELECT last_ts FROM last_day)),
+cutoff AS (SELECT least((SELECT max(ts) FROM s0), (SELECT max(ts) FROM t0)) AS last_ts),
+s AS (SELECT * FROM s0 WHERE ts IS NULL OR ts <= (SELECT last_ts FROM cutoff)),
+t AS (SELECT * FROM t0 WHERE ts IS NULL OR ts <= (SELECT last_ts FROM cutoff))"""
+    )
+    + """SELECT count(s.event_id) AS source_row_count, count(t.event_id) AS target_row_count,
+  count(*) FILTER (s.event_id = t.event_id) AS matching_rows, 0::BIGINT AS different_rows,
+  count(*) FILTER (t.event_id IS NULL) AS source_only_rows, count(*) FILTER (s.event_id IS NULL) AS target_only_rows
+FROM s FULL OUTER JOIN t ON s.event_id = t.event_id""",
+)
+def _(spark, folder):
+    """Rows without a date take part in an incremental comparison."""
+    source = view(spark, folder, "events").select(
+        "event_id", F.when(F.col("event_id") % 7 != 0, F.col("ts")).alias("ts")
+    )
+    last = source.agg((F.max("ts") - F.expr("INTERVAL 1 DAY")).alias("last_ts")).first().last_ts
+    target = source.where((F.col("ts").isNull() & (F.col("event_id") % 2 == 0)) | (F.col("ts") <= F.lit(last)))
+    return row_diff_counts(*incremental_pair(source, target, "ts"), ["event_id"])
+
+
+@query(
+    "compare_normalised",
+    """SELECT count(*) AS source_row_count, count(*) AS target_row_count, count(*) AS matching_rows, 0::BIGINT AS different_rows,
+  0::BIGINT AS source_only_rows, 0::BIGINT AS target_only_rows FROM customer""",
+)
+def _(spark, folder):
+    """Text that differs in case and surrounding blanks alone is equal."""
+    customer = view(spark, folder, "customer")
+    text = [f.name for f in customer.schema.fields if f.dataType.simpleString() == "string"]
+    target = customer.withColumns({c: F.concat(F.lit("  "), F.upper(c)) for c in text})
+    pair = C.TablePair("customer", "customer", customer, target, ("c_custkey",))
+    settings = ComparisonFilter(ignore_case=True, ignore_whitespace=True)
+    return C.compare_tables(spark, [pair], "standard", settings=settings).select(
+        "source_row_count", "target_row_count", "matching_rows", "different_rows", "source_only_rows", "target_only_rows"
+    )
+
+
+@query(
+    "compare_filtered_one_sided",
+    ctes("orders_drifted")
+    + _counts_sql("orders", "orders_drifted", "o_orderkey"),
+)
+def _(spark, folder):
+    """A filter on a column that one side lacks applies to neither."""
+    settings = ComparisonFilter({"orders": TableFilter((ColumnFilter("o_orderpriority", "like", "%urgent"),))})
+    pair = C.TablePair("orders", "orders", view(spark, folder, "orders"), view(spark, folder, "orders_drifted"), ("o_orderkey",))
+    return C.compare_tables(spark, [pair], "standard", settings=settings).select(
+        "source_row_count", "target_row_count", "matching_rows", "different_rows", "source_only_rows", "target_only_rows"
+    )

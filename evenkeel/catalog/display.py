@@ -114,8 +114,8 @@ def _(spark, folder):
 
 def _order_schema_differences(spark, folder):
     return schema_diff(
-        inv.observed_columns(view(spark, folder, "orders"), "orders"),
-        inv.observed_columns(view(spark, folder, "orders_drifted"), "orders"),
+        inv.declared_columns(spark, view(spark, folder, "orders"), "orders"),
+        inv.declared_columns(spark, view(spark, folder, "orders_drifted"), "orders"),
     )
 
 

@@ -21,16 +21,32 @@ def _split(columns: str) -> list[tuple[str, str]]:
     return [tuple(c.strip().split(" ", 1)) for c in columns.split(",")]
 
 
+TYPE_NAMES = {"bigint": "BIGINT", "int": "INTEGER", "string": "VARCHAR", "double": "DOUBLE", "date": "DATE",
+              "timestamp_ntz": "TIMESTAMP", "array<float>": "FLOAT[]"}
+
+
 def columns_sql(name: str, relation: str | None = None, columns: str | None = None) -> str:
-    """SQL for the observed column inventory of one table."""
-    relation = relation or name
+    """SQL for the declared column inventory of one table, from the checking database's own description.
+
+    Files declare every column nullable and text without a length.
+    """
+    cases = " ".join(f"WHEN '{theirs}' THEN '{ours}'" for ours, theirs in TYPE_NAMES.items())
+    return (
+        f"SELECT '{name}' AS table_name, column_name, CASE column_type {cases} ELSE column_type END AS data_type, "
+        "NULL::INT AS max_length, NULL::INT AS numeric_precision, NULL::INT AS numeric_scale, true AS is_nullable, "
+        f"(row_number() OVER ())::INT AS ordinal_position FROM (DESCRIBE SELECT * FROM {relation or name})"
+    )
+
+
+def profile_sql(name: str) -> str:
+    """SQL for what the data of one table's columns holds."""
     selects = []
-    for position, (column, kind) in enumerate(_split(columns or TABLES[name]), start=1):
+    for position, (column, kind) in enumerate(_split(TABLES[name]), start=1):
         length = f"max(length({column}))::INT" if kind == "string" else "NULL::INT"
         selects.append(
             f"SELECT '{name}' AS table_name, '{column}' AS column_name, '{kind}' AS data_type, {length} AS max_length, "
             f"NULL::INT AS numeric_precision, NULL::INT AS numeric_scale, count({column}) < count(*) AS is_nullable, "
-            f"{position} AS ordinal_position FROM {relation}"
+            f"{position} AS ordinal_position FROM {name}"
         )
     return "\nUNION ALL ".join(selects)
 
@@ -50,7 +66,7 @@ TARGET_DB = {
 
 
 def _database(spark, folder, side):
-    return union_all([inv.observed_columns(view(spark, folder, relation), name) for name, (relation, _) in side.items()])
+    return union_all([inv.declared_columns(spark, view(spark, folder, relation), name) for name, (relation, _) in side.items()])
 
 
 def _database_sql(side) -> str:
@@ -77,7 +93,12 @@ column_diff AS (
 
 @query("column_inventory", "\nUNION ALL ".join(columns_sql(n) for n in TABLES))
 def _(spark, folder):
-    return union_all([inv.observed_columns(view(spark, folder, n), n) for n in TABLES])
+    return union_all([inv.declared_columns(spark, view(spark, folder, n), n) for n in TABLES])
+
+
+@query("column_profile", "\nUNION ALL ".join(profile_sql(n) for n in TABLES))
+def _(spark, folder):
+    return union_all([inv.column_profile(view(spark, folder, n), n) for n in TABLES])
 
 
 COUNTS = "\nUNION ALL ".join(f"SELECT '{n}' AS table_name, count(*) AS row_count FROM {n}" for n in TABLES)
@@ -173,8 +194,8 @@ def _(spark, folder):
 )
 def _(spark, folder):
     return schema_diff(
-        inv.observed_columns(view(spark, folder, "orders"), "orders"),
-        inv.observed_columns(view(spark, folder, "orders_drifted"), "orders"),
+        inv.declared_columns(spark, view(spark, folder, "orders"), "orders"),
+        inv.declared_columns(spark, view(spark, folder, "orders_drifted"), "orders"),
     )
 
 
@@ -199,8 +220,8 @@ FROM column_diff WHERE table_name = 'orders' AND difference_type <> 'schema_diff
 )
 def _(spark, folder):
     return column_presence(
-        inv.observed_columns(view(spark, folder, "orders"), "orders"),
-        inv.observed_columns(view(spark, folder, "orders_drifted"), "orders"),
+        inv.declared_columns(spark, view(spark, folder, "orders"), "orders"),
+        inv.declared_columns(spark, view(spark, folder, "orders_drifted"), "orders"),
     )
 
 
@@ -221,8 +242,8 @@ FROM column_diff WHERE table_name = 'orders'""",
 )
 def _(spark, folder):
     differences = schema_diff(
-        inv.observed_columns(view(spark, folder, "orders"), "orders"),
-        inv.observed_columns(view(spark, folder, "orders_drifted"), "orders"),
+        inv.declared_columns(spark, view(spark, folder, "orders"), "orders"),
+        inv.declared_columns(spark, view(spark, folder, "orders_drifted"), "orders"),
     )
     return schema_sync_plan(differences, "dbo.orders")
 

@@ -213,8 +213,8 @@ def _(spark, folder):
 @query(
     "storage_rewrite_plan",
     ctes("codec_sizes", more=ADVICE)
-    + """ SELECT table_name, recommended_codec, priority, concat('-- ', reason, chr(10), 'CREATE TABLE ', table_name, '_', recommended_codec,
-  ' USING parquet OPTIONS (compression ''', recommended_codec, ''') AS SELECT * FROM ', table_name) AS statement
+    + """ SELECT table_name, recommended_codec, priority, concat('-- ', reason, chr(10), 'CREATE TABLE `', replace(table_name, '.', '`.`'), '_', recommended_codec,
+  '` USING parquet OPTIONS (compression ''', recommended_codec, ''') AS SELECT * FROM `', replace(table_name, '.', '`.`'), '`') AS statement
 FROM advice WHERE should_apply AND priority IN ('medium', 'high')""",
 )
 def _(spark, folder):
@@ -233,8 +233,27 @@ def _(spark, folder):
     return recommendation_table(_advice(spark, folder))
 
 
-@query("storage_measurement")
+MEASURED = ("lineitem", "orders", "documents")
+
+
+@query(
+    "storage_measurement",
+    "\nUNION ALL ".join(
+        f"SELECT '{t}' AS table_name, codec, (SELECT count(*) FROM {t}) AS row_count, true AS has_size "
+        "FROM (SELECT unnest(['snappy', 'gzip', 'zstd']) AS codec)"
+        for t in MEASURED
+    ),
+)
 def _(spark, folder):
-    return union_all(
-        [measure_codecs(view(spark, folder, name), name) for name in ("lineitem", "orders", "documents")]
-    )
+    measured = union_all([measure_codecs(view(spark, folder, name), name) for name in MEASURED])
+    return measured.select("table_name", "codec", "row_count", (F.col("size_kb") > 0).alias("has_size"))
+
+
+@query(
+    "apply_change_set_own_columns",
+    "SELECT o.*, CASE WHEN o.o_orderkey % 17 <> 0 THEN concat('kept ', o.o_orderkey) END AS own FROM orders o",
+)
+def _(spark, folder):
+    """Columns that only the target has survive an update."""
+    target = view(spark, folder, "orders_t").withColumn("own", F.concat(F.lit("kept "), "o_orderkey"))
+    return apply_change_set(target, change_set(view(spark, folder, "orders"), view(spark, folder, "orders_t"), KEY), KEY)

@@ -20,7 +20,11 @@ def quoted(name: str) -> str:
 
 
 def union_all(frames: list[DataFrame]) -> DataFrame:
-    return reduce(DataFrame.unionByName, frames)
+    """All rows of the frames, as a balanced tree: a chain would be analysed again for each frame."""
+    if len(frames) <= 2:
+        return reduce(DataFrame.unionByName, frames)
+    half = len(frames) // 2
+    return union_all(frames[:half]).unionByName(union_all(frames[half:]))
 
 
 def common_columns(source: DataFrame, target: DataFrame) -> list[str]:

@@ -32,15 +32,21 @@ def with_rank(df: DataFrame, order: list[Column], name: str = "rank") -> DataFra
     )
 
 
-def top_per_group(
-    df: DataFrame, group: list[str], order: list[Column], n: int, name: str = "rank", salts: int = 64
-) -> DataFrame:
+GROUP_LIMIT = 1000  # Spark's own limit up to which a rank filter is applied in every task before the shuffle
+
+
+def top_per_group(df: DataFrame, group: list[str], order: list[Column], n: int, name: str = "rank") -> DataFrame:
     """The first `n` rows of each group with their position.
 
-    A group may hold a third of all rows, so it is first split into `salts` parts by row
-    hash; each part keeps its first `n`, and only those meet in the final window.
+    Up to GROUP_LIMIT rows, Spark keeps the first `n` of a group in every task, so even a group
+    with a third of all rows moves little. Above it, groups are split into as many parts as
+    there are shuffle partitions; each part keeps its first `n`, and only those meet.
     """
     keys = [ref(c) for c in group]
+    if n <= GROUP_LIMIT:
+        position = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
+        return df.withColumn(name, position).where(F.col(name) <= n).withColumn(name, F.col(name).cast("long"))
+    salts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     salted = df.withColumn("_salt", F.pmod(F.xxhash64(*[ref(c) for c in df.columns]), F.lit(salts)))
     part = Window.partitionBy(*keys, "_salt").orderBy(*order)
     kept = salted.withColumn("_part", F.row_number().over(part)).where(F.col("_part") <= n).drop("_part", "_salt")

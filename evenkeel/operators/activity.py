@@ -102,7 +102,7 @@ def blocking_pairs(sessions: DataFrame, requests: DataFrame) -> DataFrame:
     """
     names = sessions.select("session_id", *PROGRAM_HOST)
     blocker_requests = requests.select(
-        "session_id", F.substring("query_text", 1, 500).alias("blocking_query")
+        "session_id", F.col("query_text").alias("blocking_query")
     )
     blockers = names.join(blocker_requests, "session_id", "full_outer").select(
         F.col("session_id").alias("blocking_session_id"),
@@ -121,7 +121,7 @@ def blocking_pairs(sessions: DataFrame, requests: DataFrame) -> DataFrame:
             "wait_type",
             F.col("wait_time").alias("wait_time_ms"),
             "wait_resource",
-            F.substring("query_text", 1, 500).alias("blocked_query"),
+            F.col("query_text").alias("blocked_query"),
         )
     )
     return blocked.join(blockers, "blocking_session_id", "left").select(
@@ -149,7 +149,8 @@ def session_details(sessions: DataFrame, requests: DataFrame) -> DataFrame:
         "wait_type",
         "wait_time",
         "blocking_session_id",
-        F.substring("query_text", 1, 500).alias("current_query"),
+        *[c for c in ("logical_reads",) if c in requests.columns],
+        F.col("query_text").alias("current_query"),
     )
     s = _user_sessions(sessions).select(
         "session_id",
@@ -168,12 +169,13 @@ def session_details(sessions: DataFrame, requests: DataFrame) -> DataFrame:
     return s.join(r, "session_id", "left")
 
 
-def query_patterns(stats: DataFrame, top_n: int | None = 50) -> DataFrame:
+def query_patterns(stats: DataFrame, top_n: int | None = None) -> DataFrame:
     """Query statistics with averages per execution and the number of plans per query.
 
-    Server queries about the server itself are left out. With `top_n`, the most expensive
-    are chosen and written out first, and plans are counted for their queries alone; the
-    count still covers all statistics.
+    Server queries about the server itself are left out; statistics without a query hash count
+    as one query. `top_n` is for a display: the most expensive are then chosen and written out
+    first, which runs when called, and plans are counted for their queries alone; the count
+    still covers all statistics.
     """
     shown = stats.where(
         F.col("query_text").isNotNull()
@@ -186,11 +188,12 @@ def query_patterns(stats: DataFrame, top_n: int | None = 50) -> DataFrame:
     if top_n is not None:
         order = [F.col("total_worker_time").desc(), F.col("query_hash"), F.col("program_name")]
         wanted = staged(shown.orderBy(*order).limit(top_n), "top-queries")
-        hashes = hashes.join(wanted.select("query_hash").distinct(), "query_hash", "left_semi")
-    plans = hashes.groupBy("query_hash").agg(F.count("*").alias("plan_count"))
-    return wanted.join(plans, "query_hash").select(
+        chosen = wanted.select(F.col("query_hash").alias("_chosen")).distinct()
+        hashes = hashes.join(chosen, F.col("query_hash").eqNullSafe(F.col("_chosen")), "left_semi")
+    plans = hashes.groupBy(F.col("query_hash").alias("_hash")).agg(F.count("*").alias("plan_count"))
+    return wanted.join(plans, F.col("query_hash").eqNullSafe(F.col("_hash"))).select(
         "query_hash",
-        F.substring("query_text", 1, 4000).alias("query_text"),
+        "query_text",
         F.coalesce("program_name", F.lit("Cached")).alias("source_program"),
         F.lit("").alias("source_host"),
         "execution_count",
@@ -214,7 +217,7 @@ def expensive_ranked(stats: DataFrame, top_n: int = 20) -> DataFrame:
     return top.select(
         F.coalesce("program_name", F.lit("Cached")).alias("program_name"),
         "query_hash",
-        F.substring("query_text", 1, 2000).alias("query_text"),
+        "query_text",
         "execution_count",
         F.expr("total_worker_time div 1000").alias("total_cpu_ms"),
         "total_logical_reads",

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -45,10 +47,18 @@ def change_counts(changes: DataFrame) -> DataFrame:
 
 
 def apply_change_set(target: DataFrame, changes: DataFrame, keys: list[str]) -> DataFrame:
-    """The target after the change set. Write it to a new path, never over the one being read."""
+    """The target after the change set. Columns that only the target has keep their values in
+    updated rows and are NULL in inserted ones. Write it to a new path, never over the one
+    being read. The change set is written out when this is called."""
     changes = staged(changes, "changes")
     kept = target.join(changes.select(*[ref(k) for k in keys]), same_keys(target, changes, keys), "left_anti")
-    return kept.unionByName(changes.where("op <> 'DELETE'").drop("op"), allowMissingColumns=True)
+    written = changes.where("op <> 'DELETE'").drop("op")
+    own = [c for c in target.columns if c not in written.columns]
+    if own:
+        before = target.select(*[ref(k).alias(f"_key{i}") for i, k in enumerate(keys)], *[ref(c) for c in own])
+        same = reduce(lambda a, b: a & b, [ref(k).eqNullSafe(F.col(f"_key{i}")) for i, k in enumerate(keys)])
+        written = written.join(before, same, "left").drop(*[f"_key{i}" for i in range(len(keys))])
+    return kept.unionByName(written, allowMissingColumns=True)
 
 
 def merge_statement(source_table: str, target_table: str, keys: list[str], columns: list[str]) -> str:

@@ -18,24 +18,22 @@ def date_columns(df: DataFrame) -> list[str]:
 def incremental_cutoff(source: DataFrame, target: DataFrame, column: str) -> DataFrame:
     """One row: the last date per side and the cutoff, which is NULL when none is needed."""
 
-    def side(df: DataFrame, from_source: bool) -> DataFrame:
-        return df.select(ref(column).alias("_d"), F.lit(from_source).alias("_s"))
-
-    both = side(source, True).union(side(target, False))
-    last = both.agg(
-        F.max(F.when(F.col("_s"), F.col("_d"))).alias("source_max"),
-        F.max(F.when(~F.col("_s"), F.col("_d"))).alias("target_max"),
-    )
+    def last_of(df: DataFrame, name: str, other: str) -> DataFrame:
+        """One row; a plain MAX, which a database or file statistics can answer."""
+        return df.agg(F.max(ref(column)).alias(name)).withColumn(other, F.lit(None))
+
+    sides = last_of(source, "source_max", "target_max").unionByName(last_of(target, "target_max", "source_max"))
+    last = sides.agg(F.max("source_max").alias("source_max"), F.max("target_max").alias("target_max"))
     needed = F.col("source_max") != F.col("target_max")
     return last.withColumn("cutoff", F.when(needed, F.least("source_max", "target_max")))
 
 
 def cut(df: DataFrame, column: str, cutoff) -> DataFrame:
-    """Rows up to the cutoff; all rows without one. The literal has the column's type, so the
-    predicate is pushed into the scan."""
+    """Rows up to the cutoff and rows without a date; all rows without a cutoff. The literal has
+    the column's type, so the predicate is pushed into the scan."""
     if cutoff is None:
         return df
-    return df.where(ref(column) <= F.lit(str(cutoff)).cast(field_type(df, column)))
+    return df.where((ref(column) <= F.lit(str(cutoff)).cast(field_type(df, column))) | ref(column).isNull())
 
 
 def incremental_pair(source: DataFrame, target: DataFrame, column: str) -> tuple[DataFrame, DataFrame]:

@@ -24,17 +24,15 @@ def measure_codecs(
     table_name: str,
     current_codec: str = "uncompressed",
     fraction: float = 0.1,
-    max_sample_rows: int = 10_000_000,
     seed: int = 7,
 ) -> DataFrame:
-    """Size per codec, scaled up from a sample of `fraction`, or less for very large tables.
+    """Size per codec, scaled up from a sample of `fraction` of the rows, whatever their number.
 
-    The sample is drawn once; the codecs are then tried on its written copy. The exact row
-    count comes from the file footers and sets the fraction.
+    Runs when called: the sample is drawn and written once, the codecs are tried on that copy,
+    and the rows of `df` are counted (for a plain parquet table from the file footers).
     """
     spark = df.sparkSession
     total = df.count()
-    fraction = min(fraction, max_sample_rows / total) if total else 1.0
     paths = {codec: fresh_path(spark, f"codec-{codec}") for codec in ("uncompressed", *CODECS)}
     df.sample(fraction=fraction, seed=seed).write.option("compression", "uncompressed").parquet(paths["uncompressed"])
     sample = spark.read.schema(df.schema).parquet(paths["uncompressed"])
@@ -109,9 +107,14 @@ def storage_rewrite_plan(advice: DataFrame, min_priority: str = "medium") -> Dat
     if min_priority not in PRIORITIES:
         raise ValueError(f"priority must be one of {PRIORITIES}, not {min_priority!r}")
     wanted = PRIORITIES[PRIORITIES.index(min_priority) :]
+    def name(table: Column) -> Column:
+        parts = F.transform(F.split(table, r"\."), lambda p: F.concat(F.lit("`"), F.replace(p, F.lit("`"), F.lit("``")), F.lit("`")))
+        return F.array_join(parts, ".")
+
+    comment = F.regexp_replace("reason", r"[\r\n]+", " ")  # a comment ends with its line
     statement = F.concat(
-        F.lit("-- "), "reason", F.lit("\nCREATE TABLE "), "table_name", F.lit("_"), "recommended_codec",
-        F.lit(" USING parquet OPTIONS (compression '"), "recommended_codec", F.lit("') AS SELECT * FROM "), "table_name",
+        F.lit("-- "), comment, F.lit("\nCREATE TABLE "), name(F.concat("table_name", F.lit("_"), "recommended_codec")),
+        F.lit(" USING parquet OPTIONS (compression '"), "recommended_codec", F.lit("') AS SELECT * FROM "), name(F.col("table_name")),
     )
     return advice.where(F.col("should_apply") & F.col("priority").isin(*wanted)).select(
         "table_name", "recommended_codec", "priority", statement.alias("statement")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import datetime
 import time
 from concurrent.futures import ThreadPoolExecutor
 from typing import NamedTuple
@@ -9,12 +10,13 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evenkeel.functions.columns import common_columns, union_all
+from evenkeel.functions.columns import common_columns, key_display, ref, union_all
 from evenkeel.functions.ranking import with_rank
 from evenkeel.operators.fingerprint import quick_compare
 from evenkeel.operators.incremental import incremental_pair
-from evenkeel.operators.row_diff import cell_diff, row_diff_counts
+from evenkeel.operators.row_diff import DIFFERENT, cell_diff, row_diff_counts, row_diff_rows
 from evenkeel.operators.schema_diff import schema_gap
+from evenkeel.operators.set_diff import multiset_diff
 from evenkeel.operators.table_filter import ComparisonFilter
 
 # fixed values: texts of summaries and verdicts
@@ -53,7 +55,7 @@ class TablePair(NamedTuple):
         if self.incremental_column:
             source, target = incremental_pair(source, target, self.incremental_column)
         if settings:
-            source, target = (settings.apply(self.source_table, df) for df in (source, target))
+            source, target = settings.apply(self.source_table, source, target, self.keys)
         return source, target
 
 
@@ -87,21 +89,21 @@ def compare_pair(
     pair: TablePair,
     mode: str = "quick",
     settings: ComparisonFilter | None = None,
-    fingerprint_first: bool = False,
+    trust_fingerprints: bool = False,
 ) -> DataFrame:
-    """One result row. `deep` counts like `standard`; its cells come from `deep_differences`.
+    """One result row. `deep` counts like `standard`; its rows and cells come from `deep_differences`.
 
-    With `fingerprint_first`, a pair with equal fingerprints is reported as a match without
+    With `trust_fingerprints`, a pair with equal fingerprints is reported as a match without
     shuffling its rows; the one-row fingerprint is read for that. Keys are then not checked.
     """
     if mode not in MODES:
         raise ValueError(f"mode must be one of {MODES}, not {mode!r}")
-    gap = schema_gap(pair.source.schema, pair.target.schema)
     source, target = pair.sides(settings)
+    gap = schema_gap(source.schema, target.schema)  # of the columns that are compared
     shared = common_columns(source, target)
     if mode == "quick" or not shared:
         counts = _quick_counts(source, target)
-    elif fingerprint_first and (found := quick_compare(source, target).first()).fingerprint_match:
+    elif trust_fingerprints and (found := quick_compare(source, target).first()).fingerprint_match:
         counts = _equal_counts(source.sparkSession, found.source_row_count)
     else:
         counts = row_diff_counts(source, target, list(pair.keys), on_duplicate=pair.on_duplicate, by_hash=True)
@@ -124,50 +126,84 @@ def compare_tables(
     isolate: bool = False,
     parallelism: int = 4,
     settings: ComparisonFilter | None = None,
-    fingerprint_first: bool = False,
+    trust_fingerprints: bool = False,
 ) -> DataFrame:
     """One result row per pair.
 
-    By default all pairs form one plan and one job. With `isolate`, each pair runs as its own
-    job, `parallelism` at a time; a pair that fails becomes a row with status `failed`, and
-    each row also has its duration and rows per second.
+    By default all pairs form one plan and one job; what a pair needs to know first, its cutoff
+    or its fingerprints, is read for `parallelism` pairs at a time. With `isolate`, each pair
+    runs as its own job; a pair that fails becomes a row with status `failed`, and each row
+    also has when it started and ended (UTC), its duration and rows per second.
     """
     if not isolate:
-        return with_metrics(union_all([compare_pair(p, mode, settings, fingerprint_first) for p in pairs]))
+        with ThreadPoolExecutor(max_workers=parallelism) as pool:
+            compared = list(pool.map(lambda p: compare_pair(p, mode, settings, trust_fingerprints), pairs))
+        return with_metrics(union_all(compared))
 
     def run(pair: TablePair) -> tuple:
-        start = time.monotonic()
+        began, start = _now(), time.monotonic()
         try:
-            row = tuple(compare_pair(pair, mode, settings, fingerprint_first).first())
+            row = tuple(compare_pair(pair, mode, settings, trust_fingerprints).first())
         except Exception as error:  # a failing pair must not stop the others
-            message = str(error).splitlines()[0][:500]
+            message = str(error) or type(error).__name__
             row = (pair.source_table, pair.target_table, mode, "failed", message, False, 0, 0, 0, 0, 0, 0, 0)
-        return (*row, time.monotonic() - start)
+        return (*row, began, _now(), time.monotonic() - start)
 
     with ThreadPoolExecutor(max_workers=parallelism) as pool:
         rows = list(pool.map(run, pairs))
-    timed = spark.createDataFrame(rows, RESULT_COLUMNS + ", duration_seconds DOUBLE")
+    timed = spark.createDataFrame(
+        rows, RESULT_COLUMNS + ", started_at TIMESTAMP_NTZ, completed_at TIMESTAMP_NTZ, duration_seconds DOUBLE"
+    )
     rate = F.greatest("source_row_count", "target_row_count") / F.nullif("duration_seconds", F.lit(0.0))
     return with_metrics(timed.withColumn("rows_per_second", rate))
 
 
+def _now() -> datetime.datetime:
+    return datetime.datetime.now(datetime.timezone.utc).replace(tzinfo=None)
+
+
+def _deep_pair(pair: TablePair, settings: ComparisonFilter | None, limit: int | None) -> DataFrame:
+    source, target = pair.sides(settings)
+    nothing, one = F.lit(None).cast("string"), F.lit(1).cast("long")
+    if pair.keys and pair.on_duplicate == "raise":
+        keys = list(pair.keys)
+        cells = cell_diff(source, target, keys).select(
+            "key_display", "column_name", "source_value", "target_value",
+            F.lit(DIFFERENT).alias("difference_type"), one.alias("copies"),
+        )
+        rows = row_diff_rows(source, target, keys).where(F.col("difference_type") != DIFFERENT)
+    else:
+        cells = None
+        rows = multiset_diff(source, target, by_hash=True)
+        rows = rows.withColumn("key_display", key_display(common_columns(source, target)))
+    one_sided = rows.select(
+        "key_display", nothing.alias("column_name"), nothing.alias("source_value"), nothing.alias("target_value"),
+        "difference_type", ref("copies") if cells is None else one.alias("copies"),
+    )
+    found = one_sided if cells is None else cells.unionByName(one_sided)
+    if limit is not None:
+        found = found.orderBy("key_display", "difference_type", "column_name").limit(limit)
+    return found.select(F.lit(pair.source_table).alias("table_name"), *found.columns)
+
+
 def deep_differences(
-    pairs: list[TablePair], limit: int | None = None, settings: ComparisonFilter | None = None
+    pairs: list[TablePair], limit: int | None = None, settings: ComparisonFilter | None = None, parallelism: int = 4
 ) -> DataFrame:
-    """Cell differences of all keyed pairs, the second half of a `deep` comparison.
+    """All differences of all pairs, the second half of a `deep` comparison.
 
-    `limit` caps the report per pair, in key order.
+    Pairs with a key give one row per differing cell and per row of one side; the others
+    are compared as multisets and give one row per distinct row, with the number of `copies`
+    that one side has more. The differing keys are written out when this is called,
+    `parallelism` pairs at a time. `limit`, or else the `row_limit` of a table's filter, caps
+    the report per pair, in the order of the displayed key.
     """
-    keyed = [p for p in pairs if p.keys and p.on_duplicate == "raise"]
-    columns = ["table_name", "key_display", "column_name", "source_value", "target_value"]
-    cells = []
-    for pair in keyed:
-        source, target = pair.sides(settings)
-        found = cell_diff(source, target, list(pair.keys), limit=limit, table_name=pair.source_table)
-        cells.append(found.select(*columns, F.lit("data_different").alias("difference_type")))
-    if not cells:
-        raise ValueError("cell differences need at least one pair with a key")
-    return union_all(cells)
+
+    def run(pair: TablePair) -> DataFrame:
+        own = settings.of(pair.source_table).row_limit if settings else None
+        return _deep_pair(pair, settings, own if limit is None else limit)
+
+    with ThreadPoolExecutor(max_workers=parallelism) as pool:
+        return union_all(list(pool.map(run, pairs)))
 
 
 def is_match() -> Column:

@@ -31,8 +31,8 @@ def comparison_report(results: DataFrame) -> DataFrame:
     )
 
 
-def difference_report(schema_differences: DataFrame, data_differences: DataFrame, shown: int = 1000) -> DataFrame:
-    """All schema differences and the first `shown` data differences of each table."""
+def difference_report(schema_differences: DataFrame, data_differences: DataFrame, shown: int | None = None) -> DataFrame:
+    """All schema differences and all data differences, or the first `shown` of each table."""
     schema_rows = schema_differences.select(
         "table_name",
         F.lit("schema").alias("section"),
@@ -42,7 +42,9 @@ def difference_report(schema_differences: DataFrame, data_differences: DataFrame
         F.coalesce("target_value", F.lit("")).alias("target_value"),
     )
     order = [F.col("key_display"), F.col("column_name")]
-    first = top_per_group(data_differences.select("table_name", "key_display", "column_name", "source_value", "target_value"), ["table_name"], order, shown)
+    first = data_differences.select("table_name", "key_display", "column_name", "source_value", "target_value")
+    if shown is not None:
+        first = top_per_group(first, ["table_name"], order, shown)
     data_rows = first.select(
         "table_name",
         F.lit("data").alias("section"),

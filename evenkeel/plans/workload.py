@@ -90,14 +90,11 @@ def connection_issues(sources: DataFrame, limits: Thresholds = Thresholds()) ->
     )
 
 
-def expensive_queries(patterns: DataFrame, top_n: int = 20) -> DataFrame:
-    """The costliest of the patterns that exceed a threshold."""
-    return (
-        patterns.where(is_expensive())
-        .withColumn("cost_score", query_cost())
-        .orderBy(F.col("cost_score").desc(), "query_hash", "source_program")
-        .limit(top_n)
-    )
+def expensive_queries(patterns: DataFrame, top_n: int | None = None) -> DataFrame:
+    """The patterns that exceed a threshold, or the `top_n` costliest of them for a display."""
+    found = patterns.where(is_expensive()).withColumn("cost_score", query_cost())
+    order = [F.col("cost_score").desc(), "query_hash", "source_program"]
+    return found if top_n is None else found.orderBy(*order).limit(top_n)
 
 
 def blocking_hotspots(pairs: DataFrame, min_sessions: int = 2, long_wait_ms: int = 30000) -> DataFrame:
@@ -127,9 +124,9 @@ def blocking_hotspots(pairs: DataFrame, min_sessions: int = 2, long_wait_ms: int
     return frequent.unionByName(waiting)
 
 
-def redundant_queries(patterns: DataFrame) -> DataFrame:
+def redundant_queries(patterns: DataFrame, with_systems: bool = False) -> DataFrame:
     """Queries that several systems run. Patterns are first reduced to one row per query and
-    system, so a query with many plans stays small."""
+    system, so a query with many plans stays small. `with_systems` adds the systems as an array."""
     per_system = (
         patterns.where("query_hash <> ''")
         .groupBy("query_hash", "source_program")
@@ -151,6 +148,7 @@ def redundant_queries(patterns: DataFrame) -> DataFrame:
             "query_hash",
             shortened(F.col("top.query_text"), 100).alias("query_pattern"),
             F.array_join(F.array_sort("systems"), ", ").alias("systems_involved"),
+            *([F.array_sort("systems").alias("systems")] if with_systems else []),
             "total_executions",
             F.least(F.lit(50.0), (systems - 1) * F.lit(20.0)).alias("potential_savings_percent"),
             F.lit(CONSOLIDATE).alias("recommendation"),
@@ -160,14 +158,17 @@ def redundant_queries(patterns: DataFrame) -> DataFrame:
     )
 
 
-def n_plus_one(patterns: DataFrame, executions: int = 1000, elapsed_ms: float = 10) -> DataFrame:
-    """Cheap queries that run very often."""
+def n_plus_one(
+    patterns: DataFrame, executions: int = 1000, elapsed_ms: float = 10, with_systems: bool = False
+) -> DataFrame:
+    """Cheap queries that run very often. `with_systems` adds the system as an array."""
     return patterns.where(
         (F.col("execution_count") > executions) & (F.col("avg_elapsed_time_ms") < elapsed_ms)
     ).select(
         "query_hash",
         shortened(F.col("query_text"), 100).alias("query_pattern"),
         F.col("source_program").alias("systems_involved"),
+        *([F.array("source_program").alias("systems")] if with_systems else []),
         F.col("execution_count").alias("total_executions"),
         F.lit(80.0).alias("potential_savings_percent"),
         F.lit(BATCH).alias("recommendation"),
@@ -177,7 +178,8 @@ def n_plus_one(patterns: DataFrame, executions: int = 1000, elapsed_ms: float =
 
 
 def redundancies(patterns: DataFrame) -> DataFrame:
-    return redundant_queries(patterns).unionByName(n_plus_one(patterns))
+    """Both kinds of findings, with the systems as text and as an array."""
+    return redundant_queries(patterns, True).unionByName(n_plus_one(patterns, with_systems=True))
 
 
 def redundancy_report(findings: DataFrame, shown: int = 5) -> DataFrame:
@@ -228,7 +230,7 @@ def resource_distribution(scorecards: DataFrame, systems: int = 10) -> DataFrame
     """CPU seconds and I/O per 10 000 of the top-ranked systems."""
     return scorecards.where(F.col("rank") <= systems).select(
         "rank",
-        F.substring("system_name", 1, 20).alias("system_name"),
+        "system_name",
         "cpu_cost_seconds",
         ((F.col("io_reads") + F.col("io_writes")) / 10000).alias("io_per_10k"),
     )
@@ -242,20 +244,26 @@ def workload_recommendations(
     findings: DataFrame,
     scorecards: DataFrame,
     limits: Thresholds = Thresholds(),
+    queries: int = 5,
+    sources_blocking: int = 3,
+    redundant: int = 3,
+    systems: int = 3,
+    pattern_length: int = 50,
 ) -> DataFrame:
-    """Advice as (priority, category, message). Each rule looks at the head of its input."""
+    """Advice as (priority, category, message). Each rule shows the head of its input, as long
+    as its parameter says, and messages quote `pattern_length` characters of a query."""
 
     def advice(df: DataFrame, priority: str, category: str, kind: str, *values) -> DataFrame:
         text = F.format_string(ADVICE_TEXTS[kind], *values)
         return df.select(F.lit(priority).alias("priority"), F.lit(category).alias("category"), text.alias("message"))
 
     idle, active = F.col("idle_connections"), F.col("active_connections")
-    top_queries = expensive.orderBy(F.col("cost_score").desc(), "query_hash", "source_program").limit(5)
-    top_hotspots = hotspots.orderBy("kind", F.col("magnitude").desc(), "hotspot").limit(3)
+    top_queries = expensive.orderBy(F.col("cost_score").desc(), "query_hash", "source_program").limit(queries)
+    top_hotspots = hotspots.orderBy("kind", F.col("magnitude").desc(), "hotspot").limit(sources_blocking)
     top_findings = (
         findings.where("severity = 'high'")
         .orderBy(F.col("total_worker_time_ms").desc(), "query_hash", "systems_involved")
-        .limit(3)
+        .limit(redundant)
     )
     efficiency = F.col("connection_pool_efficiency")
     return union_all(
@@ -273,10 +281,10 @@ def workload_recommendations(
             ),
             advice(top_hotspots, "HIGH", "blocking", "hotspot", "hotspot"),
             advice(
-                top_findings, "MEDIUM", "redundancy", "redundancy", "recommendation", F.substring("query_pattern", 1, 50)
+                top_findings, "MEDIUM", "redundancy", "redundancy", "recommendation", F.substring("query_pattern", 1, pattern_length)
             ),
             advice(
-                scorecards.where(F.col("rank") <= 3).where(
+                scorecards.where(F.col("rank") <= systems).where(
                     (efficiency < limits.utilisation_percent)
                     & (F.col("total_connections") > limits.utilisation_connections)
                 ),
@@ -296,10 +304,12 @@ def analyze(
     stats: DataFrame,
     as_of: str,
     limits: Thresholds = Thresholds(),
-    top_n: int | None = 100,
+    top_n: int | None = None,
 ) -> Analysis:
-    """The whole analysis. Sources, patterns and blocking pairs are written out once, since
-    several findings read each of them."""
+    """The whole analysis over all statistics, or with `top_n` over the costliest ones alone.
+
+    Runs when called: sources, patterns and blocking pairs are written out once, since several
+    findings read each of them."""
     sources, patterns, blocking = staged_together(
         {
             "sources": activity.connection_sources(sessions, requests, as_of),
@@ -359,7 +369,7 @@ def system_report(analysis: Analysis, system_name: str, top_n: int = 20) -> Data
             section(pairs.where(F.col("blocking_program") == system_name), "blocking_others", session("blocked"), wait),
             section(pairs.where(F.col("blocked_program") == system_name), "blocked_by_others", session("blocking"), wait),
             section(
-                analysis.redundancies.where(F.array_contains(F.split("systems_involved", ", "), system_name)),
+                analysis.redundancies.where(F.array_contains("systems", system_name)),
                 "redundancies", F.col("query_pattern"), F.col("total_executions"),
             ),
             section(missing, "error", F.lit(f"System '{system_name}' not found"), F.lit(None)),

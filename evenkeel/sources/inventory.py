@@ -48,11 +48,11 @@ def declared_columns(spark: SparkSession, schema: T.StructType | DataFrame, tabl
     return spark.createDataFrame(column_records(schema, table_name), COLUMN_INVENTORY)
 
 
-def observed_columns(df: DataFrame, table_name: str) -> DataFrame:
-    """Column inventory in which length and nullability come from the data.
+def column_profile(df: DataFrame, table_name: str) -> DataFrame:
+    """What the data of each column holds: the longest text, and whether a NULL occurs.
 
-    Parquet declares neither, so one aggregate over the table finds the longest text and
-    whether a NULL occurs.
+    Reads every column, in one aggregate. It describes data, not the schema; comparisons of
+    schemas use `declared_columns`.
     """
     measures = [F.expr("count(*) AS _rows")]
     for i, field in enumerate(df.schema.fields):
@@ -136,7 +136,7 @@ def table_profile(df: DataFrame, table_name: str, keys: list[str]) -> DataFrame:
         F.lit(table_name).alias("table_name"), "row_count", F.col("is_unique").alias("key_is_unique")
     )
     return (
-        observed_columns(df, table_name)
+        declared_columns(df.sparkSession, df, table_name)
         .join(checked, "table_name")
         .select(
             "table_name",

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from evenkeel.functions.text import fixed
 
+# fixed values: columns of the exported tables
 CSV_SUMMARY = (
     "source_table STRING, target_table STRING, status STRING, schema_match BOOLEAN, source_rows BIGINT, "
     "target_rows BIGINT, matching_rows BIGINT, different_rows BIGINT, source_only BIGINT, target_only BIGINT, "
@@ -85,13 +86,14 @@ def json_results(
 def write_json(document: DataFrame, folder: str, exported_at: str) -> None:
     """One JSON line per result in `results`, and date and count in `envelope`."""
     document.write.option("ignoreNullFields", False).json(f"{folder}/results")
-    document.agg(F.count("*").alias("total_comparisons")).select(
+    written = document.sparkSession.read.text(f"{folder}/results")  # counted from the files, so the run is computed once
+    written.agg(F.count("*").alias("total_comparisons")).select(
         F.lit(exported_at).alias("export_date"), "total_comparisons"
     ).write.json(f"{folder}/envelope")
 
 
 def recommendation_table(advice: DataFrame) -> DataFrame:
-    """Advice on codecs with display names and rounded sizes."""
+    """Advice on codecs with display names (fixed values) and rounded sizes."""
     return advice.select(
         F.col("table_name").alias("Table"),
         F.col("current_codec").alias("Current Compression"),
