@@ -98,32 +98,33 @@ def _(spark, folder):
 
 
 EVENT_CELLS = """cells AS (
-  SELECT concat('run-', s.user_id) AS run_id, s.event_type AS source_table, concat('event_id=', s.event_id) AS k,
-    CAST(s.value AS VARCHAR) AS old, CAST(t.value AS VARCHAR) AS new
-  FROM events s JOIN events_t t ON s.event_id = t.event_id WHERE s.value IS DISTINCT FROM t.value),
-lists AS (SELECT run_id, source_table, string_agg(concat(k, ': value ', old, ' -> ', new), '; ' ORDER BY k) AS differences
-  FROM cells GROUP BY ALL)"""
+  SELECT concat('run-', s.user_id) AS run_id, s.event_type AS source_table, concat('event_id=', s.event_id) AS key_display,
+    'value' AS column_name, CAST(s.value AS VARCHAR) AS source_value, CAST(t.value AS VARCHAR) AS target_value
+  FROM events s JOIN events_t t ON s.event_id = t.event_id WHERE s.value IS DISTINCT FROM t.value)"""
+
+
+def _stored(spark, folder):
+    """A history with the run log, its results and their differences."""
+    events, target = view(spark, folder, "events"), view(spark, folder, "events_t")
+    owner = [F.concat(F.lit("run-"), "user_id").alias("run_id"), F.col("event_type").alias("source_table")]
+    # the owners are part of the key, so they come with the differences
+    owned = [df.select("event_id", "value", *owner) for df in (events, target)]
+    cells = cell_diff(*owned, ["run_id", "source_table", "event_id"], ["value"])
+    history = H.History(spark, fresh_path(spark, "history"))
+    history.log(_run_events(spark, folder))
+    history.save_results(view(spark, folder, "result_log"))
+    history.save_differences(cells.withColumn("key_display", F.concat(F.lit("event_id="), "event_id")))
+    return history
 
 
-@query(
-    "history_results",
-    ctes("result_log", "events_t", more=EVENT_CELLS)
-    + """ SELECT r.*, coalesce(l.differences, '') AS differences FROM result_log r
-LEFT JOIN lists l ON r.run_id = l.run_id AND r.source_table = l.source_table""",
-)
+@query("history_results", ctes("result_log") + " SELECT * FROM result_log")
 def _(spark, folder):
-    events = view(spark, folder, "events")
-    cells = cell_diff(events, view(spark, folder, "events_t"), ["event_id"], ["value"])
-    owners = events.select("event_id", F.concat(F.lit("run-"), "user_id").alias("run_id"), F.col("event_type").alias("source_table"))
-    history = H.History(spark, fresh_path(spark, "history"))
-    history.log(_run_events(spark, folder))
-    log = view(spark, folder, "result_log")
-    history.save_results(H.attach_differences(log, cells.join(owners, "event_id"), ["run_id", "source_table"]))
-    shown = F.transform(
-        "data_differences",
-        lambda d: F.concat(d["key"], F.lit(": "), d["column_name"], F.lit(" "), d["source_value"], F.lit(" -> "), d["target_value"]),
-    )
-    return history.results().select(*log.columns, F.array_join(shown, "; ").alias("differences"))
+    return _stored(spark, folder).results().select(*view(spark, folder, "result_log").columns)
+
+
+@query("history_differences", ctes("run_log", "events_t", more=EVENT_CELLS) + " SELECT * FROM cells WHERE run_id IN (SELECT run_id FROM run_log)")
+def _(spark, folder):
+    return _stored(spark, folder).differences().drop("difference_type")
 
 
 @query(
@@ -149,7 +150,12 @@ def _(spark, folder):
 
 @query("history_delete", HISTORY + "SELECT * FROM result_log WHERE run_id <> 'run-8'")
 def _(spark, folder):
-    return H.without_run(view(spark, folder, "result_log"), "run-8")
+    history = H.History(spark, fresh_path(spark, "history"))
+    history.log(_run_events(spark, folder))
+    log = view(spark, folder, "result_log")
+    history.save_results(log)
+    history.delete_run("run-8", AS_OF)
+    return history.results().select(*log.columns)
 
 
 KEPT = f"started_at >= TIMESTAMP '{AS_OF}' - INTERVAL 30 DAY"
@@ -162,7 +168,11 @@ KEPT = f"started_at >= TIMESTAMP '{AS_OF}' - INTERVAL 30 DAY"
 UNION ALL SELECT 'results', run_id, count(*) FROM result_log WHERE run_id IN (SELECT run_id FROM runs WHERE {KEPT}) GROUP BY run_id""",
 )
 def _(spark, folder):
-    runs, results = H.cleanup(_runs(spark, folder), view(spark, folder, "result_log"), AS_OF, 30)
+    history = H.History(spark, fresh_path(spark, "history"))
+    history.log(_run_events(spark, folder))
+    history.save_results(view(spark, folder, "result_log"))
+    history.cleanup(AS_OF, 30)
+    runs, results = history.runs(), history.results()
     return union_all(
         [
             df.groupBy("run_id").agg(F.count("*").alias("kept")).select(F.lit(kind).alias("kind"), "run_id", "kept")

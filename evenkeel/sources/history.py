@@ -1,13 +1,16 @@
 """History of comparison runs on parquet.
 
 Parquet has no UPDATE or DELETE, so the run table is a log: a run is opened, completed and
-deleted by appended events, and its state is read from the latest of each. Results are
-partitioned by a hash bucket of the run, so that reading one run lists one folder while the
-number of folders does not grow with the number of runs.
+deleted by appended events, and its state is read from the latest of each. Every append
+goes to a folder of its own, so writers do not disturb each other. Results and differences are
+partitioned by a hash bucket of the run, so that reading one run reads few files. Data
+differences are rows of their own table, as many as there are; `compact` merges the appends.
 """
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -28,6 +31,11 @@ RESULTS = (
     "schema_differences STRING, data_differences STRING"
 )
 
+DIFFERENCE_ROWS = (
+    "run_id STRING, source_table STRING, key_display STRING, column_name STRING, source_value STRING, "
+    "target_value STRING, difference_type STRING"
+)
+
 RESULT_BUCKETS = 64
 
 DIFFERENCES = "array<struct<key:string,column_name:string,source_value:string,target_value:string>>"
@@ -110,10 +118,17 @@ def cleanup(runs: DataFrame, results: DataFrame, as_of: str, days: int = 30) ->
     return runs.join(expired, "run_id", "left_anti"), results.join(expired, "run_id", "left_anti")
 
 
-def attach_differences(results: DataFrame, differences: DataFrame, by: list[str], limit: int = 1000) -> DataFrame:
-    """Results with the first data differences of each as a list of at most `limit` entries."""
+def attach_differences(results: DataFrame, differences: DataFrame, by: list[str], limit: int) -> DataFrame:
+    """Results with their first `limit` data differences as a list, for a display, and how many there are.
+
+    The store keeps all of them: `History.save_differences`.
+    """
     order = [F.col("key_display"), F.col("column_name")]
     first = top_per_group(differences, by, order, limit)
+    found = differences.groupBy(*[ref(c) for c in by]).agg(F.count("*").alias("data_difference_count"))
+    results = results.join(found, by, "left").withColumn(
+        "data_difference_count", F.coalesce("data_difference_count", F.lit(0).cast("long"))
+    )
     entry = F.struct(F.col("key_display").alias("key"), "column_name", "source_value", "target_value")
     lists = first.groupBy(*[ref(c) for c in by]).agg(F.array_sort(F.collect_list(entry)).alias("data_differences"))
     return results.join(lists, by, "left").withColumn(
@@ -156,6 +171,11 @@ def _bucket(run_id: Column) -> Column:
     return F.pmod(F.xxhash64(run_id), F.lit(RESULT_BUCKETS)).cast("int")
 
 
+def _append(path: str) -> str:
+    """A folder of its own for one append, which the readers see as a partition."""
+    return f"{path}/append={uuid.uuid4().hex}"
+
+
 class History:
     """A run history in one folder."""
 
@@ -163,15 +183,16 @@ class History:
         self.spark = spark
         self.runs_path = f"{folder}/runs"
         self.results_path = f"{folder}/results"
+        self.differences_path = f"{folder}/differences"
 
     def log(self, events: DataFrame) -> None:
         """Appends run events; columns they lack are NULL."""
-        _conforming(events, RUN_EVENTS).write.mode("append").parquet(self.runs_path)
+        _conforming(events, RUN_EVENTS).write.parquet(_append(self.runs_path))
 
     def _stored(self, path: str, schema: str) -> DataFrame:
         """A stored table, which is empty before the first write."""
         try:
-            return self.spark.read.schema(schema).parquet(path)
+            return self.spark.read.schema(f"{schema}, append STRING").parquet(path).drop("append")
         except AnalysisException as error:
             if error.getCondition() != "PATH_NOT_FOUND":
                 raise
@@ -206,16 +227,18 @@ class History:
         return count
 
     def save_results(self, results: DataFrame) -> None:
-        """Appends results, which carry their `run_id`; columns they lack are NULL. The rebalance hint gathers a bucket in
-        few files and lets adaptive execution split one that is too large for a task."""
-        (
-            _conforming(to_json_text(results), RESULTS)
-            .withColumn("run_bucket", _bucket(F.col("run_id")))
-            .hint("rebalance", F.col("run_bucket"))
-            .write.mode("append")
-            .partitionBy("run_bucket")
-            .parquet(self.results_path)
-        )
+        """Appends results, which carry their `run_id`; columns they lack are NULL."""
+        self._save(_conforming(to_json_text(results), RESULTS), self.results_path)
+
+    def save_differences(self, differences: DataFrame) -> None:
+        """Appends data differences, which carry `run_id` and `source_table`: all of them."""
+        self._save(_conforming(differences, DIFFERENCE_ROWS), self.differences_path)
+
+    def _save(self, rows: DataFrame, path: str) -> None:
+        """The rebalance hint gathers a bucket in few files and lets adaptive execution split one
+        that is too large for a task."""
+        bucketed = rows.withColumn("run_bucket", _bucket(F.col("run_id"))).hint("rebalance", F.col("run_bucket"))
+        bucketed.write.partitionBy("run_bucket").parquet(_append(path))
 
     def runs(self) -> DataFrame:
         return runs_from_events(self._stored(self.runs_path, RUN_EVENTS))
@@ -225,14 +248,21 @@ class History:
 
     def results(self, run_id: str | None = None) -> DataFrame:
         """Results of the runs that still exist, or of one run; then only its bucket is read."""
-        stored = self._stored(self.results_path, RESULTS + ", run_bucket INT")
+        return from_json_text(self._of_runs(self.results_path, RESULTS, run_id))
+
+    def differences(self, run_id: str | None = None) -> DataFrame:
+        """Data differences of the runs that still exist, or of one run."""
+        return self._of_runs(self.differences_path, DIFFERENCE_ROWS, run_id)
+
+    def _of_runs(self, path: str, schema: str, run_id: str | None) -> DataFrame:
+        stored = self._stored(path, schema + ", run_bucket INT")
         if run_id is not None:
             stored = stored.where(
                 (F.col("run_bucket") == _bucket(F.lit(run_id))) & (F.col("run_id") == run_id)
             )
         stored = stored.drop("run_bucket")
         kept = self.runs() if run_id is None else self.run(run_id)
-        return from_json_text(stored.join(kept.select("run_id"), "run_id", "left_semi"))
+        return stored.join(kept.select("run_id"), "run_id", "left_semi")
 
     def compact(self, folder: str) -> "History":
         """A copy of the history without deleted runs, in a new folder."""
@@ -240,4 +270,5 @@ class History:
         events = self._stored(self.runs_path, RUN_EVENTS)
         fresh.log(events.join(self.runs().select("run_id"), "run_id", "left_semi"))
         fresh.save_results(self.results())
+        fresh.save_differences(self.differences())
         return fresh

@@ -73,7 +73,10 @@ def test_modes(spark):
     p = pair(spark, "t", [(1, "a"), (2, "b")], [(1, "a"), (2, "c"), (3, "d")])
     assert tuple(C.compare_pair(p, "quick").first())[7:] == (2, 3, 0, 3, 0, 0)
     assert tuple(C.compare_pair(p, "standard").first())[7:] == (2, 3, 1, 1, 0, 1)
-    assert rows(C.deep_differences([p]), "key_display", "source_value", "target_value") == [("k=2", "b", "c")]
+    assert rows(C.deep_differences([p]), "key_display", "source_value", "target_value", "difference_type") == [
+        ("k=2", "b", "c", "data_different"),
+        ("k=3", None, None, "data_only_target"),
+    ]
     with pytest.raises(ValueError):
         C.compare_pair(p, "thorough")
 
@@ -81,7 +84,7 @@ def test_modes(spark):
 def test_early_exit_and_filters(spark):
     same = pair(spark, "t", [(1, "a"), (2, "b")], [(2, "b"), (1, "a")])
     other = pair(spark, "u", [(1, "a"), (2, "b")], [(1, "a"), (2, "c")])
-    found = C.compare_tables(spark, [same, other], "standard", fingerprint_first=True)
+    found = C.compare_tables(spark, [same, other], "standard", trust_fingerprints=True)
     assert rows(found, "source_table", "matching_rows", "different_rows", "is_match") == [("t", 2, 0, True), ("u", 1, 1, False)]
     settings = ComparisonFilter({"u": TableFilter((ColumnFilter("k", "lt", 2),))}, name_pattern="u", min_rows=1)
     assert C.compare_tables(spark, [other], "standard", settings=settings).first().is_match
@@ -144,3 +147,66 @@ def test_reports(spark, run):
     found = difference_report(none, cells, 3)
     assert rows(found.where("section = 'data'"), "key_display", "source_value") == [("k=00", ""), ("k=01", ""), ("k=02", "")]
     assert rows(found.where("section = 'schema'"), "column_name", "target_value") == [("", "int")]
+
+
+def test_deep_lists_keyless_and_one_sided_rows(spark):
+    schema = "k INT, v STRING"
+    left = spark.createDataFrame([(1, "a"), (1, "a"), (2, "b")], schema)
+    right = spark.createDataFrame([(1, "a"), (3, "c")], schema)
+    keyless = C.TablePair("t", "t", left, right)
+    keyed = pair(spark, "u", [(1, "a")], [(2, "a")])
+    found = C.deep_differences([keyless, keyed])
+    assert rows(found, "table_name", "key_display", "difference_type", "copies") == [
+        ("t", "k=1, v=a", "data_only_source", 1),
+        ("t", "k=2, v=b", "data_only_source", 1),
+        ("t", "k=3, v=c", "data_only_target", 1),
+        ("u", "k=1", "data_only_source", 1),
+        ("u", "k=2", "data_only_target", 1),
+    ]
+
+
+def test_row_limit_caps_the_report_and_not_the_input(spark):
+    p = pair(spark, "t", [(1, "a"), (2, "b"), (3, "c")], [(2, "x"), (3, "c"), (4, "d")])
+    settings = ComparisonFilter({"t": TableFilter(row_limit=2)})
+    assert C.compare_tables(spark, [p], "standard", settings=settings).first().matching_rows == 1
+    assert C.deep_differences([p], settings=settings).count() == 2
+    assert C.deep_differences([p]).count() == 3
+
+
+def test_more_than_a_thousand_differences(spark):
+    left = spark.range(1500).selectExpr("id AS k", "'a' AS v")
+    right = spark.range(1500).selectExpr("id AS k", "'b' AS v")
+    assert C.deep_differences([C.TablePair("t", "t", left, right, ("k",))]).count() == 1500
+
+
+def test_filter_on_a_column_of_one_side_applies_to_neither(spark):
+    left = spark.createDataFrame([(1, "a", 9), (2, "b", 1)], "k INT, v STRING, only INT")
+    right = spark.createDataFrame([(1, "a"), (2, "b")], "k INT, v STRING")
+    settings = ComparisonFilter({"t": TableFilter((ColumnFilter("only", "gt", 5),), exclude=("only",))})
+    row = C.compare_tables(spark, [C.TablePair("t", "t", left, right, ("k",))], "standard", settings=settings).first()
+    assert (row.matching_rows, row.target_only_rows, row.schema_match) == (2, 0, True)
+
+
+def test_error_without_a_message_is_isolated(spark, monkeypatch):
+    def fail(*args, **kwargs):
+        raise KeyError
+
+    good = pair(spark, "good", [(1, "a")], [(1, "a")])
+    monkeypatch.setattr(C, "row_diff_counts", fail)
+    row = C.compare_tables(spark, [good], "standard", isolate=True).first()
+    assert (row.status, row.error_message) == ("failed", "KeyError") and row.completed_at >= row.started_at
+
+
+def test_rows_without_a_date_take_part(spark):
+    day = datetime.datetime(2024, 1, 1)
+    schema = "id INT, at TIMESTAMP_NTZ"
+    s = spark.createDataFrame([(1, day), (2, day + datetime.timedelta(days=1)), (3, None)], schema)
+    t = spark.createDataFrame([(1, day)], schema)
+    row = C.with_metrics(C.compare_pair(C.TablePair("s", "t", s, t, ("id",), incremental_column="at"), "standard")).first()
+    assert (row.matching_rows, row.source_only_rows, row.is_match) == (1, 1, False)
+
+
+def test_normalisation_in_a_comparison(spark):
+    p = pair(spark, "t", [(1, " Ab ")], [(1, "aB")])
+    assert not C.compare_tables(spark, [p], "standard").first().is_match
+    assert C.compare_tables(spark, [p], "standard", settings=ComparisonFilter(ignore_case=True, ignore_whitespace=True)).first().is_match

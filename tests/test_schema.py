@@ -65,9 +65,9 @@ def test_declared_types(spark):
     assert rows(df.select("column_name", inv.full_type().alias("t"), "is_nullable")) == [("a", "decimal(18,2)", False), ("b", "char(3)", True)]
 
 
-def test_observed_columns(spark):
+def test_column_profile(spark):
     df = spark.createDataFrame([(1, "abc", None), (2, "x", None)], "a INT, b STRING, c STRING")
-    found = inv.observed_columns(df, "t")
+    found = inv.column_profile(df, "t")
     assert rows(found, "column_name", "max_length", "is_nullable") == [("a", None, False), ("b", 3, False), ("c", None, True)]
 
 
@@ -136,3 +136,19 @@ def test_keys(spark):
     assert rows(candidate_keys(df.limit(3), [["b"], ["a", "b"]]), "key_columns", "is_candidate") == [("a, b", False), ("b", True)]
     empty = key_check(df.limit(0), ["a"]).first()
     assert (empty.row_count, empty.is_unique) == (0, True)
+
+
+def test_equal_definitions_with_different_data_do_not_differ(spark):
+    short, long = (spark.createDataFrame([(v,)], "v STRING") for v in ("abc", "abcdef"))
+    assert schema_diff(inv.declared_columns(spark, short, "t"), inv.declared_columns(spark, long, "t")).count() == 0
+
+
+def test_every_statement_of_the_sync_plan_parses(spark):
+    source = "a STRING, b DECIMAL(12,3), c ARRAY<STRUCT<x: INT>>, `d d` TIMESTAMP_NTZ, e VARCHAR(20), f BIGINT"
+    target = "a INT, b DECIMAL(10,2), g STRING, e VARCHAR(10), f BIGINT"
+    inventories = [inv.declared_columns(spark, T._parse_datatype_string(s), "dbo.t") for s in (source, target)]
+    plan = schema_sync_plan(schema_diff(*inventories), "dbo.t").collect()
+    assert {r.action for r in plan} == {"add_column", "alter_column", "drop_column"}
+    parser = spark._jsparkSession.sessionState().sqlParser()
+    for r in plan:
+        parser.parsePlan(r.statement.removeprefix("-- "))

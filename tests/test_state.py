@@ -63,8 +63,9 @@ def test_shared_dir(spark):
 
     assert shared_dir(spark) == shared_dir(spark)
     assert fresh_path(Session("hdfs://shared/"), "x").startswith("hdfs://shared/evenkeel-app/x-")
-    with pytest.raises(RuntimeError):
-        shared_dir(Session(None))
+    unset = Session(None)
+    unset.conf.get = lambda key, default=None: "hdfs://warehouse/" if key == "spark.sql.warehouse.dir" else default
+    assert shared_dir(unset) == "hdfs://warehouse/_staging"
 
 
 @pytest.fixture()
@@ -94,7 +95,7 @@ def test_history_round_trip(spark, history):
         [("orders", "schema_only_source", "c", "int", None, "Column exists only in source")],
         "table_name STRING, difference_type STRING, column_name STRING, source_value STRING, target_value STRING, description STRING",
     )
-    listed = H.from_json_text(H.to_json_text(H.attach_schema_differences(H.attach_differences(compared, cells, ["source_table"]), gaps)))
+    listed = H.from_json_text(H.to_json_text(H.attach_schema_differences(H.attach_differences(compared, cells, ["source_table"], 5), gaps)))
     by_table = {r.source_table: r.schema_differences for r in listed.collect()}
     assert [d.column_name for d in by_table["orders"]] == ["c"] and by_table["empty"] == []
 
@@ -124,7 +125,39 @@ def test_one_run_reads_one_bucket(spark, history, capsys):
     assert rows(history.results("r7"), "run_id") == [("r7",)]
     history.results("r7").explain("formatted")
     assert "PartitionFilters: [isnotnull(run_bucket" in capsys.readouterr().out
-    assert len([d for d in os.listdir(history.results_path) if d.startswith("run_bucket=")]) <= H.RESULT_BUCKETS
+    (append,) = (d for d in os.listdir(history.results_path) if d.startswith("append="))
+    found = os.listdir(f"{history.results_path}/{append}")
+    assert 0 < len([d for d in found if d.startswith("run_bucket=")]) <= H.RESULT_BUCKETS
+
+
+def test_parallel_appends(spark, history):
+    from concurrent.futures import ThreadPoolExecutor
+
+    def save(i):
+        history.open_run(f"r{i}", "2024-01-01 10:00:00")
+        one = spark.createDataFrame([(f"r{i}", "t", f"k={j}", "v", "a", "b") for j in range(3)], ", ".join(H.DIFFERENCE_ROWS.split(", ")[:6]))
+        history.save_differences(one)
+
+    with ThreadPoolExecutor(8) as pool:
+        list(pool.map(save, range(8)))
+    assert history.runs().count() == 8 and history.differences().count() == 24 and history.differences("r3").count() == 3
+
+
+def test_all_differences_are_stored(spark, history):
+    history.open_run("r1", "2024-01-01 10:00:00")
+    many = spark.range(1200).selectExpr("'r1' AS run_id", "'t' AS source_table", "concat('k=', id) AS key_display", "'v' AS column_name")
+    history.save_differences(many)
+    assert history.differences("r1").count() == 1200
+    assert history.compact(fresh_path(spark, "history")).differences().count() == 1200
+
+
+def test_updates_keep_columns_that_only_the_target_has(spark):
+    from evenkeel.operators.change_set import apply_change_set, change_set
+
+    source = spark.createDataFrame([(1, "new"), (3, "x")], "k INT, v STRING")
+    target = spark.createDataFrame([(1, "old", "keep"), (2, "gone", "gone")], "k INT, v STRING, own STRING")
+    after = apply_change_set(target, change_set(source, target, ["k"]), ["k"])
+    assert rows(after, "k", "v", "own") == [(1, "new", "keep"), (3, "x", None)]
 
 
 def test_retention(history):

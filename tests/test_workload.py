@@ -54,7 +54,7 @@ def test_blocking_pairs_and_hotspots(logs):
         (1, 3, "app"), (1, 3, "app"), (1, 6, "app"), (1, 6, "app"), (4, 1, "app"), (4, 1, "app"), (99, 4, "Unknown"),
     ]
     longest = pairs.where("wait_time_ms = 31000").first()
-    assert len(longest.blocked_query) == 500 and longest.blocking_host == "Unknown"
+    assert len(longest.blocked_query) == 600 and longest.blocking_host == "Unknown"
     spots = rows(W.blocking_hotspots(pairs), "kind", "magnitude", "hotspot")
     assert ("frequent_blocker", 4, "app (h1): blocking 4 sessions") in spots
     # a tie in the binary value of 40.05 rounds as printf does
@@ -144,3 +144,30 @@ def test_pool_and_wait_thresholds(spark, logs):
     assert pools["app", "h1"].avg_connection_age_seconds == 60
     waits = spark.createDataFrame([(1, "W", 1, 60, 1), (2, "W", 1, 40, 1), (6, "W", 1, 1, 1), (3, "W", 1, 100, 1)], "session_id INT, wait_type STRING, waiting_tasks_count INT, wait_time_ms INT, signal_wait_time_ms INT")
     assert rows(A.wait_stats(waits, logs[0]), "program_name", "total_wait_time_ms") == [("app", 101)]
+
+
+def test_statistics_without_a_hash_are_kept(spark):
+    schema = (
+        "query_hash STRING, query_text STRING, program_name STRING, execution_count BIGINT, total_worker_time BIGINT, "
+        "total_elapsed_time BIGINT, total_logical_reads BIGINT, total_logical_writes BIGINT, total_physical_reads BIGINT, "
+        "last_execution_time TIMESTAMP_NTZ"
+    )
+    stats = spark.createDataFrame(
+        [(None, "a", None, 1, 9_000_000, 0, 0, 0, 0, None), (None, "b", "p", 1, 5, 0, 0, 0, 0, None), ("h", "c", "p", 1, 7, 0, 0, 0, 0, None)], schema
+    )
+    from evenkeel.operators.activity import query_patterns
+
+    for top_n, expected in ((None, [("a", 2), ("b", 2), ("c", 1)]), (1, [("a", 2)])):
+        assert sorted((r.query_text, r.plan_count) for r in query_patterns(stats, top_n).collect()) == expected
+
+
+def test_totals_are_not_cut(spark):
+    from evenkeel.functions.scores import is_expensive
+    from evenkeel.plans.workload import expensive_queries
+
+    patterns = spark.range(150).selectExpr(
+        "concat('h', id) AS query_hash", "'p' AS source_program", "2000.0D AS avg_worker_time_ms", "0.0D AS avg_logical_reads",
+        "0.0D AS avg_elapsed_time_ms", "id AS total_worker_time_ms", "id AS total_logical_reads", "id AS total_physical_reads",
+    )
+    assert patterns.where(is_expensive()).count() == 150
+    assert expensive_queries(patterns).count() == 150 and expensive_queries(patterns, 20).count() == 20
