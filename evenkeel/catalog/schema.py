@@ -269,3 +269,20 @@ def _(spark, folder):
                 )
             )
     return union_all(ranges)
+
+
+LISTED = ("customer", "nation", "orders")
+
+
+@query(
+    "catalog_inventory",
+    "\nUNION ALL ".join(
+        f"SELECT 'ek_{n}' AS table_name, (SELECT count(*) FROM {n}) AS row_count, (SELECT count(*)::INT FROM (DESCRIBE SELECT * FROM {n})) AS column_count"
+        for n in LISTED
+    ),
+)
+def _(spark, folder):
+    """Tables that are known to the session by name."""
+    for name in LISTED:
+        view(spark, folder, name).createOrReplaceTempView(f"ek_{name}")
+    return inv.catalog_inventory(spark, pattern="ek_*")

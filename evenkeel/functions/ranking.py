@@ -14,7 +14,7 @@ def with_rank(df: DataFrame, order: list[Column], name: str = "rank") -> DataFra
 
     An unpartitioned window would move every row to one task. Instead rows are
     range-partitioned and numbered inside their range; the sizes of the lower ranges, one
-    row per range, are added. The range of each row is written out, so that both steps see
+    row per range, are added. The range of each row is written out when this is called, so that both steps see
     the same ranges. `order` must be unique, or ties get an arbitrary order.
     """
     ranged = staged(

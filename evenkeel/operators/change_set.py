@@ -15,7 +15,7 @@ from evenkeel.session import staged
 def change_set(source: DataFrame, target: DataFrame, keys: list[str]) -> DataFrame:
     """INSERT, UPDATE and DELETE rows: `op`, the key, and the new values (NULL for DELETE).
 
-    The changed keys are written out first, so that the source rows are picked by broadcast
+    The changed keys are written out first, when this is called, so that the source rows are picked by broadcast
     when the keys are few and by a shuffle join when they are many.
     """
     kind = F.col("difference_type")

@@ -152,7 +152,7 @@ def cell_diff(
 ) -> DataFrame:
     """One row per differing cell: keys, key_display, column_name, both values as text.
 
-    The differing keys are written out first. They then pick rows from both tables: by
+    The differing keys are written out first, when this is called. They then pick rows from both tables: by
     broadcast when their files are small, by a shuffle join otherwise. `limit` caps the
     report in (key, column) order.
     """

@@ -126,7 +126,10 @@ def column_presence(source_columns: DataFrame, target_columns: DataFrame) -> Dat
 def one_sided_sample(
     df: DataFrame, other: DataFrame, order_by: list[str], rows: int = 10, max_columns: int = 5
 ) -> DataFrame:
-    """The first rows of the columns that `other` lacks."""
+    """The first `rows` rows of the first `max_columns` columns that `other` lacks: a sample to look at.
+
+    `column_presence` lists all such columns.
+    """
     columns = sorted(set(df.columns) - set(other.columns))[:max_columns]
     if not columns:
         raise ValueError("no one-sided columns")

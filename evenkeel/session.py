@@ -40,11 +40,17 @@ def shared_dir(spark: SparkSession) -> str:
 def fresh_path(spark: SparkSession, label: str) -> str:
     """A path in the shared folder that nothing has been written to.
 
-    All paths of an application lie in one folder, which can be removed when it has ended.
+    All paths of an application lie in one folder; `remove_staged` deletes it.
     """
     return f"{shared_dir(spark)}/evenkeel-{spark.sparkContext.applicationId}/{label}-{uuid.uuid4().hex}"
 
 
+def remove_staged(spark: SparkSession) -> None:
+    """Delete all that this application has staged. Results that still read it cannot be read any more."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/evenkeel-{spark.sparkContext.applicationId}")
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def staged(df: DataFrame, label: str, few_files: bool = False) -> DataFrame:
     """`df` written to the shared folder and read back.
 

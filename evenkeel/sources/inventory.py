@@ -127,6 +127,24 @@ def table_inventory(spark: SparkSession, paths: dict[str, str]) -> DataFrame:
     )
 
 
+def catalog_tables(spark: SparkSession, namespace: str | None = None, pattern: str | None = None) -> dict[str, DataFrame]:
+    """The tables and views of a namespace of the session's catalog by name; temporary views have no namespace."""
+    listed = spark.catalog.listTables(namespace, pattern) if namespace else spark.catalog.listTables(pattern=pattern)
+    return {
+        t.name: spark.table(".".join(quoted(part) for part in ([] if t.isTemporary else t.namespace or []) + [t.name]))
+        for t in sorted(listed, key=lambda t: t.name)
+    }
+
+
+def catalog_inventory(spark: SparkSession, namespace: str | None = None, pattern: str | None = None) -> DataFrame:
+    """Tables of a namespace with exact row counts and their numbers of columns, in one job."""
+    tables = catalog_tables(spark, namespace, pattern)
+    if not tables:
+        return spark.createDataFrame([], "table_name STRING, row_count BIGINT, column_count INT")
+    widths = F.create_map(*[F.lit(x) for name, df in tables.items() for x in (name, len(df.columns))])
+    return row_counts(tables).withColumn("column_count", F.element_at(widths, F.col("table_name")))
+
+
 def table_profile(df: DataFrame, table_name: str, keys: list[str]) -> DataFrame:
     """Columns of one table together with its row count and the state of its key."""
     missing = [k for k in keys if k not in df.columns]

@@ -79,19 +79,32 @@ def table_options(
     table: str,
     partition_column: str | None = None,
     bounds: tuple | None = None,
-    num_partitions: int = 1,
+    num_partitions: int | None = None,
+    in_one_task: bool = False,
 ) -> dict[str, str]:
-    """Options for one table, read in parallel ranges of `partition_column` if given."""
+    """Options for one table, read in parallel ranges of `partition_column`.
+
+    Spark reads a table without ranges in a single task, whatever its size; `in_one_task` says
+    that this is meant. Rows outside the bounds, and NULLs, belong to the outer ranges.
+    """
     extra = {"dbtable": quoted_table(connection, schema, table)}
-    if partition_column is not None:
-        if bounds is None:
-            raise ValueError("a partitioned read needs the bounds of its column")
+    if not in_one_task:
+        if partition_column is None or bounds is None or not num_partitions:
+            raise ValueError("a parallel read needs a partition column, its bounds and the number of ranges")
         extra.update(
             partitionColumn=partition_column, lowerBound=bounds[0], upperBound=bounds[1], numPartitions=num_partitions
         )
     return options(connection, **extra)
 
 
+def bounds_options(connection: Connection, schema: str, table: str, column: str) -> dict[str, str]:
+    """Options for the one-row query of a column's bounds, `low` and `high`, which the server computes."""
+    name = connection.dialect.quote_open + column.replace(connection.dialect.quote_close, connection.dialect.quote_close * 2)
+    name += connection.dialect.quote_close
+    source = quoted_table(connection, schema, table)
+    return options(connection, query=f"SELECT MIN({name}) AS low, MAX({name}) AS high FROM {source}")
+
+
 def row_count_options(connection: Connection, schema: str, table: str) -> dict[str, str]:
     """Options for a count that the server computes."""
     return options(connection, query=f"SELECT COUNT(*) AS row_count FROM {quoted_table(connection, schema, table)}")

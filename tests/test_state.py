@@ -263,6 +263,8 @@ def test_jdbc_options(db_type, url, table):
     assert (found["url"], found["dbtable"], found["user"], found["fetchsize"]) == (url, table, "u", "10000")
     assert [found[k] for k in ("partitionColumn", "lowerBound", "upperBound", "numPartitions")] == ["id", "1", "900", "8"]
     assert jdbc.row_count_options(connection, "dbo", "a]b")["query"] == f"SELECT COUNT(*) AS row_count FROM {table}"
+    assert jdbc.bounds_options(connection, "dbo", "a]b", "id")["query"].endswith(f" AS high FROM {table}")
+    assert "numPartitions" not in jdbc.table_options(connection, "dbo", "a]b", in_one_task=True)
 
 
 def test_jdbc_errors_and_integrated_security():
@@ -270,6 +272,8 @@ def test_jdbc_errors_and_integrated_security():
         jdbc.options(jdbc.Connection("oracle", "h", "d"))
     with pytest.raises(ValueError):
         jdbc.table_options(jdbc.Connection("mysql", "h", "d"), "s", "t", "id")
+    with pytest.raises(ValueError):
+        jdbc.table_options(jdbc.Connection("mysql", "h", "d"), "s", "t")
     found = jdbc.options(jdbc.Connection("sqlserver", "h", "d", integrated_security=True))
     assert found["url"].endswith(";integratedSecurity=true") and "user" not in found
     with pytest.raises(ValueError):
@@ -283,3 +287,23 @@ def test_jdbc_catalog_columns(spark):
     )
     found = jdbc.catalog_columns(catalog, "dbo")
     assert rows(found, "column_name", "max_length", "is_nullable") == [("a", -1, True), ("b", None, False)]
+
+
+def test_staged_folders_can_be_removed(spark, tmp_path):
+    from evenkeel.session import remove_staged, staged
+
+    class Alone:
+        """The session with a shared folder and application of its own."""
+
+        def __init__(self):
+            self.conf, self._jvm, self._jsc = self, spark._jvm, spark._jsc
+            self.sparkContext = type("Context", (), {"applicationId": "alone"})
+
+        def get(self, key, default=None):
+            return str(tmp_path)
+
+    path = fresh_path(Alone(), "x")
+    spark.range(3).write.parquet(path)
+    assert staged(spark.range(3), "y").count() == 3 and os.path.exists(path)
+    remove_staged(Alone())
+    assert not os.path.exists(path)
