@@ -76,6 +76,12 @@ def _(spark, folder):
     return except_rows(source, target, comparable_columns(source))
 
 
+@query("except_source_by_hash", ctes("orders_t") + f"SELECT {COMPARED} FROM orders EXCEPT SELECT {COMPARED} FROM orders_t")
+def _(spark, folder):
+    source, target = view(spark, folder, "orders"), view(spark, folder, "orders_t")
+    return except_rows(source, target, comparable_columns(source), by_hash=True)
+
+
 @query("except_target", ctes("orders_t") + f"SELECT {COMPARED} FROM orders_t EXCEPT SELECT {COMPARED} FROM orders")
 def _(spark, folder):
     source, target = view(spark, folder, "orders"), view(spark, folder, "orders_t")

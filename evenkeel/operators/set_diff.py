@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from evenkeel.functions.columns import aligned, common_columns, comparable, field_type, ref
 from evenkeel.functions.rowhash import row_hash
@@ -36,8 +37,22 @@ def _row_counts(source: DataFrame, target: DataFrame, columns: list[str] | None)
     return counted, names
 
 
-def except_rows(source: DataFrame, target: DataFrame, columns: list[str] | None = None) -> DataFrame:
-    """Distinct source rows that the target does not hold; NULLs are equal."""
+def except_rows(
+    source: DataFrame, target: DataFrame, columns: list[str] | None = None, by_hash: bool = False
+) -> DataFrame:
+    """Distinct source rows that the target does not hold; NULLs are equal.
+
+    `by_hash` suits wide tables of which few rows come out: rows are compared by a 128-bit
+    hash, 32 bytes each in the shuffle, and only the rows that remain are read in full. The
+    hashes that remain are written out when this is called.
+    """
+    if by_hash:
+        names = columns or common_columns(source, target)
+        left, right = (_with_hashes(df, names) for df in aligned(source, target, names))
+        counted, _ = _row_counts(left, right, HASHES)
+        alone = staged(counted.where("_s > 0 AND _t = 0").select(*HASHES), "one-sided-rows", few_files=True)
+        shown = left.join(alone, HASHES, "left_semi").select(*[ref(c) for c in names])
+        return shown.distinct() if not _has_maps(shown) else except_rows(shown, shown.limit(0))
     counted, names = _row_counts(source, target, columns)
     return counted.where("_s > 0 AND _t = 0").select(*[ref(c) for c in names])
 
@@ -55,6 +70,10 @@ def common_rows(source: DataFrame, target: DataFrame, columns: list[str] | None
     return counted.where("_s > 0 AND _t > 0").select(*[ref(c) for c in names])
 
 
+def _has_maps(df: DataFrame) -> bool:
+    return any(isinstance(f.dataType, T.MapType) for f in df.schema.fields)
+
+
 HASHES = ["_h1", "_h2"]
 
 

@@ -50,6 +50,7 @@ def test_multisets(spark, seed):
     ls, rs = Counter(left), Counter(right)
     gone, added = ls - rs, rs - ls
     assert set(map(tuple, except_rows(s, t).collect())) == ls.keys() - rs.keys()
+    assert sorted(map(str, except_rows(s, t, by_hash=True).collect())) == sorted(map(str, except_rows(s, t).collect()))
     assert set(map(tuple, common_rows(s, t).collect())) == ls.keys() & rs.keys()
     found = {"data_only_source": Counter(), "data_only_target": Counter()}
     for r in multiset_diff(s, t).collect():
