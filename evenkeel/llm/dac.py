@@ -21,6 +21,7 @@ empty table gives no segment.
 
 from __future__ import annotations
 
+import os
 import zlib
 from collections.abc import Iterator
 
@@ -30,13 +31,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from tokenizers import Tokenizer
 
 from evenkeel.llm.common import column, slices, strings
 from evenkeel.session import fresh_path
 
 BLOCK = 512  # bits of a bitmap for each entry of its directory
 SEGMENT = 1 << 19  # ids after which a segment ends, at the end of a document
-CACHE = 200_000
+CACHE = 600_000  # pieces and words, about 200 bytes each
 Level = tuple[np.ndarray, np.ndarray, np.ndarray]
 
 _POPCOUNT = np.array([bin(i).count("1") for i in range(256)], np.uint8)
@@ -99,36 +101,51 @@ def levels_of(stored: list[dict]) -> list[Level]:
 
 
 class Words:
-    """A tokenizer that remembers the ids of pieces between white space.
+    """A tokenizer that remembers the ids of pieces between white space, and of words in them.
 
     The vocabulary's rules never look past white space, so a text's ids are those of its pieces.
+    They always cut between a letter and the punctuation after it and ignore case, so a piece
+    is looked up as its word and the punctuation at its end.
     """
 
     def __init__(self, vocabulary: str):
-        import os
-
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
-        from tokenizers import Tokenizer
-
         self.tokenizer = Tokenizer.from_str(vocabulary)
         self.tokenizer.encode_special_tokens = True  # their names in a text are ordinary text
-        self.known: dict[str, bytes] = {}
+        self.pieces: dict[str, bytes] = {"": b""}
+        self.words: dict[str, bytes] = {"": b""}
 
     def encode(self, texts: list[str], end: int) -> list[bytes]:
         """Each text's ids with the end id, as little-endian uint32."""
-        pieces = [t.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for t in texts]
-        distinct = set().union(*pieces)
-        new = [p for p in distinct if p not in self.known]
-        for at in range(0, len(new), 2000):
-            part = new[at : at + 2000]
-            for piece, found in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                self.known[piece] = np.array(found.ids, "<u4").tobytes()
+        split = [t.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for t in texts]
+        distinct = set().union(*split)
+        self._learn([p for p in distinct if p not in self.pieces])
         stop = np.array([end], "<u4").tobytes()
-        out = [b"".join(map(self.known.__getitem__, p)) + stop for p in pieces]
-        if len(self.known) > CACHE:
-            self.known = {p: self.known[p] for p in distinct}
+        out = [b"".join(map(self.pieces.__getitem__, p)) + stop for p in split]
+        if len(self.pieces) > CACHE:
+            self.pieces = {"": b"", **{p: self.pieces[p] for p in distinct}}
+        if len(self.words) > CACHE:
+            self.words = {"": b""}
         return out
 
+    def _learn(self, pieces: list[str]) -> None:
+        parts = [_word_and_end(p) for p in pieces]
+        new = list({w for pair in parts for w in pair if w not in self.words})
+        for at in range(0, len(new), 2000):
+            some = new[at : at + 2000]
+            for word, found in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False), strict=True):
+                self.words[word] = np.array(found.ids, "<u4").tobytes()
+        for piece, (word, end) in zip(pieces, parts, strict=True):
+            self.pieces[piece] = self.words[word] + self.words[end] if end else self.words[word]
+
+
+def _word_and_end(piece: str) -> tuple[str, str]:
+    word = piece.rstrip(".,;:!?")
+    end = piece[len(word) :]
+    if end and not word[-1:].lower().isalpha():  # it belongs to a longer run of punctuation, or to a mark
+        word, end = piece, ""
+    return word.lower() if word.isascii() else word, end
+
 
 _words: dict[str, Words] = {}
 
