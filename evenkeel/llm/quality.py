@@ -18,10 +18,10 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from evenkeel.llm.common import column, slices, strings
 
@@ -29,6 +29,7 @@ SAMPLE = 6000
 PASSAGE = 480
 HIDDEN, GATE = 32, 16
 EPOCHS, BATCH, RATE, DECAY = 14, 64, 4e-3, 1e-4
+PART = 2 << 20  # characters scored at once, unless one text is longer
 
 # Classes of bytes: what kind of character, not which one.
 _CLASS = np.zeros(256, np.uint8)
@@ -194,15 +195,21 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     return train(decoded, bags["quality"].to_numpy())
 
 
-def with_score(docs: DataFrame, model: Model, keep: list[str], text: str = "text", into: str = "score") -> DataFrame:
-    """The columns `keep` of `docs` with the score of the whole text."""
-    rows = docs.select(*keep, F.col(text).alias("__text"))
-
-    def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "__text", 4 << 20):
-            scores = score(model, strings(batch, "__text"))
-            yield pa.RecordBatch.from_arrays(
-                [*(batch.column(i) for i in range(len(keep))), pa.array(scores)], names=[*keep, into]
-            )
-
-    return rows.mapInArrow(predict, T.StructType([*rows.schema.fields[:-1], T.StructField(into, T.DoubleType())]))
+def with_score(docs: DataFrame, model: Model, text: str = "text", into: str = "score") -> DataFrame:
+    """`docs` with the score of the whole text. Only the text goes to Python, and only the score comes back."""
+
+    @F.pandas_udf("double")
+    def scored(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for texts in batches:
+            out, part, size = [], [], 0
+            for t in texts:
+                part.append(t or "")
+                size += len(part[-1])
+                if size > PART:
+                    out.append(score(model, part))
+                    part, size = [], 0
+            if part:
+                out.append(score(model, part))
+            yield pd.Series(np.concatenate(out) if out else np.empty(0))
+
+    return docs.withColumn(into, scored(F.col(text)))

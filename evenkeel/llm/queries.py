@@ -36,7 +36,7 @@ def op4_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
 def op5_quality(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents")
     model = quality.fit(docs, table(spark, folder, "labels"))
-    scored = quality.with_score(docs, model, ["doc_id"])
+    scored = quality.with_score(docs.select("doc_id", "text"), model)
     held_out = F.coalesce(F.expr("crc32(string(doc_id)) % 3 = 1"), F.lit(False))
     return scored.select(
         "doc_id", held_out.alias("held_out"), "score", F.when(F.col("score") >= 0.5, 1).otherwise(0).alias("predicted")

@@ -77,13 +77,13 @@ def test_quality_held_out(spark, docs, folder):
     labels = table(spark, folder.replace("sf0.001", "sf0.01"), "labels")
     model = quality.fit(docs, labels)
     held = docs.join(labels, "doc_id").where("crc32(string(doc_id)) % 3 = 1")
-    rows = quality.with_score(held, model, ["quality"]).collect()
+    rows = quality.with_score(held, model).collect()
     good, bad = [r.score for r in rows if r.quality == 1], [r.score for r in rows if r.quality == 0]
     assert np.mean([g > b for g in good for b in bad]) > 0.97
-    edge = quality.with_score(documents(spark, edge_texts()), model, ["key", "text"]).collect()
+    edge = quality.with_score(documents(spark, edge_texts()).drop("score"), model).collect()
     assert len(edge) == len(edge_texts()) and all(0 <= r.score <= 1 for r in edge)
     unlabelled = quality.fit(docs, labels.where("false"))
-    assert {r.score for r in quality.with_score(documents(spark, ["a", None]), unlabelled, []).collect()} == {0.5}
+    assert {r.score for r in quality.with_score(documents(spark, ["a", None]), unlabelled).collect()} == {0.5}
 
 
 def expected_secrets(text):
