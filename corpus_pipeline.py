@@ -22,7 +22,7 @@ def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     """The documents that the quality classifier does not reject."""
     importable(spark)
     model = quality.fit(docs, table(spark, sf_dir, "labels"))
-    scored = quality.with_score(docs, model, docs.columns, into="quality_score")
+    scored = quality.with_score(docs, model, into="quality_score")
     return scored.where("quality_score >= 0.5").select(*docs.columns)
 
 
