@@ -47,7 +47,7 @@ ORDER_SIZE = 1 << 18  # most frequent n-grams whose counts order the columns; on
 COUNT_BITS = 32  # of an n-gram's hash in the exchange of counts
 TILE = 256
 BROADCAST_KEYS = 1_000_000  # 8 MB of keys; above that the sets are joined by shuffle
-ROWS_AT_ONCE = 1 << 20
+ROWS_AT_ONCE = 1 << 19
 
 _MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5], np.uint64)
 ENTRY = np.dtype([("h", "<u2", 3), ("key", "<i8"), ("n", "<u4"), ("pos", "<u4")])
@@ -91,31 +91,25 @@ def _widened(parts: np.ndarray) -> np.ndarray:
     return wide.view("<u8").ravel().astype(np.uint64)
 
 
-def _sets(n: int, schema: pa.Schema):
+def _key(data: bytes) -> int:
+    return int.from_bytes(hashlib.blake2b(data, digest_size=8).digest(), "little", signed=True)
+
+
+def _sets(n: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, seen = Hashes(), set()
+        hashes = Hashes()
         for batch in slices(batches, limit=4 << 20):
-            sizes, keys, stored = [], [], []
-            for text in strings(batch):
-                found = ngrams(text, hashes, n)
-                data = to_bytes(found)
-                key = int.from_bytes(hashlib.blake2b(data, digest_size=8).digest(), "little", signed=True) if len(found) else None
-                sizes.append(len(found))
-                keys.append(key)
-                stored.append(None if key is None or key in seen else data)
-                seen.add(key)
-            if len(seen) > 1_000_000:
-                seen.clear()
+            stored = [to_bytes(ngrams(t, hashes, n)) for t in strings(batch)]
             yield pa.RecordBatch.from_arrays(
-                [column(batch, "doc_id"), pa.array(sizes, pa.int64()), pa.array(keys, pa.int64()), pa.array(stored, pa.binary())],
-                schema=schema,
+                [pa.array([_key(d) if d else None for d in stored], pa.int64()), pa.array(stored, pa.binary())],
+                names=["key", "grams"],
             )
 
     return run
 
 
-def _counts_sent(owners: int):
-    """Sorted hashes of the n-grams in a task's sets, Golomb-coded, to the owners of their ranges."""
+def _counts_sent(n: int, owners: int):
+    """Sorted hashes of the n-grams in a task's texts, Golomb-coded, to the owners of their ranges."""
 
     def send(hashes: list[np.ndarray]) -> pa.RecordBatch:
         values, count = np.unique(np.concatenate(hashes) >> np.uint64(48 - COUNT_BITS), return_counts=True)
@@ -132,12 +126,11 @@ def _counts_sent(owners: int):
         )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size = [], 0
-        for batch in batches:
-            for data in column(batch, "grams").to_pylist():
-                if data:
-                    held.append(from_bytes(data))
-                    size += len(held[-1])
+        hashes, held, size = Hashes(), [], 0
+        for batch in slices(batches, limit=4 << 20):
+            for text in strings(batch):
+                held.append(ngrams(text, hashes, n))
+                size += len(held[-1])
                 if size > 4 * ROWS_AT_ONCE:
                     yield send(held)
                     held, size = [], 0
@@ -164,13 +157,20 @@ def _needed(n: np.ndarray | int) -> np.ndarray | int:
     return -(-PERCENT * n // 100)
 
 
-def _entries(frequent: np.ndarray, counts: np.ndarray, blocks: int):
-    """The entries of each set's leading n-grams, rarest first, by block of columns.
+def _entries(n: int, frequent: np.ndarray, counts: np.ndarray, blocks: int, schema: pa.Schema):
+    """Each document's key and size, and the entries of its leading n-grams, rarest first, by block.
 
-    Entries of the frequent n-grams go out one by one (block -1), for their columns may be long.
+    Entries of the frequent n-grams go out one by one, for their columns may be long. They and
+    the documents are spread over blocks below 0, in which nothing is multiplied.
     """
 
-    def send(parts: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+    def rows(block: list, **columns) -> pa.RecordBatch:
+        full = {"block": block, **columns}
+        return pa.RecordBatch.from_arrays(
+            [pa.array(full[f.name], f.type) if f.name in full else pa.nulls(len(block), f.type) for f in schema], schema=schema
+        )
+
+    def send(parts: list[np.ndarray]) -> pa.RecordBatch:
         entries = np.concatenate(parts)
         # leading n-grams have small hashes, so the block comes from a mix of them
         mixed = (_widened(entries["h"]) * _MIX[0]) >> np.uint64(32)
@@ -178,52 +178,46 @@ def _entries(frequent: np.ndarray, counts: np.ndarray, blocks: int):
         order = np.argsort(block, kind="stable")
         cuts = np.searchsorted(block[order], np.arange(blocks + 1))
         some = np.flatnonzero(np.diff(cuts)).tolist()
-        payloads = [entries[order[cuts[b] : cuts[b + 1]]].tobytes() for b in some]
-        nothing = pa.nulls(len(some), pa.int64())
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(some, pa.int32()), pa.array(payloads, pa.binary()), nothing, nothing, nothing], names=names
-        )
-
-    names = ["block", "payload", "gram", "key", "n"]
+        return rows(some, payload=[entries[order[cuts[b] : cuts[b + 1]]].tobytes() for b in some])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts, size = [], 0
-        for batch in batches:
-            long_gram, long_key, long_n = [], [], []
-            for key, data in zip(column(batch, "key").to_pylist(), column(batch, "grams").to_pylist(), strict=True):
-                if not data:
-                    continue
-                grams = from_bytes(data)
-                n = len(grams)
-                lead = n - _needed(n) + 1
+        hashes, seen, parts, size = Hashes(), set(), [], 0
+        for batch in slices(batches, limit=4 << 20):
+            keys, sizes, long_rows = [], [], []
+            for text in strings(batch):
+                grams = ngrams(text, hashes, n)
+                total = len(grams)
+                key = _key(to_bytes(grams)) if total else None
+                keys.append(key)
+                sizes.append(total)
+                if key is None or key in seen:
+                    continue  # copies are one row of the matrix
+                seen.add(key)
+                lead = total - _needed(total) + 1
                 short = grams >> np.uint64(48 - COUNT_BITS)
                 at = np.minimum(np.searchsorted(frequent, short), max(0, len(frequent) - 1))
-                known = frequent[at] == short if len(frequent) else np.zeros(n, bool)
+                known = frequent[at] == short if len(frequent) else np.zeros(total, bool)
                 first = grams[~known][:lead]
                 entry = np.zeros(len(first), ENTRY)
                 entry["h"] = first.astype("<u8").view("<u2").reshape(-1, 4)[:, :3]
-                entry["key"], entry["n"], entry["pos"] = key, n, np.arange(len(first))
+                entry["key"], entry["n"], entry["pos"] = key, total, np.arange(len(first))
                 parts.append(entry)
                 size += len(entry)
                 if len(first) < lead:
                     rest = grams[known][np.lexsort((grams[known], counts[at[known]]))][: lead - len(first)]
-                    long_gram += rest.astype(np.int64).tolist()
-                    long_key += [key] * len(rest)
-                    long_n += [n] * len(rest)
-                if size > ROWS_AT_ONCE:
-                    yield from send(parts)
-                    parts, size = [], 0
-            if long_gram:
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array([-1] * len(long_gram), pa.int32()),
-                        pa.nulls(len(long_gram), pa.binary()),
-                        *(pa.array(x, pa.int64()) for x in (long_gram, long_key, long_n)),
-                    ],
-                    names=names,
-                )
+                    long_rows += [(g, key, total) for g in rest.tolist()]
+            if size > ROWS_AT_ONCE:
+                yield send(parts)
+                parts, size = [], 0
+            if len(seen) > 1_000_000:
+                seen.clear()
+            spread = [-1 - (i % blocks) for i in range(len(keys))]
+            yield rows(spread, key=keys, n=sizes, doc_id=column(batch, "doc_id"))
+            if long_rows:
+                gram, key, total = zip(*long_rows, strict=True)
+                yield rows([-1 - (hash((g, k)) % blocks) for g, k, _ in long_rows], gram=gram, key=key, n=total)
         if size:
-            yield from send(parts)
+            yield send(parts)
 
     return run
 
@@ -231,38 +225,48 @@ def _entries(frequent: np.ndarray, counts: np.ndarray, blocks: int):
 PAIR = "a bigint, b bigint, n_a bigint, n_b bigint, shared bigint, last_a bigint, last_b bigint, gram bigint"
 
 
-def _multiplied(payloads: pd.DataFrame) -> pd.DataFrame:
-    """One block of the product: pairs with their counts, and the members of long columns."""
-    entries = np.concatenate([np.frombuffer(p, ENTRY) for p in payloads["payload"]])
-    gram, key = _widened(entries["h"]), entries["key"]
-    order = np.lexsort((key, gram))
-    gram, key, entries = gram[order], key[order], entries[order]
-    fresh = np.concatenate([[True], (gram[1:] != gram[:-1]) | (key[1:] != key[:-1])])  # copies of a set, from other tasks
-    gram, key, entries = gram[fresh], key[fresh], entries[fresh]
-    start = np.flatnonzero(np.concatenate([[True], gram[1:] != gram[:-1]]))
-    length = np.diff(np.append(start, len(gram)))
-    n, pos = entries["n"].astype(np.int64), entries["pos"].astype(np.int64)
-    out = []
-
-    def summed(i: np.ndarray, j: np.ndarray) -> None:
-        near = 100 * np.minimum(n[i], n[j]) >= PERCENT * np.maximum(n[i], n[j])
-        i, j = i[near], j[near]
-        frame = pd.DataFrame({"a": key[i], "b": key[j], "n_a": n[i], "n_b": n[j], "last_a": pos[i], "last_b": pos[j]})
-        grouped = frame.groupby(["a", "b", "n_a", "n_b"], as_index=False, sort=False)
-        out.append(grouped.agg(shared=("last_a", "size"), last_a=("last_a", "max"), last_b=("last_b", "max")))
-
-    for size in np.unique(length[(length > 1) & (length <= COLUMN)]).tolist():
-        columns = start[length == size]
-        first, second = np.triu_indices(size, 1)
-        step = max(1, ROWS_AT_ONCE // len(first))
-        for at in range(0, len(columns), step):
-            some = columns[at : at + step, None]
-            summed((some + first).ravel(), (some + second).ravel())
-    member = np.repeat(length > COLUMN, length)
-    out.append(pd.DataFrame({"a": key[member], "n_a": n[member], "gram": gram[member].astype(np.int64)}))
-    # nullable integers before anything is missing: keys do not survive as floats
-    names = ["a", "b", "n_a", "n_b", "shared", "last_a", "last_b", "gram"]
-    return pd.concat([frame.astype("Int64").reindex(columns=names).astype("Int64") for frame in out])
+def _multiplied(schema: pa.Schema):
+    """One block of the product: pairs with their counts, and the members of long columns.
+
+    Blocks below 0 pass through: members of long columns, and documents (no n-gram, no pair).
+    """
+
+    def result(**columns) -> pa.Table:
+        size = len(next(iter(columns.values())))
+        return pa.table([pa.array(columns[f.name], f.type) if f.name in columns else pa.nulls(size, f.type) for f in schema], schema=schema)
+
+    def run(rows: pa.Table) -> pa.Table:
+        if rows["block"][0].as_py() < 0:
+            kept = {"a": "key", "n_a": "n", "gram": "gram", "doc_id": "doc_id"}
+            return result(**{new: rows[old].combine_chunks() for new, old in kept.items()})
+        entries = np.concatenate([np.frombuffer(p, ENTRY) for p in rows["payload"].to_pylist()])
+        gram, key = _widened(entries["h"]), entries["key"]
+        order = np.lexsort((key, gram))
+        gram, key, entries = gram[order], key[order], entries[order]
+        fresh = np.concatenate([[True], (gram[1:] != gram[:-1]) | (key[1:] != key[:-1])])  # copies of a set, from other tasks
+        gram, key, entries = gram[fresh], key[fresh], entries[fresh]
+        start = np.flatnonzero(np.concatenate([[True], gram[1:] != gram[:-1]]))
+        length = np.diff(np.append(start, len(gram)))
+        n, pos = entries["n"].astype(np.int64), entries["pos"].astype(np.int64)
+        member = np.repeat(length > COLUMN, length)
+        out = [result(a=key[member], n_a=n[member], gram=gram[member].astype(np.int64))]
+        for size in np.unique(length[(length > 1) & (length <= COLUMN)]).tolist():
+            columns = start[length == size]
+            first, second = np.triu_indices(size, 1)
+            step = max(1, ROWS_AT_ONCE // len(first))
+            for at in range(0, len(columns), step):
+                some = columns[at : at + step, None]
+                i, j = (some + first).ravel(), (some + second).ravel()
+                near = 100 * np.minimum(n[i], n[j]) >= PERCENT * np.maximum(n[i], n[j])
+                i, j = i[near], j[near]
+                frame = pd.DataFrame({"a": key[i], "b": key[j], "n_a": n[i], "n_b": n[j], "last_a": pos[i], "last_b": pos[j]})
+                summed = frame.groupby(["a", "b", "n_a", "n_b"], as_index=False, sort=False).agg(
+                    shared=("last_a", "size"), last_a=("last_a", "max"), last_b=("last_b", "max")
+                )
+                out.append(result(**{c: summed[c].to_numpy() for c in summed}))
+        return pa.concat_tables(out)
+
+    return run
 
 
 def _links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -320,38 +324,44 @@ def _with_sets(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").select("a", "b", "grams_a", "grams_b")
 
 
-def _sets_of(rows: DataFrame, keys: DataFrame) -> DataFrame:
-    """(key, grams), once for each of `keys`. Few keys are sent to the sets, many meet them in a shuffle."""
-    wanted = staged(keys.distinct(), "join-keys")
+def _sets_of(docs: DataFrame, rows: DataFrame, keys: DataFrame, n: int) -> DataFrame:
+    """(key, grams), once for each of `keys`, from one text of each.
+
+    The ids of few documents are sent to the scan of the texts, many meet them in a shuffle.
+    """
+    one = rows.join(keys.distinct(), "key", "left_semi").groupBy("key").agg(F.min("doc_id").alias("id"))
+    wanted = staged(one.select("id").distinct(), "join-wanted")
     few = wanted.count() <= BROADCAST_KEYS
-    found = rows.where("grams IS NOT NULL").select("key", "grams").join(F.broadcast(wanted) if few else wanted, "key", "left_semi")
-    return staged(found.groupBy("key").agg(F.first("grams").alias("grams")), "join-sets")
+    same = F.col("doc_id").eqNullSafe(F.col("id"))
+    found = docs.join(F.broadcast(wanted) if few else wanted, same, "left_semi")
+    sets = found.select("text").mapInArrow(_sets(n), "key bigint, grams binary").where("key IS NOT NULL")
+    return sets.groupBy("key").agg(F.first("grams").alias("grams"))
 
 
 def similar_groups(docs: DataFrame, text: str = "text", n: int = WORDS) -> DataFrame:
-    """doc_id, n_shingles and component_id, the smallest doc_id that is reachable by links."""
+    """doc_id, n_shingles and component_id, the smallest doc_id that is reachable by links.
+
+    The texts are read three times (counts, entries, sets of linked candidates) rather than
+    their sets stored, which would take more room than the texts. Runs when called.
+    """
     spark = docs.sparkSession
     docs = docs.select("doc_id", F.col(text).alias("text"))
     blocks = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    schema = T.StructType(
-        [docs.schema["doc_id"], *T._parse_datatype_string("n_shingles bigint, key bigint, grams binary").fields]
-    )
-    rows = staged(docs.mapInArrow(_sets(n, to_arrow_schema(schema)), schema), "join-rows")
+    doc_id = docs.schema["doc_id"]
 
     # the order of the columns: counts of frequent n-grams
-    letters = rows.where("grams IS NOT NULL").select("grams").mapInArrow(_counts_sent(blocks), "owner int, once binary, often binary, count binary")
+    letters = docs.select("text").mapInArrow(_counts_sent(n, blocks), "owner int, once binary, often binary, count binary")
     counted = letters.groupBy("owner").applyInPandas(_counted(blocks), "gram bigint, n bigint")
     top = counted.orderBy(F.desc("n"), "gram").limit(ORDER_SIZE).toPandas().sort_values("gram")
 
     # the product, block by block
-    entries = staged(
-        rows.where("grams IS NOT NULL").select("key", "grams").mapInArrow(
-            _entries(top["gram"].to_numpy().astype(np.uint64), top["n"].to_numpy(), blocks),
-            "block int, payload binary, gram bigint, key bigint, n bigint",
-        ).repartition(blocks, F.when(F.col("block") >= 0, F.col("block")).otherwise(F.hash("gram", "key"))),
-        "join-entries",
-    )
-    product = staged(entries.where("block >= 0").groupBy("block").applyInPandas(_multiplied, PAIR), "join-product")
+    sent = T.StructType([*T._parse_datatype_string("block int, payload binary, gram bigint, key bigint, n bigint").fields, doc_id])
+    made = T.StructType([*T._parse_datatype_string(PAIR).fields, doc_id])
+    frequent, counts = top["gram"].to_numpy().astype(np.uint64), top["n"].to_numpy()
+    entries = docs.mapInArrow(_entries(n, frequent, counts, blocks, to_arrow_schema(sent)), sent)
+    product = staged(entries.groupBy("block").applyInArrow(_multiplied(to_arrow_schema(made)), made), "join-product")
+    rows = product.where("b IS NULL AND gram IS NULL").select("doc_id", F.col("n_a").alias("n_shingles"), F.col("a").alias("key"))
+    members = product.where("gram IS NOT NULL").select("gram", F.col("a").alias("key"), F.col("n_a").alias("n")).distinct()
     need = F.ceil(F.lit(PERCENT) * (F.col("n_a") + F.col("n_b")) / (100 + PERCENT))
     follows = F.least(F.col("n_a") - F.col("last_a"), F.col("n_b") - F.col("last_b")) - 1
     pairs = (
@@ -361,17 +371,15 @@ def similar_groups(docs: DataFrame, text: str = "text", n: int = WORDS) -> DataF
     )
 
     # long columns: link their documents to one of them first
-    members = product.where("b IS NULL").select("gram", F.col("a").alias("key"), F.col("n_a").alias("n"))
-    members = members.union(entries.where("block < 0").select("gram", "key", "n")).distinct()
     members = staged(members, "join-long")
     center = members.groupBy("gram").agg(F.min(F.struct("key", "n")).alias("c"))
+    near = f"100 * least(n, c.n) >= {PERCENT} * greatest(n, c.n)"
     spokes = (
-        members.join(center, "gram").where("key <> c.key AND 100 * least(n, c.n) >= 85 * greatest(n, c.n)")
+        members.join(center, "gram").where(f"key <> c.key AND {near}")
         .select(F.col("c.key").alias("a"), F.col("key").alias("b"))
     )
     pairs = staged(pairs.union(spokes).distinct(), "join-pairs")
-    keys = pairs.select(F.col("a").alias("key")).union(pairs.select("b")).union(members.select("key"))
-    sets = _sets_of(rows, keys)
+    sets = _sets_of(docs, rows, pairs.select(F.col("a").alias("key")).union(pairs.select("b")), n)
     links = staged(_with_sets(pairs, sets).mapInArrow(_links, "a bigint, b bigint"), "join-links")
     roots = components(links)
 
@@ -385,13 +393,14 @@ def similar_groups(docs: DataFrame, text: str = "text", n: int = WORDS) -> DataF
         parts = inside.groupBy("cluster").agg(F.ceil(F.count("*") / TILE).cast("int").alias("parts"))
         placed = inside.join(parts, "cluster").withColumn("part", F.pmod(F.xxhash64("key"), F.col("parts")).cast("int"))
         tiles = (
-            placed.join(sets, "key").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+            placed.join(_sets_of(docs, rows, inside.select("key"), n), "key")
+            .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
             .groupBy("cluster", F.least("part", "other").alias("low"), F.greatest("part", "other").alias("high"))
             .applyInPandas(lambda g: _tile(g), "a bigint, b bigint")
         )
         roots = components(links.union(tiles))
 
-    whole = rows.select("doc_id", "n_shingles", "key").join(roots.withColumnRenamed("node", "key"), "key", "left")
+    whole = rows.join(roots.withColumnRenamed("node", "key"), "key", "left")
     whole = staged(whole.select("doc_id", "n_shingles", F.coalesce("root", "key").alias("root")), "join-roots")
     first = whole.where("root IS NOT NULL").groupBy("root").agg(F.min("doc_id").alias("first"), F.count("*").alias("size"))
     return whole.join(first.where("size > 1"), "root", "left").select(
