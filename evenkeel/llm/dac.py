@@ -38,7 +38,7 @@ from evenkeel.session import fresh_path
 
 BLOCK = 512  # bits of a bitmap for each entry of its directory
 SEGMENT = 1 << 19  # ids after which a segment ends, at the end of a document
-CACHE = 600_000  # pieces and words, about 200 bytes each
+PIECES, WORDS = 300_000, 1_000_000  # remembered between tasks of a Python worker, about 200 bytes each
 Level = tuple[np.ndarray, np.ndarray, np.ndarray]
 
 _POPCOUNT = np.array([bin(i).count("1") for i in range(256)], np.uint8)
@@ -122,9 +122,9 @@ class Words:
         self._learn([p for p in distinct if p not in self.pieces])
         stop = np.array([end], "<u4").tobytes()
         out = [b"".join(map(self.pieces.__getitem__, p)) + stop for p in split]
-        if len(self.pieces) > CACHE:
+        if len(self.pieces) > PIECES:
             self.pieces = {"": b"", **{p: self.pieces[p] for p in distinct}}
-        if len(self.words) > CACHE:
+        if len(self.words) > WORDS:
             self.words = {"": b""}
         return out
 
