@@ -26,7 +26,7 @@ from pyspark.sql import types as T
 
 from evenkeel.llm.common import column, slices, strings
 
-SAMPLE_PER_LANGUAGE = 1500
+SAMPLE_PER_LANGUAGE = 1000  # up to 1000, Spark keeps the first rows of a group in every task before the shuffle
 MAX_LANGUAGES = 64
 TOP_GRAMS = 20_000
 OWN_SHARE = 0.2  # of the share that an n-gram has in the language where it is most frequent
