@@ -20,6 +20,7 @@ from __future__ import annotations
 import base64
 import hashlib
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import duckdb
 import numpy as np
@@ -34,7 +35,7 @@ from evenkeel.llm.common import column, slices, strings
 
 SLICE = 2 << 20
 CHUNK = 20_000
-CACHE = 700_000  # about 200 bytes each
+CACHE = 500_000  # words a task remembers, about 220 bytes each
 LONG = 64
 
 # A row is (word, value) with position << 32 | token, so that the order of values is that of
@@ -96,14 +97,15 @@ def read_ranks(path: str) -> bytes:
 
 
 class Coder:
-    """The vocabulary in an in-memory database of this task's process."""
+    """The vocabulary in an in-memory database of this task."""
 
     def __init__(self, rank_file: bytes, pattern: str):
         rows = (line.split() for line in rank_file.splitlines() if line)
         self.ranks = {base64.b64decode(token): int(rank) for token, rank in rows}
         self.pattern = regex.compile(pattern)
         self.byte = np.array([self.ranks[bytes([i])] for i in range(256)], np.int32)
-        self.known: dict[str, tuple[str, int, bytes]] = {}  # ids as text, their number, decoded bytes
+        self.known: dict[str, str] = {}  # ids as text
+        self.decoded: dict[str, bytes] = {}  # what ids decode to, where that is not the word itself
         self.con = duckdb.connect()
         for setting in ("threads = 1", "memory_limit = '400MB'", "temp_directory = ''", "preserve_insertion_order = false"):
             self.con.execute(f"SET {setting}")
@@ -172,7 +174,9 @@ class Coder:
             part = new[at : at + CHUNK]
             ids = self.encode_words([w.encode() for w in part])
             for word, mine, decoded in zip(part, ids, self.decode_words(ids), strict=True):
-                self.known[word] = (",".join(map(str, mine)), len(mine), decoded)
+                self.known[word] = ",".join(map(str, mine))
+                if decoded != word.encode():
+                    self.decoded[word] = decoded
 
     def forget(self, words: set[str]) -> None:
         if len(self.known) > CACHE:
@@ -181,6 +185,16 @@ class Coder:
     def words(self, text: str) -> list[str]:
         return self.pattern.findall(text)
 
+    def ids_of(self, words: list[str]) -> str:
+        """The ids of learned words, joined by commas."""
+        return ",".join(map(self.known.__getitem__, words))
+
+    def bytes_of(self, words: list[str]) -> bytes:
+        """What the ids of learned words decode to."""
+        if not self.decoded:
+            return "".join(words).encode()
+        return b"".join([self.decoded.get(w, w.encode()) for w in words])
+
 
 def _parts(items: list[int], sizes: list[int]) -> Iterator[list[int]]:
     """The items in runs of at most CHUNK * 16 rows, or one item."""
@@ -195,15 +209,15 @@ def _parts(items: list[int], sizes: list[int]) -> Iterator[list[int]]:
         yield part
 
 
-_coders: dict[str, Coder] = {}
-
-
-def coder(rank_file: bytes, pattern: str) -> Coder:
-    """One per process, since Spark uses a Python worker for many tasks."""
-    key = hashlib.sha256(rank_file + pattern.encode()).hexdigest()
-    if key not in _coders:
-        _coders[key] = Coder(rank_file, pattern)
-    return _coders[key]
+@contextmanager
+def coder(rank_file: bytes, pattern: str) -> Iterator[Coder]:
+    """A coder for one task. Python workers outlive their tasks, so nothing is kept in them."""
+    mine = Coder(rank_file, pattern)
+    try:
+        yield mine
+    finally:
+        mine.known.clear()
+        mine.con.close()
 
 
 def _worded(batches: Iterator[pa.RecordBatch], c: Coder, name: str) -> Iterator[tuple[pa.RecordBatch, list[list[str]]]]:
@@ -227,11 +241,11 @@ def encode(docs: DataFrame, rank_file: bytes, pattern: str, keep: list[str], tex
     rows = docs.select(*keep, F.col(text).alias("__text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        c = coder(rank_file, pattern)
-        for batch, worded in _worded(batches, c, "__text"):
-            shown = [",".join([c.known[w][0] for w in words]) for words in worded]
-            kept = [batch.column(i) for i in range(len(keep))]
-            yield pa.RecordBatch.from_arrays([*kept, _id_lists(shown)], names=[*keep, into])
+        with coder(rank_file, pattern) as c:
+            for batch, worded in _worded(batches, c, "__text"):
+                shown = [c.ids_of(words) for words in worded]
+                kept = [batch.column(i) for i in range(len(keep))]
+                yield pa.RecordBatch.from_arrays([*kept, _id_lists(shown)], names=[*keep, into])
 
     fields = [*rows.schema.fields[:-1], T.StructField(into, T.ArrayType(T.IntegerType()))]
     return rows.mapInArrow(run, T.StructType(fields))
@@ -242,11 +256,11 @@ def decode(tokens: DataFrame, rank_file: bytes, keep: list[str], ids: str = "ids
     rows = tokens.select(*keep, F.col(ids).alias("__ids"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        c = coder(rank_file, r"\X+")
-        for batch in slices(batches, "__ids", SLICE):
-            found = c.decode_words([x or [] for x in column(batch, "__ids").to_pylist()])
-            kept = [batch.column(i) for i in range(len(keep))]
-            yield pa.RecordBatch.from_arrays([*kept, pa.array(found, pa.binary())], names=[*keep, into])
+        with coder(rank_file, r"\X+") as c:
+            for batch in slices(batches, "__ids", SLICE):
+                found = c.decode_words([x or [] for x in column(batch, "__ids").to_pylist()])
+                kept = [batch.column(i) for i in range(len(keep))]
+                yield pa.RecordBatch.from_arrays([*kept, pa.array(found, pa.binary())], names=[*keep, into])
 
     return rows.mapInArrow(run, T.StructType([*rows.schema.fields[:-1], T.StructField(into, T.BinaryType())]))
 
@@ -262,23 +276,22 @@ def round_trip(
     rows = docs.select(*keep, F.col(text).alias("__text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        c = coder(rank_file, pattern)
-        for batch, worded in _worded(batches, c, "__text"):
-            sizes, shown, decoded = [], [], []
-            for words in worded:
-                found = [c.known[w] for w in words]
-                sizes.append(sum(f[1] for f in found))
-                shown.append(",".join([f[0] for f in found]))
-                decoded.append(hashlib.sha256(b"".join([f[2] for f in found])).hexdigest())
-            kept = [batch.column(i) for i in range(len(keep))]
-            ids = [hashlib.sha256(x.encode()).hexdigest() for x in shown]
-            yield pa.RecordBatch.from_arrays(
-                [
-                    *kept, pa.array(sizes, pa.int64()), pa.array(ids, pa.string()), pa.array(decoded, pa.string()),
-                    *([_id_lists(shown)] if with_ids else []),
-                ],
-                names=[*keep, *added.names],
-            )
+        with coder(rank_file, pattern) as c:
+            for batch, worded in _worded(batches, c, "__text"):
+                sizes, shown, decoded = [], [], []
+                for words in worded:
+                    shown.append(c.ids_of(words))
+                    sizes.append(shown[-1].count(",") + 1 if words else 0)
+                    decoded.append(hashlib.sha256(c.bytes_of(words)).hexdigest())
+                kept = [batch.column(i) for i in range(len(keep))]
+                ids = [hashlib.sha256(x.encode()).hexdigest() for x in shown]
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        *kept, pa.array(sizes, pa.int64()), pa.array(ids, pa.string()), pa.array(decoded, pa.string()),
+                        *([_id_lists(shown)] if with_ids else []),
+                    ],
+                    names=[*keep, *added.names],
+                )
 
     added = T._parse_datatype_string(
         "n_tokens bigint, ids_sha256 string, decoded_sha256 string" + (", ids array<int>" if with_ids else "")

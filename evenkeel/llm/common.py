@@ -11,11 +11,18 @@ from pyspark.sql import DataFrame, SparkSession
 BATCH_BYTES = 8 << 20  # texts that a task handles at once, unless one row alone is longer
 
 
+ROWS_PER_BATCH = "1000"  # Spark's default of 10,000 whole texts would not be bounded memory
+
+
 def importable(spark: SparkSession) -> None:
-    """Let Python workers import this package from where the driver has it.
+    """Let Python workers import this package from where the driver has it, and send them small batches.
 
-    On a cluster that does not share that folder, install the package or send it with --py-files.
+    On a cluster that does not share that folder, install the package or send it with
+    --py-files. A batch size that the session sets itself stays.
     """
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(key, None) is None:
+        spark.conf.set(key, ROWS_PER_BATCH)
     home = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
     environment = spark.sparkContext.environment
     known = environment.get("PYTHONPATH", "")
