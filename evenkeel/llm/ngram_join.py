@@ -19,6 +19,9 @@ tile's links a spanning forest is kept.
 Defined results: null texts and texts without words have no n-gram and link with nothing; rows
 that repeat a doc_id are the same document; an empty table gives no rows. N-grams are 48-bit
 hashes and sets 64-bit hashes: two different ones agree with a probability of 2^-48 and 2^-64.
+
+Pairs are verified in two rounds, since a group of n near copies has n^2 / 2 of them: first as many
+as documents, then those that could still join two groups.
 """
 
 from __future__ import annotations
@@ -57,7 +60,7 @@ class Hashes(dict):
     """Hashes of words, remembered up to a bound."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 300_000:
+        if len(self) > 200_000:
             self.clear()
         value = self[word] = xxhash.xxh3_64_intdigest(word)
         return value
@@ -338,11 +341,18 @@ def _sets_of(docs: DataFrame, rows: DataFrame, keys: DataFrame, n: int) -> DataF
     return sets.groupBy("key").agg(F.first("grams").alias("grams"))
 
 
+def _linked(docs: DataFrame, rows: DataFrame, pairs: DataFrame, n: int) -> DataFrame:
+    """Those of the pairs whose whole sets are similar enough, written out."""
+    pairs = staged(pairs, "join-candidates")
+    sets = _sets_of(docs, rows, pairs.select(F.col("a").alias("key")).union(pairs.select("b")), n)
+    return staged(_with_sets(pairs, sets).mapInArrow(_links, "a bigint, b bigint"), "join-links")
+
+
 def similar_groups(docs: DataFrame, text: str = "text", n: int = WORDS) -> DataFrame:
     """doc_id, n_shingles and component_id, the smallest doc_id that is reachable by links.
 
-    The texts are read three times (counts, entries, sets of linked candidates) rather than
-    their sets stored, which would take more room than the texts. Runs when called.
+    The texts are read for the counts, for the entries and for the sets of candidates, rather
+    than all sets stored, which would take more room than the texts. Runs when called.
     """
     spark = docs.sparkSession
     docs = docs.select("doc_id", F.col(text).alias("text"))
@@ -367,10 +377,12 @@ def similar_groups(docs: DataFrame, text: str = "text", n: int = WORDS) -> DataF
     pairs = (
         product.where("b IS NOT NULL").groupBy("a", "b", "n_a", "n_b")
         .agg(F.sum("shared").alias("shared"), F.max("last_a").alias("last_a"), F.max("last_b").alias("last_b"))
-        .where(F.col("shared") + follows >= need).select("a", "b")
+        .where(F.col("shared") + follows >= need).select("a", "b", "shared")
     )
+    pairs = staged(pairs, "join-pairs")
 
-    # long columns: link their documents to one of them first
+    # first each document with its likeliest partner, and long columns with one of their documents:
+    # this joins most groups, with as many pairs as documents
     members = staged(members, "join-long")
     center = members.groupBy("gram").agg(F.min(F.struct("key", "n")).alias("c"))
     near = f"100 * least(n, c.n) >= {PERCENT} * greatest(n, c.n)"
@@ -378,11 +390,19 @@ def similar_groups(docs: DataFrame, text: str = "text", n: int = WORDS) -> DataF
         members.join(center, "gram").where(f"key <> c.key AND {near}")
         .select(F.col("c.key").alias("a"), F.col("key").alias("b"))
     )
-    pairs = staged(pairs.union(spokes).distinct(), "join-pairs")
-    sets = _sets_of(docs, rows, pairs.select(F.col("a").alias("key")).union(pairs.select("b")), n)
-    links = staged(_with_sets(pairs, sets).mapInArrow(_links, "a bigint, b bigint"), "join-links")
+    likely = pairs.groupBy("b").agg(F.max_by("a", F.struct("shared", "a")).alias("a")).select("a", "b")
+    links = _linked(docs, rows, likely.union(spokes).distinct(), n)
     roots = components(links)
 
+    # then the pairs that could still join two groups
+    of = {side: roots.select(F.col("node").alias(side), F.col("root").alias(f"root_{side}")) for side in ("a", "b")}
+    apart = ~F.coalesce("root_a", "a").eqNullSafe(F.coalesce("root_b", "b"))
+    left = pairs.join(of["a"], "a", "left").join(of["b"], "b", "left").where(apart).select("a", "b")
+    found = _linked(docs, rows, left.join(likely, ["a", "b"], "left_anti"), n)
+    if found.limit(1).count():
+        links = links.union(found)
+        roots = components(links)
+
     # long columns that still join different components: square tiles
     rooted = members.join(roots.withColumnRenamed("node", "key"), "key", "left").withColumn("root", F.coalesce("root", "key"))
     open_ = rooted.groupBy("gram").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.min("key").alias("center"))
