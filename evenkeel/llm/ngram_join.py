@@ -50,7 +50,7 @@ ORDER_SIZE = 1 << 18  # most frequent n-grams whose counts order the columns; on
 COUNT_BITS = 32  # of an n-gram's hash in the exchange of counts
 TILE = 256
 BROADCAST_KEYS = 1_000_000  # 8 MB of keys; above that the sets are joined by shuffle
-ROWS_AT_ONCE = 1 << 19
+ROWS_AT_ONCE = 1 << 18
 
 _MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5], np.uint64)
 ENTRY = np.dtype([("h", "<u2", 3), ("key", "<i8"), ("n", "<u4"), ("pos", "<u4")])
@@ -60,7 +60,7 @@ class Hashes(dict):
     """Hashes of words, remembered up to a bound."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 200_000:
+        if len(self) > 50_000:
             self.clear()
         value = self[word] = xxhash.xxh3_64_intdigest(word)
         return value

@@ -29,7 +29,7 @@ SAMPLE = 6000
 PASSAGE = 480
 HIDDEN, GATE = 32, 16
 EPOCHS, BATCH, RATE, DECAY = 14, 64, 4e-3, 1e-4
-PART = 2 << 20  # characters scored at once, unless one text is longer
+PART = 1 << 20  # characters scored at once, unless one text is longer
 
 # Classes of bytes: what kind of character, not which one.
 _CLASS = np.zeros(256, np.uint8)
