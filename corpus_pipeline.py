@@ -17,6 +17,9 @@ from evenkeel.session import staged
 # A classifier, bitmaps exchanged between tasks, components of a graph and a recursive query: not SQL over the tables.
 ORACLE_SQL = None
 
+SHINGLE_WORDS = 5
+NEAR_PERCENT = 80
+
 
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents that the quality classifier does not reject."""
@@ -33,9 +36,12 @@ def without_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of linked documents the one with the smallest doc_id."""
+    """Of each group of linked documents the one with the smallest doc_id.
+
+    Unlike op8, which has its own numbers, this links documents by 5-word shingles from 80 % on.
+    """
     importable(spark)
-    return ngram_join.one_of_each(docs)
+    return ngram_join.one_of_each(docs, n=SHINGLE_WORDS, percent=NEAR_PERCENT)
 
 
 def without_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

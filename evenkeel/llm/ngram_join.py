@@ -6,8 +6,9 @@ each task holds the rows' entries in its block, adds up the counts of the pairs
 counts of all blocks are summed.
 
 Bounds derived from the sizes keep the product small without losing a link. Two sets link when
-100 * |A n B| >= 85 * |A u B|. With all n-grams in one order, rarest first, linked sets
-share one among the first |A| - ceil(0.85 |A|) + 1 of each, so only those entries are multiplied.
+100 * |A n B| >= percent * |A u B|. With all n-grams in one order, rarest first, linked sets share
+one among the first |A| - ceil(percent |A| / 100) + 1 of each, so only those entries are multiplied.
+The length of an n-gram and the percentage are arguments; WORDS and PERCENT are those of op8.
 Pairs whose sizes differ too much, or whose count plus what can still follow the last common
 entry stays below the need, are discarded. The rest is verified on the whole sets.
 
@@ -156,11 +157,11 @@ def _counted(owners: int):
     return run
 
 
-def _needed(n: np.ndarray | int) -> np.ndarray | int:
-    return -(-PERCENT * n // 100)
+def _needed(n: np.ndarray | int, percent: int) -> np.ndarray | int:
+    return -(-percent * n // 100)
 
 
-def _entries(n: int, frequent: np.ndarray, counts: np.ndarray, blocks: int, schema: pa.Schema):
+def _entries(n: int, percent: int, frequent: np.ndarray, counts: np.ndarray, blocks: int, schema: pa.Schema):
     """Each document's key and size, and the entries of its leading n-grams, rarest first, by block.
 
     Entries of the frequent n-grams go out one by one, for their columns may be long. They and
@@ -196,7 +197,7 @@ def _entries(n: int, frequent: np.ndarray, counts: np.ndarray, blocks: int, sche
                 if key is None or key in seen:
                     continue  # copies are one row of the matrix
                 seen.add(key)
-                lead = total - _needed(total) + 1
+                lead = total - _needed(total, percent) + 1
                 short = grams >> np.uint64(48 - COUNT_BITS)
                 at = np.minimum(np.searchsorted(frequent, short), max(0, len(frequent) - 1))
                 known = frequent[at] == short if len(frequent) else np.zeros(total, bool)
@@ -228,7 +229,7 @@ def _entries(n: int, frequent: np.ndarray, counts: np.ndarray, blocks: int, sche
 PAIR = "a bigint, b bigint, n_a bigint, n_b bigint, shared bigint, last_a bigint, last_b bigint, gram bigint"
 
 
-def _multiplied(schema: pa.Schema):
+def _multiplied(percent: int, schema: pa.Schema):
     """One block of the product: pairs with their counts, and the members of long columns.
 
     Blocks below 0 pass through: members of long columns, and documents (no n-gram, no pair).
@@ -260,7 +261,7 @@ def _multiplied(schema: pa.Schema):
             for at in range(0, len(columns), step):
                 some = columns[at : at + step, None]
                 i, j = (some + first).ravel(), (some + second).ravel()
-                near = 100 * np.minimum(n[i], n[j]) >= PERCENT * np.maximum(n[i], n[j])
+                near = 100 * np.minimum(n[i], n[j]) >= percent * np.maximum(n[i], n[j])
                 i, j = i[near], j[near]
                 frame = pd.DataFrame({"a": key[i], "b": key[j], "n_a": n[i], "n_b": n[j], "last_a": pos[i], "last_b": pos[j]})
                 summed = frame.groupby(["a", "b", "n_a", "n_b"], as_index=False, sort=False).agg(
@@ -272,18 +273,22 @@ def _multiplied(schema: pa.Schema):
     return run
 
 
-def _links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _links(percent: int):
     """The pairs whose whole sets are similar enough."""
-    for batch in slices(batches, "grams_a", 4 << 20):
-        linked = []
-        for a, b in zip(column(batch, "grams_a").to_pylist(), column(batch, "grams_b").to_pylist(), strict=True):
-            x, y = from_bytes(a), from_bytes(b)
-            shared = len(np.intersect1d(x, y, assume_unique=True))
-            linked.append(100 * shared >= PERCENT * (len(x) + len(y) - shared))
-        yield pa.RecordBatch.from_arrays([column(batch, "a"), column(batch, "b")], names=["a", "b"]).filter(pa.array(linked))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, "grams_a", 4 << 20):
+            linked = []
+            for a, b in zip(column(batch, "grams_a").to_pylist(), column(batch, "grams_b").to_pylist(), strict=True):
+                x, y = from_bytes(a), from_bytes(b)
+                shared = len(np.intersect1d(x, y, assume_unique=True))
+                linked.append(100 * shared >= percent * (len(x) + len(y) - shared))
+            yield pa.RecordBatch.from_arrays([column(batch, "a"), column(batch, "b")], names=["a", "b"]).filter(pa.array(linked))
+
+    return run
 
 
-def _tile(rows: pd.DataFrame) -> pd.DataFrame:
+def _tile(rows: pd.DataFrame, percent: int) -> pd.DataFrame:
     """The links of one tile as a spanning forest: all documents of one or two parts of a cluster."""
     rows = rows.drop_duplicates("key")
     keys, root = rows["key"].to_numpy(), rows["root"].to_numpy()
@@ -306,7 +311,7 @@ def _tile(rows: pd.DataFrame) -> pd.DataFrame:
         block = np.zeros((len(sets), width), np.float32)
         block[owner[low:high], index[low:high] - at] = 1
         shared += block @ block.T
-    linked = 100 * shared >= PERCENT * (sizes[:, None] + sizes[None, :] - shared)
+    linked = 100 * shared >= percent * (sizes[:, None] + sizes[None, :] - shared)
     label = np.unique(root, return_inverse=True)[1]
     smallest = np.arange(label.max() + 1)  # the label that a label was merged into
     while True:
@@ -341,16 +346,17 @@ def _sets_of(docs: DataFrame, rows: DataFrame, keys: DataFrame, n: int) -> DataF
     return sets.groupBy("key").agg(F.first("grams").alias("grams"))
 
 
-def _linked(docs: DataFrame, rows: DataFrame, pairs: DataFrame, n: int) -> DataFrame:
+def _linked(docs: DataFrame, rows: DataFrame, pairs: DataFrame, n: int, percent: int) -> DataFrame:
     """Those of the pairs whose whole sets are similar enough, written out."""
     pairs = staged(pairs, "join-candidates")
     sets = _sets_of(docs, rows, pairs.select(F.col("a").alias("key")).union(pairs.select("b")), n)
-    return staged(_with_sets(pairs, sets).mapInArrow(_links, "a bigint, b bigint"), "join-links")
+    return staged(_with_sets(pairs, sets).mapInArrow(_links(percent), "a bigint, b bigint"), "join-links")
 
 
-def similar_groups(docs: DataFrame, text: str = "text", n: int = WORDS) -> DataFrame:
+def similar_groups(docs: DataFrame, text: str = "text", n: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles and component_id, the smallest doc_id that is reachable by links.
 
+    Documents link when their sets of n-grams of `n` words have a Jaccard similarity of `percent` or more.
     The texts are read for the counts, for the entries and for the sets of candidates, rather
     than all sets stored, which would take more room than the texts. Runs when called.
     """
@@ -368,11 +374,11 @@ def similar_groups(docs: DataFrame, text: str = "text", n: int = WORDS) -> DataF
     sent = T.StructType([*T._parse_datatype_string("block int, payload binary, gram bigint, key bigint, n bigint").fields, doc_id])
     made = T.StructType([*T._parse_datatype_string(PAIR).fields, doc_id])
     frequent, counts = top["gram"].to_numpy().astype(np.uint64), top["n"].to_numpy()
-    entries = docs.mapInArrow(_entries(n, frequent, counts, blocks, to_arrow_schema(sent)), sent)
-    product = staged(entries.groupBy("block").applyInArrow(_multiplied(to_arrow_schema(made)), made), "join-product")
+    entries = docs.mapInArrow(_entries(n, percent, frequent, counts, blocks, to_arrow_schema(sent)), sent)
+    product = staged(entries.groupBy("block").applyInArrow(_multiplied(percent, to_arrow_schema(made)), made), "join-product")
     rows = product.where("b IS NULL AND gram IS NULL").select("doc_id", F.col("n_a").alias("n_shingles"), F.col("a").alias("key"))
     members = product.where("gram IS NOT NULL").select("gram", F.col("a").alias("key"), F.col("n_a").alias("n")).distinct()
-    need = F.ceil(F.lit(PERCENT) * (F.col("n_a") + F.col("n_b")) / (100 + PERCENT))
+    need = F.ceil(F.lit(percent) * (F.col("n_a") + F.col("n_b")) / (100 + percent))
     follows = F.least(F.col("n_a") - F.col("last_a"), F.col("n_b") - F.col("last_b")) - 1
     pairs = (
         product.where("b IS NOT NULL").groupBy("a", "b", "n_a", "n_b")
@@ -385,20 +391,20 @@ def similar_groups(docs: DataFrame, text: str = "text", n: int = WORDS) -> DataF
     # this joins most groups, with as many pairs as documents
     members = staged(members, "join-long")
     center = members.groupBy("gram").agg(F.min(F.struct("key", "n")).alias("c"))
-    near = f"100 * least(n, c.n) >= {PERCENT} * greatest(n, c.n)"
+    near = f"100 * least(n, c.n) >= {percent} * greatest(n, c.n)"
     spokes = (
         members.join(center, "gram").where(f"key <> c.key AND {near}")
         .select(F.col("c.key").alias("a"), F.col("key").alias("b"))
     )
     likely = pairs.groupBy("b").agg(F.max_by("a", F.struct("shared", "a")).alias("a")).select("a", "b")
-    links = _linked(docs, rows, likely.union(spokes).distinct(), n)
+    links = _linked(docs, rows, likely.union(spokes).distinct(), n, percent)
     roots = components(links)
 
     # then the pairs that could still join two groups
     of = {side: roots.select(F.col("node").alias(side), F.col("root").alias(f"root_{side}")) for side in ("a", "b")}
     apart = ~F.coalesce("root_a", "a").eqNullSafe(F.coalesce("root_b", "b"))
     left = pairs.join(of["a"], "a", "left").join(of["b"], "b", "left").where(apart).select("a", "b")
-    found = _linked(docs, rows, left.join(likely, ["a", "b"], "left_anti"), n)
+    found = _linked(docs, rows, left.join(likely, ["a", "b"], "left_anti"), n, percent)
     if found.limit(1).count():
         links = links.union(found)
         roots = components(links)
@@ -416,7 +422,7 @@ def similar_groups(docs: DataFrame, text: str = "text", n: int = WORDS) -> DataF
             placed.join(_sets_of(docs, rows, inside.select("key"), n), "key")
             .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
             .groupBy("cluster", F.least("part", "other").alias("low"), F.greatest("part", "other").alias("high"))
-            .applyInPandas(lambda g: _tile(g), "a bigint, b bigint")
+            .applyInPandas(lambda g: _tile(g, percent), "a bigint, b bigint")
         )
         roots = components(links.union(tiles))
 
@@ -428,8 +434,8 @@ def similar_groups(docs: DataFrame, text: str = "text", n: int = WORDS) -> DataF
     )
 
 
-def one_of_each(docs: DataFrame, text: str = "text") -> DataFrame:
+def one_of_each(docs: DataFrame, text: str = "text", n: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """The rows of `docs` without those that are linked, at whatever distance, to a smaller doc_id."""
-    groups = similar_groups(docs, text)
+    groups = similar_groups(docs, text, n, percent)
     dropped = staged(groups.where("doc_id <> component_id").select("doc_id").distinct(), "join-dropped")
     return docs.join(dropped, "doc_id", "left_anti").select(*docs.columns)

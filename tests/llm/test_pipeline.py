@@ -4,6 +4,7 @@ import re
 
 import corpus_pipeline
 from evenkeel.llm.common import table
+from tests.llm.helpers import documents, prose
 
 
 def test_stages(spark, folder, tmp_path):
@@ -41,3 +42,42 @@ def test_stages(spark, folder, tmp_path):
 
 def test_run(spark, folder):
     assert corpus_pipeline.run(spark, folder).count() > 0
+
+
+def shingles(text):
+    words = [w for w in re.split("[\x20\x09-\x0d]+", re.sub("[A-Z]", lambda m: m.group().lower(), text or "")) if w]
+    return {tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))} if words else set()
+
+
+def first_of_each(rows):
+    """All pairs: the ids that have no smaller id in their component of links from 80 % of 5-word shingles on."""
+    root = {d: d for d, _ in rows}
+    sets = [(d, shingles(t)) for d, t in rows]
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for i, (a, x) in enumerate(sets):
+        for b, y in sets[:i]:
+            if 5 * len(x & y) >= 4 * len(x | y) and x:
+                low, high = sorted((find(a), find(b)))
+                root[high] = low
+    return {d for d in root if find(d) == d}
+
+
+def test_near_dedup_is_by_five_words_and_80_percent(spark, folder):
+    words = prose(1, 200).split()
+    texts = [" ".join(words)]
+    for n in range(0, 9):  # 196 shingles, 5 of which hold a changed word: 0.8 falls between 4 and 5 changes
+        texts.append(" ".join(w[::-1] if i in range(10, 10 + 20 * n, 20) else w for i, w in enumerate(prose(50 + n, 200).split())))
+        texts.append(prose(50 + n, 200))
+    long_column = prose(2, 120)  # more documents than a column emits pairs for
+    texts += [f"{long_column} {prose(300 + i, 18)}" for i in range(90)] + [f"{prose(7, 3 + i)}" for i in range(6)] + ["", None]
+    docs = documents(spark, texts)
+    real = table(spark, folder, "documents")
+    for given in (docs, real):
+        rows = [(r.doc_id, r.text) for r in given.collect()]
+        kept = corpus_pipeline.without_near_copies(spark, given, folder).collect()
+        assert {r.doc_id for r in kept} == first_of_each(rows)
