@@ -119,5 +119,28 @@ def test_secret_network():
     assert secrets.train(windows[:4], labels[:4], held[:4]) is None
 
 
+def test_secret_threshold_keeps_the_recall_where_classes_overlap():
+    rng = np.random.default_rng(6)
+    alphabet = list("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789")
+    keys = ["".join(rng.choice(alphabet, 28)) for _ in range(500)]
+    paths = ["/".join("".join(rng.choice(list("abcdefgh"), 5)) for _ in range(4)) + "/file1" for _ in range(500)]
+    windows = np.stack([secrets.window(f"see {v} here", 4, 4 + len(v)) for v in keys + paths])
+    labels = np.repeat([1, 0], 500)
+    labels[500:700] = 1  # findings that look like the other candidates
+    held = np.arange(1000) % 4 == 0
+    net = secrets.train(windows, labels, held)
+    p = net.probability(windows)
+    assert net.recall == (p[held & (labels == 1)] >= net.threshold).mean() >= secrets.RECALL
+    assert net.precision == (labels[held & (p >= net.threshold)] == 1).mean() < 0.9
+
+
+def test_secret_candidates_start_at_the_length_of_assigned_values():
+    assert secrets.candidates("see aB3dE9 and aB3dE or Secret words QWERTY") == [(4, 10)]
+    weights = {"E": np.zeros((secrets.SYMBOLS, secrets.EMBED)), "F": np.zeros((secrets.KERNEL * secrets.EMBED, secrets.FILTERS)),
+               "f": np.zeros(secrets.FILTERS), "o": np.zeros(2 * secrets.FILTERS), "c": np.zeros(1)}
+    sees_all = secrets.Network(weights)
+    assert secrets.scan(["use aB3dE9xY now"], sees_all) == [[(4, 12, "cnn", 0.5)]]
+
+
 def test_every_query_is_registered():
     assert sorted(int(n[2:].split("_")[0]) for n in queries.QUERIES) == list(range(1, 11))
