@@ -1,12 +1,13 @@
 """Language identification with a bit-sliced Bloom filter of n-grams.
 
-One filter row holds one bit per language, so a lookup of an n-gram ANDs K rows and yields the
-set of all languages that contain it. A text's n-grams are counted per language by popcount of
+One filter row holds one bit per language, in slices of SLICE languages, so a lookup of an n-gram
+ANDs K rows and yields the set of all languages that contain it. A text's n-grams are counted per language by popcount of
 each bit, the counts are corrected for the filter's false positives, and the largest share wins.
 
 The filter is learned from at most SAMPLE_PER_LANGUAGE documents of a language (whole texts,
 chosen by a hash of the id) and holds a language's TOP_GRAMS most frequent n-grams. Its size is
-fixed, so it can be sent to every task. All texts are scored, in whole.
+fixed for each slice (4 MB of 64 languages), whatever the number of rows, so it can be sent to every
+task; the number of languages is not bounded. All texts are scored, in whole.
 
 Defined results: null texts and texts without a letter are `und` with score 0; a text whose
 n-grams are all unknown gets the language with most training documents, score 0; ties go to the
@@ -27,7 +28,8 @@ from pyspark.sql import types as T
 from evenkeel.llm.common import column, slices, strings
 
 SAMPLE_PER_LANGUAGE = 1000  # up to 1000, Spark keeps the first rows of a group in every task before the shuffle
-MAX_LANGUAGES = 64
+SLICE = 64  # languages in one column of the filter
+SENT_LANGUAGES = 1000  # up to these the ids of the sample are sent to the scan, above they meet it in a shuffle
 TOP_GRAMS = 20_000
 OWN_SHARE = 0.2  # of the share that an n-gram has in the language where it is most frequent
 ROWS = 1 << 19
@@ -43,7 +45,7 @@ _SEEDS = np.array([0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D], np.uint32)[:K]
 @dataclass
 class Filter:
     languages: list[str]
-    rows: np.ndarray  # (ROWS,) one bit per language
+    rows: np.ndarray  # (slices, ROWS), one bit per language; language i is bit i % SLICE of slice i // SLICE
     false_positive: np.ndarray  # per language
     fallback: str
 
@@ -104,16 +106,16 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def fit(training: DataFrame, text: str = "text") -> Filter:
     """A filter from rows of doc_id, lang and text; rows without language or text teach nothing."""
     rows = training.select("doc_id", "lang", F.col(text).alias("text")).where("lang IS NOT NULL AND text IS NOT NULL")
-    sizes = {r.lang: r.n for r in rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(MAX_LANGUAGES).collect()}
+    sizes = {r.lang: r.n for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     languages = sorted(sizes)
     chosen = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    ids = (  # reads no text; at most MAX_LANGUAGES * SAMPLE_PER_LANGUAGE rows
-        rows.select("doc_id", "lang").where(F.col("lang").isin(languages))
+    ids = (  # reads no text; at most SAMPLE_PER_LANGUAGE rows of a language
+        rows.select("doc_id", "lang")
         .withColumn("rank", F.row_number().over(chosen)).where(F.col("rank") <= SAMPLE_PER_LANGUAGE)
         .select("doc_id").distinct()
     )
     counts = (
-        rows.join(F.broadcast(ids), "doc_id").select("lang", "text")
+        rows.join(F.broadcast(ids) if len(languages) <= SENT_LANGUAGES else ids, "doc_id").select("lang", "text")
         .mapInArrow(_counted, "lang string, gram bigint, n bigint").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     )
     # an n-gram that is far rarer here than elsewhere comes from a foreign passage
@@ -123,17 +125,18 @@ def fit(training: DataFrame, text: str = "text") -> Filter:
     counts = counts.where(F.col("share") >= OWN_SHARE * F.col("most"))
     frequent = Window.partitionBy("lang").orderBy(F.desc("n"), "gram")
     top = counts.withColumn("rank", F.row_number().over(frequent)).where(F.col("rank") <= TOP_GRAMS)
-    learned = top.select("lang", "gram").toPandas()
-    bits = np.zeros(ROWS, np.uint64)
+    learned = top.groupBy("lang").agg(F.collect_list("gram").alias("grams")).toArrow()  # 160 KB a language
+    bits = np.zeros((max(1, -(-len(languages) // SLICE)), ROWS), np.uint64)
     filled = []
+    of_language = dict(zip(learned["lang"].to_pylist(), learned["grams"], strict=True))
     for i, lang in enumerate(languages):
-        codes = learned.loc[learned["lang"] == lang, "gram"].to_numpy().astype(np.uint32)
+        codes = of_language[lang].values.to_numpy().astype(np.uint32) if lang in of_language else np.empty(0, np.uint32)
         mine = np.zeros(ROWS, bool)
         for seed in _SEEDS:
             mine[_rows_of(codes, seed)] = True
-        bits |= mine.astype(np.uint64) << np.uint64(i)
+        bits[i // SLICE] |= mine.astype(np.uint64) << np.uint64(i % SLICE)
         filled.append(mine.mean())
-    width = next(w for w in (8, 16, 32, 64) if len(languages) <= w)
+    width = next(w for w in (8, 16, 32, 64) if min(len(languages), SLICE) <= w)
     fallback = max(languages, key=lambda x: (sizes[x], [-ord(c) for c in x])) if languages else "und"
     return Filter(languages, bits.astype(f"uint{width}"), np.array(filled) ** K, fallback)
 
@@ -141,12 +144,14 @@ def fit(training: DataFrame, text: str = "text") -> Filter:
 def classify(model: Filter, texts: list[str]) -> tuple[list[str], np.ndarray]:
     """The language of each text and its share of n-grams, corrected for false positives."""
     codes, sizes = grams(texts)
-    found = lookup(model.rows, codes)
     starts = np.concatenate([[0], np.cumsum(sizes)])
     shares = np.zeros((len(model.languages), len(texts)))
     some = np.maximum(sizes, 1)
     for i, p in enumerate(model.false_positive):
-        hits = np.concatenate([[0], np.cumsum((found >> found.dtype.type(i)) & found.dtype.type(1), dtype=np.int64)])
+        if i % SLICE == 0:
+            found = lookup(model.rows[i // SLICE], codes)
+        bit = found.dtype.type(i % SLICE)
+        hits = np.concatenate([[0], np.cumsum((found >> bit) & found.dtype.type(1), dtype=np.int64)])
         shares[i] = np.clip((np.diff(hits[starts]) - sizes * p) / ((1 - p) * some), 0, 1)
     best = shares.argmax(axis=0) if model.languages else np.zeros(len(texts), int)
     names, scores = [], np.zeros(len(texts))

@@ -45,6 +45,18 @@ def test_language_held_out_accuracy_and_edges(spark, docs):
     assert {r.lang_pred for r in language.identify(documents(spark, ["a", None]), nothing, []).collect()} == {"und"}
 
 
+def test_every_one_of_many_languages_is_learned(spark):
+    rng = np.random.default_rng(3)
+    names = [f"l{i:03d}" for i in range(150)]
+    words = {x: ["".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), 7)) for _ in range(12)] for x in names}
+    made = [(x, " ".join(rng.choice(words[x], 30))) for i, x in enumerate(names) for _ in range(6 if i < 75 else 4)]
+    docs = documents(spark, [(i, t, x, "s", len(t)) for i, (x, t) in enumerate(made)])
+    model = language.fit(docs)
+    assert model.languages == names and model.rows.shape == (3, language.ROWS)
+    rows = language.identify(docs, model, ["lang"]).collect()
+    assert len(rows) == 750 and all(r.lang == r.lang_pred and r.score > 0.5 for r in rows)
+
+
 def test_attention_gradients():
     rng = np.random.default_rng(0)
     x, counts, y = rng.normal(size=(9, quality.FEATURES)), np.array([3, 1, 5]), np.array([1.0, 0.0, 1.0])
