@@ -2,10 +2,13 @@
 
 Pages of one host share a wrapper. Each host has a reference page, the one with the smallest id.
 Every page's DOM tree is aligned with it by simple tree matching, and for each text slot of the
-reference it is counted how many pages have it and how many fill it with the same text. A slot
-with the same text nearly everywhere is template; slots that vary hold content. Markup that
-says what it is (navigation, footers, forms, adverts, comments ...) is left out as well, and
-an article or main element, where there is one, bounds the content.
+reference it is counted how many different pages have it and how many fill it with the same text;
+copies of a page count as one. A slot with the same text nearly everywhere is template; slots that
+vary hold content. Markup that says what it is (navigation, footers, forms, adverts, comments ...)
+is left out as well. Article elements, or else main elements, bound the content, all that a page
+has. Without them the smallest element around all that are named like content does, if it holds
+most of the text. Nothing in an article is template; elsewhere paragraphs that 90 % of a host's
+pages share cannot be told from one, and a page that is template throughout is kept whole.
 
 Only counts are shuffled, summed per task first; references and templates join by host, which
 Spark broadcasts if they are small and otherwise shuffles, splitting a host with many pages.
@@ -285,22 +288,51 @@ def blocks(tree: Tree, template: set[int] = frozenset()) -> list[str]:
     """The content's blocks in page order; `template` are nodes whose text belongs to the wrapper."""
     kept, bounds = _regions(tree)
     alive = set(kept)
-    for kind in ("article", "main", "named"):
-        if bounds[kind]:
-            found = max(bounds[kind], key=lambda b: (_amount(tree, b, alive), -b))
-            if _amount(tree, found, alive):
-                out = _collect(tree, found, alive, template)
-                return out or _collect(tree, found, alive, frozenset())
-    return _collect(tree, 0, alive, template)
-
-
-def _amount(tree: Tree, top: int, alive: set[int]) -> int:
+    for kind in ("article", "main"):
+        found = [b for b in _outermost(tree, bounds[kind]) if _amount(tree, b, alive)]
+        if found:
+            wrapper = frozenset() if kind == "article" else template
+            return _all_of(tree, found, alive, wrapper) or _all_of(tree, found, alive, frozenset())
+    top = 0
+    if bounds["named"]:
+        around = _around(tree, bounds["named"])
+        if 2 * _amount(tree, around, alive, template) > _amount(tree, 0, alive, template):
+            top = around
+    return _collect(tree, top, alive, template) or _collect(tree, top, alive, frozenset())
+
+
+def _all_of(tree: Tree, tops: list[int], alive: set[int], template: set[int]) -> list[str]:
+    return [block for top in tops for block in _collect(tree, top, alive, template)]
+
+
+def _outermost(tree: Tree, nodes: list[int]) -> list[int]:
+    """Those of the nodes that are in no other one, in page order."""
+    inside, chosen = set(nodes), []
+    for node in sorted(nodes):
+        above = tree.parents[node]
+        while above >= 0 and above not in inside:
+            above = tree.parents[above]
+        if above < 0:
+            chosen.append(node)
+    return chosen
+
+
+def _around(tree: Tree, nodes: list[int]) -> int:
+    """The lowest common ancestor; parents have smaller numbers than children."""
+    top = nodes[0]
+    for node in nodes[1:]:
+        while top != node:
+            top, node = (tree.parents[top], node) if top > node else (top, tree.parents[node])
+    return top
+
+
+def _amount(tree: Tree, top: int, alive: set[int], template: set[int] = frozenset()) -> int:
     total, todo = 0, [top]
     while todo:
         node = todo.pop()
         for part in tree.parts[node]:
             if isinstance(part, str):
-                total += len(part.strip())
+                total += len(part.strip()) if node not in template else 0
             elif part in alive:
                 todo.append(part)
     return total
@@ -355,24 +387,28 @@ class References:
 
 
 def _slots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """For each host and text slot of its reference: pages that have it, and with the same text."""
+    """For each host and text slot of its reference: pages that have it, and with the same text.
+
+    Each of n copies of a page counts as 1 / n.
+    """
     references = References()
     for batch in slices(batches, "html"):
         seen, same = Counter(), Counter()
-        for host, page, reference in zip(*(column(batch, c).to_pylist() for c in ("host", "html", "reference")), strict=True):
+        columns = (column(batch, c).to_pylist() for c in ("host", "html", "reference", "copies"))
+        for host, page, reference, copies in zip(*columns, strict=True):
             tree, model = parse(page), references.get(host, reference)
             for a, b in align(tree, model).items():
                 text = model.text(b)
                 if text:
-                    seen[host, b] += 1
-                    same[host, b] += tree.text(a) == text
+                    seen[host, b] += 1 / copies
+                    same[host, b] += (tree.text(a) == text) / copies
         keys = list(seen)
         yield pa.RecordBatch.from_arrays(
             [
                 pa.array([k[0] for k in keys], pa.string()),
                 pa.array([k[1] for k in keys], pa.int32()),
-                pa.array([seen[k] for k in keys], pa.int64()),
-                pa.array([same[k] for k in keys], pa.int64()),
+                pa.array([seen[k] for k in keys], pa.float64()),
+                pa.array([same[k] for k in keys], pa.float64()),
             ],
             names=["host", "slot", "seen", "same"],
         )
@@ -399,16 +435,20 @@ def extract(pages: DataFrame, html: str = "html") -> DataFrame:
     """page_id, url, text and n_chars of every page."""
     host = F.lower(F.regexp_extract("url", r"^\s*(?:[A-Za-z][A-Za-z0-9+.-]*:)?//(?:[^/?#@]*@)?([^/?#:]+)", 1))
     rows = pages.select("page_id", "url", F.col(html).alias("html"), F.nullif(host, F.lit("")).alias("host"))
-    usable = rows.where("host IS NOT NULL AND length(html) > 0")
+    usable = rows.where("host IS NOT NULL AND length(html) > 0").withColumn("page", F.xxhash64("html"))
+    # copies of a page are one page: only hashes are shuffled, and those of repeated pages staged
+    different = usable.groupBy("host", "page").agg(F.count("*").alias("copies"))
+    supported = different.groupBy("host").agg(F.count("*").alias("pages")).where(F.col("pages") >= SUPPORT).select("host")
+    repeated = staged(different.where("copies > 1"), "wrapper-copies")
     models = usable.groupBy("host").agg(
-        F.min_by("html", F.struct(F.col("page_id").isNull(), "page_id", F.xxhash64("html"))).alias("reference"),
-        F.count("*").alias("pages"),
+        F.min_by("html", F.struct(F.col("page_id").isNull(), "page_id", "page")).alias("reference")
     )
-    models = staged(models.where(F.col("pages") >= SUPPORT).drop("pages"), "wrapper-models")
-    counted = usable.join(models, "host").select("host", "html", "reference").mapInArrow(
-        _slots, "host string, slot int, seen bigint, same bigint"
+    models = staged(models.join(supported, "host"), "wrapper-models")
+    weighed = usable.join(repeated, ["host", "page"], "left").withColumn("copies", F.coalesce("copies", F.lit(1)))
+    counted = weighed.join(models, "host").select("host", "html", "reference", "copies").mapInArrow(
+        _slots, "host string, slot int, seen double, same double"
     )
-    slots = counted.groupBy("host", "slot").agg(F.sum("seen").alias("seen"), F.sum("same").alias("same"))
+    slots = counted.groupBy("host", "slot").agg(F.round(F.sum("seen"), 3).alias("seen"), F.round(F.sum("same"), 3).alias("same"))
     constant = slots.where((F.col("seen") >= SUPPORT) & (F.col("same") >= CONSTANT * F.col("seen")))
     templates = constant.groupBy("host").agg(F.array_sort(F.collect_list("slot")).alias("template"))  # slots of one page
     wrappers = staged(models.join(templates, "host"), "wrappers")

@@ -61,3 +61,28 @@ def test_all_pages_of_the_table(spark, folder):
         inside = re.search(r"<article>(.*)</article>", r.html, re.DOTALL).group(1).replace("<br>", " ")
         parts = (html.unescape(re.sub(r"<[^>]*>", "", p)) for p in re.split(r"</?(?:p|h1|article|div|ul|li)>", inside))
         assert got[r.page_id] == "\n".join(t for t in (" ".join(p.split()) for p in parts) if t)
+
+
+def test_near_copies_keep_the_article_they_share(spark):
+    page = "<body><div>Menu</div><article><h1>Head</h1><p>first</p><p>second</p><p>date {0}</p></article></body>"
+    rows = [(i, "http://d.example/", page.format(i)) for i in range(20)]
+    got = {r.page_id: r.text for r in H.extract(pages(spark, rows)).collect()}
+    assert got == {i: f"Head\nfirst\nsecond\ndate {i}" for i in range(20)}
+
+
+def test_copies_of_a_page_count_once(spark):
+    page = "<body><div>My site</div><div><p>{0}</p></div></body>"
+    rows = [(i, "http://e.example/", page.format("often" if i < 40 else f"text {i}")) for i in range(43)]
+    got = {r.page_id: r.text for r in H.extract(pages(spark, rows)).collect()}
+    assert got == {i: "often" if i < 40 else f"text {i}" for i in range(43)}
+    few = [(i, "http://f.example/", page.format("a" if i else "b")) for i in range(40)]  # two pages tell nothing
+    assert {r.text for r in H.extract(pages(spark, few)).collect()} == {"My site\na", "My site\nb"}
+
+
+def test_all_named_regions_count_and_a_small_one_does_not_bound():
+    body = "<p>a long body without any mark</p><p>and more of it</p>"
+    assert H.blocks(H.parse(f"<div class='post-date'>May 1</div><div>{body}</div>")) == ["May 1", "a long body without any mark", "and more of it"]
+    parts = "".join(f"<div class='text'>part {'x' * i}</div>" for i in range(1, 4))
+    assert H.blocks(H.parse(f"<div>Site</div><div>{parts}</div>")) == ["part x", "part xx", "part xxx"]
+    assert H.blocks(H.parse("<div>Site</div><article>one</article><p>between</p><article>two, <article>inner</article></article>")) == ["one", "two,", "inner"]
+    assert H.blocks(H.parse("<div>Site</div><main>one</main><main>two longer</main>")) == ["one", "two longer"]
