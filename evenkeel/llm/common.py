@@ -7,6 +7,7 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 BATCH_BYTES = 8 << 20  # texts that a task handles at once, unless one row alone is longer
 
@@ -52,3 +53,18 @@ def strings(batch: pa.RecordBatch, name: str = "text") -> list[str]:
 
 def column(batch: pa.RecordBatch, name: str) -> pa.Array:
     return batch.column(batch.schema.get_field_index(name))
+
+
+def lookup(rows: DataFrame, key: str, heavy: DataFrame, rest: DataFrame) -> DataFrame:
+    """`rows` with the other columns that `heavy`, or else `rest`, has for their `key`; null where neither has it.
+
+    `heavy` holds the keys that many rows may have. It is broadcast, so the caller bounds its size. Rows found
+    there are spread over all tasks of the join with `rest`; no hot key meets in one task.
+    """
+    values = [c for c in heavy.columns if c != key]
+    known = heavy.select(F.col(key), F.struct(*values).alias("_heavy"))
+    found = rows.join(F.broadcast(known), key, "left")
+    spread = F.when(F.col("_heavy").isNull(), 0).otherwise(1 + F.monotonically_increasing_id() % 1_000_003)
+    other = rest.select(F.col(key), F.struct(*values).alias("_rest"), F.lit(0).cast("bigint").alias("_spread"))
+    joined = found.withColumn("_spread", spread).join(other, [key, "_spread"], "left")
+    return joined.select(*rows.columns, *[F.coalesce(F.col("_heavy")[v], F.col("_rest")[v]).alias(v) for v in values])

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evenkeel.llm import bpe, dac, decontaminate, exact_dedup, html_extract, language, ngram_join, pii, quality, secrets
+from evenkeel.llm import bpe, dac, decontaminate, exact_dedup, html_extract, language, ngram_join, pii, quality, secrets, sharding
 from evenkeel.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -68,7 +68,14 @@ def op10_language(spark: SparkSession, folder: str) -> DataFrame:
     return language.identify(docs, model, ["doc_id", "held_out"])
 
 
-for _query in (op1_decontamination, op2_html_extraction, op3_secrets, op4_byte_bpe, op5_quality, op6_exact_dedup, op7_pii, op8_ngram_join, op9_token_ids, op10_language):
+def op12_sharding(spark: SparkSession, folder: str) -> DataFrame:
+    return sharding.text_shards(table(spark, folder, "documents"), 40)
+
+
+for _query in (
+    op1_decontamination, op2_html_extraction, op3_secrets, op4_byte_bpe, op5_quality, op6_exact_dedup, op7_pii,
+    op8_ngram_join, op9_token_ids, op10_language, op12_sharding,
+):
     QUERIES[_query.__name__] = _query
 
 ORACLES["op6_exact_dedup"] = r"""
