@@ -8,7 +8,10 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evenkeel.llm import bpe, dac, decontaminate, exact_dedup, html_extract, language, ngram_join, pii, prefix_trie, quality, secrets, sharding
+from evenkeel.llm import (
+    bpe, dac, decontaminate, exact_dedup, hard_negatives, html_extract, language, ngram_join, pii, prefix_trie, quality,
+    secrets, sharding,
+)
 from evenkeel.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -76,9 +79,13 @@ def op12_sharding(spark: SparkSession, folder: str) -> DataFrame:
     return sharding.text_shards(table(spark, folder, "documents"), 40)
 
 
+def op13_hard_negatives(spark: SparkSession, folder: str) -> DataFrame:
+    return hard_negatives.mined(table(spark, folder, "embeddings"))
+
+
 for _query in (
     op1_decontamination, op2_html_extraction, op3_secrets, op4_byte_bpe, op5_quality, op6_exact_dedup, op7_pii,
-    op8_ngram_join, op9_token_ids, op10_language, op11_prefix_trie, op12_sharding,
+    op8_ngram_join, op9_token_ids, op10_language, op11_prefix_trie, op12_sharding, op13_hard_negatives,
 ):
     QUERIES[_query.__name__] = _query
 
@@ -118,3 +125,20 @@ below AS (
     FROM tree a JOIN tree b ON starts_with(b.prefix, a.prefix) GROUP BY a.prefix)
 SELECT v.conv_id, v.depth, p.conv_id AS parent_conv_id, v.n_convs, v.n_children, n_leaves, saved_tokens, sha256(v.ends) AS ends_sha256
 FROM tree v JOIN below USING (prefix) LEFT JOIN tree p ON v.depth > 0 AND p.prefix = left(v.prefix, (64 * (v.depth - 1))::BIGINT)"""
+
+ORACLES["op13_hard_negatives"] = """
+WITH v AS (
+    SELECT vec_id AS id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+        list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v
+    FROM embeddings
+    WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+scored AS (
+    SELECT a.id AS a, b.id AS b, a.label = b.label AS same, list_inner_product(a.v, b.v)::BIGINT AS score
+    FROM v a JOIN v b ON a.id % 100 = 0 AND b.id <> a.id),
+positives AS (
+    SELECT a, b, score FROM scored WHERE same QUALIFY row_number() OVER (PARTITION BY a ORDER BY score DESC, b) <= 5),
+negatives AS (
+    SELECT p.a AS anchor_id, p.b AS positive_id, n.b AS negative_id, p.score AS positive_score, n.score AS negative_score,
+        row_number() OVER (PARTITION BY p.a, p.b ORDER BY n.score DESC, n.b)::INTEGER AS rank
+    FROM positives p JOIN scored n ON n.a = p.a AND NOT n.same AND 30 * p.score <= 100 * n.score AND 100 * n.score <= 90 * p.score)
+SELECT * FROM negatives WHERE rank <= 10"""
