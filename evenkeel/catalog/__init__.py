@@ -30,4 +30,4 @@ def query(name: str, oracle: str | None = None) -> Callable[[Query], Query]:
 
 def load() -> None:
     """Import every module that registers queries."""
-    from evenkeel.catalog import compare, diffs, digests, display, filters, schema, state, workload  # noqa: F401
+    from evenkeel.catalog import compare, diffs, digests, display, filters, schema, state, versions, workload  # noqa: F401

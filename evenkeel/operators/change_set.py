@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from evenkeel.functions.columns import quoted, ref, same_keys
 from evenkeel.operators.row_diff import DIFFERENT, MATCH, ONLY_SOURCE, key_states
 from evenkeel.session import staged
+from evenkeel.sources.versions import Versions
 
 
 def change_set(source: DataFrame, target: DataFrame, keys: list[str]) -> DataFrame:
@@ -75,3 +76,23 @@ def merge_statement(source_table: str, target_table: str, keys: list[str], colum
         f"VALUES ({', '.join(f's.{quoted(c)}' for c in columns)})\n"
         "WHEN NOT MATCHED BY SOURCE THEN DELETE"
     )
+
+
+def apply_to_files(table: Versions, changes: DataFrame, keys: list[str]) -> int:
+    """Apply a change set to a versioned table; the number of the new version, or of the latest without changes.
+
+    Only files that hold a changed key are rewritten, and inserted rows become new files; all other files
+    keep their names and are not read beyond their key columns. If another writer changes one of these
+    files meanwhile, `Conflict` is raised and the table is as that writer left it.
+    """
+    base = table.latest()
+    changes = staged(changes, "changes")
+    if not changes.limit(1).count():
+        return base
+    rows = table.placed(base)
+    present = changes.where("op <> 'INSERT'").select(*[ref(k) for k in keys])
+    held = rows.join(present, same_keys(rows, present, keys), "left_semi").select("_file").distinct()
+    touched = [r["_file"] for r in held.collect()]  # names of files
+    return table.replace(
+        lambda old: apply_change_set(old, changes, keys).select(*[ref(c) for c in rows.columns if c != "_file"]), touched, operation="apply changes"
+    )

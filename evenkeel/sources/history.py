@@ -36,6 +36,11 @@ DIFFERENCE_ROWS = (
     "target_value STRING, difference_type STRING"
 )
 
+DIGESTS = (
+    "run_id STRING, source_table STRING, side STRING, level INT, bucket BIGINT, row_count BIGINT, hash_xor BIGINT, "
+    "hash_sum_high BIGINT, hash_sum_middle BIGINT, hash_sum_low BIGINT"
+)
+
 RESULT_BUCKETS = 64
 
 DIFFERENCES = "array<struct<key:string,column_name:string,source_value:string,target_value:string>>"
@@ -184,6 +189,7 @@ class History:
         self.runs_path = f"{folder}/runs"
         self.results_path = f"{folder}/results"
         self.differences_path = f"{folder}/differences"
+        self.digests_path = f"{folder}/digests"
 
     def log(self, events: DataFrame) -> None:
         """Appends run events; columns they lack are NULL."""
@@ -234,6 +240,16 @@ class History:
         """Appends data differences, which carry `run_id` and `source_table`: all of them."""
         self._save(_conforming(differences, DIFFERENCE_ROWS), self.differences_path)
 
+    def save_digests(self, run_id: str, source_table: str, side: str, tree: DataFrame) -> None:
+        """Appends the digest tree that one side of a table had in a run."""
+        named = {"run_id": run_id, "source_table": source_table, "side": side}
+        self._save(_conforming(tree.withColumns({k: F.lit(v) for k, v in named.items()}), DIGESTS), self.digests_path)
+
+    def digests(self, run_id: str, source_table: str, side: str) -> DataFrame:
+        """The digest tree that was stored for one side of a table."""
+        stored = self._of_runs(self.digests_path, DIGESTS, run_id)
+        return stored.where((F.col("source_table") == source_table) & (F.col("side") == side))
+
     def _save(self, rows: DataFrame, path: str) -> None:
         """The rebalance hint gathers a bucket in few files and lets adaptive execution split one
         that is too large for a task."""
