@@ -14,8 +14,9 @@ from evenkeel.operators.schema_diff import (
     schema_diff_database,
     schema_sync_plan,
 )
+from evenkeel.sources import footers
 from evenkeel.sources import inventory as inv
-from evenkeel.sources.fixtures import TABLES, ctes, view
+from evenkeel.sources.fixtures import TABLES, ctes, view, views_of_files
 
 def _split(columns: str) -> list[tuple[str, str]]:
     return [tuple(c.strip().split(" ", 1)) for c in columns.split(",")]
@@ -65,8 +66,17 @@ TARGET_DB = {
 }
 
 
-def _database(spark, folder, side):
-    return union_all([inv.declared_columns(spark, view(spark, folder, relation), name) for name, (relation, _) in side.items()])
+def _databases(spark, folder):
+    """The column inventories of both databases, from the schemas of their files."""
+    sides = (SOURCE_DB, TARGET_DB)
+    found = views_of_files(spark, folder, sorted({relation for side in sides for relation, _ in side.values()}))
+    return [union_all([inv.declared_columns(spark, found[relation], name) for name, (relation, _) in side.items()]) for side in sides]
+
+
+def _orders(spark, folder):
+    """The column inventories of `orders` on both sides."""
+    found = views_of_files(spark, folder, ["orders", "orders_drifted"])
+    return [inv.declared_columns(spark, found[name], "orders") for name in ("orders", "orders_drifted")]
 
 
 def _database_sql(side) -> str:
@@ -93,7 +103,8 @@ column_diff AS (
 
 @query("column_inventory", "\nUNION ALL ".join(columns_sql(n) for n in TABLES))
 def _(spark, folder):
-    return union_all([inv.declared_columns(spark, view(spark, folder, n), n) for n in TABLES])
+    found = views_of_files(spark, folder, list(TABLES))
+    return union_all([inv.declared_columns(spark, found[n], n) for n in TABLES])
 
 
 @query("column_profile", "\nUNION ALL ".join(profile_sql(n) for n in TABLES))
@@ -109,15 +120,40 @@ def _(spark, folder):
     return inv.row_counts({n: view(spark, folder, n) for n in TABLES})
 
 
+def _paths(folder):
+    return {n: f"{folder}/{n}.parquet" for n in TABLES}
+
+
+@query("table_inventory")
+def _(spark, folder):
+    """Sizes are not in any table, so no SQL checks them; a test compares them with the files."""
+    return inv.table_inventory(spark, _paths(folder))
+
+
+@query("table_codecs", f"SELECT table_name, row_count, 1::BIGINT AS file_count, 'snappy' AS compression FROM ({COUNTS})")
+def _(spark, folder):
+    return inv.table_inventory(spark, _paths(folder)).select("table_name", "row_count", "file_count", "compression")
+
+
 @query(
-    "table_inventory",
-    f"SELECT table_name, row_count, 1::BIGINT AS file_count, true AS has_size, 'unknown' AS compression FROM ({COUNTS})",
+    "column_footers",
+    "\nUNION ALL ".join(
+        f"SELECT '{n}' AS table_name, '{c}' AS column_name, {i} AS position, 'snappy' AS codec, "
+        f"(SELECT {'count(*)' if '<' not in kind else f'sum(greatest(len({c}), 1))::BIGINT'} FROM {n}) AS value_count, "
+        f"(SELECT count(*) - count({c}) FROM {n}) AS null_count"
+        for n in TABLES
+        for i, (c, kind) in enumerate(_split(TABLES[n]), start=1)
+    ),
 )
 def _(spark, folder):
-    tables = inv.table_inventory(spark, {n: f"{folder}/{n}.parquet" for n in TABLES})
-    return tables.select(
-        "table_name", "row_count", "file_count", (F.col("total_size_kb") > 0).alias("has_size"), "compression"
-    )
+    """Codec, values and nulls of every column, from the ends of the files."""
+    return footers.column_sizes(footers.footers(spark, _paths(folder))).drop("compressed_bytes", "uncompressed_bytes")
+
+
+@query("column_sizes")
+def _(spark, folder):
+    """With bytes, which no table holds."""
+    return footers.column_sizes(footers.footers(spark, _paths(folder)))
 
 
 @query(
@@ -193,10 +229,7 @@ def _(spark, folder):
     SIDES + "SELECT * FROM column_diff WHERE table_name = 'orders'",
 )
 def _(spark, folder):
-    return schema_diff(
-        inv.declared_columns(spark, view(spark, folder, "orders"), "orders"),
-        inv.declared_columns(spark, view(spark, folder, "orders_drifted"), "orders"),
-    )
+    return schema_diff(*_orders(spark, folder))
 
 
 @query(
@@ -209,7 +242,7 @@ UNION ALL SELECT DISTINCT table_name, 'schema_only_target', NULL, NULL, NULL, 'T
 FROM t WHERE table_name NOT IN (SELECT table_name FROM s)""",
 )
 def _(spark, folder):
-    return schema_diff_database(_database(spark, folder, SOURCE_DB), _database(spark, folder, TARGET_DB))
+    return schema_diff_database(*_databases(spark, folder))
 
 
 @query(
@@ -219,10 +252,7 @@ def _(spark, folder):
 FROM column_diff WHERE table_name = 'orders' AND difference_type <> 'schema_different'""",
 )
 def _(spark, folder):
-    return column_presence(
-        inv.declared_columns(spark, view(spark, folder, "orders"), "orders"),
-        inv.declared_columns(spark, view(spark, folder, "orders_drifted"), "orders"),
-    )
+    return column_presence(*_orders(spark, folder))
 
 
 @query("one_sided_sample", "SELECT o_orderpriority FROM orders ORDER BY o_orderkey LIMIT 10")
@@ -241,11 +271,7 @@ def _(spark, folder):
 FROM column_diff WHERE table_name = 'orders'""",
 )
 def _(spark, folder):
-    differences = schema_diff(
-        inv.declared_columns(spark, view(spark, folder, "orders"), "orders"),
-        inv.declared_columns(spark, view(spark, folder, "orders_drifted"), "orders"),
-    )
-    return schema_sync_plan(differences, "dbo.orders")
+    return schema_sync_plan(schema_diff(*_orders(spark, folder)), "dbo.orders")
 
 
 DATED = [(n, c) for n in TABLES for c, kind in _split(TABLES[n]) if kind == "timestamp_ntz"]
@@ -283,6 +309,6 @@ LISTED = ("customer", "nation", "orders")
 )
 def _(spark, folder):
     """Tables that are known to the session by name."""
-    for name in LISTED:
-        view(spark, folder, name).createOrReplaceTempView(f"ek_{name}")
+    for name, df in views_of_files(spark, folder, list(LISTED)).items():
+        df.createOrReplaceTempView(f"ek_{name}")
     return inv.catalog_inventory(spark, pattern="ek_*")

@@ -11,6 +11,7 @@ from functools import lru_cache
 
 from pyspark.sql import DataFrame, SparkSession
 
+from evenkeel.sources import footers
 from evenkeel.sources.tables import table
 
 # fixed values: the test tables and their column types
@@ -194,12 +195,24 @@ GROUP BY source, lang, codec""",
 }
 
 
-def view(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    """A derived view, or the parquet table of that name."""
+def view(spark: SparkSession, folder: str, name: str, given: dict[str, DataFrame] | None = None) -> DataFrame:
+    """A derived view, or the parquet table of that name; `given` tables are taken as they are."""
     if name not in VIEWS:
-        return table(spark, folder, name, TABLES.get(name))
+        return given[name] if given else table(spark, folder, name, TABLES.get(name))
     inputs, sql = VIEWS[name]
-    return spark.sql(sql, **{i: view(spark, folder, i) for i in inputs})
+    return spark.sql(sql, **{i: view(spark, folder, i, given) for i in inputs})
+
+
+def views_of_files(spark: SparkSession, folder: str, names: list[str]) -> dict[str, DataFrame]:
+    """Views and tables with the columns that the files have, whatever TABLES says; one job reads all schemas."""
+    needed = sorted({base for name in names for base in _bases(name)})
+    given = footers.tables(spark, {n: f"{folder}/{n}.parquet" for n in needed})
+    return {name: view(spark, folder, name, given) for name in names}
+
+
+def _bases(name: str) -> set[str]:
+    """The parquet tables that a view is made of."""
+    return {base for i in VIEWS[name][0] for base in _bases(i)} if name in VIEWS else {name}
 
 
 @lru_cache(maxsize=None)

@@ -8,6 +8,8 @@ from pyspark.sql import types as T
 
 from evenkeel.functions.columns import literal, quoted, union_all
 from evenkeel.operators.keys import key_check
+from evenkeel.session import staged
+from evenkeel.sources import footers
 
 COLUMN_INVENTORY = T.StructType(
     [
@@ -115,14 +117,25 @@ def file_sizes(spark: SparkSession, paths: dict[str, str]) -> DataFrame:
 
 
 def table_inventory(spark: SparkSession, paths: dict[str, str]) -> DataFrame:
-    """Tables with exact row counts and file sizes."""
-    counts = row_counts({name: spark.read.parquet(path) for name, path in paths.items()})
-    return counts.join(file_sizes(spark, paths), "table_name", "left").select(
+    """Tables with exact row counts, file sizes and codecs, from the ends of their files.
+
+    Rows of tables that the tasks cannot open (see `footers`) are counted by Spark.
+    """
+    read = footers.footers(spark, paths)
+    sizes = staged(footers.table_sizes(read), "table-sizes", few_files=True)
+    unread = [r["table_name"] for r in sizes.where("row_count IS NULL").collect()]  # names of tables
+    if unread:
+        counted = row_counts({name: spark.read.parquet(paths[name]) for name in unread})
+        sizes = sizes.join(counted.withColumnRenamed("row_count", "counted"), "table_name", "left").withColumn(
+            "row_count", F.coalesce("row_count", "counted")
+        )
+    return sizes.select(
         "table_name",
         "row_count",
         "file_count",
         (F.col("total_bytes") / 1024).alias("total_size_kb"),
         (F.col("total_bytes") / 1024 / 1024).alias("total_size_mb"),
+        (F.col("uncompressed_bytes") / 1024).alias("uncompressed_kb"),
         "compression",
     )
 
