@@ -6,10 +6,11 @@ from pyspark.sql import functions as F
 
 from evenkeel.catalog import query
 from evenkeel.operators.comparable import comparable_columns, normalised
-from evenkeel.operators.keys import candidate_keys, key_check
+from evenkeel.operators.copartitioned import bucketed_cells, bucketed_counts, save_bucketed
+from evenkeel.operators.keys import candidate_keys, column_sets, key_check, minimal_keys
 from evenkeel.operators.row_diff import cell_diff, drill_down, row_diff_counts, row_diff_rows
 from evenkeel.operators.set_diff import common_rows, except_rows, multiset_diff
-from evenkeel.sources.fixtures import ctes, view
+from evenkeel.sources.fixtures import TABLES, ctes, view
 
 ORDER_KEY = ["o_orderkey"]
 ORDER_COLUMNS = ["o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderdate", "o_orderpriority"]
@@ -191,3 +192,37 @@ def _(spark, folder):
 def _(spark, folder):
     orders = view(spark, folder, "orders")
     return orders.select(*[F.col(c) for c in comparable_columns(orders)])
+
+
+LINE_COLUMNS = [c.strip().split(" ")[0] for c in TABLES["lineitem"].split(",")]
+LINE_SETS = column_sets(LINE_COLUMNS, 3)
+
+
+def _distinct_sql(columns: tuple[str, ...]) -> str:
+    """Whether a column set is unique; the columns of lineitem hold no NULL."""
+    return f"SELECT '{', '.join(columns)}' AS key_columns, {len(columns)} AS width, [{', '.join(repr(c) for c in columns)}] AS s FROM (SELECT count(*) AS n FROM lineitem) JOIN (SELECT count(*) AS d FROM (SELECT DISTINCT {', '.join(columns)} FROM lineitem)) ON n = d"
+
+
+@query(
+    "minimal_keys",
+    "WITH unique_sets AS ("
+    + "\nUNION ALL ".join(_distinct_sql(s) for s in LINE_SETS)
+    + ") SELECT key_columns, width FROM unique_sets a WHERE NOT EXISTS (SELECT 1 FROM unique_sets b WHERE b.width < a.width AND list_has_all(a.s, b.s))",
+)
+def _(spark, folder):
+    """All minimal keys of up to three columns of a table without a declared key."""
+    return minimal_keys(view(spark, folder, "lineitem"), 3)
+
+
+def _bucketed(spark, folder):
+    return [save_bucketed(view(spark, folder, name), ORDER_KEY, 16) for name in ("orders", "orders_t")]
+
+
+@query("bucketed_counts", ctes("orders_t", more=JOINED) + COUNTS)
+def _(spark, folder):
+    return bucketed_counts(*_bucketed(spark, folder), ORDER_KEY)
+
+
+@query("bucketed_cells", ctes("orders_t") + _cells_sql(ORDER_COLUMNS[1:]))
+def _(spark, folder):
+    return bucketed_cells(*_bucketed(spark, folder), ORDER_KEY)
