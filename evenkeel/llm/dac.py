@@ -22,23 +22,27 @@ empty table gives no segment.
 from __future__ import annotations
 
 import os
+import re
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from tokenizers import Tokenizer
 
-from evenkeel.llm.common import column, slices, strings
+from evenkeel.llm.common import column, slices
 from evenkeel.session import fresh_path
 
 BLOCK = 512  # bits of a bitmap for each entry of its directory
 SEGMENT = 1 << 19  # ids after which a segment ends, at the end of a document
-PIECES, WORDS = 300_000, 1_000_000  # remembered between tasks of a Python worker, about 200 bytes each
+WORDS, IDS = 1_000_000, 16_000_000  # remembered between tasks of a Python worker: about 200 MB
+LONG = 64  # characters of the longest piece that is remembered
+BATCH = 4 << 20  # bytes of text that a task encodes at once, unless one text is longer
 Level = tuple[np.ndarray, np.ndarray, np.ndarray]
 
 _POPCOUNT = np.array([bin(i).count("1") for i in range(256)], np.uint8)
@@ -100,51 +104,111 @@ def levels_of(stored: list[dict]) -> list[Level]:
     ]
 
 
+# Letters whose lower case is one letter too, and that the vocabulary's rules take for letters.
+LATIN = "A-Za-zÀ-ÖØ-öø-ÿ"
+
+
 class Words:
-    """A tokenizer that remembers the ids of pieces between white space, and of words in them.
+    """A tokenizer that remembers the ids of the pieces of texts.
 
-    The vocabulary's rules never look past white space, so a text's ids are those of its pieces.
-    They always cut between a letter and the punctuation after it and ignore case, so a piece
-    is looked up as its word and the punctuation at its end.
+    The vocabulary's rules never look past white space, ignore case, and always cut between a letter and
+    punctuation after it. So the pieces between white space, and between a letter and punctuation, give the ids of
+    their text. Arrow cuts a batch of texts and numbers its distinct pieces; only those are looked up, and
+    ids are gathered for all pieces at once. The one thing that reaches over pieces is a special token whose name
+    stands in a text: such texts go to the library as a whole.
     """
 
     def __init__(self, vocabulary: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         self.tokenizer = Tokenizer.from_str(vocabulary)
-        self.tokenizer.encode_special_tokens = True  # their names in a text are ordinary text
-        self.pieces: dict[str, bytes] = {"": b""}
-        self.words: dict[str, bytes] = {"": b""}
-
-    def encode(self, texts: list[str], end: int) -> list[bytes]:
-        """Each text's ids with the end id, as little-endian uint32."""
-        split = [t.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for t in texts]
-        distinct = set().union(*split)
-        self._learn([p for p in distinct if p not in self.pieces])
-        stop = np.array([end], "<u4").tobytes()
-        out = [b"".join(map(self.pieces.__getitem__, p)) + stop for p in split]
-        if len(self.pieces) > PIECES:
-            self.pieces = {"": b"", **{p: self.pieces[p] for p in distinct}}
-        if len(self.words) > WORDS:
-            self.words = {"": b""}
-        return out
-
-    def _learn(self, pieces: list[str]) -> None:
-        parts = [_word_and_end(p) for p in pieces]
-        new = list({w for pair in parts for w in pair if w not in self.words})
-        for at in range(0, len(new), 2000):
-            some = new[at : at + 2000]
-            for word, found in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False), strict=True):
-                self.words[word] = np.array(found.ids, "<u4").tobytes()
-        for piece, (word, end) in zip(pieces, parts, strict=True):
-            self.pieces[piece] = self.words[word] + self.words[end] if end else self.words[word]
-
-
-def _word_and_end(piece: str) -> tuple[str, str]:
-    word = piece.rstrip(".,;:!?")
-    end = piece[len(word) :]
-    if end and not word[-1:].lower().isalpha():  # it belongs to a longer run of punctuation, or to a mark
-        word, end = piece, ""
-    return word.lower() if word.isascii() else word, end
+        added = [t.content.lower() for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.special = "|".join(map(re.escape, added))
+        names = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(names.values()) + 1, bool)  # ids that end a word
+        self.ends[[i for name, i in names.items() if name.endswith("</w>")]] = True
+        self._forget()
+
+    def _forget(self) -> None:
+        self.at: dict[str, int] = {}
+        self.ids, self.starts = np.zeros(0, np.uint32), np.zeros(1, np.int64)
+
+    def _add(self, ids: np.ndarray, lengths: np.ndarray) -> int:
+        """Rows for pieces of these lengths, one after the other; the first of them."""
+        first = len(self.starts) - 1
+        self.ids = np.concatenate([self.ids, ids.astype(np.uint32)])
+        self.starts = np.concatenate([self.starts, self.starts[-1] + np.cumsum(lengths)])
+        return first
+
+    def encode(self, texts: pa.Array, end: int) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts, each followed by the id `end`, and the number of them for each text."""
+        if len(self.at) > WORDS or len(self.ids) > IDS:
+            self._forget()
+        texts = pc.fill_null(texts, "")
+        lower = pc.ascii_lower(texts)
+        whole = np.flatnonzero(pc.match_substring_regex(lower, self.special).to_numpy(zero_copy_only=False)) if self.special else []
+        if len(whole):
+            mask = np.zeros(len(lower), bool)
+            mask[whole] = True
+            lower = pc.if_else(pa.array(mask), "", lower)
+        pieces = pc.ascii_split_whitespace(pc.replace_substring_regex(lower, f"([{LATIN}])([.,;:!?])", r"\1 \2"))
+        numbered = pieces.flatten().dictionary_encode()
+        rows = self._rows(numbered.dictionary.to_pylist())[numbered.indices.to_numpy()]
+        bounds = pieces.offsets.to_numpy().astype(np.int64) - pieces.offsets[0].as_py()
+
+        where, more = bounds[1:], np.full(len(texts), self._add(np.array([end]), np.array([1])))
+        if len(whole):
+            encoded = [np.array(self.tokenizer.encode(texts[int(i)].as_py(), add_special_tokens=False).ids, np.uint32) for i in whole]
+            first = self._add(np.concatenate(encoded), np.array([len(e) for e in encoded]))
+            at = np.searchsorted(where, bounds[whole + 1], "left")  # before the text's own end
+            order = np.argsort(np.concatenate([np.arange(len(texts)) * 2 + 1, whole * 2]), kind="stable")
+            where = np.concatenate([where, bounds[whole + 1]])[order]
+            more = np.concatenate([more, first + np.arange(len(at))])[order]
+        rows = np.insert(rows, where, more)
+        per_text = np.diff(bounds) + 1 + np.isin(np.arange(len(texts)), whole)
+
+        lengths = np.diff(self.starts)[rows]
+        upto = np.concatenate([[0], np.cumsum(lengths)])
+        ids = self.ids[np.repeat(self.starts[rows] - upto[:-1], lengths) + np.arange(upto[-1])]
+        return ids, np.diff(upto[np.concatenate([[0], np.cumsum(per_text)])])
+
+    def _rows(self, pieces: list[str]) -> np.ndarray:
+        known = self.at
+        rows = np.array([known.get(p, -1) for p in pieces], np.int64)
+        missing = np.flatnonzero(rows < 0).tolist()
+        if not missing:
+            return rows
+        latin = re.compile(f"[{LATIN}]+").fullmatch
+        simple, other = {}, []  # words of letters, and all other pieces
+        for i in missing:
+            piece = pieces[i]
+            if len(piece) <= LONG and latin(piece):
+                simple.setdefault(piece.lower(), []).append(i)
+            else:
+                other.append(i)
+        todo = [w for w in simple if w not in known]
+        for at in range(0, len(todo), 4000):
+            self._learn_words(todo[at : at + 4000])
+        for word, places in simple.items():
+            for i in places:
+                rows[i] = known[pieces[i]] = known[word]
+        for at in range(0, len(other), 2000):
+            some = other[at : at + 2000]
+            found = [f.ids for f in self.tokenizer.encode_batch_fast([pieces[i] for i in some], add_special_tokens=False)]
+            first = self._add(np.array([x for f in found for x in f], np.uint32), np.array([len(f) for f in found]))
+            for n, i in enumerate(some):
+                rows[i] = first + n
+                if len(pieces[i]) <= LONG:
+                    known[pieces[i]] = first + n
+        return rows
+
+    def _learn_words(self, words: list[str]) -> None:
+        """Words of letters alone end where an id ends a word, so they are encoded as one text."""
+        ids = np.array(self.tokenizer.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids, np.uint32)
+        ends = np.flatnonzero(self.ends[ids]) + 1
+        if len(ends) != len(words):
+            raise RuntimeError("the vocabulary does not mark where words end")
+        first = self._add(ids, np.diff(ends, prepend=0))
+        self.at.update(zip(words, range(first, first + len(words)), strict=True))
 
 
 _words: dict[str, Words] = {}
@@ -174,40 +238,38 @@ def write(docs: DataFrame, vocabulary: str, end: int, text: str = "text", path:
 
     def segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder, part, seq, at = words(vocabulary), TaskContext.get().partitionId(), 0, 0
-        id_type = pa.int64()
-        ids: list = []
-        found: list[bytes] = []
+        stored = pa.struct([("chunks", pa.binary()), ("more", pa.binary()), ("ranks", pa.binary())])
+        held: list[tuple[pa.Array, np.ndarray, np.ndarray]] = []  # documents, their ids and the number of these
 
         def segment() -> pa.RecordBatch:
-            ends = np.cumsum([len(f) // 4 for f in found])
-            levels = [
-                {"chunks": c.tobytes(), "more": m.tobytes(), "ranks": r.astype("<u4").tobytes()}
-                for c, m, r in pack(np.frombuffer(b"".join(found), "<u4"))
-            ]
-            stored = pa.struct([("chunks", pa.binary()), ("more", pa.binary()), ("ranks", pa.binary())])
+            ids, lengths = (np.concatenate(x) for x in list(zip(*held, strict=True))[1:])
+            levels = [{"chunks": c.tobytes(), "more": m.tobytes(), "ranks": r.astype("<u4").tobytes()} for c, m, r in pack(ids)]
+            doc_ids = pa.concat_arrays([d for d, _, _ in held])
             return pa.RecordBatch.from_arrays(
                 [
                     pa.array([part], pa.int32()),
                     pa.array([seq], pa.int32()),
                     pa.array([at], pa.int64()),
-                    pa.array([ids], pa.list_(id_type)),
-                    pa.array([ends], pa.list_(pa.int64())),
+                    pa.ListArray.from_arrays(pa.array([0, len(doc_ids)], pa.int32()), doc_ids),
+                    pa.array([np.cumsum(lengths)], pa.list_(pa.int64())),
                     pa.array([levels], pa.list_(stored)),
                 ],
                 names=["part", "seq", "at", "doc_ids", "ends", "levels"],
             )
 
         size = 0
-        for batch in slices(batches, limit=2 << 20):
-            id_type = column(batch, "doc_id").type
-            for doc_id, encoded in zip(column(batch, "doc_id").to_pylist(), coder.encode(strings(batch), end), strict=True):
-                ids.append(doc_id)
-                found.append(encoded)
-                size += len(encoded) // 4
+        for batch in slices(batches, limit=BATCH):
+            docs_left, (ids, lengths) = column(batch, "doc_id"), coder.encode(column(batch, "text"), end)
+            while len(lengths):
+                upto = np.cumsum(lengths)
+                n = min(len(lengths), int(np.searchsorted(upto, SEGMENT - size)) + 1)  # the document that fills the segment
+                cut = int(upto[n - 1])
+                held.append((docs_left[:n], ids[:cut], lengths[:n]))
+                docs_left, ids, lengths, size = docs_left[n:], ids[cut:], lengths[n:], size + cut
                 if size >= SEGMENT:
                     yield segment()
-                    ids, found, seq, at, size = [], [], seq + 1, at + size, 0
-        if ids:
+                    held, seq, at, size = [], seq + 1, at + size, 0
+        if held:
             yield segment()
 
     ordered.mapInArrow(segments, schema).write.parquet(path)

@@ -5,6 +5,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
@@ -20,9 +21,7 @@ def vocabulary():
 
 @pytest.fixture(scope="module")
 def library(vocabulary):
-    tokenizer = Tokenizer.from_str(vocabulary)
-    tokenizer.encode_special_tokens = True
-    return tokenizer
+    return Tokenizer.from_str(vocabulary)
 
 
 @pytest.mark.parametrize("top", [1, 200, 300, 50_000, 2**31])
@@ -38,7 +37,7 @@ def test_codes(top):
 
 
 def test_files(spark, vocabulary, library, monkeypatch):
-    texts = [*edge_texts()[:14], *[prose(i, 20) for i in range(50)]]
+    texts = [*edge_texts()[:14], *[prose(i, 20) for i in range(50)], "see <|endoftext|> now", "<|startoftext|>" * 3, "a<|EndOfText|>"]
     docs = documents(spark, texts)
     rows = {r.doc_id: r for r in dac.documents(spark, dac.write(docs, vocabulary, 2)).collect()}
     at = 0
@@ -55,12 +54,33 @@ def test_repeated_and_missing_ids(spark, vocabulary):
     assert [r.start for r in rows] == np.cumsum([0, *[r.n_tokens for r in rows]])[:-1].tolist()
 
 
-def test_pieces_give_the_ids_of_whole_texts(vocabulary, library):
+PARTS = [
+    "a", "É", "é", "'s", "'S", "don't", ".", "...", "?!", '"', "1", "22", "ΑΣ.", " ", "\n", "\xa0", "日本", "<|endoftext|>", "<|startoftext|>",
+    "<|ENDOFTEXT|>", "<|", "İ", "ß", "\u0301", "×", "÷", "ª.", "\x0b", "\x1f", "\x85", "\u3000", "word", "Words,", "ﬁ", "e\u0301:", "K", "x" * 70, "ÿ;",
+]
+
+
+def same(coder, library, texts):
+    ids, lengths = coder.encode(pa.array(texts, pa.string()), 2)
+    expected = [[*e.ids, 2] for e in library.encode_batch([t or "" for t in texts], add_special_tokens=False)]
+    assert [x.tolist() for x in np.split(ids, np.cumsum(lengths)[:-1])] == expected
+
+
+def test_pieces_give_the_ids_of_whole_texts(vocabulary, library, monkeypatch):
     rng = random.Random(1)
-    parts = ["a", "É", "'s", "'S", "don't", ".", "...", "?!", '"', "1", "22", "ΑΣ.", " ", "\n", "\xa0", "日本", "<|endoftext|>", "İ", "ß", "́"]
-    texts = ["".join(rng.choice(parts) for _ in range(rng.randint(0, 25))) for _ in range(3000)]
-    expected = [np.array([*e.ids, 2], "<u4").tobytes() for e in library.encode_batch(texts, add_special_tokens=False)]
-    assert dac.Words(vocabulary).encode(texts, 2) == expected
+    monkeypatch.setattr(dac, "WORDS", 40)
+    coder = dac.Words(vocabulary)
+    for n in (1, 7, 300, 3000):
+        texts = ["".join(rng.choice(PARTS) for _ in range(rng.randint(0, 25))) for _ in range(n)]
+        same(coder, library, [*texts, None, "", " "])
+    same(coder, library, [""])
+
+
+def test_every_character_beside_a_word(vocabulary, library):
+    coder = dac.Words(vocabulary)
+    some = [chr(c) for c in [*range(1, 0x3000), *range(0xF900, 0xFFFE), *range(0x1F600, 0x1F650)] if not 0xD800 <= c < 0xE000]
+    same(coder, library, [f"word{c}word {c}. {c}" for c in some])
+    same(coder, library, [f"Caf{c}. {c}{c},{c}A" for c in some])
 
 
 def test_empty_table(spark, vocabulary):
