@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
+import uuid
+from concurrent.futures import ThreadPoolExecutor
+
 from pyspark.sql import functions as F
 
 from evenkeel.catalog import query
 from evenkeel.functions.columns import union_all
 from evenkeel.operators.change_set import apply_change_set, change_counts, change_set
 from evenkeel.operators.row_diff import cell_diff
-from evenkeel.operators.storage import CODEC_REASONS, measure_codecs, storage_advice, storage_rewrite_plan
+from evenkeel.operators.storage import CODEC_REASONS, measure_codecs, measure_files, publish, storage_advice, storage_rewrite_plan
 from evenkeel.plans.compare import run_verdict
-from evenkeel.session import fresh_path
+from evenkeel.session import fresh_path, staged
 from evenkeel.sources import history as H
 from evenkeel.sources.fixtures import AS_OF, ctes, view
 from evenkeel.sources.sinks import recommendation_table
@@ -104,16 +107,12 @@ EVENT_CELLS = """cells AS (
 
 
 def _stored(spark, folder):
-    """A history with the run log, its results and their differences."""
-    events, target = view(spark, folder, "events"), view(spark, folder, "events_t")
-    owner = [F.concat(F.lit("run-"), "user_id").alias("run_id"), F.col("event_type").alias("source_table")]
-    # the owners are part of the key, so they come with the differences
-    owned = [df.select("event_id", "value", *owner) for df in (events, target)]
-    cells = cell_diff(*owned, ["run_id", "source_table", "event_id"], ["value"])
+    """A history with the run log and its results."""
     history = H.History(spark, fresh_path(spark, "history"))
-    history.log(_run_events(spark, folder))
-    history.save_results(view(spark, folder, "result_log"))
-    history.save_differences(cells.withColumn("key_display", F.concat(F.lit("event_id="), "event_id")))
+    with ThreadPoolExecutor(2) as pool:  # every append has a folder of its own
+        log = pool.submit(history.log, _run_events(spark, folder))
+        history.save_results(view(spark, folder, "result_log"))
+        log.result()
     return history
 
 
@@ -124,7 +123,14 @@ def _(spark, folder):
 
 @query("history_differences", ctes("run_log", "events_t", more=EVENT_CELLS) + " SELECT * FROM cells WHERE run_id IN (SELECT run_id FROM run_log)")
 def _(spark, folder):
-    return _stored(spark, folder).differences().drop("difference_type")
+    events, target = view(spark, folder, "events"), view(spark, folder, "events_t")
+    owner = [F.concat(F.lit("run-"), "user_id").alias("run_id"), F.col("event_type").alias("source_table")]
+    # the owners are part of the key, so they come with the differences
+    owned = [df.select("event_id", "value", *owner) for df in (events, target)]
+    cells = cell_diff(*owned, ["run_id", "source_table", "event_id"], ["value"])
+    history = _stored(spark, folder)
+    history.save_differences(cells.withColumn("key_display", F.concat(F.lit("event_id="), "event_id")))
+    return history.differences().drop("difference_type")
 
 
 @query(
@@ -148,6 +154,13 @@ def _(spark, folder):
     return H.page(_runs(spark, folder), 20, 10, "completed")
 
 
+@query("history_seek", HISTORY + "SELECT * FROM runs WHERE status = 'completed' ORDER BY started_at DESC, run_id LIMIT 20 OFFSET 20")
+def _(spark, folder):
+    """The second page, by the cursor behind the first."""
+    runs = staged(_runs(spark, folder), "runs")
+    return H.page_after(runs, 20, H.cursor(H.page_after(runs, 20, status="completed")), "completed")
+
+
 @query("history_delete", HISTORY + "SELECT * FROM result_log WHERE run_id <> 'run-8'")
 def _(spark, folder):
     history = H.History(spark, fresh_path(spark, "history"))
@@ -246,17 +259,30 @@ def _(spark, folder):
 MEASURED = ("lineitem", "orders", "documents")
 
 
-@query(
-    "storage_measurement",
-    "\nUNION ALL ".join(
-        f"SELECT '{t}' AS table_name, codec, (SELECT count(*) FROM {t}) AS row_count, true AS has_size "
-        "FROM (SELECT unnest(['snappy', 'gzip', 'zstd']) AS codec)"
-        for t in MEASURED
-    ),
-)
+@query("storage_measurement")
+def _(spark, folder):
+    """Sizes are not in any table, so no SQL checks them; a test compares them with the files written."""
+    return union_all([measure_codecs(view(spark, folder, name), name) for name in MEASURED])
+
+
+@query("storage_measurement_files")
+def _(spark, folder):
+    return union_all([measure_files(spark, f"{folder}/{name}.parquet", name)[0] for name in MEASURED])
+
+
+@query("storage_columns")
+def _(spark, folder):
+    """Sizes per column of three tables in three codecs."""
+    return union_all([measure_files(spark, f"{folder}/{name}.parquet", name)[1] for name in MEASURED])
+
+
+@query("publish_codec", "SELECT * FROM orders")
 def _(spark, folder):
-    measured = union_all([measure_codecs(view(spark, folder, name), name) for name in MEASURED])
-    return measured.select("table_name", "codec", "row_count", (F.col("size_kb") > 0).alias("has_size"))
+    """A table of the catalog after its files were rewritten, checked and switched."""
+    name = f"published_{uuid.uuid4().hex}"
+    view(spark, folder, "orders").write.option("path", fresh_path(spark, "orders")).saveAsTable(name)
+    publish(spark, name, "zstd")
+    return spark.table(name)
 
 
 @query(

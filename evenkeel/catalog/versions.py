@@ -9,6 +9,7 @@ from evenkeel.catalog.diffs import ORDER_KEY
 from evenkeel.catalog.digests import BUCKET
 from evenkeel.catalog.state import EVENT_CELLS, HISTORY, _run_events
 from evenkeel.operators.change_set import apply_to_files, change_set
+from evenkeel.operators.date_state import DateState, compare_dates
 from evenkeel.operators.digest_tree import differing_buckets, digest_tree
 from evenkeel.operators.row_diff import cell_diff
 from evenkeel.session import fresh_path
@@ -124,3 +125,57 @@ def _(spark, folder):
         history.open_run(run, AS_OF)
         history.save_digests(run, "orders", "source", digest_tree(rows, ORDER_KEY, 2, by="md5"))
     return differing_buckets(history.digests("r2", "orders", "source"), history.digests("r1", "orders", "source"), 2)
+
+
+def _by_day(spark, folder, name, path):
+    """A view of the events, written in one folder per day."""
+    rows = view(spark, folder, name).withColumn("day", F.col("ts").cast("date"))
+    rows.repartition("day").write.partitionBy("day").parquet(path)
+    return path
+
+
+DAYS = """days AS (
+  SELECT CAST(ts AS DATE) AS d, event_id, value, NULL::DOUBLE AS other, 1 AS s, 0 AS t FROM events
+  UNION ALL SELECT CAST(ts AS DATE), event_id, NULL, value, 0, 1 FROM events_t),
+cut AS (SELECT least(max(d) FILTER (s = 1), max(d) FILTER (t = 1)) AS cutoff FROM days)"""
+
+
+def _day_state(spark, folder):
+    state = DateState(spark, fresh_path(spark, "date-state"), TABLES["events"], "day", ["event_id"])
+    paths = [_by_day(spark, folder, name, fresh_path(spark, name)) for name in ("events", "events_t")]
+    return state, paths
+
+
+@query(
+    "date_state",
+    ctes("events_t", more=DAYS)
+    + """ SELECT CAST(d AS VARCHAR) AS date, sum(s)::BIGINT AS source_row_count, sum(t)::BIGINT AS target_row_count, NOT bool_and(same) AS differs
+FROM (SELECT d, event_id, sum(s) AS s, sum(t) AS t, sum(s) = 1 AND sum(t) = 1 AND max(value) IS NOT DISTINCT FROM max(other) AS same
+  FROM days WHERE d <= (SELECT cutoff FROM cut) GROUP BY d, event_id) GROUP BY d""",
+)
+def _(spark, folder):
+    """Digests of two loads of different age, by day."""
+    state, (source, target) = _day_state(spark, folder)
+    state.refresh("source", source)
+    state.refresh("target", target)
+    return state.dates()
+
+
+@query(
+    "date_state_late_rows",
+    ctes("events_t", more=DAYS)
+    + """ SELECT CAST(d AS VARCHAR) AS day, event_id, CASE WHEN count(*) = 2 THEN 'data_different' ELSE 'data_only_target' END AS difference_type FROM (
+  SELECT d, event_id, value, other FROM days WHERE d <= (SELECT cutoff FROM cut)
+  UNION ALL SELECT (SELECT min(d) FROM days), -1, NULL, 1.0) GROUP BY d, event_id HAVING count(*) = 1 OR max(value) IS DISTINCT FROM max(other)""",
+)
+def _(spark, folder):
+    """A later run, after one row has come late on the target: only its day is read again."""
+    state, (source, target) = _day_state(spark, folder)
+    compare_dates(state, source, target)
+    first = state.dates().agg(F.min("date").alias("day"))
+    late = first.select(
+        F.lit(-1).cast("bigint").alias("event_id"), F.lit(None).cast("timestamp_ntz").alias("ts"), F.lit(0).cast("bigint").alias("user_id"),
+        F.lit("late").alias("event_type"), F.lit(1.0).alias("value"), F.lit("").alias("props"), "day",
+    )
+    late.write.mode("append").partitionBy("day").parquet(target)
+    return compare_dates(state, source, target)

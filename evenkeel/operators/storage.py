@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from evenkeel.functions.columns import literal, quoted
 from evenkeel.functions.text import fixed
-from evenkeel.session import fresh_path
+from evenkeel.operators.fingerprint import quick_compare
+from evenkeel.session import fresh_path, staged
+from evenkeel.sources import footers
 from evenkeel.sources.inventory import file_sizes
+from evenkeel.sources.versions import Versions
 
 # fixed values: codecs to choose from, in the order that settles ties, and what speaks for each
 CODECS = ("snappy", "gzip", "zstd")
@@ -59,6 +63,53 @@ def measure_codecs(
     )
 
 
+def measure_files(
+    spark: SparkSession, path: str, table_name: str, fraction: float = 0.1, seed: int = 7
+) -> tuple[DataFrame, DataFrame]:
+    """Sizes per codec as from `measure_codecs`, and sizes per codec and column, from a sample of whole files.
+
+    Files are chosen by their names alone, in the order of a hash, up to `fraction` of the bytes (but at least one
+    file, the first in that order); no other file is read. Rows, codec and size of the whole table come from the ends of its
+    files. The sample is written once in each codec and its sizes, read from those files, are scaled up by rows.
+    """
+    whole = staged(footers.table_sizes(footers.footers(spark, {table_name: path})), "table-sizes").first()
+    listed = footers.parquet_files(spark, {table_name: path}).select("path", "length", F.xxhash64(F.lit(seed), "path").alias("h"))
+    chosen, size = [], 0
+    for row in listed.orderBy("h").toLocalIterator():  # names of files; ends when the share is reached
+        if chosen and size + row["length"] > fraction * whole["total_bytes"]:
+            break
+        chosen.append(row["path"])
+        size += row["length"]
+    sample = spark.read.option("basePath", path).parquet(*chosen)
+    paths = {codec: fresh_path(spark, f"codec-{codec}") for codec in CODECS}
+    for codec in CODECS:
+        sample.write.option("compression", codec).parquet(paths[codec])
+    read = staged(footers.footers(spark, paths), "codec-footers", few_files=True)
+    tried = footers.table_sizes(read)
+    scale = F.lit(float(whole["row_count"])) / F.nullif(F.col("row_count"), F.lit(0))
+    sizes = tried.select(
+        F.lit(table_name).alias("table_name"),
+        F.col("table_name").alias("codec"),
+        (F.col("total_bytes") / 1024 * scale).alias("size_kb"),
+        F.lit(whole["compression"]).alias("current_codec"),
+        F.lit(whole["total_bytes"] / 1024).alias("current_size_kb"),
+        F.lit(whole["row_count"]).cast("long").alias("row_count"),
+        F.lit(len(chosen)).alias("sampled_files"),
+        F.lit(size).cast("long").alias("sampled_bytes"),
+    )
+    per_column = footers.column_sizes(read).withColumnRenamed("table_name", "codec_tried").join(
+        tried.select(F.col("table_name").alias("codec_tried"), scale.alias("scale")), "codec_tried"
+    )
+    columns = per_column.select(
+        F.lit(table_name).alias("table_name"),
+        F.col("codec_tried").alias("codec"),
+        "column_name",
+        (F.col("compressed_bytes") / 1024 * F.col("scale")).alias("size_kb"),
+        (F.col("uncompressed_bytes") / 1024 * F.col("scale")).alias("plain_kb"),
+    )
+    return sizes, columns
+
+
 def savings_percent(current: Column, size: Column) -> Column:
     """Share saved by a size; NULL when the size is unknown or the table empty."""
     return (current - size) / F.nullif(current, F.lit(0.0)) * 100
@@ -143,3 +194,42 @@ def apply_advice(
 def rewrite(df: DataFrame, codec: str, path: str) -> None:
     """Writes the table to a new path in the given codec."""
     df.write.option("compression", codec).parquet(path)
+
+
+class Mismatch(RuntimeError):
+    """A rewritten table does not hold the rows of the one it was to replace."""
+
+
+def _same_rows(old: DataFrame, new: DataFrame) -> None:
+    found = quick_compare(old, new).first()
+    if not found["fingerprint_match"] or found["source_row_count"] != found["target_row_count"]:
+        raise Mismatch(f"{found['source_row_count']} rows were to be rewritten, {found['target_row_count']} are there and differ")
+
+
+def publish(spark: SparkSession, table: str, codec: str, path: str | None = None, write=rewrite) -> str:
+    """Rewrite a table of the session's catalog in another codec and switch it to the new files; their path.
+
+    The new files are written beside the old ones and read back; the table's location changes only if
+    their fingerprint is that of the table. Otherwise `Mismatch` is raised and nothing has changed. The old files stay.
+    """
+    path = path or fresh_path(spark, "published")
+    old = spark.table(table)
+    write(old, codec, path)
+    _same_rows(old, spark.read.schema(old.schema).parquet(path))
+    name = ".".join(quoted(part) for part in table.split("."))
+    spark.sql(f"ALTER TABLE {name} SET LOCATION {literal(path)}")
+    spark.catalog.refreshTable(table)
+    return path
+
+
+def publish_version(table: Versions, codec: str, name: str = "", rewritten=None) -> int:
+    """Rewrite a versioned table in another codec as a new version, after the same check; the version.
+
+    Writers that append meanwhile are not disturbed; if one removes files, `Conflict` is raised.
+    """
+    base = table.latest()
+    files = [f for f in table.files(base) if f.startswith(f"{name}/" if name else "")]
+    old = table.read(files=files, table=name)
+    new = table.write(rewritten(old) if rewritten else old, table=name, codec=codec)
+    _same_rows(old, table.read(files=new, table=name))
+    return table.commit(new, files, operation="rewrite", codec=codec)

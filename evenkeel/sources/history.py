@@ -107,6 +107,28 @@ def page(runs: DataFrame, limit: int = 50, offset: int = 0, status: str | None =
     return runs.orderBy(F.col("started_at").desc(), "run_id").offset(offset).limit(limit)
 
 
+def page_after(
+    runs: DataFrame, limit: int = 50, after: tuple | None = None, status: str | None = None
+) -> DataFrame:
+    """The runs that follow the one at `after` = (started_at, run_id), newest first; without it the first page.
+
+    Unlike an offset, the cursor reaches any page at the cost of the first: earlier runs are filtered in the scan,
+    every task keeps `limit` rows, and runs that were added meanwhile move no page.
+    """
+    if status:
+        runs = runs.where(F.col("status") == status)
+    if after is not None:
+        started, run_id = F.lit(str(after[0])).cast("timestamp_ntz"), F.lit(after[1])
+        runs = runs.where((F.col("started_at") < started) | ((F.col("started_at") == started) & (F.col("run_id") > run_id)))
+    return runs.orderBy(F.col("started_at").desc(), "run_id").limit(limit)
+
+
+def cursor(rows: DataFrame) -> tuple | None:
+    """The cursor behind the last run of a page; None behind an empty one."""
+    last = rows.orderBy("started_at", F.col("run_id").desc()).select("started_at", "run_id").first()
+    return None if last is None else (last["started_at"], last["run_id"])
+
+
 def without_run(frame: DataFrame, run_id: str) -> DataFrame:
     return frame.where(F.col("run_id") != run_id)
 
