@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from evenkeel.session import staged
+
 BATCH_BYTES = 8 << 20  # texts that a task handles at once, unless one row alone is longer
 
 
@@ -68,3 +70,28 @@ def lookup(rows: DataFrame, key: str, heavy: DataFrame, rest: DataFrame) -> Data
     other = rest.select(F.col(key), F.struct(*values).alias("_rest"), F.lit(0).cast("bigint").alias("_spread"))
     joined = found.withColumn("_spread", spread).join(other, [key, "_spread"], "left")
     return joined.select(*rows.columns, *[F.coalesce(F.col("_heavy")[v], F.col("_rest")[v]).alias(v) for v in values])
+
+
+FILTER_BITS = 26  # of a filter of hashes: at most 2 ** 20 rows of 64 bits are broadcast, whatever the input
+
+
+def bit_filter(hashes: DataFrame, bits: int = FILTER_BITS) -> DataFrame:
+    """word and bits: a bit for the beginning of every 64-bit hash in the one column of `hashes`, written out."""
+    place = F.shiftrightunsigned(F.col(hashes.columns[0]), 64 - bits)
+    one = F.expr(f"shiftleft(1L, CAST(shiftrightunsigned({hashes.columns[0]}, {64 - bits}) & 63 AS INT))")
+    words = hashes.select(F.shiftright(place, 6).alias("word"), one.alias("bit")).groupBy("word").agg(F.bit_or("bit").alias("bits"))
+    return staged(words, "bit-filter", few_files=True)
+
+
+def with_bit(rows: DataFrame, hashed: str, words: DataFrame, name: str, bits: int = FILTER_BITS) -> DataFrame:
+    """`rows` with `name`: whether `words` has the bit of the hash in the column `hashed`.
+
+    True for every hash that the filter was made of, and for others with a share that grows with their number: a
+    hundredth of all rows at 10^6 hashes. So what is looked up exactly afterwards is few rows, and others do not move.
+    """
+    place = F.shiftrightunsigned(F.col(hashed), 64 - bits)
+    found = rows.withColumn("_word", F.shiftright(place, 6)).join(
+        F.broadcast(words.select(F.col("word").alias("_word"), F.col("bits").alias("_bits"))), "_word", "left"
+    )
+    bit = F.getbit("_bits", (F.shiftrightunsigned(F.col(hashed), 64 - bits).bitwiseAND(F.lit(63))).cast("int"))
+    return found.withColumn(name, F.coalesce(bit, F.lit(0)) == 1).drop("_word", "_bits")

@@ -2,68 +2,49 @@
 
 Every partition ("sender") hashes its normalised texts to 48 bits and sends the sorted distinct
 hashes, Golomb-coded, to the owners of their ranges. An owner answers each sender with a bitmap
-of the hashes that another sender has too. Only rows whose hash is repeated send their text, and
-those texts are grouped byte for byte; a chance agreement of hashes ends there.
+of the hashes that another sender has too. The rows of repeated hashes are suspects: only their
+texts are grouped, byte for byte; a chance agreement of hashes ends there.
 
-Texts of other rows never move. A text that fills a third of the table is one hash per sender,
-and its copies are combined in every task before they are shuffled.
+The rows are read again by their hash, not by their place, so nothing depends on the order or the splits in which
+they come. A filter of FILTER_BITS bits, one for each possible beginning of a hash, is broadcast as 64-bit words (at
+most 2 ** 20 rows, whatever the input); a row whose bit is not set stays where it is. Others are suspects, or share
+the beginning of a suspect's hash: a hundredth of all rows at 10^6 suspects, all at 10^9 and more. Hashes that many
+rows have are broadcast too (fewer than HEAVY), so a text that fills a third of the table meets in no task, and its
+copies are combined in every task before they are shuffled.
 
 Defined results: null counts as the empty text; of equal texts the row with the smallest
-`doc_id` stays, a null `doc_id` last, and of rows with the same `doc_id` the first in the order of
-the table; an empty table gives no rows. Columns other than `doc_id` and the text are not read.
+`doc_id` stays, a null `doc_id` last, and of rows with the same `doc_id` the first that is read;
+an empty table gives no rows. Columns other than `doc_id` and the text are not read, and may have any names.
 """
 
 from __future__ import annotations
 
-import hashlib
-from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark import RDD, TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
-from pyspark.sql.pandas.types import to_arrow_schema
 
+from evenkeel.functions.ranking import top_per_group
 from evenkeel.llm import golomb
-from evenkeel.llm.common import column, slices, strings
+from evenkeel.llm.common import bit_filter, lookup, with_bit
 from evenkeel.session import staged
 
 BITS = 48
 MAX_OWNERS = 4096  # ranges of hashes; 3e10 rows make 7 million hashes each
+FILTER_BITS = 26
+HEAVY = 1000  # a text that more than 1 / HEAVY of all rows have is looked up by broadcast
 
 
-def normalised(text: str) -> bytes:
-    """UTF-8 with every run of ASCII white space replaced by one space."""
-    raw = text.encode()
-    words = raw.split()
-    if not words:
-        return b" " if raw else b""
-    return b"".join((b" " if raw[:1].isspace() else b"", b" ".join(words), b" " if raw[-1:].isspace() else b""))
-
-
-def _fingerprint(digest: bytes) -> int:
-    return int.from_bytes(digest[: BITS // 8], "big")
-
-
-def _prints(batches: Iterator[pa.RecordBatch], schema: pa.Schema) -> Iterator[pa.RecordBatch]:
-    sender, pos = TaskContext.get().partitionId(), 0
-    for batch in slices(batches):
-        digests = [hashlib.sha256(normalised(t)).digest() for t in strings(batch)]
-        n = len(digests)
-        yield pa.RecordBatch.from_arrays(
-            [
-                pa.array([sender] * n, pa.int32()),
-                pa.array(range(pos, pos + n), pa.int64()),
-                column(batch, "doc_id").cast(schema.field("doc_id").type),
-                pa.array([_fingerprint(d) for d in digests], pa.int64()),
-                pa.array(digests, pa.binary()),
-            ],
-            schema=schema,
-        )
-        pos += n
+def _hashed(docs: DataFrame, text: Column, *kept: Column) -> DataFrame:
+    """`kept`, the normalised text, its SHA-256 and the first 48 bits of that as `fp`."""
+    normal = F.regexp_replace(F.coalesce(text, F.lit("")), r"[\x20\x09-\x0D]+", " ")
+    hexed = docs.select(*kept, normal.alias("text")).withColumn("hex", F.sha2("text", 256))
+    return hexed.withColumn("sha", F.unhex("hex")).withColumn(
+        "fp", F.conv(F.substring("hex", 1, BITS // 4), 16, 10).cast("bigint")
+    ).drop("hex")
 
 
 def _owner_bounds(owners: int) -> np.ndarray:
@@ -100,83 +81,69 @@ def _answers(owners: int):
     return answer
 
 
-def _mark(rows: pa.Table, bitmaps: pa.Table) -> pa.Table:
-    hashes, index, count = np.unique(rows["fp"].to_numpy(), return_inverse=True, return_counts=True)
+def _suspects(rows: pa.Table, bitmaps: pa.Table) -> pa.Table:
+    """The hashes of a sender that are repeated there or elsewhere."""
+    hashes, count = np.unique(rows["fp"].to_numpy(), return_counts=True)
     answers = bitmaps.sort_by("owner")
     elsewhere = [
         np.unpackbits(np.frombuffer(b, np.uint8))[:n]
         for b, n in zip(answers["bitmap"].to_pylist(), answers["n"].to_pylist(), strict=True)
     ]
-    repeated = np.concatenate(elsewhere).astype(bool) | (count > 1)
-    return rows.append_column("suspect", pa.array(repeated[index]))
+    return pa.table({"fp": hashes[np.concatenate(elsewhere).astype(bool) | (count > 1)]})
 
 
-def _suspect_texts(pairs) -> Iterator[tuple]:
-    for row, mark in pairs:
-        if mark.suspect:
-            body = normalised(row.text or "")
-            if hashlib.sha256(body).digest() != bytes(mark.sha):
-                raise RuntimeError("the input gave other rows when it was read again; pass reread=False")
-            yield mark.sender, mark.pos, mark.doc_id, body.decode()
+class _Exchange(NamedTuple):
+    """prints: row, doc_id, sha, fp of every row; filter: see `_suspicious`; groups: sha, group_size, keep_id, n_first
+    (rows that have keep_id) and first (the first of them) of texts that are repeated; heavy: those of many rows."""
 
+    prints: DataFrame
+    filter: DataFrame
+    heavy: DataFrame
+    groups: DataFrame
 
-def _compared(docs: DataFrame) -> DataFrame:
-    """sender, pos, doc_id, sha, first and group_size of every row of (doc_id, text).
 
-    `first` is the (doc_id, sender, pos) of the row that stays, null where no other row is equal.
-    """
+def _aligned(fp: str = "fp") -> Column:
+    """The hash in the upper bits of 64, where a filter looks."""
+    return F.shiftleft(F.col(fp), 64 - BITS)
+
+
+def _suspicious(hashed: DataFrame, words: DataFrame) -> DataFrame:
+    """`hashed` with `suspect`: whether the filter has the bit of the row's hash."""
+    return with_bit(hashed.withColumn("fp", _aligned()), "fp", words, "suspect", FILTER_BITS)
+
+
+def _exchange(docs: DataFrame, text: str) -> _Exchange:
     spark = docs.sparkSession
-    schema = T.StructType(
-        [
-            T.StructField("sender", T.IntegerType()),
-            T.StructField("pos", T.LongType()),
-            T.StructField("doc_id", docs.schema["doc_id"].dataType),
-            T.StructField("fp", T.LongType()),
-            T.StructField("sha", T.BinaryType()),
-        ]
-    )
-    marked = T.StructType([*schema.fields, T.StructField("suspect", T.BooleanType())])
-    arrow = to_arrow_schema(schema)
-    prints = staged(docs.mapInArrow(lambda it: _prints(it, arrow), schema), "dedup-prints")
+    hashed = _hashed(docs, F.col(text), F.col("doc_id"))
+    placed = hashed.select(F.monotonically_increasing_id().alias("row"), "doc_id", "sha", "fp")
+    prints = staged(placed.withColumn("sender", F.shiftright("row", 33).cast("int")), "dedup-prints")
     owners = max(1, min(MAX_OWNERS, int(spark.conf.get("spark.sql.shuffle.partitions"))))
     letters = prints.select("sender", "fp").groupBy("sender").applyInPandas(
         _letters(owners), "sender int, owner int, payload binary"
     )
     bitmaps = letters.groupBy("owner").applyInPandas(_answers(owners), "sender int, owner int, n int, bitmap binary")
-    marks = staged(
-        prints.groupBy("sender").cogroup(bitmaps.groupBy("sender")).applyInArrow(_mark, marked), "dedup-marks"
+    suspects = prints.select("sender", "fp").groupBy("sender").cogroup(bitmaps.groupBy("sender")).applyInArrow(
+        _suspects, "fp bigint"
     )
+    words = bit_filter(suspects.select(_aligned().alias("fp")), FILTER_BITS)
+    many = F.lit(prints.count() // HEAVY)
 
-    # the sender reads its rows again; only suspects leave the task
-    pairs = _beside(docs.select("text"), marks.select("sender", "pos", "doc_id", "sha", "suspect"))
-    texts = spark.createDataFrame(
-        pairs.mapPartitions(_suspect_texts),
-        T.StructType([*schema.fields[:3], T.StructField("text", T.StringType())]),
-    )
-    order = F.struct(F.col("doc_id").isNull().alias("without"), "doc_id", "sender", "pos")
-    groups = (
-        texts.groupBy("text")
+    order = F.struct(F.col("doc_id").isNull().alias("without"), "doc_id")
+    equal = staged(
+        _suspicious(hashed, words).where("suspect").groupBy("text")
         .agg(F.min(order).alias("first"), F.count("*").alias("group_size"))
         .where("group_size > 1")
-        .select(F.unhex(F.sha2("text", 256)).alias("sha"), "first", "group_size")
+        .select(F.unhex(F.sha2("text", 256)).alias("sha"), F.col("first.doc_id").alias("keep_id"), "group_size"),
+        "dedup-equal",
     )
-    return marks.join(groups, "sha", "left").select("sender", "pos", "doc_id", "sha", "first", "group_size")
-
-
-def _beside(docs: DataFrame, marks: DataFrame) -> RDD:
-    """Pairs of each row of `docs`, read again, and its mark of (sender, pos, ...)."""
-    rows = docs.rdd.map(lambda r: r)
-    senders = rows.getNumPartitions()
-    # marks go to the partition of the sender, in the order of its rows, so nothing else moves
-    ordered = marks.repartitionById(max(1, senders), F.col("sender")).sortWithinPartitions("pos").rdd.map(lambda r: r)
-    if ordered.getNumPartitions() < senders:  # Spark plans no partition for a table known to be empty
-        return docs.sparkSession.sparkContext.emptyRDD()
-    return rows.zip(ordered) if senders else rows
-
-
-def _stays() -> Column:
-    first = F.col("first")
-    return first.isNull() | ((first["sender"] == F.col("sender")) & (first["pos"] == F.col("pos")))
+    owned = lookup(prints.select("row", "doc_id", "sha"), "sha", equal.where(F.col("group_size") > many), equal)
+    firsts = (
+        owned.where("group_size IS NOT NULL AND doc_id <=> keep_id")
+        .groupBy("sha", "keep_id", "group_size")
+        .agg(F.min("row").alias("first"), F.count("*").alias("n_first"))
+    )
+    groups = staged(firsts.select("sha", "group_size", "keep_id", "n_first", "first"), "dedup-groups")
+    return _Exchange(prints, words, groups.where(F.col("group_size") > many), groups)
 
 
 def _readable(docs: DataFrame, reread: bool) -> DataFrame:
@@ -186,22 +153,34 @@ def _readable(docs: DataFrame, reread: bool) -> DataFrame:
 def duplicate_groups(docs: DataFrame, text: str = "text", reread: bool = False) -> DataFrame:
     """doc_id, keep_id, group_size, kept, text_sha256 of every row, dropped ones too.
 
-    The rows are read twice and must come in the same order. `reread=True` says that `docs` is a
-    plain scan of files, where they do; anything else is written to the shared folder first.
+    The rows are read twice. `reread=True` says that `docs` are files, which can be read again
+    in any splits; anything else is written to the shared folder first.
     """
-    rows = _readable(docs.select("doc_id", F.col(text).alias("text")), reread)
-    return _compared(rows).select(
+    found = _exchange(_readable(docs.select("doc_id", text), reread), text)
+    alone = F.col("group_size").isNull()
+    return lookup(found.prints.select("row", "doc_id", "sha"), "sha", found.heavy, found.groups).select(
         "doc_id",
-        F.when(F.col("first").isNull(), F.col("doc_id")).otherwise(F.col("first.doc_id")).alias("keep_id"),
+        F.when(alone, F.col("doc_id")).otherwise(F.col("keep_id")).alias("keep_id"),
         F.coalesce("group_size", F.lit(1).cast("bigint")).alias("group_size"),
-        _stays().alias("kept"),
+        (alone | (F.col("row") == F.col("first"))).alias("kept"),
         F.lower(F.hex("sha")).alias("text_sha256"),
     )
 
 
 def drop_duplicates(docs: DataFrame, text: str = "text", reread: bool = False) -> DataFrame:
-    """The rows of `docs` that stay, with all their columns; `reread` as above."""
+    """The rows of `docs` that stay, with all their columns; `reread` as above.
+
+    Rows that are no suspects pass from their files to the result.
+    """
     docs = _readable(docs, reread)
-    marks = _compared(docs.select("doc_id", F.col(text).alias("text"))).select("sender", "pos", _stays().alias("kept"))
-    kept = _beside(docs, marks).filter(lambda pair: pair[1].kept).map(lambda pair: pair[0])
-    return docs.sparkSession.createDataFrame(kept, docs.schema, verifySchema=False)
+    made = _exchange(docs, text)
+    rows = _suspicious(_hashed(docs, F.col(text), F.struct("*").alias("doc")).drop("text"), made.filter)
+    found = lookup(rows.where("suspect").select("doc", "sha"), "sha", made.heavy, made.groups)
+    keeper = F.col("doc.doc_id").eqNullSafe(F.col("keep_id"))
+    kept = rows.where("NOT suspect").select("doc").union(
+        found.where(F.col("n_first").isNull() | ((F.col("n_first") == 1) & keeper)).select("doc")
+    )
+    if made.groups.where("n_first > 1").limit(1).count():  # rows that also share their doc_id
+        several = found.where((F.col("n_first") > 1) & keeper).withColumn("at", F.monotonically_increasing_id())
+        kept = kept.union(top_per_group(several.select("doc", "sha", "at"), ["sha"], [F.col("at")], 1).select("doc"))
+    return kept.select("doc.*")

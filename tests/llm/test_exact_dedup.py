@@ -62,3 +62,42 @@ def test_one_text_everywhere(spark):
 def test_empty_table(spark):
     assert exact_dedup.duplicate_groups(documents(spark, [])).collect() == []
     assert exact_dedup.drop_duplicates(documents(spark, [])).collect() == []
+
+
+@pytest.mark.parametrize("splits", [(2, 8), (8, 2)])
+def test_other_splits_between_scans(spark, tmp_path, splits):
+    """The rows are read by other tasks than they were hashed by, as after the loss of executors."""
+    texts = [prose(i % 900, 30) for i in range(1200)] + ["same"] * 300 + [(5, "same", "x", None, None)] * 3
+    documents(spark, texts, 8).write.parquet(str(tmp_path / "d"))
+    docs = spark.read.parquet(str(tmp_path / "d"))
+    key, before = "spark.sql.files.minPartitionNum", spark.conf.get("spark.sql.files.minPartitionNum", None)
+    try:
+        spark.conf.set(key, splits[0])
+        kept, groups = exact_dedup.drop_duplicates(docs, reread=True), exact_dedup.duplicate_groups(docs, reread=True)
+        spark.conf.set(key, splits[1])
+        found, marked = kept.collect(), groups.collect()
+    finally:
+        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
+    first = {}
+    for r in docs.collect():
+        first[normal(r.text)] = min(r.doc_id, first.get(normal(r.text), r.doc_id))
+    assert sorted((normal(r.text), r.doc_id) for r in found) == sorted(first.items())
+    assert sorted(r.doc_id for r in marked if r.kept) == sorted(first.values()) and len(marked) == len(texts)
+
+
+@pytest.mark.parametrize("bits", [7, 12])
+def test_crowded_filter(spark, monkeypatch, bits):
+    """Rows that only share the beginning of a suspect's hash."""
+    monkeypatch.setattr(exact_dedup, "FILTER_BITS", bits)
+    texts = [prose(i % 500, 12) for i in range(800)]
+    docs = documents(spark, texts, 5)
+    assert sorted(r.doc_id for r in exact_dedup.drop_duplicates(docs).collect()) == list(range(500))
+    assert sorted(r.doc_id for r in exact_dedup.duplicate_groups(docs).collect() if r.kept) == list(range(500))
+
+
+def test_hot_text_without_ids(spark):
+    rows = [(None, "same", str(i % 3), None, None) for i in range(400)] + [prose(i, 9) for i in range(50)]
+    docs = documents(spark, rows, 6)
+    assert exact_dedup.drop_duplicates(docs).where("text = 'same'").count() == 1
+    marked = exact_dedup.duplicate_groups(docs).where("keep_id IS NULL").collect()
+    assert len(marked) == 400 and sum(r.kept for r in marked) == 1 and {r.group_size for r in marked} == {400}
