@@ -309,4 +309,5 @@ class History:
         fresh.log(events.join(self.runs().select("run_id"), "run_id", "left_semi"))
         fresh.save_results(self.results())
         fresh.save_differences(self.differences())
+        fresh._save(_conforming(self._of_runs(self.digests_path, DIGESTS, None), DIGESTS), fresh.digests_path)
         return fresh

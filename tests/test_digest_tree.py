@@ -13,6 +13,8 @@ from evenkeel.operators.digest_tree import (
     snapshot_differences,
 )
 from evenkeel.operators.row_diff import key_states, row_diff_counts
+from evenkeel.sources.history import History
+from evenkeel.sources.versioned_history import VersionedHistory
 from tests.conftest import rows
 
 
@@ -109,3 +111,17 @@ def test_duplicate_keys_are_found_where_buckets_differ(spark, tmp_path):
     twice = df.union(df.where("k = 3"))
     with pytest.raises(Exception, match="duplicate key: k=3"):
         bucket_differences(twice, df, ["k"]).collect()
+
+
+@pytest.mark.parametrize("kind", [History, VersionedHistory])
+def test_trees_are_stored_with_runs(spark, tmp_path, kind):
+    """A later run learns what has changed since an earlier one from digests alone."""
+    history, df = kind(spark, str(tmp_path / "h")), table(spark, 300)
+    for run, rows_then in (("r1", df), ("r2", changed(df))):
+        history.open_run(run, "2024-01-01")
+        history.save_digests(run, "t", "source", digest_tree(rows_then, ["k"], 2))
+    found = differing_buckets(history.digests("r1", "t", "source"), history.digests("r2", "t", "source"), 2)
+    assert rows(found) == rows(differing_buckets(digest_tree(df, ["k"], 2), digest_tree(changed(df), ["k"], 2), 2))
+    assert history.digests("r1", "t", "target").count() == 0
+    copy = history.compact(str(tmp_path / "copy"))
+    assert rows(copy.digests("r2", "t", "source")) == rows(history.digests("r2", "t", "source"))
