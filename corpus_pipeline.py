@@ -25,8 +25,10 @@ def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     """The documents that the quality classifier does not reject."""
     importable(spark)
     model = quality.fit(docs, table(spark, sf_dir, "labels"))
-    scored = quality.with_score(docs, model, into="quality_score")
-    return scored.where("quality_score >= 0.5").select(*docs.columns)
+    score = "quality_score"
+    while score in docs.columns:
+        score += "_"
+    return quality.with_score(docs, model, into=score).where(f"{score} >= 0.5").select(*docs.columns)
 
 
 def without_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
