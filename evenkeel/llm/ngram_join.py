@@ -17,9 +17,10 @@ long column do not emit all pairs: their documents are first linked to one of th
 that still join different components are multiplied in square tiles, inside tasks, and of a
 tile's links a spanning forest is kept.
 
-Defined results: null texts and texts without words have no n-gram and link with nothing; rows
-that repeat a doc_id are the same document; an empty table gives no rows. N-grams are 48-bit
-hashes and sets 64-bit hashes: two different ones agree with a probability of 2^-48 and 2^-64.
+Defined results: null texts and texts without words have no n-gram and link with nothing; every row is
+a document of its own, also where rows share a doc_id or have none; a component in which no row has an id has the id
+null; an empty table gives no rows. N-grams are 48-bit hashes, of which two different ones agree with a probability of
+2^-48. Sets are known by 64 bits; a second hash tells when two sets share them, and then all keys are made anew.
 
 Pairs are verified in two rounds, since a group of n near copies has n^2 / 2 of them: first as many
 as documents, then those that could still join two groups.
@@ -29,10 +30,12 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -40,7 +43,7 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from evenkeel.llm import golomb
-from evenkeel.llm.common import column, slices, strings
+from evenkeel.llm.common import bit_filter, column, lookup, slices, with_bit
 from evenkeel.llm.components import components
 from evenkeel.session import staged
 
@@ -50,35 +53,53 @@ COLUMN = 64  # entries of a column up to which all its pairs are emitted
 ORDER_SIZE = 1 << 18  # most frequent n-grams whose counts order the columns; only the order depends on it
 COUNT_BITS = 32  # of an n-gram's hash in the exchange of counts
 TILE = 256
-BROADCAST_KEYS = 1_000_000  # 8 MB of keys; above that the sets are joined by shuffle
+KEY_BITS = 64
+SALTS = 64
+HEAVY = 1000  # a component with more than 1 / HEAVY of all rows is looked up by broadcast
 ROWS_AT_ONCE = 1 << 18
 
 _MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5], np.uint64)
 ENTRY = np.dtype([("h", "<u2", 3), ("key", "<i8"), ("n", "<u4"), ("pos", "<u4")])
 
 
-class Hashes(dict):
-    """Hashes of words, remembered up to a bound."""
+def ngrams_of(texts: pa.Array, n: int = WORDS) -> list[np.ndarray]:
+    """The sorted distinct 48-bit hashes of each text's n-grams; shorter texts are one n-gram.
 
-    def __missing__(self, word: bytes) -> int:
-        if len(self) > 50_000:
-            self.clear()
-        value = self[word] = xxhash.xxh3_64_intdigest(word)
-        return value
-
-
-def ngrams(text: str, hashes: Hashes, n: int = WORDS) -> np.ndarray:
-    """The sorted distinct 48-bit hashes of the n-grams; shorter texts are one n-gram."""
-    words = text.encode().lower().split()
-    if not words:
+    Arrow cuts the words and numbers the distinct ones, so a word is hashed once for all texts.
+    """
+    trimmed = pc.ascii_trim_whitespace(pc.ascii_lower(pc.fill_null(texts, "")))
+    words = pc.ascii_split_whitespace(trimmed)  # one empty word, where there is none
+    numbered = words.flatten().dictionary_encode()
+    distinct = numbered.dictionary.to_pylist()
+    known = np.fromiter((xxhash.xxh3_64_intdigest(w) for w in distinct), np.uint64, len(distinct))
+    ids = known[numbered.indices.to_numpy()]
+    bounds = words.offsets.to_numpy().astype(np.int64) - words.offsets[0].as_py()
+    ends = np.where(pc.equal(trimmed, "").to_numpy(zero_copy_only=False), bounds[:-1], bounds[1:])
+    whole = _mixed(ids, n)
+    return [
+        _distinct(whole[a : b - n + 1] if b - a >= n else _mixed(ids[a:b], b - a))
+        for a, b in zip(bounds[:-1].tolist(), ends.tolist(), strict=True)
+    ]
+
+
+def _mixed(ids: np.ndarray, width: int) -> np.ndarray:
+    """48-bit hashes of all windows of `width` words."""
+    size = len(ids) - width + 1
+    if size <= 0 or width == 0:
         return np.empty(0, np.uint64)
-    ids = np.fromiter((hashes[w] for w in words), np.uint64, len(words))
-    width = min(n, len(ids))
-    mixed = np.full(len(ids) - width + 1, width, np.uint64)
+    mixed = np.full(size, width, np.uint64)
     for i in range(width):
-        mixed += (ids[i : len(ids) - width + 1 + i] ^ (ids[i : len(ids) - width + 1 + i] >> np.uint64(29))) * _MIX[i % 4]
+        window = ids[i : i + size]
+        mixed += (window ^ (window >> np.uint64(29))) * _MIX[i % 4]
         mixed = mixed * _MIX[(i + 1) % 4] ^ (mixed >> np.uint64(31))
-    return np.unique(mixed >> np.uint64(16))
+    return mixed >> np.uint64(16)
+
+
+def _distinct(values: np.ndarray) -> np.ndarray:
+    if len(values) < 2:
+        return values
+    ordered = np.sort(values)
+    return ordered[np.concatenate([[True], ordered[1:] != ordered[:-1]])]
 
 
 def to_bytes(hashes: np.ndarray) -> bytes:
@@ -95,18 +116,19 @@ def _widened(parts: np.ndarray) -> np.ndarray:
     return wide.view("<u8").ravel().astype(np.uint64)
 
 
-def _key(data: bytes) -> int:
-    return int.from_bytes(hashlib.blake2b(data, digest_size=8).digest(), "little", signed=True)
+def _keys(sets: list[bytes], seed: int, bits: int) -> tuple[list[int | None], list[int | None]]:
+    """Two hashes of each set, null for empty ones: its key, and a check that tells sets with the same key."""
+    digests = [hashlib.blake2b(s, digest_size=16, salt=seed.to_bytes(16, "little")).digest() if s else None for s in sets]
+    parts = [[None if d is None else int.from_bytes(d[at : at + 8], "little", signed=True) for d in digests] for at in (0, 8)]
+    return [None if k is None else k >> (64 - bits) for k in parts[0]], parts[1]
 
 
-def _sets(n: int):
+def _sets(n: int, seed: int, bits: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = Hashes()
         for batch in slices(batches, limit=4 << 20):
-            stored = [to_bytes(ngrams(t, hashes, n)) for t in strings(batch)]
+            stored = [to_bytes(g) for g in ngrams_of(column(batch, "text"), n)]
             yield pa.RecordBatch.from_arrays(
-                [pa.array([_key(d) if d else None for d in stored], pa.int64()), pa.array(stored, pa.binary())],
-                names=["key", "grams"],
+                [pa.array(_keys(stored, seed, bits)[0], pa.int64()), pa.array(stored, pa.binary())], names=["key", "grams"]
             )
 
     return run
@@ -130,11 +152,11 @@ def _counts_sent(n: int, owners: int):
         )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, held, size = Hashes(), [], 0
+        held, size = [], 0
         for batch in slices(batches, limit=4 << 20):
-            for text in strings(batch):
-                held.append(ngrams(text, hashes, n))
-                size += len(held[-1])
+            for grams in ngrams_of(column(batch, "text"), n):
+                held.append(grams)
+                size += len(grams)
                 if size > 4 * ROWS_AT_ONCE:
                     yield send(held)
                     held, size = [], 0
@@ -161,7 +183,7 @@ def _needed(n: np.ndarray | int, percent: int) -> np.ndarray | int:
     return -(-percent * n // 100)
 
 
-def _entries(n: int, percent: int, frequent: np.ndarray, counts: np.ndarray, blocks: int, schema: pa.Schema):
+def _entries(n: int, percent: int, frequent: np.ndarray, counts: np.ndarray, blocks: int, seed: int, bits: int, schema: pa.Schema):
     """Each document's key and size, and the entries of its leading n-grams, rarest first, by block.
 
     Entries of the frequent n-grams go out one by one, for their columns may be long. They and
@@ -185,15 +207,12 @@ def _entries(n: int, percent: int, frequent: np.ndarray, counts: np.ndarray, blo
         return rows(some, payload=[entries[order[cuts[b] : cuts[b + 1]]].tobytes() for b in some])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, seen, parts, size = Hashes(), set(), [], 0
+        seen, parts, size = set(), [], 0
         for batch in slices(batches, limit=4 << 20):
-            keys, sizes, long_rows = [], [], []
-            for text in strings(batch):
-                grams = ngrams(text, hashes, n)
-                total = len(grams)
-                key = _key(to_bytes(grams)) if total else None
-                keys.append(key)
-                sizes.append(total)
+            sets, long_rows = ngrams_of(column(batch, "text"), n), []
+            keys, checks = _keys([to_bytes(g) for g in sets], seed, bits)
+            sizes = [len(g) for g in sets]
+            for grams, key, total in zip(sets, keys, sizes, strict=True):
                 if key is None or key in seen:
                     continue  # copies are one row of the matrix
                 seen.add(key)
@@ -216,7 +235,8 @@ def _entries(n: int, percent: int, frequent: np.ndarray, counts: np.ndarray, blo
             if len(seen) > 1_000_000:
                 seen.clear()
             spread = [-1 - (i % blocks) for i in range(len(keys))]
-            yield rows(spread, key=keys, n=sizes, doc_id=column(batch, "doc_id"))
+            own = {c: column(batch, c) for c in ("doc_id", "text_hash")}
+            yield rows(spread, key=keys, check=checks, n=sizes, **own)
             if long_rows:
                 gram, key, total = zip(*long_rows, strict=True)
                 yield rows([-1 - (hash((g, k)) % blocks) for g, k, _ in long_rows], gram=gram, key=key, n=total)
@@ -226,7 +246,7 @@ def _entries(n: int, percent: int, frequent: np.ndarray, counts: np.ndarray, blo
     return run
 
 
-PAIR = "a bigint, b bigint, n_a bigint, n_b bigint, shared bigint, last_a bigint, last_b bigint, gram bigint"
+PAIR = "a bigint, b bigint, n_a bigint, n_b bigint, shared bigint, last_a bigint, last_b bigint, gram bigint, check bigint, text_hash bigint"
 
 
 def _multiplied(percent: int, schema: pa.Schema):
@@ -241,7 +261,7 @@ def _multiplied(percent: int, schema: pa.Schema):
 
     def run(rows: pa.Table) -> pa.Table:
         if rows["block"][0].as_py() < 0:
-            kept = {"a": "key", "n_a": "n", "gram": "gram", "doc_id": "doc_id"}
+            kept = {"a": "key", "n_a": "n", "gram": "gram", "doc_id": "doc_id", "check": "check", "text_hash": "text_hash"}
             return result(**{new: rows[old].combine_chunks() for new, old in kept.items()})
         entries = np.concatenate([np.frombuffer(p, ENTRY) for p in rows["payload"].to_pylist()])
         gram, key = _widened(entries["h"]), entries["key"]
@@ -327,29 +347,51 @@ def _tile(rows: pd.DataFrame, percent: int) -> pd.DataFrame:
 
 
 def _with_sets(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    left = sets.select(F.col("key").alias("a"), F.col("grams").alias("grams_a"))
-    right = sets.select(F.col("key").alias("b"), F.col("grams").alias("grams_b"))
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "grams_a", "grams_b")
-
+    """`pairs`, which must be files, with the sets of both sides as grams_a and grams_b.
 
-def _sets_of(docs: DataFrame, rows: DataFrame, keys: DataFrame, n: int) -> DataFrame:
-    """(key, grams), once for each of `keys`, from one text of each.
-
-    The ids of few documents are sent to the scan of the texts, many meet them in a shuffle.
+    A document in more than 1 / HEAVY of all pairs meets them in SALTS tasks, to each of which its set goes.
+    """
+    ends = pairs.select(F.col("a").alias("hot")).union(pairs.select("b"))
+    many = ends.groupBy("hot").agg(F.count("*").alias("n")).where(F.col("n") * HEAVY > F.lit(pairs.count()))
+    hot = F.broadcast(staged(many.select("hot"), "join-hot", few_files=True))  # fewer than 2 * HEAVY
+    salts = F.when(F.col("hot").isNull(), F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.lit(SALTS - 1)))
+    copies = sets.join(hot, F.col("key") == F.col("hot"), "left").select("key", "grams", F.explode(salts).alias("salt"))
+    salt = F.when(F.col("hot").isNull(), 0).otherwise(F.pmod(F.xxhash64("a", "b"), F.lit(SALTS)).cast("int"))
+    for side in ("a", "b"):
+        dealt = pairs.join(hot, F.col(side) == F.col("hot"), "left").withColumn("salt", salt).drop("hot")
+        mine = copies.select(F.col("key").alias(side), F.col("grams").alias(f"grams_{side}"), "salt")
+        pairs = dealt.join(mine, [side, "salt"]).drop("salt")
+    return pairs.select("a", "b", "grams_a", "grams_b")
+
+
+class _Texts(NamedTuple):
+    """The documents, what is known of each row, and how their sets are made."""
+
+    docs: DataFrame
+    rows: DataFrame
+    n: int
+    seed: int
+    bits: int
+
+
+def _sets_of(texts: _Texts, keys: DataFrame) -> DataFrame:
+    """(key, grams), once for each of `keys`, from one row of each.
+
+    The rows are found by a hash in a filter of bounded size, in the scan of the texts; of the others a few pass too,
+    and give sets that nothing asks for.
     """
-    one = rows.join(keys.distinct(), "key", "left_semi").groupBy("key").agg(F.min("doc_id").alias("id"))
-    wanted = staged(one.select("id").distinct(), "join-wanted")
-    few = wanted.count() <= BROADCAST_KEYS
-    same = F.col("doc_id").eqNullSafe(F.col("id"))
-    found = docs.join(F.broadcast(wanted) if few else wanted, same, "left_semi")
-    sets = found.select("text").mapInArrow(_sets(n), "key bigint, grams binary").where("key IS NOT NULL")
+    mark = F.xxhash64("doc_id", "text_hash")
+    one = texts.rows.join(keys.distinct(), "key", "left_semi").groupBy("key").agg(F.min(mark).alias("mark"))
+    marked = texts.docs.select("text", mark.alias("mark"))
+    some = with_bit(marked, "mark", bit_filter(one.select("mark")), "some").where("some").select("text")
+    sets = some.mapInArrow(_sets(texts.n, texts.seed, texts.bits), "key bigint, grams binary").where("key IS NOT NULL")
     return sets.groupBy("key").agg(F.first("grams").alias("grams"))
 
 
-def _linked(docs: DataFrame, rows: DataFrame, pairs: DataFrame, n: int, percent: int) -> DataFrame:
+def _linked(texts: _Texts, pairs: DataFrame, percent: int) -> DataFrame:
     """Those of the pairs whose whole sets are similar enough, written out."""
     pairs = staged(pairs, "join-candidates")
-    sets = _sets_of(docs, rows, pairs.select(F.col("a").alias("key")).union(pairs.select("b")), n)
+    sets = _sets_of(texts, pairs.select(F.col("a").alias("key")).union(pairs.select("b")))
     return staged(_with_sets(pairs, sets).mapInArrow(_links(percent), "a bigint, b bigint"), "join-links")
 
 
@@ -360,8 +402,15 @@ def similar_groups(docs: DataFrame, text: str = "text", n: int = WORDS, percent:
     The texts are read for the counts, for the entries and for the sets of candidates, rather
     than all sets stored, which would take more room than the texts. Runs when called.
     """
+    found = _grouped(docs, text, n, percent)
+    return found.select("doc_id", "n_shingles", F.coalesce("first.doc_id", "doc_id").alias("component_id"))
+
+
+def _grouped(docs: DataFrame, text: str, n: int, percent: int, seed: int = 0) -> DataFrame:
+    """doc_id, text_hash, n_shingles and first, (without, doc_id, text_hash) of the row that leads a row's component;
+    null where a row is alone."""
     spark = docs.sparkSession
-    docs = docs.select("doc_id", F.col(text).alias("text"))
+    docs = docs.select("doc_id", F.col(text).alias("text")).withColumn("text_hash", F.xxhash64("text"))
     blocks = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     doc_id = docs.schema["doc_id"]
 
@@ -371,12 +420,18 @@ def similar_groups(docs: DataFrame, text: str = "text", n: int = WORDS, percent:
     top = counted.orderBy(F.desc("n"), "gram").limit(ORDER_SIZE).toPandas().sort_values("gram")
 
     # the product, block by block
-    sent = T.StructType([*T._parse_datatype_string("block int, payload binary, gram bigint, key bigint, n bigint").fields, doc_id])
+    sent = T.StructType([*T._parse_datatype_string("block int, payload binary, gram bigint, key bigint, n bigint, check bigint, text_hash bigint").fields, doc_id])
     made = T.StructType([*T._parse_datatype_string(PAIR).fields, doc_id])
     frequent, counts = top["gram"].to_numpy().astype(np.uint64), top["n"].to_numpy()
-    entries = docs.mapInArrow(_entries(n, percent, frequent, counts, blocks, to_arrow_schema(sent)), sent)
+    entries = docs.mapInArrow(_entries(n, percent, frequent, counts, blocks, seed, KEY_BITS, to_arrow_schema(sent)), sent)
     product = staged(entries.groupBy("block").applyInArrow(_multiplied(percent, to_arrow_schema(made)), made), "join-product")
-    rows = product.where("b IS NULL AND gram IS NULL").select("doc_id", F.col("n_a").alias("n_shingles"), F.col("a").alias("key"))
+    rows = product.where("b IS NULL AND gram IS NULL").select(
+        "doc_id", "text_hash", F.col("n_a").alias("n_shingles"), F.col("a").alias("key"), "check"
+    )
+    told = rows.groupBy("key").agg(F.min("check").alias("low"), F.max("check").alias("high"))
+    if told.where("low <> high").limit(1).count():  # two sets with one key: all keys are made anew
+        return _grouped(docs, "text", n, percent, seed + 1)
+    texts = _Texts(docs, rows, n, seed, KEY_BITS)
     members = product.where("gram IS NOT NULL").select("gram", F.col("a").alias("key"), F.col("n_a").alias("n")).distinct()
     need = F.ceil(F.lit(percent) * (F.col("n_a") + F.col("n_b")) / (100 + percent))
     follows = F.least(F.col("n_a") - F.col("last_a"), F.col("n_b") - F.col("last_b")) - 1
@@ -397,14 +452,14 @@ def similar_groups(docs: DataFrame, text: str = "text", n: int = WORDS, percent:
         .select(F.col("c.key").alias("a"), F.col("key").alias("b"))
     )
     likely = pairs.groupBy("b").agg(F.max_by("a", F.struct("shared", "a")).alias("a")).select("a", "b")
-    links = _linked(docs, rows, likely.union(spokes).distinct(), n, percent)
+    links = _linked(texts, likely.union(spokes).distinct(), percent)
     roots = components(links)
 
     # then the pairs that could still join two groups
     of = {side: roots.select(F.col("node").alias(side), F.col("root").alias(f"root_{side}")) for side in ("a", "b")}
     apart = ~F.coalesce("root_a", "a").eqNullSafe(F.coalesce("root_b", "b"))
     left = pairs.join(of["a"], "a", "left").join(of["b"], "b", "left").where(apart).select("a", "b")
-    found = _linked(docs, rows, left.join(likely, ["a", "b"], "left_anti"), n, percent)
+    found = _linked(texts, left.join(likely, ["a", "b"], "left_anti"), percent)
     if found.limit(1).count():
         links = links.union(found)
         roots = components(links)
@@ -419,7 +474,7 @@ def similar_groups(docs: DataFrame, text: str = "text", n: int = WORDS, percent:
         parts = inside.groupBy("cluster").agg(F.ceil(F.count("*") / TILE).cast("int").alias("parts"))
         placed = inside.join(parts, "cluster").withColumn("part", F.pmod(F.xxhash64("key"), F.col("parts")).cast("int"))
         tiles = (
-            placed.join(_sets_of(docs, rows, inside.select("key"), n), "key")
+            placed.join(_sets_of(texts, inside.select("key")), "key")
             .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
             .groupBy("cluster", F.least("part", "other").alias("low"), F.greatest("part", "other").alias("high"))
             .applyInPandas(lambda g: _tile(g, percent), "a bigint, b bigint")
@@ -427,15 +482,28 @@ def similar_groups(docs: DataFrame, text: str = "text", n: int = WORDS, percent:
         roots = components(links.union(tiles))
 
     whole = rows.join(roots.withColumnRenamed("node", "key"), "key", "left")
-    whole = staged(whole.select("doc_id", "n_shingles", F.coalesce("root", "key").alias("root")), "join-roots")
-    first = whole.where("root IS NOT NULL").groupBy("root").agg(F.min("doc_id").alias("first"), F.count("*").alias("size"))
-    return whole.join(first.where("size > 1"), "root", "left").select(
-        "doc_id", "n_shingles", F.coalesce("first", "doc_id").alias("component_id")
-    )
+    whole = staged(whole.select("doc_id", "text_hash", "n_shingles", F.coalesce("root", "key").alias("root")), "join-roots")
+    order = F.struct(F.col("doc_id").isNull().alias("without"), "doc_id", "text_hash")
+    leads = whole.where("root IS NOT NULL").groupBy("root").agg(F.min(order).alias("first"), F.count("*").alias("size"))
+    leads = staged(leads.where("size > 1"), "join-leads")
+    large = leads.where(F.col("size") > F.lit(whole.count() // HEAVY)).select("root", "first")  # fewer than HEAVY
+    return lookup(whole, "root", large, leads.select("root", "first")).drop("root")
 
 
 def one_of_each(docs: DataFrame, text: str = "text", n: int = WORDS, percent: int = PERCENT) -> DataFrame:
-    """The rows of `docs` without those that are linked, at whatever distance, to a smaller doc_id."""
-    groups = similar_groups(docs, text, n, percent)
-    dropped = staged(groups.where("doc_id <> component_id").select("doc_id").distinct(), "join-dropped")
-    return docs.join(dropped, "doc_id", "left_anti").select(*docs.columns)
+    """The rows of `docs` without those that are linked, at whatever distance, to one that comes before them.
+
+    Of a component stays the row with the smallest doc_id, one without id last; rows that are
+    equal in doc_id and text stay or go together.
+    """
+    groups = _grouped(docs, text, n, percent)
+    mine = F.struct(F.col("doc_id").isNull().alias("without"), "doc_id", "text_hash")
+    dropped = groups.where(F.col("first").isNotNull() & (F.col("first") != mine)).select(
+        F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")
+    )
+    dropped = staged(dropped.distinct(), "join-dropped")
+    words = bit_filter(dropped.select("_hash"))
+    rows = with_bit(docs.select(F.struct("*").alias("doc"), F.xxhash64(F.col(text)).alias("text_hash")), "text_hash", words, "some")
+    same = F.col("doc.doc_id").eqNullSafe(F.col("_id")) & (F.col("text_hash") == F.col("_hash"))
+    checked = rows.where("some").join(dropped, same, "left_anti")
+    return rows.where("NOT some").select("doc.*").union(checked.select("doc.*"))

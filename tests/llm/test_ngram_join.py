@@ -4,6 +4,8 @@ import random
 import re
 from collections import defaultdict
 
+import numpy as np
+import pyarrow as pa
 import pytest
 
 from evenkeel.llm import ngram_join
@@ -83,6 +85,36 @@ def test_one_of_each(spark):
     assert sorted(r.doc_id for r in kept.collect()) == [0, 1, 3] and kept.columns == docs.columns
 
 
+def test_rows_without_and_with_the_same_id(spark):
+    a, b, c = prose(1, 50), prose(2, 50), prose(3, 50)
+    rows = [(None, a, "x", None, None), (5, a, "x", None, None), (5, b, "x", None, None), (9, b + " end", "x", None, None),
+            (3, a + " end", "x", None, None), (None, c, "x", None, None), (None, c + " end", "x", None, None)]
+    docs = documents(spark, rows)
+    found = sorted(str((r.doc_id, r.component_id)) for r in ngram_join.similar_groups(docs).collect())
+    assert found == sorted(map(str, [(None, 3), (5, 3), (5, 5), (9, 5), (3, 3), (None, None), (None, None)]))
+    kept = ngram_join.one_of_each(docs).collect()
+    assert sorted((r.doc_id or 0, r.text) for r in kept if r.doc_id is not None) == sorted([(3, a + " end"), (5, b)])
+    assert len(kept) == 3  # and one of the two without an id
+
+
+def test_sets_with_one_key(spark, monkeypatch):
+    """Keys of few bits agree by chance; they are made anew until they do not."""
+    monkeypatch.setattr(ngram_join, "KEY_BITS", 11)
+    check(spark, [prose(i % 50, 30) for i in range(60)])
+
+
+@pytest.mark.parametrize("n", [1, 4, 5])
+def test_ngrams_of_texts(n):
+    texts = ["", None, "a", "A a\tB", "a b c d e f g", "\x0b\x0c x y", "é É ß", *[prose(i, 40) for i in range(5)], "a b c d a b c d a b c d"]
+    found = ngram_join.ngrams_of(pa.array(texts, pa.string()), n)
+    for text, grams_found in zip(texts, found, strict=True):
+        words = [w for w in re.split("[\x20\x09-\x0d]+", re.sub("[A-Z]", lambda m: m.group().lower(), text or "")) if w]
+        expected_grams = {tuple(words[i : i + n]) for i in range(max(1, len(words) - n + 1))} if words else set()
+        assert len(grams_found) == len(expected_grams) and (np.diff(grams_found.astype(np.int64)) > 0).all()
+        alone = ngram_join.ngrams_of(pa.array([text], pa.string()), n)[0]
+        assert (alone == grams_found).all()
+
+
 def test_empty_table(spark):
     assert ngram_join.similar_groups(documents(spark, [])).collect() == []
 

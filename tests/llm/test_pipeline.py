@@ -81,3 +81,46 @@ def test_near_dedup_is_by_five_words_and_80_percent(spark, folder):
         rows = [(r.doc_id, r.text) for r in given.collect()]
         kept = corpus_pipeline.without_near_copies(spark, given, folder).collect()
         assert {r.doc_id for r in kept} == first_of_each(rows)
+
+
+def folder_of(spark, path, docs, labels, benchmark):
+    """A folder of the tables that the pipeline reads."""
+    for name, df in (("documents", docs), ("labels", labels), ("benchmark", benchmark)):
+        df.write.parquet(f"{path}/{name}.parquet")
+    return str(path)
+
+
+LABELS, BENCHMARK = "doc_id bigint, quality int, toxic int", "item_id bigint, text string"
+
+
+def test_empty_tables(spark, tmp_path):
+    empty = spark.createDataFrame([], LABELS), spark.createDataFrame([], BENCHMARK)
+    path = folder_of(spark, tmp_path, documents(spark, []), *empty)
+    assert corpus_pipeline.run(spark, path).collect() == []
+
+
+def test_rows_without_id_and_columns_with_clashing_names(spark, tmp_path):
+    """No quality is labelled, so all documents pass that stage; the others see null ids, repeats and every column."""
+    item, a, b = prose(900, 40), prose(1, 60), prose(2, 60)
+    rows = [
+        (None, a, "x", None, None), (None, a, "x", None, None), (7, a + " ", "x", None, None), (None, b, None, None, None), (None, b + " end", None, None, None),
+        (None, f"{prose(3, 50)} {item}", "x", None, None), (9, prose(4, 50), "x", None, None), (9, prose(5, 50), "x", None, None), (None, None, None, None, None), (4, "", "x", None, None),
+    ]
+    docs = documents(spark, rows).selectExpr("*", "1 AS quality_score", "'m' AS sha", "2 AS doc", "3 AS text_hash", "4 AS suspect", "5 AS _some", "6 AS some")
+    path = folder_of(spark, tmp_path, docs, spark.createDataFrame([], LABELS), spark.createDataFrame([(0, item)], BENCHMARK))
+    docs = table(spark, path, "documents")
+    columns, texts = docs.columns, []
+    for i, (_, stage) in enumerate(corpus_pipeline.STAGES[:-1]):
+        stage(spark, docs, path).write.parquet(str(tmp_path / f"stage{i}"))
+        docs = spark.read.parquet(str(tmp_path / f"stage{i}"))
+        assert docs.columns == columns
+        assert all((r.quality_score, r.sha, r.doc, r.text_hash) == (1, "m", 2, 3) for r in docs.collect())
+        texts.append(sorted((r.text or "").strip() for r in docs.collect()))
+    assert texts[0] == sorted((t or "").strip() for _, t, *_ in rows)
+    leak = f"{prose(3, 50)} {item}"
+    assert texts[1] == sorted(["", a, a, b, b + " end", leak, prose(4, 50), prose(5, 50)])  # a stays with and without a space
+    near = [t for t in texts[2] if t.startswith(b)]
+    assert len(near) == 1 and texts[2] == sorted(["", a, near[0], leak, prose(4, 50), prose(5, 50)])
+    assert texts[3] == [t for t in texts[2] if t != leak]
+    tokens = corpus_pipeline.STAGES[-1][1](spark, docs, path)
+    assert tokens.count() == 5
