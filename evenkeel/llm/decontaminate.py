@@ -7,12 +7,14 @@ run of unmarked words, found by running Karp-Rabin with a falling search length,
 count in any order and no word counts twice. A document is contaminated by an item when its tiles
 cover at least COVERAGE of the item's words.
 
-The benchmark goes to the tasks in blocks of at most BLOCK_BYTES of text; a larger one takes
-more passes over the documents. Documents are never shuffled.
+The benchmark goes to the tasks in blocks of at most BLOCK_BYTES of text (or one item, where that is longer). A larger
+benchmark takes more passes over the documents; the results of each pass are written before the next block is
+read, so the driver holds one block and the plan does not grow. Documents are never shuffled.
 
 Defined results: null and empty texts and items match nothing; an item shorter than MIN_TILE
 words matches documents that consist of exactly its words; repeated rows are reported once per
-row; an empty benchmark gives no rows.
+row, rows without doc_id with a null; an empty benchmark gives no rows. `clean` decides by the text of each row, also
+where rows share a doc_id or have none.
 """
 
 from __future__ import annotations
@@ -21,6 +23,7 @@ import math
 from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -29,8 +32,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from evenkeel.llm.common import column, slices, strings
-from evenkeel.session import staged
+from evenkeel.llm.common import bit_filter, column, slices, strings, with_bit
+from evenkeel.session import fresh_path, staged
 
 MIN_TILE = 5
 COVERAGE = 0.6
@@ -204,11 +207,22 @@ def contaminated(
     docs: DataFrame, benchmark: DataFrame, text: str = "text", min_tile: int = MIN_TILE,
     coverage: float = COVERAGE, block_bytes: int = BLOCK_BYTES,
 ) -> DataFrame:
-    """doc_id, item_id, coverage, n_tiles and longest_tile of every document and item that it leaks."""
-    rows = docs.select("doc_id", F.col(text).alias("text"))
+    """doc_id, item_id, coverage, n_tiles and longest_tile of every document and item that it leaks.
+
+    Runs when called if the benchmark has more than one block.
+    """
+    return _leaking(docs, benchmark, text, min_tile, coverage, block_bytes).drop("text_hash")
+
+
+def _leaking(
+    docs: DataFrame, benchmark: DataFrame, text: str, min_tile: int = MIN_TILE, coverage: float = COVERAGE, block_bytes: int = BLOCK_BYTES
+) -> DataFrame:
+    """With `text_hash`, which tells the rows that share a doc_id."""
+    rows = docs.select("doc_id", F.xxhash64(text).alias("text_hash"), F.col(text).alias("text"))
     schema = T.StructType(
         [
             rows.schema["doc_id"],
+            T.StructField("text_hash", T.LongType()),
             T.StructField("item_id", benchmark.schema["item_id"].dataType),
             *T._parse_datatype_string("coverage double, n_tiles bigint, longest_tile bigint").fields,
         ]
@@ -219,8 +233,8 @@ def contaminated(
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             tests = index(block, min_tile)
             for batch in slices(batches, limit=4 << 20):
-                ids = column(batch, "doc_id").to_pylist()
-                found = [(ids[i], *rest) for i, *rest in leaks(tests, strings(batch), min_tile, coverage)]
+                ids, hashes = column(batch, "doc_id").to_pylist(), column(batch, "text_hash").to_pylist()
+                found = [(ids[i], hashes[i], *rest) for i, *rest in leaks(tests, strings(batch), min_tile, coverage)]
                 if found:
                     yield pa.RecordBatch.from_arrays(
                         [pa.array(c, f.type) for c, f in zip(zip(*found), arrow, strict=True)], schema=arrow
@@ -228,14 +242,23 @@ def contaminated(
 
         return rows.mapInArrow(run, schema)
 
-    out = None
-    for block in _blocks(benchmark, text, block_bytes):
-        part = searched(block)
-        out = part if out is None else out.unionByName(part)
-    return out
+    blocks = _blocks(benchmark, text, block_bytes)
+    first = next(blocks)
+    second = next(blocks, None)
+    if second is None:
+        return searched(first)
+    path = fresh_path(docs.sparkSession, "leaks")
+    for block in chain((first, second), blocks):
+        searched(block).write.mode("append").parquet(path)
+    return docs.sparkSession.read.schema(schema).parquet(path)
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, text: str = "text") -> DataFrame:
-    """The rows of `docs` whose doc_id is not contaminated."""
-    leaking = staged(contaminated(docs, benchmark, text).select("doc_id").distinct(), "leaking")
-    return docs.join(leaking, "doc_id", "left_anti").select(*docs.columns)
+    """The rows of `docs` whose text is not contaminated."""
+    found = _leaking(docs, benchmark, text).select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"))
+    leaking = staged(found.distinct(), "leaking")
+    rows = docs.select(F.struct("*").alias("doc"), F.xxhash64(text).alias("text_hash"))
+    rows = with_bit(rows, "text_hash", bit_filter(leaking.select("_hash")), "some")
+    same = F.col("doc.doc_id").eqNullSafe(F.col("_id")) & (F.col("text_hash") == F.col("_hash"))
+    checked = rows.where("some").join(leaking, same, "left_anti")
+    return rows.where("NOT some").select("doc.*").union(checked.select("doc.*"))

@@ -62,6 +62,29 @@ def test_leaks(spark):
     assert kept.columns == docs.columns and kept.count() == len(texts) - len({d for d, _ in found})
 
 
+def test_rows_without_and_with_the_same_id(spark):
+    item, other = prose(1000, 40), prose(1, 60)
+    benchmark = spark.createDataFrame([(0, item)], "item_id bigint, text string")
+    rows = [(None, f"{other} {item}", "x", None, None), (None, other, "x", None, None), (5, item, "x", None, None), (5, other, "x", None, None)]
+    docs = documents(spark, [*rows, None])
+    assert sorted(str(r.doc_id) for r in D.contaminated(docs, benchmark).collect()) == ["5", "None"]
+    kept = D.clean(docs, benchmark)
+    assert kept.columns == docs.columns
+    assert sorted((str(r.doc_id), r.text) for r in kept.select("doc_id", "text").collect() if r.text) == [("5", other), ("None", other)]
+    assert kept.count() == 3
+
+
+def test_plan_does_not_grow_with_the_benchmark(spark):
+    docs = documents(spark, [prose(i, 30) for i in range(20)])
+    sizes = []
+    for n in (40, 160):
+        benchmark = spark.createDataFrame([(i, prose(2000 + i, 40)) for i in range(n)], "item_id bigint, text string")
+        assert len(list(D._blocks(benchmark, "text", 8000))) > 2
+        found = D.contaminated(docs, benchmark, block_bytes=8000)
+        sizes.append(len(found._jdf.queryExecution().optimizedPlan().toString().splitlines()))
+    assert sizes[0] == sizes[1]
+
+
 def test_empty_tables(spark):
     docs = documents(spark, ["a b c d e f"])
     none = spark.createDataFrame([], "item_id bigint, text string")
