@@ -86,3 +86,67 @@ def test_all_named_regions_count_and_a_small_one_does_not_bound():
     assert H.blocks(H.parse(f"<div>Site</div><div>{parts}</div>")) == ["part x", "part xx", "part xxx"]
     assert H.blocks(H.parse("<div>Site</div><article>one</article><p>between</p><article>two, <article>inner</article></article>")) == ["one", "two,", "inner"]
     assert H.blocks(H.parse("<div>Site</div><main>one</main><main>two longer</main>")) == ["one", "two longer"]
+
+
+MENU = "<html><body><div>{menu}</div><div class='x1'>{ad}</div><div><div><h2>{head}</h2>{paragraphs}</div></div><div>{foot}</div></body></html>"
+
+
+def varied(i):
+    """A page whose menu, advert and footer differ from those of all others, without any telling name."""
+    menu = "".join(f"<a href='/{w}'>{w}</a> " for w in (f"m{i}", f"n{i}", "home"))
+    paragraphs = "".join(f"<p>paragraph {j} of {i} with some words in it</p>" for j in range(3 + i % 4))
+    return MENU.format(menu=menu, ad=f"buy {i} now", head=f"head {i}", paragraphs=paragraphs, foot=f"foot {i}")
+
+
+def test_varying_menus_at_a_constant_place_are_template(spark):
+    rows = [(i, f"http://g.example/{i}", varied(i)) for i in range(30)]
+    for markup in (True, False):
+        got = {r.page_id: r.text for r in H.extract(pages(spark, rows), markup=markup).collect()}
+        for i in range(30):
+            assert got[i].split("\n") == [f"head {i}", *[f"paragraph {j} of {i} with some words in it" for j in range(3 + i % 4)]]
+
+
+def test_slots_against_plain_sums(spark, folder):
+    """The sums of every slot, from one page after the other."""
+    found = H.wrappers(table(spark, folder, "pages"))
+    by_host = {}
+    for r in found.rows.collect():
+        by_host.setdefault(r.host, {}).setdefault(r.html, r.page_id)
+    expected = {}
+    for host, different in by_host.items():
+        if len(different) < H.SUPPORT:
+            continue
+        model = H.parse(min(different, key=different.get))
+        for page in different:
+            tree = H.parse(page)
+            inside = [re.sub(r"\s+", " ", p).strip() for p in tree.parts[0] if isinstance(p, str)]
+            assert not any(inside)
+            for a, b in H.align(tree, model).items():
+                slot = expected.setdefault((host, b), [0, 0])
+                slot[0] += 1
+                slot[1] += bool(model.text(b)) and tree.text(a) == model.text(b)
+    got = {(r.host, r.slot): [r.seen, r.same] for r in found.slots.collect()}
+    assert got.keys() == expected.keys()
+    assert all(abs(got[k][0] - v[0]) < 0.01 and abs(got[k][1] - v[1]) < 0.01 for k, v in expected.items())
+
+
+def test_wrappers_are_learned_and_give_the_article(spark):
+    """Every host of the larger table has template slots, and without the lists of tags and words the learned
+    content is the article on at least 95 % of the pages."""
+    given = table(spark, "/root/testdata/sf0.1", "pages")
+    known = H.wrappers(given).learned.collect()
+    assert len(known) >= 50 and all(r.template and r.content for r in known)
+    hosts = {r.host for r in known}
+    whole = {r.page_id: r.text for r in H.extract(given).collect()}
+    alone = {r.page_id: r.text for r in H.extract(given, markup=False).collect()}
+    ids = [r.page_id for r in H.wrappers(given).rows.collect() if r.host in hosts]
+    assert sum(whole[i] == alone[i] for i in ids) >= 0.95 * len(ids)
+
+
+def test_very_deep_pages_align(spark):
+    deep = "<div>" * 3000 + "{0}<p>{0}</p>" + "</div>" * 3000
+    rows = [(i, "http://h.example/", deep.format(f"t{i}") + "<div><i>x</i></div>" * (i % 3)) for i in range(6)]
+    got = {r.page_id: r.text for r in H.extract(pages(spark, rows)).collect()}
+    assert all(got[i].startswith(f"t{i}\nt{i}") for i in range(6))
+    menu = "<nav>" + "<div>" * 300 + "menu" + "</div>" * 300 + "</nav>"
+    assert H.blocks(H.parse("<div>" * 300 + menu + "<p>text</p>")) == ["text"]
