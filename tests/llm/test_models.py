@@ -125,7 +125,7 @@ def test_secret_network():
     held = np.arange(600) % 4 == 0
     net = secrets.train(windows, labels, held)
     p = net.probability(windows)
-    assert (p[labels == 1] >= net.threshold).mean() > 0.9 and (p[labels == 0] >= net.threshold).mean() < 0.05
+    assert (p[labels == 1] >= net.threshold[0]).mean() > 0.9 and (p[labels == 0] >= net.threshold[0]).mean() < 0.05
     text = f"cfg {keys[0]} end"
     assert [(a, b, k) for a, b, k, _ in secrets.scan([text], net)[0]] == [(4, 32, "cnn")]
     assert secrets.train(windows[:4], labels[:4], held[:4]) is None
@@ -142,12 +142,13 @@ def test_secret_threshold_keeps_the_recall_where_classes_overlap():
     held = np.arange(1000) % 4 == 0
     net = secrets.train(windows, labels, held)
     p = net.probability(windows)
-    assert net.recall == (p[held & (labels == 1)] >= net.threshold).mean() >= secrets.RECALL
-    assert net.precision == (labels[held & (p >= net.threshold)] == 1).mean() < 0.9
+    assert net.recall[0] == (p[held & (labels == 1)] >= net.threshold[0]).mean() >= secrets.RECALL
+    assert net.precision[0] == (labels[held & (p >= net.threshold[0])] == 1).mean() < 0.9
 
 
 def test_secret_candidates_start_at_the_length_of_assigned_values():
     assert secrets.candidates("see aB3dE9 and aB3dE or Secret words QWERTY") == [(4, 10)]
+    assert secrets.candidates("pass: qwertyuio, key='ABCDEF' then: word") == [(6, 15), (22, 28)]
     weights = {"E": np.zeros((secrets.SYMBOLS, secrets.EMBED)), "F": np.zeros((secrets.KERNEL * secrets.EMBED, secrets.FILTERS)),
                "f": np.zeros(secrets.FILTERS), "o": np.zeros(2 * secrets.FILTERS), "c": np.zeros(1)}
     sees_all = secrets.Network(weights)
@@ -155,4 +156,50 @@ def test_secret_candidates_start_at_the_length_of_assigned_values():
 
 
 def test_every_query_is_registered():
-    assert sorted(int(n[2:].split("_")[0]) for n in queries.QUERIES) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in queries.QUERIES) == list(range(1, 14))
+
+
+def made_up(rng, n):
+    """Values in forms that no rule finds without a keyword."""
+    letters = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"
+    forms = [(letters, 16), (letters, 24), (letters + "+/", 32), (letters + "-_", 40), ("0123456789abcdef", 20), ("ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789", 20), (letters, 90)]
+    return ["".join(rng.choice(list(a), k)) for a, k in (forms[i % len(forms)] for i in range(n))]
+
+
+def test_secrets_without_a_keyword(spark):
+    """Of made-up values between words, or behind a name that is no keyword, nine in ten are found, whole texts else are left alone."""
+    from evenkeel.llm.common import table
+
+    docs = table(spark, "/root/testdata/sf0.1", "documents")
+    net = secrets.fit(docs)
+    assert min(net.recall) >= 0.95 and min(net.precision) >= 0.9
+    texts = [r.text for r in docs.select("text").collect() if r.text]
+    rng = np.random.default_rng(17)
+    values = made_up(rng, 210)
+    for before in ("", 'setting = "'):
+        found = 0
+        for i, value in enumerate(values):
+            words = texts[i].split(" ")
+            at = int(rng.integers(len(words)))
+            text = " ".join(words[:at]) + " " + before + value + " " + " ".join(words[at:])
+            start = text.index(value)
+            found += any(a <= start and b >= start + len(value) for a, b, *_ in secrets.scan([text], net)[0])
+        assert found >= 0.9 * len(values), before
+    spans = [s for spans in secrets.scan(texts, net) for s in spans]
+    assert sum(s[2] == "cnn" for s in spans) <= 0.02 * sum(s[2] == "assign" for s in spans)
+    harmless = "Version v1-2-3 of 2024-05-17, iPhone15 users 12345678 in some_file_name2 or someCamelCase, see a/path/to/file3"
+    assert not secrets.scan([harmless], net)[0]
+
+
+def test_whole_candidates_are_seen():
+    text = "x" * 10 + " " + "Ab9" * 50 + " end"
+    start, end = secrets.candidates(text)[0]
+    pieces = secrets.windows(text, start, end)
+    assert len(pieces) == -(-(end - start) // secrets.INSIDE)
+    shown = sum(int((p[secrets.BEFORE : secrets.BEFORE + secrets.INSIDE] > 0).sum()) for p in pieces)
+    assert shown == end - start
+
+
+def test_few_findings_give_no_network(spark):
+    assert secrets.fit(documents(spark, ["token = abcdef1234567890 and some words"] * 30)) is None
+    assert secrets.fit(documents(spark, [])) is None
