@@ -111,9 +111,8 @@ def _proposals(text: Column, pattern: str) -> Column:
 
 def _scored(text: Column, kind: str, proposals: Column) -> Column:
     def score(span: Column) -> Column:
-        around = F.substring(
-            text, F.greatest(span["start"] - WINDOW + 1, F.lit(1)).cast("int"), (2 * WINDOW + span["end"] - span["start"]).cast("int")
-        )
+        begin = F.greatest(span["start"] - WINDOW, F.lit(0))
+        around = F.substring(text, (begin + 1).cast("int"), (span["end"] + WINDOW - begin).cast("int"))
         near = F.lower(around).rlike(CONTEXT[kind])
         return F.struct(
             F.lit(kind).alias("kind"),
@@ -128,17 +127,22 @@ def _scored(text: Column, kind: str, proposals: Column) -> Column:
 
 
 def find_pii(docs: DataFrame, text: str = "text", into: str = "pii") -> DataFrame:
-    """`docs` with an array of (kind, start, end, value, score), by kind as listed, then start."""
+    """`docs` with an array of (kind, start, end, value, score), by kind as listed, then start; a column that is
+    already called `into` is replaced."""
     body = F.coalesce(F.col(text), F.lit(""))
     spans = [_scored(body, kind, _proposals(body, PROPOSE[kind])) for kind in (*BASE, *ADDED)]
     return docs.withColumn(into, F.concat(*spans))
 
 
 def mask_pii(docs: DataFrame, text: str = "text", into: str = "masked") -> DataFrame:
-    """`docs` with every span replaced by its kind in brackets; of overlapping spans the first stays."""
-    found = find_pii(docs, text, "_pii")
+    """`docs` with `into`, the text with every span replaced by its kind in brackets; of overlapping spans the first
+    stays. A column that is already called `into` is replaced; all others stay."""
+    spans = "_pii"
+    while spans in docs.columns:
+        spans += "_"
+    found = find_pii(docs, text, spans)
     body = F.coalesce(F.col(text), F.lit(""))
-    ordered = F.array_sort(F.transform("_pii", lambda s: F.struct(s["start"], s["end"], s["kind"])))
+    ordered = F.array_sort(F.transform(spans, lambda s: F.struct(s["start"], s["end"], s["kind"])))
     done = F.aggregate(
         ordered,
         F.struct(F.lit(0).cast("bigint").alias("at"), F.lit("").alias("out")),
@@ -157,7 +161,7 @@ def mask_pii(docs: DataFrame, text: str = "text", into: str = "masked") -> DataF
         ).otherwise(acc),
         lambda acc: F.concat(acc["out"], F.substring(body, (acc["at"] + 1).cast("int"), F.length(body))),
     )
-    return found.withColumn(into, done).drop("_pii")
+    return found.withColumn(into, done).drop(spans)
 
 
 def _listed(spans: Column) -> Column:

@@ -62,6 +62,19 @@ def test_context_raises_the_score(spark):
     assert rows[0] > rows[1]
 
 
+def test_context_window_at_the_start_of_a_text(spark):
+    texts = ["a@b.cd " + "x" * (pii.WINDOW - 14) + " contact me", "a@b.cd " + "x" * 63 + " contact"]
+    near, far = (r.pii[0].score for r in pii.find_pii(documents(spark, texts)).orderBy("doc_id").collect())
+    assert near > far
+
+
+def test_columns_with_the_names_used_inside(spark):
+    docs = documents(spark, ["a@b.cd"]).selectExpr("*", "'mine' AS _pii", "'other' AS pii")
+    row = pii.mask_pii(docs).first()
+    assert (row._pii, row.pii, row.masked) == ("mine", "other", "[email]")
+    assert pii.find_pii(docs).first()._pii == "mine"
+
+
 def test_mask(spark):
     rows = {r.doc_id: r.masked for r in pii.mask_pii(documents(spark, ["é a@b.cd, 1.2.3.4!", None])).collect()}
     assert rows == {0: "é [email], [ip]!", 1: ""}
