@@ -5,7 +5,7 @@ encoded from byte-class statistics and repetition, a gated attention network wei
 passages, and the weighted mean is scored. Only documents have labels; the weights of the
 passages are learned from them.
 
-The model is fitted on the driver from at most SAMPLE labelled documents, chosen by a hash of
+The model is fitted on the driver from at most SAMPLE labelled documents with at most PASSAGES passages, chosen by a hash of
 the id; every passage of every document is scored.
 
 Defined results: null counts as the empty text, a bag of one empty passage; without labelled
@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 from evenkeel.llm.common import column, slices, strings
 
 SAMPLE = 6000
+PASSAGES = 150_000  # of the sample; their features are what the driver holds, about 1 KB each
 PASSAGE = 480
 HIDDEN, GATE = 32, 16
 EPOCHS, BATCH, RATE, DECAY = 14, 64, 4e-3, 1e-4
@@ -176,18 +177,32 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
-def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, passages_most: int = PASSAGES) -> Model:
     """A model from the texts of `docs` and `labels` of (doc_id, quality 0 or 1); other rows teach nothing.
 
-    Only labels whose crc32(doc_id as text) mod 3 is not 1 are used, at most `sample` of them.
+    Only labels whose crc32(doc_id as text) mod 3 is not 1 are used, at most `sample` of them and at most `sample`
+    documents, in the order of a hash, as far as they have `passages_most` passages together.
     """
     usable = labels.where("quality IN (0, 1) AND crc32(string(doc_id)) % 3 <> 1")
     chosen = (  # `sample` rows without text
         usable.select("doc_id", F.col("quality").cast("int").alias("quality"), F.xxhash64("doc_id").alias("key"))
         .orderBy("key", "doc_id", "quality").limit(sample)
     )
+    # no text has more passages than `most`; rows are told apart by the hash of their text
+    most = F.floor(F.octet_length("text") / PASSAGE) + F.length("text") - F.length(F.replace("text", F.lit("\n"), F.lit(""))) + 1
+    given = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(chosen), "doc_id").select(
+        "key", "quality", "text", F.xxhash64("text").alias("hash"), most.alias("most")
+    )
+    order = ["key", "quality", "hash"]
+    sizes = given.select(*order, "most").orderBy(*order).limit(sample).toPandas().drop_duplicates(order)
+    taken, total = [], 0
+    for row in sizes.itertuples(index=False):
+        if total + row.most <= passages_most:
+            total += row.most
+            taken.append((row.key, row.quality, row.hash))
+    kept = docs.sparkSession.createDataFrame([tuple(map(int, t)) for t in taken], "key bigint, quality int, hash bigint")
     bags = (
-        docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("key", "quality", "text")
+        given.join(F.broadcast(kept), order).dropDuplicates(order).select("key", "quality", "text")
         .mapInArrow(_features, "key bigint, quality int, bag binary").toPandas()
         .sort_values(["key", "quality", "bag"])
     )
