@@ -25,7 +25,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from evenkeel.functions.ranking import top_per_group
 from evenkeel.llm.common import column, slices, strings
+from evenkeel.session import staged
 
 SAMPLE_PER_LANGUAGE = 1000  # up to 1000, Spark keeps the first rows of a group in every task before the shuffle
 SLICE = 64  # languages in one column of the filter
@@ -119,12 +121,13 @@ def fit(training: DataFrame, text: str = "text") -> Filter:
         .mapInArrow(_counted, "lang string, gram bigint, n bigint").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     )
     # an n-gram that is far rarer here than elsewhere comes from a foreign passage
-    share = F.col("n") / F.sum("n").over(Window.partitionBy("lang"))
-    counts = counts.withColumn("share", share)
+    counts = staged(counts, "gram-counts")
+    totals = counts.groupBy("lang").agg(F.sum("n").alias("total"))
+    totals = F.broadcast(totals) if len(languages) <= SENT_LANGUAGES else totals  # one row for each language
+    counts = counts.join(totals, "lang").withColumn("share", F.col("n") / F.col("total")).drop("total")
     counts = counts.where(F.col("n") > 1).withColumn("most", F.max("share").over(Window.partitionBy("gram")))
     counts = counts.where(F.col("share") >= OWN_SHARE * F.col("most"))
-    frequent = Window.partitionBy("lang").orderBy(F.desc("n"), "gram")
-    top = counts.withColumn("rank", F.row_number().over(frequent)).where(F.col("rank") <= TOP_GRAMS)
+    top = top_per_group(counts, ["lang"], [F.desc("n"), F.col("gram")], TOP_GRAMS)
     learned = top.groupBy("lang").agg(F.collect_list("gram").alias("grams")).toArrow()  # 160 KB a language
     bits = np.zeros((max(1, -(-len(languages) // SLICE)), ROWS), np.uint64)
     filled = []
