@@ -132,13 +132,14 @@ def _gradients(w: dict[str, np.ndarray], x: np.ndarray, counts: np.ndarray, y: n
 
 
 def train(bags: list[np.ndarray], labels: np.ndarray, seed: int = 7) -> Model:
-    """Adam over minibatches of bags; standardised features."""
+    """Adam over minibatches of bags; standardised features, which replace those in the list `bags` one by one."""
     if len(set(labels.tolist())) < 2:
         return Model(None, None, None, float(labels.mean()) if len(labels) else 0.5)
-    every = np.concatenate(bags)
-    mean, scale = every.mean(axis=0), every.std(axis=0) + 0.02
-    del every
-    bags = [((b - mean) / scale).astype(np.float32) for b in bags]
+    n = sum(len(b) for b in bags)
+    mean = (sum(b.sum(axis=0, dtype=np.float64) for b in bags) / n).astype(np.float32)
+    scale = (np.sqrt(sum(((b - mean) ** 2).sum(axis=0, dtype=np.float64) for b in bags) / n) + 0.02).astype(np.float32)
+    for i, b in enumerate(bags):
+        bags[i] = ((b - mean) / scale).astype(np.float32)
     rng = np.random.default_rng(seed)
     shapes = {"W": (FEATURES, HIDDEN), "V": (HIDDEN, GATE), "U": (HIDDEN, GATE), "a": (GATE,), "o": (HIDDEN,)}
     w = {k: (rng.normal(size=s) / np.sqrt(s[0])).astype(np.float32) for k, s in shapes.items()}
@@ -206,8 +207,13 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, passages_most:
         .mapInArrow(_features, "key bigint, quality int, bag binary").toPandas()
         .sort_values(["key", "quality", "bag"])
     )
-    decoded = [np.frombuffer(b, np.float16).reshape(-1, FEATURES).astype(np.float32) for b in bags["bag"]]
-    return train(decoded, bags["quality"].to_numpy())
+    classes, stored = bags["quality"].to_numpy(), bags["bag"].tolist()
+    del bags
+    decoded: list[np.ndarray] = []
+    while stored:  # from the end, so that each is freed when it has been decoded
+        decoded.append(np.frombuffer(stored.pop(), np.float16).reshape(-1, FEATURES).astype(np.float32))
+    decoded.reverse()
+    return train(decoded, classes)
 
 
 def with_score(docs: DataFrame, model: Model, text: str = "text", into: str = "score") -> DataFrame:
