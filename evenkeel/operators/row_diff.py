@@ -22,6 +22,7 @@ from evenkeel.functions.columns import (
 )
 from evenkeel.functions.rowhash import row_hash
 from evenkeel.operators.comparable import comparable_columns
+from evenkeel.operators.hash_filter import hash_filter, passing
 from evenkeel.operators.set_diff import multiset_counts
 from evenkeel.session import staged
 
@@ -149,22 +150,25 @@ def cell_diff(
     columns: list[str] | None = None,
     limit: int | None = None,
     table_name: str = "",
+    states: DataFrame | None = None,
 ) -> DataFrame:
     """One row per differing cell: keys, key_display, column_name, both values as text.
 
-    The differing keys are written out first, when this is called. They then pick rows from both tables: by
-    broadcast when their files are small, by a shuffle join otherwise. `limit` caps the
-    report in (key, column) order.
+    The differing keys are written out first, when this is called, and a filter of their hashes. They then pick
+    rows from both tables: by broadcast when their files are small, by a shuffle join of the rows that pass the filter
+    otherwise. `limit` caps the report in (key, column) order. `states` are those of the keys, where the caller has them.
     """
     left, right, values = _sides(source, target, keys, columns)
     if not values:
         raise ValueError("no common columns besides the key")
-    states = key_states(source, target, keys, columns)
+    states = key_states(source, target, keys, columns) if states is None else states
     changed = staged(
         states.where(F.col("difference_type") == DIFFERENT).select(*[ref(k) for k in keys]),
         "changed-keys",
         few_files=True,
     )
+    kept = hash_filter(_with_key_hashes(changed, keys), *KEY_HASHES)
+    left, right = (passing(_with_key_hashes(df, keys), *KEY_HASHES, kept).drop(*KEY_HASHES) for df in (left, right))
     old = left.join(changed, same_keys(left, changed, keys), "left_semi").alias("s")
     new = right.join(changed, same_keys(right, changed, keys), "left_semi").alias("t")
     on = [
@@ -200,6 +204,13 @@ def cell_diff(
     return result
 
 
+KEY_HASHES = ["_key_h1", "_key_h2"]
+
+
+def _with_key_hashes(df: DataFrame, keys: list[str]) -> DataFrame:
+    return df.select("*", *[row_hash(df, keys, salt).alias(h) for salt, h in enumerate(KEY_HASHES, start=1)])
+
+
 def _same(left: Column, right: Column, dtype: T.DataType) -> Column:
     if isinstance(dtype, T.MapType):
         left, right = F.array_sort(F.map_entries(left)), F.array_sort(F.map_entries(right))

@@ -12,6 +12,7 @@ from pyspark.sql import types as T
 
 from evenkeel.functions.columns import aligned, common_columns, comparable, field_type, ref
 from evenkeel.functions.rowhash import row_hash
+from evenkeel.operators.hash_filter import hash_filter, passing
 from evenkeel.session import staged
 
 
@@ -43,14 +44,15 @@ def except_rows(
     """Distinct source rows that the target does not hold; NULLs are equal.
 
     `by_hash` suits wide tables of which few rows come out: rows are compared by a 128-bit
-    hash, 32 bytes each in the shuffle, and only the rows that remain are read in full. The
-    hashes that remain are written out when this is called.
+    hash, 32 bytes each in the shuffle, and only the rows that remain are read in full and moved. The
+    hashes that remain, and a filter of them, are written out when this is called.
     """
     if by_hash:
         names = columns or common_columns(source, target)
         left, right = (_with_hashes(df, names) for df in aligned(source, target, names))
         counted, _ = _row_counts(left, right, HASHES)
         alone = staged(counted.where("_s > 0 AND _t = 0").select(*HASHES), "one-sided-rows", few_files=True)
+        left = passing(left, *HASHES, hash_filter(alone, *HASHES))
         shown = left.join(alone, HASHES, "left_semi").select(*[ref(c) for c in names])
         return shown.distinct() if not _has_maps(shown) else except_rows(shown, shown.limit(0))
     counted, names = _row_counts(source, target, columns)
@@ -88,15 +90,16 @@ def multiset_diff(
     """Rows whose copy counts differ: the row, the side with more, and how many more.
 
     `by_hash` suits wide tables with few differences: rows are first counted by a 128-bit
-    hash, which keeps the shuffle narrow, and only rows whose counts differ are compared in
-    full. Two different rows share such a hash with a probability of 2**-128.
+    hash, which keeps the shuffle narrow. A filter of the hashes whose counts differ is written out when this
+    is called, and only rows that pass it move in full; those are compared as without `by_hash`.
+    Two different rows share such a hash with a probability of 2**-128.
     """
     if by_hash:
         names = columns or common_columns(source, target)
         left, right = (_with_hashes(df, names) for df in aligned(source, target, names))
         counted, _ = _row_counts(left, right, HASHES)
-        suspects = staged(counted.where("_s <> _t").select(*HASHES), "differing-rows", few_files=True)
-        source, target = (df.join(suspects, HASHES, "left_semi").drop(*HASHES) for df in (left, right))
+        suspects = hash_filter(counted.where("_s <> _t"), *HASHES)
+        source, target = (passing(df, *HASHES, suspects).drop(*HASHES) for df in (left, right))
     counted, names = _row_counts(source, target, columns)
     kind = F.when(F.col("_s") > F.col("_t"), "data_only_source").otherwise("data_only_target")
     return counted.where("_s <> _t").select(

@@ -165,3 +165,49 @@ def test_expected_counts_of_the_fixtures(spark):
     assert (except_rows(s, t).count(), except_rows(t, s).count()) == (2965, 2872)
     li, lt = view(spark, sf, "lineitem"), view(spark, sf, "lineitem_t")
     assert counts(row_diff_counts(li, lt))[4:] == (3464, 1447)
+
+
+def test_rows_that_are_not_looked_for_do_not_move(spark):
+    """Also where the differing keys are too many to be broadcast, only rows that the filter lets pass are shuffled whole."""
+    from pyspark.sql import functions as F
+
+    from evenkeel.operators.set_diff import except_rows, multiset_diff
+
+    wide = spark.range(40_000).select("id", F.sha2(F.col("id").cast("string"), 512).alias("text"))
+    other = wide.withColumn("text", F.when(F.col("id") % 20 == 3, F.lit("x")).otherwise(F.col("text")))
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        found = {
+            "cells": cell_diff(wide, other, ["id"]),
+            "rows": multiset_diff(wide, other, by_hash=True),
+            "except": except_rows(wide, other, by_hash=True),
+        }
+        counts = {n: len(df.collect()) for n, df in found.items()}
+        plans = {n: df._jdf.queryExecution().executedPlan().toString() for n, df in found.items()}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+    assert counts == {"cells": 2000, "rows": 4000, "except": 2000}
+    for name, plan in plans.items():
+        assert "BroadcastHashJoin" in plan and "_word0" in plan, name
+    assert rows(found["rows"]) == rows(multiset_diff(wide, other))
+    assert rows(found["except"]) == rows(except_rows(wide, other))
+
+
+def test_hash_filter_holds_what_it_was_made_of(spark):
+    from pyspark.sql import functions as F
+
+    from evenkeel.operators.hash_filter import hash_filter, passing
+
+    df = spark.range(200_000).select("id", F.xxhash64(F.lit(1), "id").alias("a"), F.xxhash64(F.lit(2), "id").alias("b"))
+    words = hash_filter(df.where("id % 20 = 0"), "a", "b")
+    got = {r.id for r in passing(df, "a", "b", words).collect()}
+    assert set(range(0, 200_000, 20)) <= got and len(got) < 10_100
+    assert passing(df, "a", "b", hash_filter(df.where("false"), "a", "b")).count() == 0
+
+
+def test_signed_zeros_and_nan_in_keys_are_still_found(spark):
+    schema = "k DOUBLE, v INT"
+    a = spark.createDataFrame([(0.0, 1), (float("nan"), 2), (None, 3), (5.0, 5)], schema)
+    b = spark.createDataFrame([(-0.0, 9), (float("nan"), 8), (None, 7), (5.0, 5)], schema)
+    assert sorted(r.source_value for r in cell_diff(a, b, ["k"]).collect()) == ["1", "2", "3"]
