@@ -14,10 +14,11 @@ from evenkeel.functions.columns import common_columns, key_display, ref, union_a
 from evenkeel.functions.ranking import with_rank
 from evenkeel.operators.fingerprint import quick_compare
 from evenkeel.operators.incremental import incremental_pair
-from evenkeel.operators.row_diff import DIFFERENT, cell_diff, row_diff_counts, row_diff_rows
+from evenkeel.operators.row_diff import DIFFERENT, MATCH, cell_diff, key_states, row_diff_counts
 from evenkeel.operators.schema_diff import schema_gap
 from evenkeel.operators.set_diff import multiset_diff
 from evenkeel.operators.table_filter import ComparisonFilter
+from evenkeel.session import staged
 
 # fixed values: texts of summaries and verdicts
 SUMMARY_TEXTS = {
@@ -167,11 +168,13 @@ def _deep_pair(pair: TablePair, settings: ComparisonFilter | None, limit: int |
     nothing, one = F.lit(None).cast("string"), F.lit(1).cast("long")
     if pair.keys and pair.on_duplicate == "raise":
         keys = list(pair.keys)
-        cells = cell_diff(source, target, keys).select(
+        states = key_states(source, target, keys).where(F.col("difference_type") != MATCH)
+        states = staged(states, "differing-keys", few_files=True)  # for the cells and the rows of one side
+        cells = cell_diff(source, target, keys, states=states).select(
             "key_display", "column_name", "source_value", "target_value",
             F.lit(DIFFERENT).alias("difference_type"), one.alias("copies"),
         )
-        rows = row_diff_rows(source, target, keys).where(F.col("difference_type") != DIFFERENT)
+        rows = states.where(F.col("difference_type") != DIFFERENT).withColumn("key_display", key_display(keys))
     else:
         cells = None
         rows = multiset_diff(source, target, by_hash=True)
