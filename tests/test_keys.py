@@ -62,6 +62,24 @@ def test_sketches(spark):
     assert sum(h.where("set = 1").first().sampled_rows for h in halves) == found[1].sampled_rows
 
 
+def test_sets_are_refuted_on_chosen_rows(spark, monkeypatch):
+    """No column set is hashed on every row; and sets whose values repeat only within one order do not come to the exact check."""
+    from evenkeel.operators import keys
+
+    df = spark.range(200_000).select(
+        F.floor(F.col("id") / 4).alias("order"), (F.col("id") % 4).alias("line"), F.floor(F.col("id") / 2).alias("pair"),
+        F.xxhash64("id").alias("price"), (F.col("id") % 3).alias("flag"),
+    )
+    looked, checked = [], []
+    sketches, candidates = keys.distinct_sketches, keys.candidate_keys
+    monkeypatch.setattr(keys, "distinct_sketches", lambda rows, sets, share: looked.append(rows.count()) or sketches(rows, sets, share))
+    monkeypatch.setattr(keys, "candidate_keys", lambda rows, sets: checked.extend(sets) or candidates(rows, sets))
+    found = rows(minimal_keys(df, 2, sample=500))
+    assert found == [("line, pair", 2), ("order, line", 2), ("pair, flag", 2), ("price", 1)]
+    assert looked and max(looked) <= 200_000 // 4
+    assert ["order", "pair"] not in checked and ["order", "flag"] not in checked
+
+
 def test_sketches_take_one_scan(spark, folder):
     df = spark.read.parquet(f"{folder}/lineitem.parquet")
     plan = distinct_sketches(df, column_sets(df.columns, 3), 10)._jdf.queryExecution().executedPlan().toString()
