@@ -203,3 +203,60 @@ def test_whole_candidates_are_seen():
 def test_few_findings_give_no_network(spark):
     assert secrets.fit(documents(spark, ["token = abcdef1234567890 and some words"] * 30)) is None
     assert secrets.fit(documents(spark, [])) is None
+
+
+def documents_with_findings(spark, n, partitions=3):
+    rng = np.random.default_rng(23)
+    values = made_up(rng, n)
+    return documents(spark, [f"the words around are {i} and someName{i} is set, password={v} ends it" for i, v in enumerate(values)], partitions)
+
+
+def test_all_findings_teach_and_set_the_thresholds(spark):
+    """More findings than any sample of them had; recall and precision hold over all that are kept back."""
+    docs = documents_with_findings(spark, 700)
+    net = secrets.fit(docs)
+    whole = {(k, y, c, how, w.tobytes()) for r in docs.select("text").collect() for k, y, c, how, w in secrets.examples(r.text)}
+    kept = [e for e in whole if (e[0] >> 1) % 4 == 0 and (e[3] > 0 or e[1] == 0)]
+    labels, context = (np.array([e[i] for e in kept]) for i in (1, 2))
+    p = net.probability(np.stack([np.frombuffer(e[4], np.int64) for e in kept]))
+    assert sum(e[1] == 1 and e[2] == 0 for e in whole) > 4000
+    for c in (0, 1):
+        over = (context == c) & (p >= net.threshold[c])
+        assert net.recall[c] == over[labels == 1].sum() / ((context == c) & (labels == 1)).sum() >= secrets.RECALL
+        assert net.precision[c] == (labels[over] == 1).mean()
+
+
+def test_a_fit_in_blocks_does_not_depend_on_partitions(spark, monkeypatch):
+    monkeypatch.setattr(secrets, "BLOCK", 1000)
+    one, other = (secrets.fit(documents_with_findings(spark, 300, partitions)) for partitions in (2, 7))
+    assert all((one.weights[k] == other.weights[k]).all() for k in one.weights)
+    assert (one.slope, one.shift, one.threshold) == (other.slope, other.shift, other.threshold)
+    assert min(one.precision) > 0.8
+
+
+def test_a_round_is_the_mean_of_all_blocks(spark):
+    rng = np.random.default_rng(4)
+    shown = rng.integers(0, secrets.SYMBOLS, (300, secrets.WIDTH)).astype(np.uint8)
+    rows = [(i, i % 2, bytearray(w.tobytes()), i % 3) for i, w in enumerate(shown)]
+    df = spark.createDataFrame(rows, "hash bigint, label int, shown binary, block bigint")
+    begin = secrets._begin(11)
+    found = secrets._round(df, begin, 0, 5, 2)
+    each = [secrets._passes(begin, 0, shown[b::3].astype(np.int64), np.arange(b, 300, 3) % 2, 5, 2) for b in range(3)]
+    np.testing.assert_allclose(found, np.mean(each, axis=0, dtype=np.float64), atol=1e-6)
+    assert np.abs(found[0] - begin[0]).max() > 0.01
+
+
+def test_candidates_and_rules_agree_with_plain_expressions(monkeypatch):
+    monkeypatch.setattr(secrets, "PART", 7)
+    rng = np.random.default_rng(8)
+    parts = ["PassWord", "token", "secret", "api_key", "paſſword", *'abzABZ09+/_=-:"\' .é\n\U0001f600', "aB3dE9", "words", "0f" * 12, " = "]
+    for _ in range(3000):
+        text = "".join(rng.choice(parts, int(rng.integers(0, 25))))
+        expected = []
+        for m in re.finditer(r"[A-Za-z0-9+/_=-]{6,}", text):
+            run = m.group()
+            valued = re.search("[A-Za-z]", run) and re.search("[0-9]", run) or re.search("[A-Z]", run[1:]) and re.search("[a-z]", run)
+            if valued or re.search(r"""[:=]\x20*["']?\Z""", text[max(0, m.start() - 4) : m.start()]):
+                expected.append(m.span())
+        assert secrets.candidates(text) == expected, text
+        assert ",".join(f"{k}:{a}:{b}" for a, b, k in secrets.base_spans(text)) == expected_secrets(text)
